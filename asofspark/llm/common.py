@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a missing doc_id: such rows come after all others.
 LAST_ID = (1 << 63) - 1
+#: Names of key columns beside those of a user's table.
+KEY = ("__row_id", "__row_hash")
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -51,6 +53,10 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ).withColumns({"_id": F.coalesce("doc_id", F.lit(LAST_ID)), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
+def keyed_columns(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({KEY[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), KEY[1]: F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
 def binaries(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

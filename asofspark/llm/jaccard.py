@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, binaries, component_labels, keyed, stash
+from .common import KEY, LAST_ID, binaries, component_labels, keyed, keyed_columns, stash
 
 BLOCK = 400
 SHINGLES = "_id long, _h long, doc_id long, n long, k long, first array<long>"
@@ -198,13 +198,7 @@ def _known(column: Column) -> Column:
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """The documents (all columns) without near copies: of each component the row of least (doc_id, text hash)
     stays; rows without words all stay; rows that repeat id and text of a kept one go."""
-    marked = keyed_columns(docs)
     found = components(docs.select("doc_id", "text"), words, percent, block)
     group = F.when(F.col("class_key").isNull(), F.struct(F.lit(1).alias("x"), F.col("_id").alias("a"), F.col("_h").alias("b"))).otherwise(F.struct(F.lit(0).alias("x"), F.coalesce("component_id", F.lit(LAST_ID)).alias("a"), F.when(F.col("component_id").isNull(), F.col("class_key")).otherwise(F.lit(0)).alias("b")))
-    first = found.groupBy(group.alias("g")).agg(F.min(F.struct("_id", "_h")).alias("r")).select("r._id", "r._h", (F.col("g.x") == 1).alias("empty"))
-    kept = marked.join(first, ["_id", "_h"])
-    return kept.dropDuplicates(["_id", "_h"]).select(*docs.columns)
-
-
-def keyed_columns(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    first = found.groupBy(group.alias("g")).agg(F.min(F.struct("_id", "_h")).alias("r")).select(F.col("r._id").alias(KEY[0]), F.col("r._h").alias(KEY[1]))
+    return keyed_columns(docs).join(first, list(KEY)).dropDuplicates(list(KEY)).select(*docs.columns)

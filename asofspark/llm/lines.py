@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import KEY, keyed, keyed_columns, stash
 
 MIN_WORDS = 10
 
@@ -100,10 +100,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` (doc_id, text and others), the text without later copies, and n_lines and n_removed."""
-    from .jaccard import keyed_columns
-
-    keyed = keyed_columns(docs.drop("n_lines", "n_removed"))
-    marked = keyed.join(repeated_runs(keyed.select("_id", "_h", "text")), ["_id", "_h"], "left")
+    names = dict(zip(("_id", "_h"), KEY, strict=True))
+    runs = repeated_runs(keyed(docs.select("doc_id", "text")).select("_id", "_h", "text")).withColumnsRenamed(names | {"runs": "__runs"})
+    marked = keyed_columns(docs.drop("n_lines", "n_removed")).join(runs, list(KEY), "left")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
 
@@ -124,8 +123,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [cut(t, r) for t, r in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True)]
+            done = [cut(t, r) for t, r in zip(b.column("text").to_pylist(), b.column("__runs").to_pylist(), strict=True)]
             texts = pa.array([x[0] for x in done], pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else b.column(c) for c in columns] + [pa.array([x[k] for x in done], pa.int64()) for k in (1, 2)], [*columns, "n_lines", "n_removed"])
 
-    return marked.select(*columns, "runs").mapInArrow(run, f"{schema}, n_lines long, n_removed long")
+    return marked.select(*columns, "__runs").mapInArrow(run, f"{schema}, n_lines long, n_removed long")
