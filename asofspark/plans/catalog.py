@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core
+from . import core, master
 
-AREAS = (core,)
+AREAS = (core, master)
 
 
 def queries() -> dict:
