@@ -90,7 +90,7 @@ def industry_peers(screens: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def signed_percent(c: Column) -> Column:
-    return F.when(c.isNull(), "unavailable").otherwise(F.concat(F.when(c >= 0, "+").otherwise("-"), F.format_number(F.abs(c) * 100, "0.0"), F.lit("%")))
+    return F.when(c.isNull(), "unavailable").otherwise(F.concat(F.when(c >= 0, "+").otherwise("-"), F.format_string("%.1f", F.abs(c) * 100), F.lit("%")))
 
 
 def project(screens: DataFrame, views: DataFrame, components: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core, master
+from . import core, master, models
 
-AREAS = (core, master)
+AREAS = (core, master, models)
 
 
 def queries() -> dict:

@@ -206,7 +206,13 @@ def n16_timing_baseline(v):
 
 # -- bitemporal facts ---------------------------------------------------------------------------------------------
 
-DECISION, SYSTEM = F.lit("1999-12-31").cast("date"), F.lit("2000-01-31").cast("date")
+
+
+def clocks():
+    """The decision and the system time of the queries below."""
+    return F.lit("1999-12-31").cast("date"), F.lit("2000-01-31").cast("date")
+
+
 AUTHORITY = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 ELIGIBLE = "available_at <= date '1999-12-31' and known_from <= date '2000-01-31' and (known_to is null or date '2000-01-31' < known_to) and trust_state in {trust}"
 STRICT, CURRENT = ELIGIBLE.replace("{trust}", "('pit_verified')"), ELIGIBLE.replace("{trust}", "('pit_verified', 'normalized_current')")
@@ -215,17 +221,17 @@ WINNERS = "select company_id, period_end, provider_id, max(revision) as revision
 
 @query("select fact_id, company_id, value from {facts} where " + STRICT)
 def f6_pit_eligible(v):
-    return pit.eligible(v.facts, DECISION, SYSTEM).select("fact_id", "company_id", "value")
+    return pit.eligible(v.facts, *clocks()).select("fact_id", "company_id", "value")
 
 
 @query("select fact_id, concat_ws(',', case when trust_state = 'raw' then 'raw_evidence' end, case when available_at > date '1999-12-31' then 'available_after_decision' end, case when trust_state <> 'pit_verified' then 'not_pit_verified' end) as blocked_by from {facts}")
 def f5_evidence_gate(v):
-    return pit.evidence_gate(v.facts.withColumn("decision_time", DECISION), "strict_historical").select("fact_id", F.array_join("blocked_by", ",").alias("blocked_by"))
+    return pit.evidence_gate(v.facts.withColumn("decision_time", clocks()[0]), "strict_historical").select("fact_id", F.array_join("blocked_by", ",").alias("blocked_by"))
 
 
 @query("select company_id, period_end, provider_id, revision, n_winners, false as conflict, value, fact_id, quality_blocked from (" + WINNERS.replace("{ok}", STRICT) + ")")
 def n6_pit_winner(v):
-    return pit.select_revision(pit.eligible(v.facts, DECISION, SYSTEM)).withColumn("n_winners", F.col("n_winners").cast("int"))
+    return pit.select_revision(pit.eligible(v.facts, *clocks())).withColumn("n_winners", F.col("n_winners").cast("int"))
 
 
 SELECT = """select i.company_id, i.period_end, s.provider_id, s.value, s.fact_id, coalesce(a.n, 0) as n_providers, coalesce(c.conflicts, '') as conflicts, s.provider_id is null or c.conflicts is not null or coalesce(a.held, 0) > 0 as blocks_downstream,
@@ -239,12 +245,12 @@ SELECT = """select i.company_id, i.period_end, s.provider_id, s.value, s.fact_id
 
 @query(SELECT.replace("(W)", "(" + WINNERS.replace("{ok}", CURRENT) + ")"))
 def n7_provider_authority(v):
-    return pit.select_fact(v.facts, AUTHORITY, DECISION, SYSTEM, "current").withColumn("conflicts", F.array_join("conflicts", ","))
+    return pit.select_fact(v.facts, AUTHORITY, *clocks(), "current").withColumn("conflicts", F.array_join("conflicts", ","))
 
 
 @query("select company_id, period_end, a.value as current_value, a.status as current_status, b.value as strict_value, b.status as strict_status, a.value is not distinct from b.value as same from (" + SELECT.replace("(W)", "(" + WINNERS.replace("{ok}", CURRENT) + ")") + ") a full join (" + SELECT.replace("(W)", "(" + WINNERS.replace("{ok}", STRICT) + ")") + ") b using (company_id, period_end)")
 def n8_compare_modes(v):
-    return pit.compare_modes(v.facts, AUTHORITY, DECISION, SYSTEM)
+    return pit.compare_modes(v.facts, AUTHORITY, *clocks())
 
 
 @query("select fact_id, lead(known_from) over w as known_to, coalesce(lag(available_at) over w <> available_at, false) as public_time_changed from {facts} window w as (partition by company_id, provider_id order by known_from, fact_id)")
