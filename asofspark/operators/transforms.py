@@ -86,7 +86,7 @@ def passive_volatility(closes: DataFrame, key: str, session: str, close: str, wi
 
 def exposure(vol: DataFrame, target: float, maximum: float) -> DataFrame:
     """min(maximum, target / observed) from the ``value`` of a volatility row."""
-    e = F.least(F.lit(maximum), ratio(F.lit(target), F.col("value")))
+    e = F.when(F.col("value").isNotNull(), F.least(F.lit(maximum), ratio(F.lit(target), F.col("value"))))
     flat = F.coalesce(F.col("value") <= 0, F.lit(False))
     return vol.select("*", F.when(~flat, e).alias("exposure"), F.when(flat, "zero_volatility").otherwise(F.col("unavailable_reason")).alias("exposure_reason"))
 

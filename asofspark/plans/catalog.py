@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core, master, models
+from . import core, ingest, master, models
 
-AREAS = (core, master, models)
+AREAS = (core, master, models, ingest)
 
 
 def queries() -> dict:

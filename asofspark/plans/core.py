@@ -193,13 +193,13 @@ def n2_passive_volatility(v):
     return transforms.passive_volatility(v.bars_daily, "listing_id", "session_date", "close").select("listing_id", "session_date", *r("value"), "status", "unavailable_reason")
 
 
-@query("select listing_id, session_date, round(least(1.5, 4.0 / vol), 6) as exposure, case when n < 20 then 'insufficient_history' end as exposure_reason from (" + VOL + ")")
+@query("select listing_id, session_date, case when vol is not null then round(least(1.5, 4.0 / vol), 6) end as exposure, case when n < 20 then 'insufficient_history' end as exposure_reason from (" + VOL + ")")
 def n3_volatility_exposure(v):
     vol = transforms.passive_volatility(v.bars_daily, "listing_id", "session_date", "close")
     return transforms.exposure(vol, 4.0, 1.5).select("listing_id", "session_date", *r("exposure"), "exposure_reason")
 
 
-@query("select listing_id, session_date, round(vol, 6) as value, round(least(1.5, 4.0 / vol), 6) as exposure, 1.0::double as static_exposure from (" + VOL + ") where listing_id in (select listing_id from {listings} where delisted_on is null)")
+@query("select listing_id, session_date, round(vol, 6) as value, case when vol is not null then round(least(1.5, 4.0 / vol), 6) end as exposure, 1.0::double as static_exposure from (" + VOL + ") where listing_id in (select listing_id from {listings} where delisted_on is null)")
 def n16_timing_baseline(v):
     return transforms.timing_baseline(v.bars_daily, v.listings.where("delisted_on is null"), "listing_id", "session_date", "close", 4.0, 1.5).select("listing_id", "session_date", *r("value", "exposure"), "static_exposure")
 

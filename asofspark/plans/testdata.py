@@ -68,11 +68,11 @@ VIEWS = {
     "daily_members": "select distinct 'u' || cast(user_id % 3 as varchar(9)) as universe_id, user_id as listing_id, cast(ts as date) as session_date from {events} where event_type <> 'view' and user_id % 7 <> 2",
     "memberships": """select universe_id, listing_id, min(session_date) as valid_from, case when max(session_date) < date '2024-01-29' then max(session_date) end as valid_to,
         max(listing_id) % 4 <> 0 as research_eligible, max(listing_id) % 6 in (1, 2, 5) as tradable_eligible from {daily_members} group by 1, 2""",
-    "views": """select o_orderkey as view_id, o_custkey as security_id, cast(o_orderdate as date) as decision_date, round(o_totalprice / 1000000 - 0.2, 6) as expected_return,
-        round(o_totalprice / 1000000 - 0.3, 6) as p10, round(o_totalprice / 1000000 - 0.2, 6) as p50, round(o_totalprice / 1000000 - 0.05, 6) as p90 from {orders} where o_orderkey % 3 = 0""",
-    "components": """select view_id, component, case when component = 'event' and view_id % 5 = 0 then null else round(expected_return * share, 8) end as contribution from {views}
+    "views": """select o_orderkey as view_id, o_custkey as security_id, cast(o_orderdate as date) as decision_date, o_totalprice / 1000000 - 0.2E0 as expected_return,
+        o_totalprice / 1000000 - 0.3E0 as p10, o_totalprice / 1000000 - 0.2E0 as p50, o_totalprice / 1000000 - 0.05E0 as p90 from {orders} where o_orderkey % 3 = 0""",
+    "components": """select view_id, component, case when component = 'event' and view_id % 5 = 0 then null else expected_return * share / 3.0E0 end as contribution from {views}
         cross join (select 'quality' as component, 0.4 as share union all select 'valuation', 0.3 union all select 'revision', 0.2 union all select 'event', 0.05) c where not (component = 'revision' and view_id % 33 = 0)""",
-    "outcomes": "select view_id, security_id, round(expected_return + (view_id % 41 - 20) / 100.0, 6) as realized_return, decision_date + interval 60 day as realized_at from {views} where view_id % 4 <> 1",
+    "outcomes": "select view_id, security_id, expected_return + (view_id % 41 - 20) / 100.0E0 as realized_return, decision_date + interval 60 day as realized_at from {views} where view_id % 4 <> 1",
     "screens": """select 'scr' || cast(session_date as varchar(10)) as snapshot_id, session_date as decision_date, 'u' as universe_id, listing_id as security_id, score,
         row_number() over (partition by session_date order by score desc, listing_id) as rank, count(*) over (partition by session_date) as universe_size from {bars}""",
     "checkpoints": """select event_type as job_id, event_type || ':' || cast(cast(ts as date) as varchar(10)) as checkpoint_key, user_id % 9 as symbol, event_id as attempt,
