@@ -5,8 +5,9 @@
    has holds no repeated window: such super-k-mers stay where they are.
 2. The others travel as one packed string each to their minimiser's bucket, equal strings as one. There the windows
    are sorted, and each learns the smallest doc_id it starts in.
-3. Minimisers with more occurrences than ``bucket_rows`` would make large buckets: their windows are spread singly
-   by digest (SHA-256) and aggregated. This decides the same thing for the same windows.
+3. Minimisers with more occurrences than ``bucket_rows`` would make large buckets. Their super-k-mers are split again
+   by minimisers of 32 words, of which again those of one document alone drop out; the windows that are left are
+   spread singly by digest (SHA-256) and aggregated. This decides the same thing for the same windows.
 4. Each document drops the words of its windows that a smaller doc_id has.
 
 Defined results: null text has no words; a document below 50 words keeps everything; null doc_id comes after all
@@ -30,6 +31,7 @@ from .common import binaries, keyed, stash
 
 WINDOW = 50
 RUN = 8
+LONG_RUN = 32
 BUCKET_ROWS = 256
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -136,12 +138,19 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, buck
             yield _found(out)
         yield _found(list(first_in_bucket(held, window)))
 
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [super_kmers(t.split(b" "), window, LONG_RUN) for t in b.column("packed").to_pylist()]
+            n = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
+            cols = [np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[2]), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[b.column(c).take(n) for c in ("sid", "least", "most")]], ["long", "i", "n", "sid", "least", "most"])
+
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for sid, packed, least, most in zip(*(b.column(c).to_pylist() for c in ("sid", "packed", "least", "most")), strict=True):
+            for sid, packed, least, most, parts in zip(*(b.column(c).to_pylist() for c in ("sid", "packed", "least", "most", "parts")), strict=True):
                 words = packed.split(b" ")
-                rows += [(hashlib.sha256(b" ".join(words[i : i + window])).digest(), sid, i, least, most) for i in range(len(words) - window + 1)]
+                rows += [(hashlib.sha256(b" ".join(words[i : i + window])).digest(), sid, i, least, most) for p in parts for i in range(p["i"], p["i"] + p["n"])]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64()])], ["digest", "sid", "i", "least", "most"])
 
     runs = docs.select("_id", "_h", "text").mapInArrow(find, "_id long, _h long, start int, n int, minimiser long")
@@ -153,8 +162,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, buck
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = texts.where("not hot").repartition(parts, "minimiser").sortWithinPartitions("minimiser").mapInArrow(buckets, FOUND)
-    alone = texts.where("hot").mapInArrow(single, "digest binary, sid binary, i int, least long, most long")
-    first = alone.groupBy("digest").agg(F.min("least").alias("first"))
+    wide = stash(texts.where("hot").select("sid", "packed", "least", "most"), "hot-super-kmers")
+    parts_of = wide.mapInArrow(longer, "long long, i int, n int, sid binary, least long, most long")
+    common = parts_of.groupBy("long").agg(F.min("least").alias("a"), F.max("most").alias("z")).where("a < z").select("long")
+    worth = parts_of.join(common, "long").groupBy("sid").agg(F.collect_list(F.struct("i", "n")).alias("parts"))
+    alone = stash(wide.join(worth, "sid").mapInArrow(single, "digest binary, sid binary, i int, least long, most long"), "single-windows")
+    first = stash(alone.groupBy("digest").agg(F.min("least").alias("first")), "first-windows")
     per_text = alone.join(first, "digest").where("first < most").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("w"))
     hot = per_text.select("sid", F.col("w.i").alias("off"), F.transform("w.i", lambda _: F.lit(1)).alias("n"), F.col("w.first").alias("first"))
     found = cold.unionByName(hot)
