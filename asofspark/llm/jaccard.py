@@ -4,9 +4,10 @@
 2. A pair of at least ``percent`` Jaccard shares, in any global order of n-grams, some of the first ones. A class with
    fewer shared ones among its first than any partner would demand has no partner and is left out. Both sides of
    this test are aggregated counts, with hot n-grams combined before they are shuffled.
-3. Classes that share such first n-grams make candidate clusters (components). No linked pair spans two clusters.
-4. A cluster's sets go to one task; large clusters are dealt into blocks, and each pair of blocks is a task of bounded
-   size. There the sets, ordered from the most to the least frequent n-gram, form a compressed trie. Each set walks the
+3. Classes of like size that share one of the rarest of their first n-grams make candidate clusters (components): as
+   partners share so many of the first ones, no linked pair spans two clusters.
+4. A cluster's sets go to one task; large clusters are parted by size, then dealt into blocks, and each pair of blocks
+   is a task of bounded size. There the sets, ordered from the most to the least frequent n-gram, form a compressed trie. Each set walks the
    trie, sharing the overlap of common beginnings, and leaves a subtree when the remaining lengths can't reach the
    demanded overlap any more, or when the subtree is all in the set's own component already.
 5. The links found, a spanning forest of each task, are joined to components.
@@ -20,6 +21,7 @@ gives no rows. Sets are compared by 64-bit hashes of their n-grams.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +53,7 @@ def least_overlap(n: int, percent: int) -> int:
 
 def shared_firsts(n: int) -> int:
     """How many of their first n-grams partners of n n-grams must share; firsts are counted to allow for it."""
-    return max(1, n // 20)
+    return max(1, n // 10)
 
 
 def first_count(n: int, percent: int) -> int:
@@ -149,13 +151,13 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t, words) for t in binaries(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("cluster"), b.column("blocks"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "cluster", "blocks", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("cluster"), b.column("parts"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "cluster", "parts", "n", "tokens"])
 
     def join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
             out = []
-            for *g, k, n, tokens in zip(*(b.column(c).to_pylist() for c in ("cluster", "i", "j", "k", "n", "tokens")), strict=True):
+            for *g, k, n, tokens in zip(*(b.column(c).to_pylist() for c in ("cluster", "part", "i", "j", "k", "n", "tokens")), strict=True):
                 if g != now:
                     out += links(held, percent)
                     now, held = g, []
@@ -167,23 +169,38 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
     each = stash(docs.select("_id", "_h", "doc_id", "text").mapInArrow(summarise, SHINGLES), "shingles")
     classes = stash(each.where("k is not null").groupBy("k").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("first").alias("first")), "classes")
 
-    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / F.lit(100)) / 20))
-    tokens = classes.where(F.size("first") > 0).select("k", "n", F.explode("first").alias("t"))
+    # Two partners share at least ``need`` of their first n-grams, and so one among the (first - need + 1) rarest of them
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / F.lit(100)) / 10))
+    tokens = classes.where(F.size("first") > 0).select("k", "n", F.size("first").alias("firsts"), F.explode("first").alias("t"))
     for turn in ("once", "twice"):  # the second time among those that the first left
-        shared = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-        rich = tokens.join(shared, "t").groupBy("k", "n").agg(F.count("*").alias("c"), F.collect_list("t").alias("ts")).where(F.col("c") >= need)
-        rich = stash(rich.select("k", "n", "ts"), f"shared-{turn}")
-        tokens = rich.select("k", "n", F.explode("ts").alias("t"))
-    hubs = tokens.groupBy("t").agg(F.min("k").alias("hub"), F.count("*").alias("c")).where("c > 1").select("t", "hub")
-    clusters = component_labels(tokens.join(hubs, "t").select(F.col("k").alias("a"), F.col("hub").alias("b")).distinct(), "clusters")
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "component").select(F.col("node").alias("k"), F.col("component").alias("cluster"), "blocks")
+        shared = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+        rich = tokens.join(shared, "t").groupBy("k", "n", "firsts").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts")).where(F.size("ts") >= need)
+        rich = stash(rich.select("k", "n", "firsts", "ts", (F.size("ts") - need + 1).alias("rarest")), f"shared-{turn}")
+        tokens = rich.select("k", "n", "firsts", F.explode("ts.t").alias("t"))
+    tokens = rich.select("k", "n", F.explode(F.slice(F.col("ts.t"), F.lit(1), F.col("rarest").cast("int"))).alias("t"))
+    # Partners' sizes differ by less than one step, so they are of one size class or of neighbouring ones.
+    step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int")
+    tokens = tokens.withColumn("size", step)
+    hubs = stash(tokens.groupBy("t", "size").agg(F.min("k").alias("hub"), F.count("*").alias("c")), "hubs")
+    next_size = hubs.select("t", (F.col("size") - 1).alias("size"), F.col("hub").alias("b"))
+    edges = tokens.join(hubs.where("c > 1"), ["t", "size"]).select(F.col("k").alias("a"), F.col("hub").alias("b"))
+    edges = edges.unionByName(hubs.select("t", "size", F.col("hub").alias("a")).join(next_size, ["t", "size"]).select("a", "b"))
+    clusters = component_labels(edges.distinct(), "clusters")
+
+    # A cluster of more than a block is parted by size class, each class together with the next one
+    members = clusters.select(F.col("node").alias("k"), F.col("component").alias("cluster")).join(rich.select("k", step.alias("size")), "k")
+    whole = members.groupBy("cluster").agg(F.count("*").alias("c"))
+    parts_of = F.when(F.col("c") <= block, F.array(F.lit(-1))).otherwise(F.array(F.col("size") - 1, F.col("size")))
+    members = members.join(whole, "cluster").select("k", "cluster", F.explode(parts_of).alias("part"))
+    counts = members.groupBy("cluster", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = members.join(counts, ["cluster", "part"]).groupBy("k", "cluster").agg(F.collect_list(F.struct("part", "blocks")).alias("parts"))
 
     chosen = placed.join(classes.select("k", "rep._id", "rep._h"), "k")
-    sets = stash(docs.select("_id", "_h", "text").join(chosen, ["_id", "_h"]).select("k", "cluster", "blocks", "text").mapInArrow(sets_of, "k long, cluster long, blocks int, n long, tokens binary"), "sets")
+    sets = stash(docs.select("_id", "_h", "text").join(chosen, ["_id", "_h"]).select("k", "cluster", "parts", "text").mapInArrow(sets_of, "k long, cluster long, parts array<struct<part:int,blocks:int>>, n long, tokens binary"), "sets")
+    dealt = sets.select("k", "n", "tokens", "cluster", F.explode("parts").alias("p")).select("k", "n", "tokens", "cluster", "p.part", "p.blocks")
     own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    dealt = sets.select("k", "n", "tokens", "cluster", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("k", "n", "tokens", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    dealt = dealt.select("k", "n", "tokens", "cluster", "part", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("k", "n", "tokens", "cluster", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.repartition(parts, "cluster", "part", "i", "j").sortWithinPartitions("cluster", "part", "i", "j")
     found = component_labels(stash(dealt.mapInArrow(join_groups, "a long, b long"), "links"), "components")
 
     labelled = classes.select("k", F.col("rep._id").alias("least")).join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
