@@ -181,7 +181,7 @@ def block_bootstrap(df: DataFrame, by: Sequence[str], order: str, value: str, bl
     runs = sizes.where((F.col("gaps") == 0) & (F.col("n") >= block)).select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
     blocks = runs.select(*by, "n", "resample", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))).alias("b"))
     start = F.pmod(F.xxhash64(F.lit(seed), *by, "resample", "b"), F.col("n"))
-    picks = blocks.select(*by, "n", "resample", "b", start.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k")).where(F.col("b") * block + F.col("k") < F.col("n")).select(*by, "resample", F.pmod(F.col("s") + F.col("k"), F.col("n")).alias("i"))
+    picks = blocks.select(*by, "n", "resample", "b", start.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("_k")).where(F.col("b") * block + F.col("_k") < F.col("n")).select(*by, "resample", F.pmod(F.col("_s") + F.col("_k"), F.col("n")).alias("i"))
     means = picks.join(rows.select(*by, "i", "v"), [*by, "i"]).groupBy(*by, "resample").agg(F.avg("v").alias("v"))
     tail = (1 - confidence) / 2
     ends = means.groupBy(*by).agg(F.expr(f"percentile(v, array({tail}D, {1 - tail}D))").alias("e"))

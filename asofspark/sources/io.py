@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BARS = T.StructType.fromDDL("listing_id long, session_date date, source_id string, close double, volume long, dataset_version_id string, exchange string, year int")
-FACTORS = T.StructType.fromDDL("listing_id long, session_date date, source_id string, multiplier double, dataset_version_id string, year int")
+KEY = [T.StructField("listing_id", T.LongType()), T.StructField("session_date", T.DateType()), T.StructField("source_id", T.StringType())]
+BARS = T.StructType([*KEY, T.StructField("close", T.DoubleType()), T.StructField("volume", T.LongType()), T.StructField("dataset_version_id", T.StringType()), T.StructField("exchange", T.StringType()), T.StructField("year", T.IntegerType())])
+FACTORS = T.StructType([*KEY, T.StructField("multiplier", T.DoubleType()), T.StructField("dataset_version_id", T.StringType()), T.StructField("year", T.IntegerType())])
 
 
 class ImmutableTargetError(ValueError):
