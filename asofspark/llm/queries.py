@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, jaccard, language, leaks, licences, lines, ogg, packing, toxicity, windows
 from .common import table
+from .sql import ORACLE
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
