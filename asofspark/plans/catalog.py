@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core, ingest, master, models
+from . import core, ingest, master, models, sinks
 
-AREAS = (core, master, models, ingest)
+AREAS = (core, master, models, ingest, sinks)
 
 
 def queries() -> dict:
