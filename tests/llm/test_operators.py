@@ -369,3 +369,56 @@ def test_components_of_a_long_path(spark):
     edges = [(k, k + 1) for k in range(0, 300)] + [(1000, 1005), (1005, 1003), (7, 7)]
     got = {x["node"]: x["component"] for x in component_labels(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert set(got.values()) == {0, 1000} and got[300] == 0 and got[1003] == 1000
+
+
+def test_leaks_in_slices_and_groups_of_texts(monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeo") for _ in range(r.randint(1, 5)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, text(r.randint(4, 20))) for k in range(6)]
+    texts = []
+    for k in range(60):
+        c = list(items[k % 6][1])
+        for _ in range(r.randint(0, len(c) // 8)):
+            p = r.randrange(len(c))
+            c[p : p + 1] = r.choice([[], [c[p], "z"], ["y"]])
+        texts.append(text(r.randint(0, 150)) + " " + "".join(c) + " " + text(r.randint(0, 150)) if k % 4 else text(r.randint(0, 3)))
+    block = leaks.Items(items)
+    for size in (1_000_000, 400, 120):
+        monkeypatch.setattr(leaks, "SLICE_CHARS", size)
+        for t, found in zip(texts, leaks.matches(block, texts), strict=True):
+            got = {i: d for i, d, _, _ in found}
+            want = {i: e for (i, b), k in zip(items, block.k, strict=True) if (e := edits(b, t)) <= k}
+            assert got == want
+
+
+def test_prefix_trees_match_all_pairs():
+    r = random.Random(12)
+    for percent in (70, 80, 90):
+        base = [sorted(r.sample(range(400), 60)) for _ in range(4)]
+        rows = []
+        for k in range(90):
+            s = set(r.choice(base))
+            for _ in range(r.randint(0, 9)):
+                s.discard(r.choice(sorted(s)))
+                s.add(r.randrange(400))
+            a = np.array(sorted(s), np.uint64)
+            rows.append((k, len(a), a))
+        root = {k: k for k, _, _ in rows}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, n, a in rows:
+            for j, m, b in rows[:i]:
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (n + m - both):
+                    root[find(i)] = find(j)
+        want = {frozenset(x for x in root if find(x) == f) for f in {find(x) for x in root}}
+        got = {k: k for k in root}
+        for i, j in jaccard.links(rows, percent):
+            old, new = got[i], got[j]
+            got = {k: new if v == old else v for k, v in got.items()}
+        assert {frozenset(x for x in got if got[x] == f) for f in set(got.values())} == want
