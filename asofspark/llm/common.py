@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,13 @@ def keyed_columns(docs: DataFrame) -> DataFrame:
     return docs.withColumns({KEY[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), KEY[1]: F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that a worker holds the Python objects of a few texts at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def binaries(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .textnet import chunks, gram_features
 
 BITS, DIM, ORDERS = 13, 16, (1, 2, 3, 4)
@@ -121,12 +122,14 @@ def train(docs: DataFrame, learn_from: F.Column | None = None, sample_per_lang:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns, lang_pred, score and rejected. Only the text is looked at; runs without a shuffle."""
+    """All columns, lang_pred, score and rejected (in place of columns of these names). Only the text is looked at; runs
+    without a shuffle."""
+    docs = docs.drop("lang_pred", "score", "rejected", "_letters")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     marked = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = np.array(b.column("_letters").to_pylist(), bool) & bool(model.langs)
             p = probabilities(model, b.column(text_col).to_pylist()) if model.langs else np.zeros((b.num_rows, 1))
             top = np.where(ok, p.max(1), 0.0)

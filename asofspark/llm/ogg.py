@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import binaries
+from .common import binaries, slices
 
 HEAD = "<4sBBqIIIB"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -156,7 +156,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """(doc_id, media binary) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(t, rate) for t in binaries(b.column(1))], pa.binary())], ["doc_id", "media"])
 
     from pyspark.sql import functions as F
@@ -184,7 +184,7 @@ def read_media(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
-        for b in batches:
+        for b in slices(batches):
             rows = list(map(row, b.column(0).to_pylist(), b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names)
 

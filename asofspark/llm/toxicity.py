@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .textnet import FEATURES, chunks, word_features
 
 BITS, DIM, FILTERS, WIDTHS = 16, 12, 6, (1, 2, 3)
@@ -191,11 +192,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn_from:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """All columns and a score from 0 to 1; only the text is looked at. Runs without a shuffle."""
+    """All columns and a score from 0 to 1 (in place of a column of that name); only the text is looked at. Runs without a
+    shuffle."""
+    docs = docs.drop(out_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             p = scores(model, b.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, out_col])
 
