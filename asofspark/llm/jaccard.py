@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, LAST_ID, binaries, component_labels, keyed, keyed_columns, stash
+from .common import KEY, LAST_ID, binaries, component_labels, keyed, keyed_columns, slices, stash
 
 BLOCK = 400
 SHINGLES = "_id long, _h long, doc_id long, n long, k long, first array<long>"
@@ -139,7 +139,7 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, key, first = [], [], []
             for t in binaries(b.column("text")):
                 s = shingles(t, words) if t.strip(b" \t\n\r\x0b\x0c") else None
@@ -149,13 +149,13 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["_id", "_h", "doc_id", "n", "k", "first"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, words) for t in binaries(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("cluster"), b.column("parts"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "cluster", "parts", "n", "tokens"])
 
     def join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for b in batches:
+        for b in slices(batches):
             out = []
             for *g, k, n, tokens in zip(*(b.column(c).to_pylist() for c in ("cluster", "part", "i", "j", "k", "n", "tokens")), strict=True):
                 if g != now:
@@ -173,7 +173,7 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / F.lit(100)) / 10))
     tokens = classes.where(F.size("first") > 0).select("k", "n", F.size("first").alias("firsts"), F.explode("first").alias("t"))
     for turn in ("once", "twice"):  # the second time among those that the first left
-        shared = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+        shared = stash(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "shared-ngrams")  # at rest, so that the join can be split where an n-gram is hot
         rich = tokens.join(shared, "t").groupBy("k", "n", "firsts").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts")).where(F.size("ts") >= need)
         rich = stash(rich.select("k", "n", "firsts", "ts", (F.size("ts") - need + 1).alias("rarest")), f"shared-{turn}")
         tokens = rich.select("k", "n", "firsts", F.explode("ts.t").alias("t"))
