@@ -6,7 +6,7 @@
 2. The others travel as one packed string each to their minimiser's bucket, equal strings as one. There the windows
    are sorted, and each learns the smallest doc_id it starts in.
 3. Minimisers with more occurrences than ``bucket_rows`` would make large buckets. Their super-k-mers are split again
-   by minimisers of 32 words, of which again those of one document alone drop out; the windows that are left are
+   by minimisers of 44 words, of which again those of one document alone drop out; the windows that are left are
    spread singly by digest (SHA-256) and aggregated. This decides the same thing for the same windows.
 4. Each document drops the words of its windows that a smaller doc_id has.
 
@@ -27,24 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, keyed, stash
+from .common import binaries, keyed, slices, stash
 
 WINDOW = 50
 RUN = 8
-LONG_RUN = 32
+LONG_RUN = 44
 BUCKET_ROWS = 256
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def minimisers(words: list[bytes], window: int = WINDOW, run: int = RUN) -> np.ndarray:
-    """The minimiser of each window of consecutive words (run: a power of two)."""
+    """The minimiser of each window of consecutive words: the least hash among its runs of ``run`` words."""
     x = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     k = 1
     while k < run:
-        x = (x[:-k] * np.uint64(0xBF58476D1CE4E5B9)) + x[k:]
+        step = min(k, run - k)  # two hashes of k words, the second ``step`` words on, make one of k + step
+        x = (x[:-step] * np.uint64(0xBF58476D1CE4E5B9)) + x[step:]
         x ^= x >> np.uint64(31)
-        k *= 2
+        k += step
     x *= np.uint64(0x94D049BB133111EB)
     span, k = window - run + 1, 1
     while 2 * k <= span:
@@ -108,14 +109,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, buck
     (start, off[], n[], first[]), where windows start+off .. start+off+n-1 first occur in document ``first``."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = [(i, super_kmers(t.split(), window, run)) for i, t in enumerate(binaries(b.column("text")))]
             n = np.repeat([i for i, _ in out], [len(x[0]) for _, x in out]).astype(np.int64)
             cols = [np.concatenate([x[k] for _, x in out]) if out else np.empty(0, np.int64) for k in range(3)]
             yield pa.RecordBatch.from_arrays([b.column("_id").take(n), b.column("_h").take(n), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2])], ["_id", "_h", "start", "n", "minimiser"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for i, h, text, spans in zip(b.column("_id").to_pylist(), b.column("_h").to_pylist(), binaries(b.column("text")), b.column("found").to_pylist(), strict=True):
                 words = text.split()
@@ -128,7 +129,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, buck
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         now = None
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for m, *row in zip(*(b.column(c).to_pylist() for c in ("minimiser", "sid", "packed", "least", "most")), strict=True):
                 if m != now:
@@ -139,14 +140,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, buck
         yield _found(list(first_in_bucket(held, window)))
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = [super_kmers(t.split(b" "), window, LONG_RUN) for t in b.column("packed").to_pylist()]
             n = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
             cols = [np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[2]), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[b.column(c).take(n) for c in ("sid", "least", "most")]], ["long", "i", "n", "sid", "least", "most"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for sid, packed, least, most, parts in zip(*(b.column(c).to_pylist() for c in ("sid", "packed", "least", "most", "parts")), strict=True):
                 words = packed.split(b" ")
@@ -155,6 +156,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, buck
 
     runs = docs.select("_id", "_h", "text").mapInArrow(find, "_id long, _h long, start int, n int, minimiser long")
     shared = runs.groupBy("minimiser").agg(F.count("*").alias("c"), F.min("_id").alias("a"), F.max("_id").alias("z")).where("a < z").select("minimiser", (F.col("c") > bucket_rows).alias("hot"))
+    shared = stash(shared, "shared-minimisers")  # at rest, so that the join can be split where a minimiser is hot
     marks = runs.join(shared, "minimiser").groupBy("_id", "_h").agg(F.collect_set(F.struct("start", "n", "minimiser", "hot")).alias("found"))
     places = docs.select("_id", "_h", "text").join(marks, ["_id", "_h"]).mapInArrow(cut, "_id long, _h long, start int, minimiser long, hot boolean, sid binary, packed binary")
     places = stash(places, "super-kmers")
@@ -163,8 +165,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, buck
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = texts.where("not hot").repartition(parts, "minimiser").sortWithinPartitions("minimiser").mapInArrow(buckets, FOUND)
     wide = stash(texts.where("hot").select("sid", "packed", "least", "most"), "hot-super-kmers")
-    parts_of = wide.mapInArrow(longer, "long long, i int, n int, sid binary, least long, most long")
-    common = parts_of.groupBy("long").agg(F.min("least").alias("a"), F.max("most").alias("z")).where("a < z").select("long")
+    parts_of = stash(wide.mapInArrow(longer, "long long, i int, n int, sid binary, least long, most long"), "long-runs")
+    common = stash(parts_of.groupBy("long").agg(F.min("least").alias("a"), F.max("most").alias("z")).where("a < z").select("long"), "common-runs")
     worth = parts_of.join(common, "long").groupBy("sid").agg(F.collect_list(F.struct("i", "n")).alias("parts"))
     alone = stash(wide.join(worth, "sid").mapInArrow(single, "digest binary, sid binary, i int, least long, most long"), "single-windows")
     first = stash(alone.groupBy("digest").agg(F.min("least").alias("first")), "first-windows")
@@ -180,7 +182,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, bucket
     spans = repeated_windows(docs, window, run, bucket_rows)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc_id, i, text, found in zip(b.column("doc_id").to_pylist(), b.column("_id").to_pylist(), binaries(b.column("text")), b.column("spans").to_pylist(), strict=True):
                 words = text.split()
