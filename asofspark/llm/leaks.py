@@ -23,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 Q, ERROR = 7, 0.1
 #: Characters of a block of items, and of a slice of a document.
 BLOCK_CHARS, SLICE_CHARS = 8_000_000, 1_000_000
+#: Characters that are scanned at a time: few enough for the arrays to stay in a core's cache.
+GROUP_CHARS = 60_000
 FOUND = "doc_id long, item_id long, distance long, shared_qgrams long, region_start long"
 
 
@@ -38,12 +42,17 @@ def codes(text: str) -> np.ndarray:
 
 
 def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
+    """32-bit hashes of the q-grams at every position, by doubling: two hashes of k characters, the second ``step`` on,
+    make one of k + step. Equal hashes of unequal q-grams only let a region pass that the alignment then turns down."""
     if len(c) < q:
-        return np.empty(0, np.uint64)
-    h = c[: len(c) - q + 1].astype(np.uint64)
-    for j in range(1, q):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : len(c) - q + 1 + j]
-    return h ^ (h >> np.uint64(32))
+        return np.empty(0, np.uint32)
+    h, k = c, 1
+    while k < q:
+        step = min(k, q - k)
+        h = h[:-step] * np.uint32((0x9E3779B1 * k + 0x7F4A7C16) & 0xFFFFFFFF | 1) + h[step:]
+        h ^= h >> np.uint32(15)
+        k += step
+    return h
 
 
 class Items:
@@ -54,26 +63,26 @@ class Items:
         self.q = q
         self.short = [(i, f" {t} ") for i, t in rows if len(t) < q]
         rows = [(i, t) for i, t in rows if len(t) >= q]
-        self.ids, self.codes = [i for i, _ in rows], [codes(t) for _, t in rows]
+        self.ids, self.texts, self.codes = [i for i, _ in rows], [t for _, t in rows], [codes(t) for _, t in rows]
         size = np.array([len(c) for c in self.codes], np.int64)
         self.k = np.minimum((size * error).astype(np.int64), (size - q) // q)
         self.least = size - q + 1 - self.k * q
         self.longest = int(size.max(initial=0))
         self.step = np.maximum(self.k, 1)
         grams = [gram_hashes(c, q) for c in self.codes]
-        every = np.concatenate([*grams, np.empty(0, np.uint64)])
+        every = np.concatenate([*grams, np.empty(0, np.uint32)])
         order = np.argsort(every, kind="stable")
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
         self.place = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)])[order].astype(np.int64)
         self.grams, self.first = np.unique(every[order], return_index=True)
         self.count = np.diff(np.concatenate([self.first, [len(every)]]))
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.grams & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.grams & np.uint32((1 << 20) - 1)] = True
 
     def regions(self, c: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first diagonal of the band, shared q-grams) that meet the lemma's bound in one slice of text."""
         h = gram_hashes(c, self.q)
-        at = np.flatnonzero(self.seen[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        at = np.flatnonzero(self.seen[h & np.uint32((1 << 20) - 1)])
         if not len(at) or not len(self.grams):
             return []
         g = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
@@ -84,7 +93,11 @@ class Items:
         item, diagonal = self.item[post], np.repeat(at, n) - self.place[post] + self.longest
         band = diagonal // self.step[item]
         width = (len(c) + 2 * self.longest) + 2
-        key, count = np.unique(np.concatenate([item * width + band, item * width + band - 1]), return_counts=True)
+        keys, place = np.concatenate([item * width + band, item * width + band - 1]), np.concatenate([self.place[post]] * 2)
+        key, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+        held = (count >= self.least[key // width])[which]
+        # the bound holds for the item's own q-grams: one that comes repeatedly in a band counts once
+        key, count = np.unique(np.unique(np.stack([keys[held], place[held]], 1), axis=0)[:, 0], return_counts=True) if held.any() else (key[:0], count[:0])
         ok = count >= self.least[key // width]
         return [(int(i), int((b * self.step[i]) - self.longest), int(s)) for i, b, s in zip(key[ok] // width, key[ok] % width, count[ok], strict=True)]
 
@@ -111,20 +124,45 @@ def aligned(item: np.ndarray, text: np.ndarray, diagonal: int, width: int) -> in
     return int(row.min())
 
 
-def matches(items: Items, text: str) -> list[tuple]:
-    """(item_id, distance, shared q-grams, region start) for each item met in a normalised text."""
-    best: dict[int, tuple] = {}
+def matches(items: Items, texts: list[str]) -> list[list[tuple]]:
+    """For each normalised text, (item_id, distance, shared q-grams, region start) of each item met in it.
+
+    Texts are scanned together, parted by characters that no item has; a long one in overlapping slices.
+    """
+    best: list[dict[int, tuple]] = [{} for _ in texts]
     overlap = 2 * items.longest + 2
-    for lo in range(0, max(1, len(text) - overlap), SLICE_CHARS):
-        c = codes(text[lo : lo + SLICE_CHARS + overlap])
-        for i, diagonal, shared in items.regions(c):
-            k = int(items.k[i])
-            distance = aligned(items.codes[i], c, diagonal - k, int(2 * items.step[i]) + 2 * k + 1)
-            if distance <= k and (i not in best or (distance, -shared) < best[i][:2]):
-                best[i] = (distance, -shared, lo + max(0, diagonal))
-    out = [(items.ids[i], d, -s, at) for i, (d, s, at) in best.items()]
-    padded = f" {text} " if items.short else ""
-    return out + [(i, 0, 0, padded.index(t)) for i, t in items.short if t in padded]
+    pieces = [(n, lo, t[lo : lo + SLICE_CHARS + overlap]) for n, t in enumerate(texts) for lo in range(0, max(1, len(t) - overlap), SLICE_CHARS) if t]
+    group, size = [], 0
+    for piece in [*pieces, None]:
+        if piece:
+            group.append(piece)
+            size += len(piece[2])
+        if group and (piece is None or size >= GROUP_CHARS):
+            _scan(items, group, best)
+            group, size = [], 0
+    out = []
+    for t, found in zip(texts, best, strict=True):
+        padded = f" {t} " if items.short and t else ""
+        out.append([(items.ids[i], d, -s, at) for i, (d, s, at) in found.items()] + [(i, 0, 0, padded.index(x)) for i, x in items.short if x in padded])
+    return out
+
+
+def _scan(items: Items, pieces: list[tuple[int, int, str]], best: list[dict[int, tuple]]) -> None:
+    gap = "\0" * items.q
+    start = np.cumsum([0] + [len(t) + items.q for _, _, t in pieces])
+    whole = codes(gap.join(t for _, _, t in pieces))
+    for i, diagonal, shared in items.regions(whole):
+        k, length = int(items.k[i]), len(items.codes[i])
+        first = max(0, int(np.searchsorted(start, diagonal, "right")) - 1)
+        last = int(np.searchsorted(start, diagonal + 2 * int(items.step[i]) + length))
+        for number in range(first, min(last, len(pieces))):
+            n, lo, t = pieces[number]
+            if len(t) < length - k:
+                continue
+            at = diagonal - int(start[number])
+            distance = 0 if items.texts[i] in t else aligned(items.codes[i], codes(t), at - k, int(2 * items.step[i]) + 2 * k + 1)
+            if distance <= k and (i not in best[n] or (distance, -shared) < best[n][i][:2]):
+                best[n][i] = (distance, -shared, lo + max(0, at))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float = ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -139,8 +177,9 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float = ERROR
         shared = Items(rows, q, error)  # of about block_chars characters; travels with the function
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for m in matches(shared, normal(t))]
+            for b in slices(batches):
+                found_in = matches(shared, [normal(t) for t in b.column(1).to_pylist()])
+                out = [(d, *m) for d, ms in zip(b.column(0).to_pylist(), found_in, strict=True) for m in ms]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], [x.split()[0] for x in FOUND.split(", ")])
 
         own = texts.mapInArrow(run, FOUND)
@@ -159,8 +198,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                clean = [not t or not matches(shared, normal(t)) for t in b.column("text").to_pylist()]
+            for b in slices(batches):
+                clean = [not m for m in matches(shared, [normal(t) for t in b.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(clean, pa.bool_())) for c in b.columns], columns)
 
         docs = docs.mapInArrow(run, schema)
