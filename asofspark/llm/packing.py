@@ -10,10 +10,12 @@ gives no rows; a document of exactly k windows has k full pieces and no rest.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,29 +61,47 @@ class Capacities:
 
 
 class WordIds:
-    """Token ids of texts as little-endian 32-bit bytes. Words between blanks are tokenised once and remembered.
+    """Token ids of texts as little-endian 32-bit bytes. Words between blanks are tokenised once and remembered, up to
+    ``keep`` of them at a time.
 
     A blank or line break always parts tokens here, so that a text's ids are those of its words in a row.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 900_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {"": b""}
+        added = self.tokenizer.get_added_tokens_decoder()
+        plain = [(t.content, i) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark, self.mark_id = plain[0] if plain else (None, -1)
+
+    def _learn(self, words: list[str]) -> None:
+        """Many words in one call, parted by a special token, which no other text yields; words that hold it go singly."""
+        odd = words if self.mark is None else [w for w in words if self.mark in w]
+        for w in odd:
+            self.known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        rest = [w for w in words if w not in self.known] if odd else words
+        if not rest:
+            return
+        ids = np.array(self.tokenizer.encode(self.mark.join(rest), add_special_tokens=False).ids, np.uint32)
+        cut, raw = np.flatnonzero(ids == self.mark_id), ids.tobytes()
+        for w, a, b in zip(rest, [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), len(raw)], strict=True):
+            self.known[w] = raw[a:b]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - known.keys())
+        words = set().union(*split)
+        new = list(words - known.keys())
         if len(known) + len(new) > self.keep:
             known.clear()
             known[""] = b""
-            new = list(set().union(*split) - {""})
+            new = list(words - {""})
         for i in range(0, len(new), 5000):
-            for w, e in zip(new[i : i + 5000], self.tokenizer.encode_batch_fast(new[i : i + 5000], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+            self._learn(new[i : i + 5000])
+        for own in split:
+            yield b"".join(map(known.__getitem__, own))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 2, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
