@@ -134,7 +134,8 @@ def _walk(keys: list[int], size: np.ndarray, sets: list[np.ndarray], vocabulary:
 
 
 def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: _id, _h, doc_id, n_shingles, class_key (null: empty set) and component_id."""
+    """One row per document: _id, _h, doc_id, n_shingles, class_key (null: empty set), component (its own key, null:
+    empty set) and component_id (its least doc_id, which components may share)."""
     docs = keyed(docs, id_col, text_col)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -205,7 +206,7 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
 
     labelled = classes.select("k", F.col("rep._id").alias("least")).join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     least = labelled.groupBy("component").agg(F.min("least").alias("smallest"))
-    return each.select("_id", "_h", "doc_id", "n", "k").join(labelled.select("k", "component").join(least, "component").select("k", "smallest"), "k", "left").select("_id", "_h", "doc_id", F.col("n").alias("n_shingles"), F.col("k").alias("class_key"), _known(F.coalesce("smallest", "_id")).alias("component_id"))
+    return each.select("_id", "_h", "doc_id", "n", "k").join(labelled.select("k", "component").join(least, "component"), "k", "left").select("_id", "_h", "doc_id", F.col("n").alias("n_shingles"), F.col("k").alias("class_key"), "component", _known(F.coalesce("smallest", "_id")).alias("component_id"))
 
 
 def _known(column: Column) -> Column:
@@ -216,6 +217,6 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BL
     """The documents (all columns) without near copies: of each component the row of least (doc_id, text hash)
     stays; rows without words all stay; rows that repeat id and text of a kept one go."""
     found = components(docs.select("doc_id", "text"), words, percent, block)
-    group = F.when(F.col("class_key").isNull(), F.struct(F.lit(1).alias("x"), F.col("_id").alias("a"), F.col("_h").alias("b"))).otherwise(F.struct(F.lit(0).alias("x"), F.coalesce("component_id", F.lit(LAST_ID)).alias("a"), F.when(F.col("component_id").isNull(), F.col("class_key")).otherwise(F.lit(0)).alias("b")))
+    group = F.when(F.col("component").isNull(), F.struct(F.lit(1).alias("x"), F.col("_id").alias("a"), F.col("_h").alias("b"))).otherwise(F.struct(F.lit(0).alias("x"), F.col("component").alias("a"), F.lit(0).cast("long").alias("b")))
     first = found.groupBy(group.alias("g")).agg(F.min(F.struct("_id", "_h")).alias("r")).select(F.col("r._id").alias(KEY[0]), F.col("r._h").alias(KEY[1]))
     return keyed_columns(docs).join(first, list(KEY)).dropDuplicates(list(KEY)).select(*docs.columns)

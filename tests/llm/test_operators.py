@@ -123,6 +123,18 @@ def test_keep_one_keeps_all_columns_and_one_of_a_group(spark, corpus):
     assert empty <= set(ids)
 
 
+def test_keep_one_tells_components_of_one_id_apart(spark):
+    r = random.Random(17)
+    text = lambda: [f"k{r.randrange(5000)}" for _ in range(120)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, near(a)), (None, " ".join(c)), (None, near(c)), (None, " ".join(d))]
+    kept = [(x["doc_id"], x["text"]) for x in jaccard.keep_one(frame(spark, rows)).collect()]
+    assert {t for i, t in kept if i is not None} == {rows[0][1], rows[1][1]}
+    alone = [t for i, t in kept if i is None]
+    assert len(kept) == 4 and rows[6][1] in alone and len({rows[4][1], rows[5][1]} & set(alone)) == 1
+
+
 def expected_lines(texts, min_words=10):
     """texts in order: which lines go."""
     places = [(a, p) for a, t in enumerate(texts) for p in range(len(t))]
