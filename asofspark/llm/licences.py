@@ -4,6 +4,12 @@ Only DataFrame functions run. A segment is a line; words are its lower-cased run
 set is its distinct bigrams of neighbouring words (a line of one word has that word alone). For Dice >= t, with set
 sizes a and b, 2 * min(a, b) >= t * (a + b): templates whose size breaks this are not compared.
 
+A notice that is wrapped is found in blocks: runs of two or more neighbouring lines with words (lines without words
+between them do not count) that have at most one word more than the greatest set that a template can match. A block
+needs t / (2 - t) of its set among the bigrams of all templates, and as a line without a word of the templates at its
+start or end only lowers the score, blocks start and end at lines with one. Lines that match alone are part of no block;
+of blocks that share lines the best score stays, then the first and the shortest.
+
 The templates are a fixed handful of notices that ride in the plan as literals. Lines and documents stay in their
 partition; equal matches of a document are counted by one aggregation on the document's row.
 
@@ -48,9 +54,14 @@ def _bigram_set(words: Column) -> Column:
     return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(pairs))
 
 
+def _let(x: Column, f) -> Column:
+    """f of x, which is evaluated once."""
+    return F.transform(F.array(x), f)[0]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, licences (array of struct<line, licence, dice> of the best template of every
-    matching line, by line), n_lines and n_matches."""
+    matching line or block, by its first line), n_lines and n_matches."""
     sets = {k: bigrams(v) for k, v in sorted(templates.items())}
     reach = [(threshold * len(b) / (2 - threshold), (2 - threshold) * len(b) / threshold) for b in sets.values()]
     low, high = min(r[0] for r in reach), max(r[1] for r in reach)
@@ -70,9 +81,38 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
     def best(s: Column) -> Column:
         options = F.array_compact(F.array(*[dice(s, k) for k in sets]))
-        return F.struct(s["line"].alias("line"), F.aggregate(options, F.struct(F.lit(-1.0).alias("dice"), F.lit("").alias("licence")), lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a)).alias("best"))
+        return F.aggregate(options, F.struct(F.lit(-1.0).alias("dice"), F.lit("").alias("licence")), lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))
 
-    hits = F.filter(F.transform(grams, best), lambda s: s["best"]["dice"] >= threshold)
+    hits = F.filter(F.transform(grams, lambda s: F.struct(s["line"].alias("line"), best(s).alias("best"))), lambda s: s["best"]["dice"] >= threshold)
     licences = F.transform(hits, lambda s: F.struct(s["line"].alias("line"), s["best"]["licence"].alias("licence"), s["best"]["dice"].alias("dice")))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(licences, F.array().cast("array<struct<line:int,licence:string,dice:double>>")).alias("licences"))
+
+    known = F.array(*[F.lit(g) for g in sorted({g for b in sets.values() for g in b})])
+    most = int(high) + 1  # words of a block
+    share = threshold / (2 - threshold)
+
+    def from_line(r: Column, s: Column, i: Column) -> Column:
+        fits = F.aggregate(F.slice(r, i + 1, most), F.struct(F.lit(0).alias("n"), F.lit(0).alias("words")), lambda a, x: F.struct((a["n"] + F.when(a["words"] + F.size(x["words"]) <= most, 1).otherwise(0)).alias("n"), (a["words"] + F.size(x["words"])).alias("words")))["n"]
+        runs = _let(F.when(s["near"], fits).otherwise(0), lambda n: F.when(n >= 2, F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.slice(r, i + 1, k))))
+        ends = F.filter(F.coalesce(runs, F.slice(F.array(r), 1, 0)), lambda w: F.element_at(w, -1)["near"])
+        return F.transform(ends, lambda w: F.struct(w[0]["line"].alias("line"), F.element_at(w, -1)["line"].alias("last"), _let(F.flatten(F.transform(w, lambda x: x["words"])), _bigram_set).alias("grams")))
+
+    def blocks_of(r: Column) -> Column:
+        sized = F.filter(F.flatten(F.transform(r, lambda s, i: from_line(r, s, i))), lambda s: F.size(s["grams"]).between(low, high))
+        likely = F.filter(sized, lambda s: F.size(F.array_intersect(s["grams"], known)) >= share * F.size(s["grams"]) - 1e-9)
+        found = F.transform(likely, lambda s: _let(best(s), lambda x: F.struct((-x["dice"]).alias("less"), s["line"].alias("line"), s["last"].alias("last"), x["licence"].alias("licence"))))
+        return F.array_sort(F.filter(found, lambda s: s["less"] <= -threshold))
+
+    rows = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("line"), words_of(x).alias("words"))), lambda s: F.size(s["words"]) > 0)
+    rows = F.transform(rows, lambda s: F.struct(s["line"].alias("line"), s["words"].alias("words"), F.arrays_overlap(s["words"], vocabulary).alias("near")))
+    # a document with a block that matches has so many bigrams of the templates at least
+    likely = _let(words_of(F.col(text_col)), lambda w: F.size(F.array_intersect(_bigram_set(w), known)) >= low)
+    blocks = F.when(likely, _let(rows, blocks_of))
+
+    def chosen(alone: Column, blocks: Column) -> Column:
+        free = F.filter(blocks, lambda s: ~F.exists(alone, lambda x: x["line"].between(s["line"], s["last"])))
+        kept = F.aggregate(free, F.slice(free, 1, 0), lambda a, x: F.when(F.exists(a, lambda y: (y["line"] <= x["last"]) & (x["line"] <= y["last"])), a).otherwise(F.concat(a, F.array(x))))
+        return F.array_sort(F.concat(alone, F.transform(kept, lambda s: F.struct(s["line"].alias("line"), s["licence"].alias("licence"), (-s["less"]).alias("dice")))))
+
+    both = _let(F.struct(licences.alias("alone"), blocks.alias("blocks")), lambda x: F.when(F.size(x["blocks"]) > 0, chosen(x["alone"], x["blocks"])).otherwise(x["alone"]))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(both, F.array().cast("array<struct<line:int,licence:string,dice:double>>")).alias("licences"))
     return out.select("doc_id", "licences", "n_lines", F.size("licences").cast("long").alias("n_matches"))

@@ -299,6 +299,14 @@ def test_licences_by_brute_force(spark):
     assert got[2]["licences"][0]["licence"] == "GPL-2.0" and got[3]["n_lines"] == 0
 
 
+def test_licences_wrapped_over_lines(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction."
+    by = "x y z\n\n# This work is licensed under a Creative Commons\n#\n# Attribution 4.0 International License.\nother words"
+    texts = [grant, by, by + "\n" + grant, "This work is licensed under a\nRome and\nCarthage", "\n".join(licences.TEMPLATES["GPL-3.0"].split(" ")), "Released under the MIT License.\nReleased under\nthe MIT License."]
+    got = {x["doc_id"]: [tuple(m)[:2] for m in x["licences"]] for x in licences.scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: [(0, "MIT-grant")], 1: [(2, "CC-BY-4.0")], 2: [(2, "CC-BY-4.0"), (6, "MIT-grant")], 3: [], 4: [(0, "GPL-3.0")], 5: [(0, "MIT"), (1, "MIT")]}
+
+
 def test_chat_rotation(spark):
     turns = [(1, 0, "ann", "hi <|assistant|>"), (1, 1, "bob", "yo"), (1, 2, "cy", None), (1, 3, "ann", "bye"), (1, 70, "bob", "late"), (2, None, None, "x"), (None, 1, "z", "q"), (2, 5, "u", "d"), (2, 5, "u", "d")]
     got = {(x["conv_id"], x["perspective"], x["block"]): x for x in chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
