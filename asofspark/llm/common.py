@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Stands for a missing doc_id: such rows come after all others.
 LAST_ID = (1 << 63) - 1
 #: Names of key columns beside those of a user's table.
 KEY = ("__row_id", "__row_hash")
+#: Bytes of rows that a Python worker takes at a time.
+BATCH_BYTES = 4_000_000
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -40,7 +43,9 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stash_path = path
+    return kept
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,11 +63,36 @@ def keyed_columns(docs: DataFrame) -> DataFrame:
     return docs.withColumns({KEY[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), KEY[1]: F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
+def discard(*stashed: DataFrame) -> None:
+    """Delete tables from ``stash`` whose consumers have all been written."""
+    for df in stashed:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes: a worker holds a few megabytes of rows at a time, or one longer row.
+
+    The session's bound on a batch's bytes is lowered to BATCH_BYTES if it is greater; the worker gives free Arrow memory
+    back when a task ends.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, f"{1 << 30}b").rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(slices(batches))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of a few rows, so that a worker holds the Python objects of a few texts at a time."""
+    """The batches in slices of a few rows and bytes, so that a worker holds the Python objects of a few texts at a time."""
     for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
+        step = min(rows, max(1, b.num_rows * BATCH_BYTES // max(1, b.nbytes)))
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
 
 
 def binaries(column: pa.Array) -> list[bytes]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, LAST_ID, binaries, component_labels, keyed, keyed_columns, slices, stash
+from .common import KEY, LAST_ID, binaries, component_labels, keyed, keyed_columns, map_batches, stash
 
 BLOCK = 400
 SHINGLES = "_id long, _h long, doc_id long, n long, k long, first array<long>"
@@ -140,7 +140,7 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in batches:
             n, key, first = [], [], []
             for t in binaries(b.column("text")):
                 s = shingles(t, words) if t.strip(b" \t\n\r\x0b\x0c") else None
@@ -150,13 +150,13 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["_id", "_h", "doc_id", "n", "k", "first"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in batches:
             sets = [shingles(t, words) for t in binaries(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("cluster"), b.column("parts"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "cluster", "parts", "n", "tokens"])
 
     def join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for b in slices(batches):
+        for b in batches:
             out = []
             for *g, k, n, tokens in zip(*(b.column(c).to_pylist() for c in ("cluster", "part", "i", "j", "k", "n", "tokens")), strict=True):
                 if g != now:
@@ -167,7 +167,7 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
         last = links(held, percent)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in last], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    each = stash(docs.select("_id", "_h", "doc_id", "text").mapInArrow(summarise, SHINGLES), "shingles")
+    each = stash(map_batches(docs.select("_id", "_h", "doc_id", "text"), summarise, SHINGLES), "shingles")
     classes = stash(each.where("k is not null").groupBy("k").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("first").alias("first")), "classes")
 
     # Two partners share at least ``need`` of their first n-grams, and so one among the (first - need + 1) rarest of them
@@ -197,12 +197,12 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
     placed = members.join(counts, ["cluster", "part"]).groupBy("k", "cluster").agg(F.collect_list(F.struct("part", "blocks")).alias("parts"))
 
     chosen = placed.join(classes.select("k", "rep._id", "rep._h"), "k")
-    sets = stash(docs.select("_id", "_h", "text").join(chosen, ["_id", "_h"]).select("k", "cluster", "parts", "text").mapInArrow(sets_of, "k long, cluster long, parts array<struct<part:int,blocks:int>>, n long, tokens binary"), "sets")
+    sets = stash(map_batches(docs.select("_id", "_h", "text").join(chosen, ["_id", "_h"]).select("k", "cluster", "parts", "text"), sets_of, "k long, cluster long, parts array<struct<part:int,blocks:int>>, n long, tokens binary"), "sets")
     dealt = sets.select("k", "n", "tokens", "cluster", F.explode("parts").alias("p")).select("k", "n", "tokens", "cluster", "p.part", "p.blocks")
     own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
     dealt = dealt.select("k", "n", "tokens", "cluster", "part", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("k", "n", "tokens", "cluster", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     dealt = dealt.repartition(parts, "cluster", "part", "i", "j").sortWithinPartitions("cluster", "part", "i", "j")
-    found = component_labels(stash(dealt.mapInArrow(join_groups, "a long, b long"), "links"), "components")
+    found = component_labels(stash(map_batches(dealt, join_groups, "a long, b long"), "links"), "components")
 
     labelled = classes.select("k", F.col("rep._id").alias("least")).join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     least = labelled.groupBy("component").agg(F.min("least").alias("smallest"))

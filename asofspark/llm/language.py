@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_batches
 from .textnet import chunks, gram_features
 
 BITS, DIM, ORDERS = 13, 16, (1, 2, 3, 4)
@@ -129,7 +129,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     marked = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in batches:
             ok = np.array(b.column("_letters").to_pylist(), bool) & bool(model.langs)
             p = probabilities(model, b.column(text_col).to_pylist()) if model.langs else np.zeros((b.num_rows, 1))
             top = np.where(ok, p.max(1), 0.0)
@@ -137,4 +137,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             keep = [c for c in b.schema.names if c != "_letters"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(names, pa.string()), pa.array(top, pa.float64()), pa.array(~ok | (top < model.bound))], [*keep, "lang_pred", "score", "rejected"])
 
-    return marked.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return map_batches(marked, run, f"{schema}, lang_pred string, score double, rejected boolean")

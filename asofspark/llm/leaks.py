@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_batches
 
 Q, ERROR = 7, 0.1
 #: Characters of a block of items, and of a slice of a document.
@@ -177,12 +177,12 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float = ERROR
         shared = Items(rows, q, error)  # of about block_chars characters; travels with the function
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
+            for b in batches:
                 found_in = matches(shared, [normal(t) for t in b.column(1).to_pylist()])
                 out = [(d, *m) for d, ms in zip(b.column(0).to_pylist(), found_in, strict=True) for m in ms]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], [x.split()[0] for x in FOUND.split(", ")])
 
-        own = texts.mapInArrow(run, FOUND)
+        own = map_batches(texts, run, FOUND)
         found = own if found is None else found.unionByName(own)
     return found
 
@@ -198,9 +198,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
+            for b in batches:
                 clean = [not m for m in matches(shared, [normal(t) for t in b.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(clean, pa.bool_())) for c in b.columns], columns)
 
-        docs = docs.mapInArrow(run, schema)
+        docs = map_batches(docs, run, schema)
     return docs

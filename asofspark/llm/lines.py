@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, keyed_columns, slices, stash
+from .common import KEY, keyed, keyed_columns, map_batches, stash
 
 MIN_WORDS = 10
 
@@ -122,9 +122,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return "\n".join([x for x, g in zip(lines, gone.tolist(), strict=True) if not g]), len(lines), int(gone.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in batches:
             done = [cut(t, r) for t, r in zip(b.column("text").to_pylist(), b.column("__runs").to_pylist(), strict=True)]
             texts = pa.array([x[0] for x in done], pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else b.column(c) for c in columns] + [pa.array([x[k] for x in done], pa.int64()) for k in (1, 2)], [*columns, "n_lines", "n_removed"])
 
-    return marked.select(*columns, "__runs").mapInArrow(run, f"{schema}, n_lines long, n_removed long")
+    return map_batches(marked.select(*columns, "__runs"), run, f"{schema}, n_lines long, n_removed long")

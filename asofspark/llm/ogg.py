@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import binaries, slices
+from .common import binaries, map_batches
 
 HEAD = "<4sBBqIIIB"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -156,12 +156,12 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """(doc_id, media binary) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(t, rate) for t in binaries(b.column(1))], pa.binary())], ["doc_id", "media"])
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, media binary")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, media binary")
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_ms long, valid boolean, error string"
@@ -184,8 +184,8 @@ def read_media(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
-        for b in slices(batches):
+        for b in batches:
             rows = list(map(row, b.column(0).to_pylist(), b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names)
 
-    return media.select("doc_id", "media").mapInArrow(run, READ)
+    return map_batches(media.select("doc_id", "media"), run, READ)

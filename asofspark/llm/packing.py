@@ -4,26 +4,31 @@
 evenly to groups of a few thousand, which are packed apart: at that size a group leaves about one window partly
 filled, so that the padding stays near 0.1 % however many groups there are, and no task sees more than its groups.
 
-Defined results: a null or empty text has the end id alone; repeated rows are packed each for itself; an empty table
-gives no rows; a document of exactly k windows has k full pieces and no rest.
+Defined results: a null or empty text has the end id alone; repeated rows are packed each for itself; pieces of equal
+length go by doc_id, start, checksum and number; an empty table gives no rows; a document of exactly k windows has k
+full pieces and no rest; a very long text is one row in one task, its pieces are packed apart.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import map_batches, stash
 
 WINDOW = 4096
 GROUP_PIECES = 4000
+#: Bound of what a worker remembers of words.
+KEEP_BYTES = 96_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -61,84 +66,125 @@ class Capacities:
 
 
 class WordIds:
-    """Token ids of texts as little-endian 32-bit bytes. Words between blanks are tokenised once and remembered, up to
-    ``keep`` of them at a time.
+    """Token ids of texts as little-endian 32-bit bytes.
 
-    A blank or line break always parts tokens here, so that a text's ids are those of its words in a row.
+    A blank or line break always parts tokens here, so that a text's ids are those of its words in a row. A word's ids are
+    looked up, else put together from its parts (runs of letters, digits, other signs), else made by the tokenizer's model.
+    What was looked up or made is remembered in two generations, bounded in bytes: when the younger is full the older goes.
+
+    Words of Latin-1 characters are parted here, as the tokenizer's own rules would part them; all other words, and words
+    that might hold a special token, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 900_000):
+    LETTER, DIGIT, SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+    PART = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+"
+    #: What an entry takes beside its characters: two objects' headers and a dictionary's slot.
+    ENTRY = 160
+
+    def __init__(self, path: str, keep_bytes: int = KEEP_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {"": b""}
-        added = self.tokenizer.get_added_tokens_decoder()
-        plain = [(t.content, i) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.mark, self.mark_id = plain[0] if plain else (None, -1)
-
-    def _learn(self, words: list[str]) -> None:
-        """Many words in one call, parted by a special token, which no other text yields; words that hold it go singly."""
-        odd = words if self.mark is None else [w for w in words if self.mark in w]
-        for w in odd:
-            self.known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-        rest = [w for w in words if w not in self.known] if odd else words
-        if not rest:
-            return
-        ids = np.array(self.tokenizer.encode(self.mark.join(rest), add_special_tokens=False).ids, np.uint32)
-        cut, raw = np.flatnonzero(ids == self.mark_id), ids.tobytes()
-        for w, a, b in zip(rest, [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), len(raw)], strict=True):
-            self.known[w] = raw[a:b]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.parts_of = re.compile(self.PART).findall
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.keep_bytes = self.room = keep_bytes // 2
+        # the printable stand-ins of bytes in the vocabulary: printable Latin-1 stands for itself, others follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.signs = "".join(chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256))
+
+    @staticmethod
+    def of(path: str) -> WordIds:
+        """The worker process's own, which outlives its tasks."""
+        held = sys.modules.setdefault("_word_ids_of_this_worker", types.ModuleType("_word_ids_of_this_worker")).__dict__
+        if path not in held:
+            held[path] = WordIds(path)
+        return held[path]
+
+    def _plain(self, text: str) -> bool:
+        """Lower case and parts are known without the tokenizer: Latin-1 characters, which all are in normal form, and no special token."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return "<|" not in text and not any(s in text for s in self.special)
+
+    def _part(self, part: str) -> bytes:
+        signs = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.signs)
+        ids = self.known[part] = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        self.room -= self.ENTRY + len(part) + len(ids)
+        return ids
+
+    def _learn(self, words: set[str], plain: bool) -> None:
+        known, older, parts_of, entry = self.known, self.older, self.parts_of, self.ENTRY
+        for word in words:
+            ids = older.get(word)
+            if ids is None:
+                if plain or self._plain(word):
+                    parts = parts_of(word if plain else word.lower())
+                    if len(parts) == 1 and parts[0] == word:
+                        self._part(word)
+                        continue
+                    ids = b"".join([known.get(p) or older.get(p) or self._part(p) for p in parts])
+                else:
+                    ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            known[word] = ids
+            self.room -= entry + len(word) + len(ids)
+
+    def encode(self, text: str) -> bytes:
+        plain = self._plain(text)
+        split = (text.lower() if plain else text).replace("\n", " ").split(" ")
         known = self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        new = list(words - known.keys())
-        if len(known) + len(new) > self.keep:
-            known.clear()
-            known[""] = b""
-            new = list(words - {""})
-        for i in range(0, len(new), 5000):
-            self._learn(new[i : i + 5000])
-        for own in split:
-            yield b"".join(map(known.__getitem__, own))
+        if new := set(split).difference(known):
+            self._learn(new, plain)
+        ids = b"".join(map(known.__getitem__, split))
+        if self.room < 0:
+            self.older, self.known, self.room = known, {"": b""}, self.keep_bytes
+        return ids
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 2, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: its place in the document, its length and the checksum (and, if asked, bytes) of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(tokenizer_path), array("I", [end_id]).tobytes()
+        words, end = WordIds.of(tokenizer_path), array("I", [end_id]).tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part, rows = b.slice(lo, 200), []
-                for doc_id, raw in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    raw += end
-                    n, view = len(raw) // 4, memoryview(raw)
-                    for s in range(0, n, window):
-                        ids = view[4 * s : 4 * (s + window)]
-                        rows.append((doc_id, s, len(ids) // 4, zlib.crc32(ids), n, bytes(ids) if keep_ids else None))
-                cols = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + ([pa.array(cols[5], pa.binary())] if keep_ids else [])
-                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids)
+            rows = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                view = memoryview(words.encode(text or "") + end)
+                n = len(view) // 4
+                for s in range(0, n, window):
+                    ids = view[4 * s : 4 * (s + window)]
+                    rows.append((doc_id, s, len(ids) // 4, zlib.crc32(ids), n, bytes(ids) if keep_ids else None))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + ([pa.array(cols[5], pa.binary())] if keep_ids else [])
+            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, PIECES + (", ids binary" if keep_ids else ""))
 
 
 def best_fit(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to rows that have a ``length`` from 1 to ``window``. ``pieces`` should be at rest
-    (read from files), as the dealing numbers its rows."""
-    groups = pieces.count() // group_pieces + 1
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    """All columns and sequence_id and offset (in place of columns of these names) of rows that have a ``length`` from 1 to
+    ``window``. The pieces are numbered at rest and dealt by a hash of their numbers, so that a retried task packs alike and
+    repeated rows spread evenly."""
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    numbered = stash(pieces.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias("__row")), "pieces")
+    groups = numbered.count() // group_pieces + 1
+    dealt = numbered.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups)))
     parts = min(groups, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(parts, "_group").sortWithinPartitions("_group", F.desc("length"))
-    schema = pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    ties = [c for c in ("doc_id", "start", "ids_crc32") if c in columns]
+    dealt = dealt.repartition(parts, "__group").sortWithinPartitions("__group", F.desc("length"), *ties, "__row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, tree, opened = None, None, 0
         for b in batches:
             seq, off = [], []
-            for g, n in zip(b.column("_group").to_pylist(), b.column("length").to_pylist(), strict=True):
+            for g, n in zip(b.column("__group").to_pylist(), b.column("length").to_pylist(), strict=True):
                 if g != group:
                     group, tree, opened = g, Capacities(window), 0
                 found = tree.take_tightest(n)
@@ -149,12 +195,12 @@ def best_fit(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_
                 off.append(window - room)
                 if room > n:
                     tree.add(w, room - n)
-            keep = [c for c in b.schema.names if c != "_group"]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(seq, pa.int64()), pa.array(off, pa.int64())], [*keep, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(seq, pa.int64()), pa.array(off, pa.int64())], [*columns, "sequence_id", "offset"])
 
-    return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    schema = numbered.select(*[F.col(f"`{c}`") for c in columns]).schema.add("sequence_id", "long").add("offset", "long")
+    return map_batches(dealt, run, schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack; the pieces rest in the shared scratch folder between the two steps."""
-    return best_fit(stash(token_pieces(docs, tokenizer_path, window, end_id, keep_ids), "pieces"), window)
+    return best_fit(token_pieces(docs, tokenizer_path, window, end_id, keep_ids), window)

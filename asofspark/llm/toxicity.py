@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_batches
 from .textnet import FEATURES, chunks, word_features
 
 BITS, DIM, FILTERS, WIDTHS = 16, 12, 6, (1, 2, 3)
@@ -198,11 +198,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in batches:
             p = scores(model, b.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, out_col])
 
-    return docs.mapInArrow(run, f"{schema}, `{out_col}` double")
+    return map_batches(docs, run, f"{schema}, `{out_col}` double")
 
 
 def reject(scored: DataFrame, model: Model, lang_col: str | None = "lang", score_col: str = "score", default: float = 0.5) -> DataFrame:
