@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from asofspark.llm import chat, jaccard, language, leaks, licences, lines, ogg, packing, textnet, toxicity, windows
 from asofspark.llm.queries import tokenizer_path
@@ -73,6 +74,33 @@ def test_windows_match_brute_force(spark, corpus, bucket_rows):
     assert sum(x[2] > 0 for x in want) > 10
 
 
+def test_windows_of_near_copies_and_periodic_texts(spark):
+    r = random.Random(21)
+    base, rows = [f"b{r.randrange(90)}" for _ in range(160)], []
+    for k in range(60):  # near copies, so that minimisers stay hot for several levels
+        w = list(base)
+        for _ in range(k % 4):
+            w[r.randrange(160)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join(["same"] * (500 + k % 7))) for k in range(20)] + [(200 + k, " ".join(["to", "and", "fro"] * (60 + k))) for k in range(5)]
+    for bucket_rows in (2, 20):
+        got = windows.remove_repeats(frame(spark, rows), bucket_rows=bucket_rows).collect()
+        assert sorted([tuple(x) for x in got], key=str) == brute_windows(rows)
+
+
+def test_windows_of_300_texts_of_one_word_stay_small():
+    import tracemalloc
+
+    words = [b"same"] * 20_000
+    first, n, m = windows.super_kmers(words)
+    assert n.max() == windows.MOST_WINDOWS and n.sum() == len(words) - 49 and len(set(m)) == 1 and (first[1:] == first[:-1] + n[:-1]).all()
+    bucket = [(b"%d" % k, b" ".join([b"same"] * 113), k, k) for k in range(windows.BUCKET_ROWS)]  # as full as a bucket can be
+    tracemalloc.start()
+    assert len(list(windows.first_in_bucket(bucket, 50))) == 255
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
 def test_minimiser_is_that_of_the_window():
     words = [b"%d" % (k * k % 17) for k in range(300)]
     m = windows.minimisers(words)
@@ -216,11 +244,16 @@ def test_best_fit_and_ids(spark):
     from tokenizers import Tokenizer
 
     r = random.Random(1)
+    words = packing.WordIds(tokenizer_path(), keep_bytes=40_000)
+    whole = Tokenizer.from_file(tokenizer_path())
+    signs = "abcXYZ'0 9.,\n\t\x85\xa0\x1c\x0b²¼ªß×÷ÀÿµİΣσςй\u0301J\u030c<|endoftext|>_-%'s'T'llé"
+    odd = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["<|ENDOFTEXT|> a", "x<|startoftext|>y", "WE'LL 'S'RE''t"]
+    assert all(words.encode(x) == np.array(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd)
     texts = ["It's NAÏVE <|endoftext|> fin.\tTab\x1cfs", " ".join(f"tok{r.randrange(900)}x" for _ in range(9000)), None, "", "a\n\nb"] + [" ".join(r.choice(["alpha", "beta", "Gamma!", "δ"]) for _ in range(r.randint(1, 700))) for _ in range(200)]
     rows = list(enumerate(texts)) + [(3, "")]
     got = packing.best_fit(packing.stash(packing.token_pieces(frame(spark, rows), tokenizer_path(), window=512), "t"), window=512, group_pieces=60).collect()
     t = Tokenizer.from_file(tokenizer_path())
-    for d, text in rows[:12]:
+    for d, text in rows[:-1]:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         own = sorted({(x["start"], x["length"], x["ids_crc32"], x["doc_tokens"]) for x in got if x["doc_id"] == d})
         at = 0
@@ -242,6 +275,18 @@ def test_best_fit_and_ids(spark):
     assert sum(full) / (512 * len(full)) > 0.95
 
 
+def test_packing_fills_windows_at_production_size(spark):
+    r = np.random.default_rng(3)
+    lengths = np.minimum(4096, np.exp(r.normal(6, 1.2, 60_000)).astype(int) + 1)
+    rows = spark.createDataFrame([(int(k), int(n), "x", 0.5) for k, n in enumerate(lengths)], "`a b` long, length long, offset string, __g double")
+    got = packing.best_fit(rows).cache()
+    assert got.columns == ["a b", "length", "__g", "sequence_id", "offset"] and got.count() == len(lengths)
+    n, total = got.agg(F.count_distinct("sequence_id"), F.sum("length")).first()
+    assert total / (4096 * n) > 0.998
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).where("n <> end or end > 4096").isEmpty()
+    assert sorted(map(tuple, packing.best_fit(rows).select("a b", "sequence_id", "offset").collect())) == sorted(map(tuple, got.select("a b", "sequence_id", "offset").collect()))
+
+
 def test_segment_tree_finds_the_tightest():
     tree, held, r = packing.Capacities(64), [], random.Random(2)
     for k in range(2000):
