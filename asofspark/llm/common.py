@@ -101,7 +101,7 @@ def binaries(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def component_labels(edges: DataFrame, label: str, max_rounds: int = 40) -> DataFrame:
+def component_labels(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of an edge table (a long, b long): rows (node, component = smallest node).
 
     Every round hangs each node on the smallest node known to it or to its neighbours and then halves the
@@ -114,7 +114,7 @@ def component_labels(edges: DataFrame, label: str, max_rounds: int = 40) -> Data
         return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     state = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     state = stash(state, f"{label}-round")
-    for _ in range(max_rounds):
+    while True:
         parent = state.select(F.col("node").alias("p"), F.col("component").alias("pc"))
         # what a neighbour knows, for the node itself and for the node it hangs on
         seen = both.join(state.select(F.col("node").alias("b"), F.col("component").alias("bc")), "b").join(state.select(F.col("node").alias("a"), "component"), "a")
@@ -126,4 +126,3 @@ def component_labels(edges: DataFrame, label: str, max_rounds: int = 40) -> Data
         state, changed = nearer.select("node", "component"), not nearer.where("component <> old").isEmpty()
         if not changed:
             return state
-    raise RuntimeError("components did not settle")

@@ -1,28 +1,32 @@
 """N-gram Jaccard join by prefix trees: documents whose sets of word n-grams are alike, and their components.
 
-1. Every document becomes the set of its hashed word n-grams (64 bits); equal sets are one class from here on.
+1. Every document becomes the set of its hashed word n-grams (64 bits); equal sets (by 128 bits) are one class from here on.
 2. A pair of at least ``percent`` Jaccard shares, in any global order of n-grams, some of the first ones. A class with
    fewer shared ones among its first than any partner would demand has no partner and is left out. Both sides of
    this test are aggregated counts, with hot n-grams combined before they are shuffled.
-3. Classes of like size that share one of the rarest of their first n-grams make candidate clusters (components): as
-   partners share so many of the first ones, no linked pair spans two clusters.
-4. A cluster's sets go to one task; large clusters are parted by size, then dealt into blocks, and each pair of blocks
-   is a task of bounded size. There the sets, ordered from the most to the least frequent n-gram, form a compressed trie. Each set walks the
-   trie, sharing the overlap of common beginnings, and leaves a subtree when the remaining lengths can't reach the
-   demanded overlap any more, or when the subtree is all in the set's own component already.
-5. The links found, a spanning forest of each task, are joined to components.
+3. The n-grams of the classes left are counted. The global order is by that count (its power of two, the frequent first),
+   then by hash; what no other class has is left out. The rarest n-grams of a class, as many as a partner can't lack
+   altogether, are its keys: partners share a key, and are of one size class or of neighbouring ones.
+4. Star: within the classes of one key and size, all are compared with the first of them. A key all of whose other
+   classes are in one component by then is done.
+5. The classes of every other key, at most ``block`` of them in a task, form a compressed trie in the global order. Each set
+   walks the trie, sharing the overlap of common beginnings, and leaves a subtree when the remaining lengths can't reach
+   the demanded overlap any more, or when the subtree is all in the set's own component already. A key of more classes
+   gets further stars; what is still apart from its largest component then is dealt in pairs of blocks, with each other
+   and with that component, whose own pairs need no look any more.
+6. The links found, a spanning forest of each task, are joined to components.
 
 Defined results: null text and text without words have an empty set and are linked with nothing, also not with each
 other; texts shorter than an n-gram are one n-gram; rows that share a doc_id are documents of their own; null doc_id
-comes last, a component of such rows alone has null component_id; repeated rows fall into one class; an empty table
-gives no rows. Sets are compared by 64-bit hashes of their n-grams.
+comes last, a component of such rows alone has null component_id; repeated rows fall into one class; a very long text is
+one row in one task; an empty table gives no rows. Sets are compared by 64-bit hashes of their n-grams.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, LAST_ID, binaries, component_labels, keyed, keyed_columns, map_batches, stash
+from .common import KEY, LAST_ID, binaries, component_labels, discard, keyed, keyed_columns, map_batches, stash
 
 BLOCK = 400
-SHINGLES = "_id long, _h long, doc_id long, n long, k long, first array<long>"
+#: Stars of a key with more than a block of classes, before the rest is dealt in blocks.
+STARS = 3
+SHINGLES = "_id long, _h long, doc_id long, n long, digest binary, first array<long>"
 
 
 def shingles(raw: bytes, words: int) -> np.ndarray:
@@ -60,8 +66,9 @@ def first_count(n: int, percent: int) -> int:
     return n - least_overlap(n, percent) + shared_firsts(n)
 
 
-def links(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """rows: (key, size, sorted hashes). A spanning forest of the pairs that reach ``percent`` Jaccard."""
+def links(rows: list[tuple[int, int, np.ndarray]], percent: int, component: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """rows: (key, size, n-grams in their global order, as ascending numbers). A spanning forest of the pairs that reach
+    ``percent`` Jaccard, on top of the components already known (by key)."""
     rows = list({k: (k, n, s) for k, n, s in rows}.values())
     while len(rows) > 1:  # n-grams that no other row has match nothing; rows with too many of them have no partner
         every = np.concatenate([s for _, _, s in rows])
@@ -80,12 +87,11 @@ def links(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[i
         rows = held
     if len(rows) < 2:
         return []
-    rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, -count))] = np.arange(len(values))
-    sets = [np.sort(rank[ids]) for ids in matched]
-    order = sorted(range(len(rows)), key=lambda i: sets[i].astype(">u4").tobytes())
-    keys, size, sets = [rows[i][0] for i in order], [rows[i][1] for i in order], [sets[i] for i in order]
-    return _walk(keys, np.array(size), sets, len(values), percent)
+    order = sorted(range(len(rows)), key=lambda i: matched[i].astype(">u4").tobytes())
+    keys, size, sets = [rows[i][0] for i in order], [rows[i][1] for i in order], [matched[i] for i in order]
+    known = [(component or {}).get(k, k) for k in keys]
+    first = {c: i for i, c in reversed(list(enumerate(known)))}
+    return _walk(keys, np.array(size), sets, len(values), percent, np.array([first[c] for c in known]))
 
 
 def _node(sets: list[np.ndarray], size: np.ndarray, lo: int, hi: int, depth: int) -> tuple:
@@ -108,9 +114,9 @@ def _node(sets: list[np.ndarray], size: np.ndarray, lo: int, hi: int, depth: int
     return (lo, hi, end, a[:k], int(size[lo:hi].min()), rest, stop, children)
 
 
-def _walk(keys: list[int], size: np.ndarray, sets: list[np.ndarray], vocabulary: int, percent: int) -> list[tuple[int, int]]:
+def _walk(keys: list[int], size: np.ndarray, sets: list[np.ndarray], vocabulary: int, percent: int, root: np.ndarray) -> list[tuple[int, int]]:
     made: dict[tuple[int, int, int], tuple] = {}
-    root, found, own = np.arange(len(sets)), [], np.zeros(vocabulary + 1, bool)
+    found, own = [], np.zeros(vocabulary + 1, bool)
     for x, mine in enumerate(sets):
         own[mine] = True
         stack = [(0, len(sets), 0, 0)]
@@ -133,11 +139,34 @@ def _walk(keys: list[int], size: np.ndarray, sets: list[np.ndarray], vocabulary:
     return found
 
 
+def arrays(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a column of long arrays."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], solve: Callable[[list[tuple]], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Pairs from each group of rows (k, n, tokens, c) that come in the order of ``keys``."""
+    now, held = None, []
+    for b in batches:
+        out = []
+        for *g, k, n, c, tokens in zip(*(b.column(x).to_pylist() for x in (*keys, "k", "n", "c")), arrays(b.column("tokens")), strict=True):
+            if g != now:
+                out += solve(held)
+                now, held = g, []
+            held.append((k, n, tokens.copy(), c))
+        yield _pairs(out)
+    yield _pairs(solve(held))
+
+
 def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: _id, _h, doc_id, n_shingles, class_key (null: empty set), component (its own key, null:
     empty set) and component_id (its least doc_id, which components may share)."""
     docs = keyed(docs, id_col, text_col)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,68 +174,127 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
             for t in binaries(b.column("text")):
                 s = shingles(t, words) if t.strip(b" \t\n\r\x0b\x0c") else None
                 n.append(0 if s is None else len(s))
-                key.append(None if s is None else int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                key.append(None if s is None else hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 first.append(s[: first_count(len(s), percent)].view(np.int64) if s is not None and len(s) * (100 - percent) >= percent else [])
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["_id", "_h", "doc_id", "n", "k", "first"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["_id", "_h", "doc_id", "n", "digest", "first"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, words) for t in binaries(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("cluster"), b.column("parts"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "cluster", "parts", "n", "tokens"])
-
-    def join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in batches:
-            out = []
-            for *g, k, n, tokens in zip(*(b.column(c).to_pylist() for c in ("cluster", "part", "i", "j", "k", "n", "tokens")), strict=True):
-                if g != now:
-                    out += links(held, percent)
-                    now, held = g, []
-                held.append((k, n, np.frombuffer(tokens, np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-        last = links(held, percent)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in last], pa.int64()) for i in (0, 1)], ["a", "b"])
+            sets = [shingles(t, words).view(np.int64) for t in binaries(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("n"), pa.array(sets, pa.list_(pa.int64()))], ["k", "n", "grams"])
 
     each = stash(map_batches(docs.select("_id", "_h", "doc_id", "text"), summarise, SHINGLES), "shingles")
-    classes = stash(each.where("k is not null").groupBy("k").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("first").alias("first")), "classes")
+    classes = each.where("digest is not null").groupBy("digest").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"))
+    classes = stash(classes.select(F.monotonically_increasing_id().alias("k"), "digest", "rep", "n", "first"), "classes")
 
-    # Two partners share at least ``need`` of their first n-grams, and so one among the (first - need + 1) rarest of them
+    # partners share at least ``need`` of their first n-grams
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / F.lit(100)) / 10))
-    tokens = classes.where(F.size("first") > 0).select("k", "n", F.size("first").alias("firsts"), F.explode("first").alias("t"))
+    tokens = classes.where(F.size("first") > 0).select("k", "n", F.explode("first").alias("t"))
     for turn in ("once", "twice"):  # the second time among those that the first left
-        shared = stash(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "shared-ngrams")  # at rest, so that the join can be split where an n-gram is hot
-        rich = tokens.join(shared, "t").groupBy("k", "n", "firsts").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts")).where(F.size("ts") >= need)
-        rich = stash(rich.select("k", "n", "firsts", "ts", (F.size("ts") - need + 1).alias("rarest")), f"shared-{turn}")
-        tokens = rich.select("k", "n", "firsts", F.explode("ts.t").alias("t"))
-    tokens = rich.select("k", "n", F.explode(F.slice(F.col("ts.t"), F.lit(1), F.col("rarest").cast("int"))).alias("t"))
-    # Partners' sizes differ by less than one step, so they are of one size class or of neighbouring ones.
-    step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int")
-    tokens = tokens.withColumn("size", step)
-    hubs = stash(tokens.groupBy("t", "size").agg(F.min("k").alias("hub"), F.count("*").alias("c")), "hubs")
-    next_size = hubs.select("t", (F.col("size") - 1).alias("size"), F.col("hub").alias("b"))
-    edges = tokens.join(hubs.where("c > 1"), ["t", "size"]).select(F.col("k").alias("a"), F.col("hub").alias("b"))
-    edges = edges.unionByName(hubs.select("t", "size", F.col("hub").alias("a")).join(next_size, ["t", "size"]).select("a", "b"))
-    clusters = component_labels(edges.distinct(), "clusters")
-
-    # A cluster of more than a block is parted by size class, each class together with the next one
-    members = clusters.select(F.col("node").alias("k"), F.col("component").alias("cluster")).join(rich.select("k", step.alias("size")), "k")
-    whole = members.groupBy("cluster").agg(F.count("*").alias("c"))
-    parts_of = F.when(F.col("c") <= block, F.array(F.lit(-1))).otherwise(F.array(F.col("size") - 1, F.col("size")))
-    members = members.join(whole, "cluster").select("k", "cluster", F.explode(parts_of).alias("part"))
-    counts = members.groupBy("cluster", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = members.join(counts, ["cluster", "part"]).groupBy("k", "cluster").agg(F.collect_list(F.struct("part", "blocks")).alias("parts"))
-
-    chosen = placed.join(classes.select("k", "rep._id", "rep._h"), "k")
-    sets = stash(map_batches(docs.select("_id", "_h", "text").join(chosen, ["_id", "_h"]).select("k", "cluster", "parts", "text"), sets_of, "k long, cluster long, parts array<struct<part:int,blocks:int>>, n long, tokens binary"), "sets")
-    dealt = sets.select("k", "n", "tokens", "cluster", F.explode("parts").alias("p")).select("k", "n", "tokens", "cluster", "p.part", "p.blocks")
-    own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    dealt = dealt.select("k", "n", "tokens", "cluster", "part", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("k", "n", "tokens", "cluster", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.repartition(parts, "cluster", "part", "i", "j").sortWithinPartitions("cluster", "part", "i", "j")
-    found = component_labels(stash(map_batches(dealt, join_groups, "a long, b long"), "links"), "components")
-
-    labelled = classes.select("k", F.col("rep._id").alias("least")).join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+        shared = stash(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "shared-ngrams")  # at rest, so that the join can be split where an n-gram is hot
+        rich = stash(tokens.join(shared, "t").groupBy("k", "n").agg(F.collect_list("t").alias("ts")).where(F.size("ts") >= need), f"shared-{turn}")
+        tokens = rich.select("k", "n", F.explode("ts").alias("t"))
+        discard(shared)
+
+    chosen = rich.select("k", "n").join(classes.select("k", "rep._id", "rep._h"), "k")
+    whole = docs.select("_id", "_h", "text").dropDuplicates(["_id", "_h"]).join(chosen, ["_id", "_h"]).select("k", "n", "text")
+    whole = stash(map_batches(whole, sets_of, "k long, n long, grams array<long>"), "whole-sets")
+    discard(rich)
+    found = _links(_ordered(whole, percent), percent, block)
+    labelled = classes.select("k", "digest", F.col("rep._id").alias("least")).join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     least = labelled.groupBy("component").agg(F.min("least").alias("smallest"))
-    return each.select("_id", "_h", "doc_id", "n", "k").join(labelled.select("k", "component").join(least, "component"), "k", "left").select("_id", "_h", "doc_id", F.col("n").alias("n_shingles"), F.col("k").alias("class_key"), "component", _known(F.coalesce("smallest", "_id")).alias("component_id"))
+    return each.select("_id", "_h", "doc_id", "n", "digest").join(labelled.select("k", "digest", "component").join(least, "component"), "digest", "left").select("_id", "_h", "doc_id", F.col("n").alias("n_shingles"), F.col("k").alias("class_key"), "component", _known(F.coalesce("smallest", "_id")).alias("component_id"))
+
+
+def _ordered(whole: DataFrame, percent: int) -> DataFrame:
+    """whole: (k, n, grams). At rest: (k, n, size, keys, tokens) of the classes that may have a partner: ``tokens``, their
+    shared n-grams as numbers that ascend in the global order, and ``keys``, the rarest of them."""
+    grams = whole.select("k", "n", F.explode("grams").alias("t"))
+    counts = stash(grams.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "ngram-counts")
+    overlap = F.ceil(F.col("n") * percent / F.lit(100))
+    shared = grams.join(counts, "t").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts")).where(F.size("ts") >= overlap)
+    keys = F.transform(F.slice("ts", F.lit(1), (F.size("ts") - overlap + 1).cast("int")), lambda x: x["t"])
+    # five bits for the power of two, the frequent first, and 58 of the hash
+    number = F.array_sort(F.transform("ts", lambda x: F.shiftleft((F.lit(31) - F.least(F.lit(31), F.floor(F.log2(x["c"].cast("double"))))).cast("long"), 58).bitwiseOR(x["t"].bitwiseAND(F.lit((1 << 58) - 1)))))
+    # partners' sizes differ by less than one step, so they are of one size class or of neighbouring ones
+    size = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int")
+    out = stash(shared.select("k", "n", size.alias("size"), keys.alias("keys"), number.alias("tokens")), "ordered-sets")
+    discard(counts, whole)
+    return out
+
+
+def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Components (node, component) of the classes that have links."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.select("k", "n", "tokens")
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(held: list[tuple]) -> list[tuple[int, int]]:
+            out = []
+            for k, n, tokens, _ in held[1:]:
+                both = len(np.intersect1d(held[0][2], tokens, assume_unique=True))
+                if k != held[0][0] and (100 + percent) * both >= percent * (n + held[0][1]):
+                    out.append((held[0][0], k))
+            return out
+
+        return _grouped(batches, ("hub", "salt"), solve)
+
+    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(held: list[tuple]) -> list[tuple[int, int]]:
+            return links([x[:3] for x in held], percent, {x[0]: x[3] for x in held})
+
+        return _grouped(batches, ("t", "s", "i", "j"), solve)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """pairs: (hub, k). The links among them; a hub of many pairs goes to several tasks."""
+        shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
+        members = pairs.join(shares, "hub").select("hub", F.pmod(F.xxhash64("k"), F.col("shares")).cast("int").alias("salt"), F.lit(1).alias("c"), "k").join(rows, "k")
+        hubs = shares.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("c"), F.col("hub").alias("k")).join(rows, "k")
+        dealt = members.unionByName(hubs).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "c")
+        return map_batches(dealt, star, "a long, b long")
+
+    # (t, s): classes with key t of size class s or the next one
+    groups = sets.select("k", "size", F.explode("keys").alias("t")).select("k", "t", F.explode(F.array(F.col("size") - 1, F.col("size"))).alias("s"))
+    groups = stash(groups, "keys")
+    hubs = groups.groupBy("t", "s").agg(F.min("k").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = stash(groups.join(hubs, ["t", "s"]), "keys-of-several")
+    met = stash(compared(groups.where("k <> hub").select("hub", "k").distinct()), "links")
+    for turn in range(STARS):
+        labels = component_labels(met, "stars")
+        state = groups.join(labels.withColumnRenamed("node", "k"), "k", "left").select("t", "s", "k", "hub", F.coalesce("component", "k").alias("c"))
+        # all pairs of the hub are settled; a key is done if all others are of one component
+        mixed = state.where("k <> hub").groupBy("t", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t", "s")
+        state = stash(state.join(mixed, ["t", "s"]), "unsettled")
+        if state.isEmpty():
+            return labels
+        by_component = state.groupBy("t", "s", "c").agg(F.count("*").alias("n"), F.min("k").alias("k"))
+        of_key = by_component.groupBy("t", "s").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"))
+        hot = of_key.where(F.col("n") > block).select("t", "s", F.col("most.c").alias("bulk"))
+        if turn + 1 == STARS or hot.isEmpty():
+            break
+        # a further hub from outside the largest component of the key
+        hubs = stash(by_component.join(hot, ["t", "s"]).where("c <> bulk").groupBy("t", "s").agg(F.min("k").alias("hub")), "further-hubs")
+        more = compared(state.select("t", "s", "k").join(hubs, ["t", "s"]).where("k <> hub").select("hub", "k").distinct())
+        met = stash(met.unionByName(more), "links")
+
+    # keys with the same classes are one
+    alike = state.groupBy("t", "s").agg(F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("k", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    one = alike.groupBy("n", "x", "y").agg(F.min(F.struct("t", "s")).alias("g")).select("g.t", "g.s")
+    u, m = F.col("n") - F.col("most.n"), F.col("most.n")
+    plan = of_key.join(one, ["t", "s"]).select("t", "s", F.col("most.c").alias("bulk"), (F.col("n") > block).alias("large"), F.ceil(u / block).cast("int").alias("apart"), F.ceil(m / block).cast("int").alias("together"))
+    plan = stash(plan, "deal")
+    state = state.join(plan, ["t", "s"])
+    inside = F.col("c") == F.col("bulk")
+    own = F.pmod(F.xxhash64("k"), F.when(inside, F.col("together")).otherwise(F.col("apart"))).cast("int")
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    among = F.transform(F.sequence(F.lit(0), F.col("apart") - 1), lambda x: cell(F.least(F.col("own"), x), F.greatest(F.col("own"), x)))
+    across = F.transform(F.sequence(F.lit(0), F.col("together") - 1), lambda x: cell(F.col("own"), F.col("apart") + x))
+    back = F.transform(F.sequence(F.lit(0), F.col("apart") - 1), lambda x: cell(x, F.col("apart") + F.col("own")))
+    cells = F.when(~F.col("large"), F.array(cell(F.lit(0), F.lit(0)))).when(inside, back).otherwise(F.concat(among, across))
+    dealt = state.withColumn("own", own).select("t", "s", "k", "c", F.explode(cells).alias("x")).select("t", "s", "x.i", "x.j", "k", "c").join(rows, "k")
+    dealt = dealt.repartition(parts, "t", "s", "i", "j").sortWithinPartitions("t", "s", "i", "j")
+    rest = stash(map_batches(dealt, tries, "a long, b long"), "links-by-tries")
+    return labels if rest.isEmpty() else component_labels(met.unionByName(rest), "components")
 
 
 def _known(column: Column) -> Column:

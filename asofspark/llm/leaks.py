@@ -3,11 +3,12 @@
 Texts are lower-cased, white space is one blank. An item of L characters may be met with up to k = error * L edits. A
 region that holds it shares at least L - q + 1 - k * q of its q-grams, on diagonals at most k apart; so shared
 q-grams are counted in overlapping bands of 2k diagonals, regions that reach the bound are kept, and a banded
-alignment of the item against each decides. k is lowered for short items so that the bound stays positive; items
-shorter than a q-gram are sought as they are, between blanks.
+alignment of the item against each decides. Short items have a smaller q where the bound would not be positive; items
+shorter than Q are sought as they are, between blanks.
 
 The benchmark is the stated query set. It goes to the tasks in blocks of a bounded number of characters; documents
-are scanned where they lie, without a shuffle, long ones in overlapping slices.
+are scanned where they lie, without a shuffle, long ones in overlapping slices. Usually there is one block; with more,
+each block's finds are written before the next one is read.
 
 Defined results: null or empty texts and items match nothing; items that repeat are each reported; repeated document
 rows are each reported; a null doc_id or item_id is reported as null; empty tables give no rows. A pair is reported
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, stash
 
 Q, ERROR = 7, 0.1
 #: Characters of a block of items, and of a slice of a document.
@@ -55,17 +56,25 @@ def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
     return h
 
 
+def block(rows: list[tuple[int | None, str]], q: int = Q, error: float = ERROR) -> list[Items]:
+    """The items by the q-gram length that leaves their lemma a positive bound: ``q``, but for short items."""
+    by_q: dict[int, list] = {q: []}
+    for i, t in rows:
+        if t:
+            by_q.setdefault(q if len(t) < q else max(1, min(q, len(t) // (int(len(t) * error) + 1))), []).append((i, t))
+    return [Items(own, k, error, shortest=q) for k, own in sorted(by_q.items())]
+
+
 class Items:
-    """A block of items, with their q-grams in hash order."""
+    """Items of one q, with their q-grams in hash order; those below ``shortest`` characters apart."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], q: int = Q, error: float = ERROR):
-        rows = [(i, t) for i, t in rows if t]
+    def __init__(self, rows: list[tuple[int | None, str]], q: int = Q, error: float = ERROR, shortest: int = Q):
         self.q = q
-        self.short = [(i, f" {t} ") for i, t in rows if len(t) < q]
-        rows = [(i, t) for i, t in rows if len(t) >= q]
+        self.short = [(i, f" {t} ") for i, t in rows if len(t) < shortest]
+        rows = [(i, t) for i, t in rows if len(t) >= shortest]
         self.ids, self.texts, self.codes = [i for i, _ in rows], [t for _, t in rows], [codes(t) for _, t in rows]
         size = np.array([len(c) for c in self.codes], np.int64)
-        self.k = np.minimum((size * error).astype(np.int64), (size - q) // q)
+        self.k = (size * error).astype(np.int64)
         self.least = size - q + 1 - self.k * q
         self.longest = int(size.max(initial=0))
         self.step = np.maximum(self.k, 1)
@@ -89,19 +98,38 @@ class Items:
         same = self.grams[g] == h[at]
         at, g = at[same], g[same]
         n = self.count[g]
-        post = np.repeat(self.first[g] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(g) else np.empty(0, np.int64)
-        item, diagonal = self.item[post], np.repeat(at, n) - self.place[post] + self.longest
-        band = diagonal // self.step[item]
         width = (len(c) + 2 * self.longest) + 2
-        keys, place = np.concatenate([item * width + band, item * width + band - 1]), np.concatenate([self.place[post]] * 2)
+        found, total = [], np.cumsum(n)
+        for lo, hi in self._portions(total):
+            own = n[lo:hi]
+            post = np.repeat(self.first[g[lo:hi]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            item, diagonal = self.item[post], np.repeat(at[lo:hi], own) - self.place[post] + self.longest
+            band = item * width + diagonal // self.step[item]
+            hits = band * self.longest + self.place[post]
+            found.append(np.concatenate([hits, hits - self.longest]))
+            if hi < len(n) or lo:  # a q-gram that comes again and again in text and item: each (band, place) once
+                found = [np.unique(np.concatenate(found))]
+        if not found:
+            return []
+        hits = found[0]
+        keys = hits // self.longest
         key, which, count = np.unique(keys, return_inverse=True, return_counts=True)
         held = (count >= self.least[key // width])[which]
         # the bound holds for the item's own q-grams: one that comes repeatedly in a band counts once
-        key, count = np.unique(np.unique(np.stack([keys[held], place[held]], 1), axis=0)[:, 0], return_counts=True) if held.any() else (key[:0], count[:0])
+        key, count = np.unique(np.unique(hits[held]) // self.longest, return_counts=True)
         ok = count >= self.least[key // width]
         return [(int(i), int((b * self.step[i]) - self.longest), int(s)) for i, b, s in zip(key[ok] // width, key[ok] % width, count[ok], strict=True)]
 
 
+    @staticmethod
+    def _portions(total: np.ndarray, most: int = 2_000_000) -> list[tuple[int, int]]:
+        """Stretches of positions with about ``most`` postings each; total: their running number."""
+        if not len(total):
+            return []
+        cuts = np.searchsorted(total, np.arange(most, int(total[-1]), most))
+        return [(int(a), int(b)) for a, b in zip([0, *cuts], [*cuts, len(total)], strict=True) if a < b]
+
+
 def aligned(item: np.ndarray, text: np.ndarray, diagonal: int, width: int) -> int:
     """Least edits between ``item`` and a piece of ``text``, over alignments within ``width`` diagonals from the first."""
     j = np.arange(width)
@@ -124,8 +152,13 @@ def aligned(item: np.ndarray, text: np.ndarray, diagonal: int, width: int) -> in
     return int(row.min())
 
 
-def matches(items: Items, texts: list[str]) -> list[list[tuple]]:
-    """For each normalised text, (item_id, distance, shared q-grams, region start) of each item met in it.
+def matches(index: list[Items], texts: list[str]) -> list[list[tuple]]:
+    """For each normalised text, (item_id, distance, shared q-grams, region start) of each item met in it."""
+    return [[m for found in own for m in found] for own in zip(*(_matches(items, texts) for items in index), strict=True)]
+
+
+def _matches(items: Items, texts: list[str]) -> list[list[tuple]]:
+    """Those of the items of one q.
 
     Texts are scanned together, parted by characters that no item has; a long one in overlapping slices.
     """
@@ -165,42 +198,49 @@ def _scan(items: Items, pieces: list[tuple[int, int, str]], best: list[dict[int,
                 best[n][i] = (distance, -shared, lo + max(0, at))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float = ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document row and item found in it."""
+def _blocks(benchmark: DataFrame, q: int, error: float, block_chars: int) -> Iterator[list[Items]]:
+    """Indexes of about ``block_chars`` characters each; they travel with the functions that use them."""
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = size // block_chars + 1
+    for k in range(blocks):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else benchmark
+        yield block(sorted(((r["item_id"], normal(r["text"])) for r in part.select("item_id", "text").collect()), key=str), q, error)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float = ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per document row and item found in it."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = None
-    for block in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else benchmark
-        rows = sorted(((r["item_id"], normal(r["text"])) for r in part.select("item_id", "text").collect()), key=str)
-        shared = Items(rows, q, error)  # of about block_chars characters; travels with the function
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def scan(index: list[Items]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found_in = matches(shared, [normal(t) for t in b.column(1).to_pylist()])
+                found_in = matches(index, [normal(t) for t in b.column(1).to_pylist()])
                 out = [(d, *m) for d, ms in zip(b.column(0).to_pylist(), found_in, strict=True) for m in ms]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], [x.split()[0] for x in FOUND.split(", ")])
 
-        own = map_batches(texts, run, FOUND)
-        found = own if found is None else found.unionByName(own)
-    return found
+        return map_batches(texts, run, FOUND)
+
+    written, last = [], None
+    for index in _blocks(benchmark, q, error, block_chars):
+        if last is not None:
+            written.append(stash(last, "finds"))
+        last = scan(index)
+    for found in written:
+        last = last.unionByName(found)
+    return last
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float = ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents (all columns) in which no item is found."""
-    columns = docs.columns
-    size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = size // options.pop("block_chars", BLOCK_CHARS) + 1
-    for block in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else benchmark
-        shared = Items(sorted(((r["item_id"], normal(r["text"])) for r in part.select("item_id", "text").collect()), key=str), **options)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def clean(docs: DataFrame, index: list[Items]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                clean = [not m for m in matches(shared, [normal(t) for t in b.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(clean, pa.bool_())) for c in b.columns], columns)
+                keep = pa.array([not m for m in matches(index, [normal(t) for t in b.column("text").to_pylist()])], pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns], b.schema.names)
+
+        return map_batches(docs, run, docs.schema)
 
-        docs = map_batches(docs, run, schema)
+    for k, index in enumerate(_blocks(benchmark, q, error, block_chars)):
+        docs = clean(stash(docs, "clean") if k else docs, index)
     return docs

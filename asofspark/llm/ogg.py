@@ -3,9 +3,14 @@
 ``to_media`` makes a binary column in the Ogg container from a text column; ``read_media`` verifies and reads such
 a column. Both run row by row within Arrow batches and need no shuffle, so that tasks hold one batch at a time.
 
+Timestamps come from the granule positions: a page that ends a packet ends at its granule, and begins where the one
+before ended; packets of samples are dated back from there by their own lengths.
+
 Defined results: a null text is an empty one (one padding block of 64 zero bytes); equal texts give equal bytes,
 as stream serials come from the payload; a null media value gives nulls; a damaged container raises ``OggError``
-in ``parse`` and gives ``valid`` false, with its error, from ``read_media``.
+in ``parse`` and gives ``valid`` false, with its error, from ``read_media``; a sound container of other streams is valid,
+its streams are listed and the columns of the payload are null; repeated rows are read each for itself; a very long
+text is one row, of which a worker holds a few copies; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,7 +93,8 @@ def encode(data: bytes, rate: int = RATE) -> bytes:
 
 
 def parse(media: bytes) -> dict[int, dict]:
-    """Logical streams by serial: packets, last granule and page count. Checksums, sequence and lacing are verified."""
+    """Logical streams by serial: packets, last granule, page count, and for each page that ends packets (granule, how
+    many, sequence number). Checksums, sequence and lacing are verified."""
     streams: dict[int, dict] = {}
     at = 0
     while at < len(media):
@@ -104,12 +110,12 @@ def parse(media: bytes) -> dict[int, dict]:
             raise OggError("wrong page checksum")
         if bool(flags & 2) == (serial in streams):
             raise OggError("stream begins twice or not at all")
-        s = streams.setdefault(serial, {"packets": [], "open": None, "granule": 0, "pages": 0, "ended": False})
+        s = streams.setdefault(serial, {"packets": [], "open": None, "granule": 0, "pages": 0, "times": [], "ended": False})
         if sequence != s["pages"] or s["ended"] or bool(flags & 1) != (s["open"] is not None):
             raise OggError("page out of order")
         held = [s["open"]] if s["open"] is not None else []
         s["open"] = None
-        run = 0
+        run, before = 0, len(s["packets"])
         for value in lacing:
             run += value
             if value < 255:
@@ -121,6 +127,7 @@ def parse(media: bytes) -> dict[int, dict]:
             if granule < s["granule"]:
                 raise OggError("granule position goes back")
             s["granule"] = granule
+            s["times"].append((granule, len(s["packets"]) - before, sequence))
         s["pages"] += 1
         s["ended"] = bool(flags & 4)
         at = end
@@ -129,10 +136,38 @@ def parse(media: bytes) -> dict[int, dict]:
     return streams
 
 
-def decode(media: bytes) -> dict:
+def packet_ends(stream: dict) -> list[int]:
+    """The granule at which each packet of 8-bit samples ends: the last of a page at the page's, those before it by the
+    lengths of the packets between. A stream's first packet is its header."""
+    ends, at = [], 0
+    for granule, n, _ in stream["times"]:
+        own = stream["packets"][at : at + n]
+        after = [0, *np.cumsum([len(p) for p in own[:0:-1]]).tolist()][::-1]
+        ends += [granule - a for a in after[:n]]
+        at += n
+    return ends[1:]
+
+
+def listed(streams: dict[int, dict]) -> list[dict]:
+    """Each logical stream: its serial, the first bytes of its header, and counts."""
+    return [{"serial": k, "kind": s["packets"][0][:8].decode("latin-1") if s["packets"] else "", "pages": s["pages"], "packets": len(s["packets"]), "granule": s["granule"]} for k, s in sorted(streams.items())]
+
+
+def page_times(streams: dict[int, dict], rate: int) -> list[dict]:
+    """When the pages that end packets begin and end, in milliseconds."""
+    out = []
+    for k, s in sorted(streams.items()):
+        begin = 0
+        for granule, n, sequence in s["times"]:
+            out.append({"serial": k, "sequence": sequence, "packets": n, "start_ms": begin * 1000 // rate, "end_ms": granule * 1000 // rate})
+            begin = granule
+    return out
+
+
+def decode(media: bytes, streams: dict[int, dict] | None = None) -> dict:
     """What ``encode`` stored: payload, true length, timestamps in milliseconds and counts."""
     sound = note = None
-    streams = parse(media)
+    streams = streams or parse(media)
     for s in streams.values():
         kind = s["packets"][0][:4] if s["packets"] else b""
         sound, note = (s, note) if kind == b"PCM8" else (sound, s) if kind == b"NOTE" else (sound, note)
@@ -142,7 +177,7 @@ def decode(media: bytes) -> dict:
     payload = b"".join(sound["packets"][1:])
     if len(payload) != size or sound["granule"] != size:
         raise OggError("payload and granule position differ")
-    return {"payload": payload, "n_bytes": struct.unpack("<Q", note["packets"][0][4:12])[0], "pages": sum(s["pages"] for s in streams.values()), "packets": sum(len(s["packets"]) for s in streams.values()), "streams": len(streams), "ms": sound["granule"] * 1000 // rate}
+    return {"payload": payload, "n_bytes": struct.unpack("<Q", note["packets"][0][4:12])[0], "pages": sum(s["pages"] for s in streams.values()), "packets": sum(len(s["packets"]) for s in streams.values()), "streams": len(streams), "ms": sound["granule"] * 1000 // rate, "page_times": page_times(streams, rate), "packet_end_ms": [g * 1000 // rate for g in packet_ends(sound)]}
 
 
 def feature(x: dict) -> str:
@@ -165,27 +200,34 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_ms long, valid boolean, error string"
+#: Further columns: the logical streams, the times of pages and of sample packets.
+TIMES = "streams array<struct<serial:long,kind:string,pages:long,packets:long,granule:long>>, page_times array<struct<serial:long,sequence:long,packets:long,start_ms:long,end_ms:long>>, packet_end_ms array<long>"
+_STRUCTS = [pa.list_(pa.struct([(n, pa.string() if n == "kind" else pa.int64()) for n in names])) for names in (("serial", "kind", "pages", "packets", "granule"), ("serial", "sequence", "packets", "start_ms", "end_ms"))]
 
 
 def read_media(media: DataFrame) -> DataFrame:
     """Verify and read a column from ``to_media``; a damaged row has ``valid`` false and its error."""
-    names = [x.split()[0] for x in READ.split(", ")]
+    names = [x.split()[0] for x in f"{READ}, {TIMES}".split(", ")]
 
     def row(doc_id: int | None, m: bytes | None) -> tuple:
         if m is None:
-            return (doc_id, *[None] * 8, None, None)
+            return (doc_id, *[None] * 13)
         own = (len(m), hashlib.sha256(m).hexdigest())
         try:
-            x = decode(m)
+            streams = parse(m)
+            found = listed(streams)
+            if not {"PCM8", "NOTE"} & {s["kind"][:4] for s in found}:
+                return (doc_id, None, None, None, None, *own, None, None, True, None, found, None, None)
+            x = decode(m, streams)
         except (OggError, struct.error) as e:
-            return (doc_id, None, None, None, None, *own, None, None, False, str(e))
+            return (doc_id, None, None, None, None, *own, None, None, False, str(e), None, None, None)
         p = x["payload"]
-        return (doc_id, x["n_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), *own, feature(x), x["ms"], True, None)
+        return (doc_id, x["n_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), *own, feature(x), x["ms"], True, None, found, x["page_times"], x["packet_end_ms"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
+        types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string(), *_STRUCTS, pa.list_(pa.int64())]
         for b in batches:
             rows = list(map(row, b.column(0).to_pylist(), b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names)
 
-    return map_batches(media.select("doc_id", "media"), run, READ)
+    return map_batches(media.select("doc_id", "media"), run, f"{READ}, {TIMES}")

@@ -50,13 +50,16 @@ def word_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_features(texts: list[str], bits: int, orders: tuple[int, ...] = (1, 2, 3, 4)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order, hashed byte n-grams at every position of the lower-cased texts (all that parts words is one
-    blank), and where each text begins. Every text is padded by blanks, so that none is without n-grams."""
+    blank), and where each text begins. Every text is padded by blanks, so that none is without n-grams and none reaches
+    into the next."""
     raw = [b" " + t.lower().encode() + b"   " for t in texts]
-    buf = np.frombuffer(b"".join(raw) + b"   ", np.uint8)
+    buf = np.frombuffer(b"".join(raw), np.uint8)
     buf = np.where(_WORD[buf], buf, np.uint8(32)).astype(np.uint32)
-    begin = np.concatenate([[0], np.cumsum([len(r) for r in raw])[:-1]]).astype(np.int64)
-    n, code = len(buf) - 3, np.zeros(len(buf) - 3, np.uint32)
+    size = np.array([len(r) - 3 for r in raw], np.int64)
+    begin = np.cumsum(size) - size
+    at = np.arange(size.sum()) + np.repeat(3 * np.arange(len(raw)), size)  # not from the last three blanks
+    code = np.zeros(len(at), np.uint32)
     for k in range(max(orders)):
-        code = code | (buf[k : k + n] << np.uint32(8 * k))
+        code = code | (buf[at + k] << np.uint32(8 * k))
         if k + 1 in orders:
             yield ((code * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15 * (k + 1) & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits), begin

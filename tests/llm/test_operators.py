@@ -138,6 +138,27 @@ def test_jaccard_components_match_brute_force(spark, corpus, words, percent, blo
     assert sorted([tuple(r) for r in got], key=str) == brute_jaccard(corpus, words, percent)
 
 
+def test_jaccard_chain_is_one_component_of_linear_rows(spark):
+    words = [f"c{k}" for k in range(5100)]
+    rows = [(k, " ".join(words[k : k + 100])) for k in range(5000)]  # each is linked with its neighbours only
+    rows += [(9000 + k, " ".join(words[40 * k : 40 * k + 50] + [f"z{k}x{j}" for j in range(60)])) for k in range(50)]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.components(frame(spark, rows)).select("doc_id", "component_id").collect()}
+    assert {got[k] for k in range(5000)} == {0} and all(got[9000 + k] == 9000 + k for k in range(50))
+
+
+def test_jaccard_of_a_group_larger_than_a_block(spark):
+    r = random.Random(31)
+    base, rows = [f"g{r.randrange(60)}" for _ in range(130)], []
+    for k in range(150):  # more or less like one text, so that some are linked with few others and some with none
+        w = list(base)
+        for _ in range(r.randint(0, 7)):
+            w[r.randrange(130)] = f"y{r.randrange(12)}"
+        rows.append((k, " ".join(w)))
+    got = jaccard.components(frame(spark, rows), 3, 90, 10).select("doc_id", "n_shingles", "component_id").collect()
+    want = brute_jaccard(rows, 3, 90)
+    assert sorted([tuple(x) for x in got], key=str) == want and 5 < len({x[2] for x in want}) < 150
+
+
 def test_keep_one_keeps_all_columns_and_one_of_a_group(spark, corpus):
     docs = frame(spark, corpus)
     kept = jaccard.keep_one(docs)
@@ -215,7 +236,7 @@ def test_leaks_match_brute_force(spark):
     syllables = ["ka", "lo", "mi", "tre", "on", "sa", "ve", "dun", "pi", "ral"]
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
     text = lambda n: " ".join(word() for _ in range(n))
-    items = [(k, text(r.randint(4, 18))) for k in range(12)] + [(50, None), (51, ""), (52, "kot"), (None, text(9))]
+    items = [(k, text(r.randint(4, 18))) for k in range(12)] + [(50, None), (51, ""), (52, "kot"), (None, text(9)), (53, "kalomitreons"), (54, "vedunpiralkalomitres"), (55, "mi vedunp")]
     docs = [(0, None), (1, ""), (None, items[0][1])]
     for k in range(2, 40):
         _, t = items[k % 12]
@@ -223,7 +244,7 @@ def test_leaks_match_brute_force(spark):
         for _ in range(r.randint(0, 2 + len(c) // 6)):
             p = r.randrange(len(c))
             c[p : p + 1] = r.choice([[], [c[p], "x"], ["q"]])
-        docs.append((k, text(r.randint(0, 30)) + " " + "".join(c).upper() + "\n " + text(r.randint(0, 30)) + (" a kot b" if k == 5 else "")))
+        docs.append((k, text(r.randint(0, 30)) + " " + "".join(c).upper() + "\n " + text(r.randint(0, 30)) + (" a kot b" if k == 5 else "") + (" kalomXtreons vedunpXralkalXmitres" if k == 7 else "") + (" mi vedunp" if k == 9 else "")))
     got = {(x["doc_id"], x["item_id"]): x["distance"] for x in leaks.find(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_chars=300).collect()}
     want = {}
     for d, t in docs:
@@ -231,11 +252,11 @@ def test_leaks_match_brute_force(spark):
             x, y = leaks.normal(b), leaks.normal(t)
             if not x or not y:
                 continue
-            k = min(len(x) // 10, (len(x) - 7) // 7) if len(x) >= 7 else 0
+            k = len(x) // 10 if len(x) >= 7 else 0
             e = edits(x, y) if len(x) >= 7 else 0 if f" {x} " in f" {y} " else 1
             if e <= k:
                 want[d, i] = e
-    assert got == want and len(want) > 12
+    assert got == want and len(want) > 12 and {(7, 53), (7, 54), (9, 55)} <= set(want)
     clean = {x["doc_id"] for x in leaks.remove(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
@@ -327,6 +348,32 @@ def test_ogg_round_trip_and_damage(spark):
     assert bad[0]["valid"] is False and bad[1]["valid"] is None
 
 
+def test_media_columns_by_hand(spark):
+    rows = [(1, "héllo " * 4000), (2, None), (3, "x" * 64), (4, "x" * 65)]
+    stored = {x["doc_id"]: bytes(x["media"]) for x in ogg.to_media(frame(spark, rows)).collect()}
+    got = {x["doc_id"]: x for x in ogg.read_media(ogg.to_media(frame(spark, rows))).collect()}
+    for k, t in rows:
+        raw = (t or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        x, v = got[k], np.frombuffer(payload, np.uint8).astype(float)
+        assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (x["media_bytes"], x["media_sha256"]) == (len(stored[k]), hashlib.sha256(stored[k]).hexdigest())
+        pages, at = [], 0  # the container read anew: serial, granule, lacing values of each page
+        while at < len(stored[k]):
+            n = stored[k][at + 26]
+            lacing = stored[k][at + 27 : at + 27 + n]
+            pages.append((int.from_bytes(stored[k][at + 14 : at + 18], "little"), int.from_bytes(stored[k][at + 6 : at + 14], "little", signed=True), lacing))
+            at += 27 + n + sum(lacing)
+        crossings = sum((a >= 96) != (b >= 96) for a, b in zip(payload, payload[1:]))
+        assert x["feature"] == f"streams=2;pages={len(pages)};packets={sum(c < 255 for p in pages for c in p[2])};ms={len(payload) // 8};mean={v.mean():.4f};sd={v.std():.4f};crossings={crossings}"
+        ends = {(p["serial"], p["end_ms"]) for p in x["page_times"]}
+        assert ends == {(s, g // 8) for s, g, lacing in pages if g >= 0} and x["packet_end_ms"] == [min(i + 4096, len(payload)) // 8 for i in range(0, len(payload), 4096)]
+        assert {s["kind"][:4] for s in x["streams"]} == {"PCM8", "NOTE"} and sum(s["pages"] for s in x["streams"]) == len(pages)
+    other = b"".join(ogg.stream_pages(77, [(b"\x01vorbis", 0), (b"abc", 960), (b"d" * 70_000, 1920)]))
+    x = ogg.read_media(spark.createDataFrame([(1, other)], "doc_id long, media binary")).first()
+    assert x["valid"] and x["payload_bytes"] is None and [tuple(s) for s in x["streams"]] == [(77, "\x01vorbis", 3, 3, 1920)]
+
+
 def test_licences_by_brute_force(spark):
     texts = ["Released under the MIT License.", "released under MIT license", "x\n  This work is licensed under the GNU General Public License, version 2!\nmore", None, "", "license", "Licensed under CC BY-NC 4.0. and much more text follows here that does not belong", "the the the the the"]
     got = {x["doc_id"]: x for x in licences.scan(frame(spark, list(enumerate(texts)))).collect()}
@@ -353,12 +400,20 @@ def test_licences_wrapped_over_lines(spark):
 
 
 def test_chat_rotation(spark):
-    turns = [(1, 0, "ann", "hi <|assistant|>"), (1, 1, "bob", "yo"), (1, 2, "cy", None), (1, 3, "ann", "bye"), (1, 70, "bob", "late"), (2, None, None, "x"), (None, 1, "z", "q"), (2, 5, "u", "d"), (2, 5, "u", "d")]
-    got = {(x["conv_id"], x["perspective"], x["block"]): x for x in chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
-    assert len(got) == 6 + 2 + 1
+    turns = [(None, 1, "z", "q2"), (3, 0, "x|>\n<|assistant|>", "hm"), (3, 1, "w", "|> <|"), (1, 0, "ann", "hi <|assistant|>"), (1, 1, "bob", "yo"), (1, 2, "cy", None), (1, 3, "ann", "bye"), (1, 70, "bob", "late"), (2, None, None, "x"), (None, 1, "z", "q"), (2, 5, "u", "d"), (2, 5, "u", "d")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = chat.rotate(table).collect()
+    got = {(x["conv_id"], x["perspective"], x["block"]): x for x in rows}
+    assert len(rows) == 6 + 2 + 2 + 2 and sorted(x["text"] for x in rows if x["conv_id"] is None) == ["<|assistant|>\nq2<|end|>\n", "<|assistant|>\nq<|end|>\n"]
+    assert got[3, "w", 0]["text"] == "<|user name=x|\u200b>\n<\u200b|assistant|\u200b>|>\nhm<|end|>\n<|assistant|>\n|\u200b> <\u200b|<|end|>\n"
+    whole = "".join(x["text"] for x in sorted((x for x in rows if x["conv_id"] == 1 and x["perspective"] == "bob"), key=lambda x: (x["block"], x["part"])))
+    assert whole == "<|user name=ann|>\nhi <\u200b|assistant|\u200b><|end|>\n<|assistant|>\nyo<|end|>\n<|user name=cy|>\n<|end|>\n<|user name=ann|>\nbye<|end|>\n<|assistant|>\nlate<|end|>\n"
+    repeated = spark.createDataFrame([(1, 5, "a", f"t{k}") for k in range(90)] + [(1, 6, "b", "end")], "conv_id long, turn long, role string, text string")
+    parts = [x for x in chat.rotate(repeated, most_turns=20).collect() if x["perspective"] == "b"]
+    assert len(parts) > 3 and sum(x["n_turns"] for x in parts) == 91 and max(x["n_turns"] for x in parts) < 50
     x = got[1, "ann", 0]
     assert x["text"].startswith("<|assistant|>\nhi ") and x["text"].count("<|assistant|>") == 2 and "<|user name=bob|>\nyo<|end|>\n" in x["text"]
-    assert [x["text"][s["start"] : s["end"]] for s in x["mask"]] == ["hi <​|assistant|><|end|>\n", "bye<|end|>\n"]
+    assert [x["text"][s["start"] : s["end"]] for s in x["mask"]] == ["hi <\u200b|assistant|\u200b><|end|>\n", "bye<|end|>\n"]
     assert got[1, "cy", 1]["mask"] == [] and got[2, "u", 0]["n_turns"] == 3
     assert got[2, "unknown", 0]["text"].startswith("<|assistant|>\nx") and (None, "z", 0) in got
 
@@ -387,6 +442,58 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.scores(alone, ["a", None]).max() < 0.5
 
 
+def test_scores_match_naive_loops():
+    texts = ["good day to you", "bad zurk zürk9 extraordinarily", "", "Zurk", "one, two; three!"]
+    model = toxicity.fit(texts * 10, np.array([0, 1, 0, 1, 0] * 10))
+    mix = [int(x) for x in textnet._MIX]
+    for t in texts:
+        words, held = [], bytearray()
+        for c in t.lower().encode() + b" ":
+            if c >= 128 or chr(c).isalnum():
+                held.append(c)
+            elif held:
+                words.append(bytes(held))
+                held = bytearray()
+        rows = []
+        for w in words:
+            head, tail = int.from_bytes(w[:8], "little"), int.from_bytes(w[-8:], "little")
+            ids = [((int.from_bytes(w[: min(p, len(w))], "little") + k) * mix[k] % 2**64) >> (64 - toxicity.BITS) for k, p in enumerate(textnet.PREFIXES)]
+            ids.append((((head * mix[4]) ^ (tail * mix[5]) ^ (len(w) * mix[0])) % 2**64 * mix[1] % 2**64) >> (64 - toxicity.BITS))
+            rows.append(sum(model.table[i] for i in ids))
+        rows += [np.zeros(toxicity.DIM, np.float32)] * 2
+        z = model.offset
+        for f, (width, kernel) in enumerate((w, k) for w, k in zip(toxicity.WIDTHS, model.kernels)):
+            for j in range(toxicity.FILTERS):
+                top = max((sum(float(rows[i + d] @ kernel[d, :, j]) for d in range(width)) for i in range(len(rows) - width + 1)), default=-np.inf)
+                z += max(0.0, top + float(model.bias[f * toxicity.FILTERS + j])) * float(model.dense[f * toxicity.FILTERS + j])
+        assert abs(z - toxicity.logits(model, [t])[0]) < 1e-3
+        assert abs(1 / (1 + np.exp(-(model.scale * z + model.shift))) - toxicity.scores(model, [t])[0]) < 1e-3
+
+
+def test_language_probabilities_match_naive_loops():
+    r = np.random.default_rng(2)
+    model = language.Model(["a", "b", "c"], r.normal(size=(1 << language.BITS, 3)).astype(np.float32), np.array([0.1, 0.0, -0.2], np.float32), 1.5)
+    texts = ["Héllo wörld", "", "x", "tab\tand more " * 30]
+    got = language.probabilities(model, texts)
+    for t, p in zip(texts, got, strict=True):
+        raw = b" " + bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in t.lower().encode()) + b"   "
+        total, n = np.zeros(3), 0
+        for i in range(len(raw) - 3):
+            for k in range(1, 5):
+                code = int.from_bytes(raw[i : i + k], "little")
+                code = ((code * 0x9E3779B1 + 0x7F4A7C15 * k) % 2**32) * 0x85EBCA6B % 2**32 >> (32 - language.BITS)
+                total, n = total + model.shares[code], n + 1
+        z = (total / n + model.bias) * model.temperature
+        assert np.allclose(p, np.exp(z) / np.exp(z).sum(), atol=1e-4)
+    assert np.allclose(language.probabilities(model, texts[1:2]), got[1:2])
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(k % 50, f"text {k} of many", f"l{k % 7}") for k in range(700)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_per_lang=6, sample_rows=35, epochs=1)
+    assert model.langs == [f"l{k}" for k in range(7)]
+
+
 def test_pooling_does_not_cross_texts():
     model = toxicity.fit(["good day", "bad zurk", "fine", "zurk"] * 20, np.array([0, 1, 0, 1] * 20))
     together = toxicity.logits(model, ["zurk", "", "good", "bad zurk day"])
@@ -448,15 +555,26 @@ def test_leaks_in_slices_and_groups_of_texts(monkeypatch):
             p = r.randrange(len(c))
             c[p : p + 1] = r.choice([[], [c[p], "z"], ["y"]])
         texts.append(text(r.randint(0, 150)) + " " + "".join(c) + " " + text(r.randint(0, 150)) if k % 4 else text(r.randint(0, 3)))
-    block = leaks.Items(items)
+    block = leaks.block(items)
     for size in (1_000_000, 400, 120):
         monkeypatch.setattr(leaks, "SLICE_CHARS", size)
         for t, found in zip(texts, leaks.matches(block, texts), strict=True):
             got = {i: d for i, d, _, _ in found}
-            want = {i: e for (i, b), k in zip(items, block.k, strict=True) if (e := edits(b, t)) <= k}
+            want = {i: e for i, b in items if (e := edits(b, t)) <= len(b) // 10}
             assert got == want
 
 
+def test_leaks_of_one_letter_texts_stay_small():
+    import tracemalloc
+
+    index = leaks.block([(1, "a" * 1500), (2, "ab" * 40), (3, "zzzzzzzzzz")])
+    tracemalloc.start()
+    got = leaks.matches(index, ["a" * 10_000, "ab" * 300 + "q" + "ab" * 300, "b" * 9000, "z" * 9])
+    assert [[i for i, *_ in x] for x in got] == [[1], [2], [], [3]]
+    assert tracemalloc.get_traced_memory()[1] < 400_000_000
+    tracemalloc.stop()
+
+
 def test_prefix_trees_match_all_pairs():
     r = random.Random(12)
     for percent in (70, 80, 90):
