@@ -56,8 +56,18 @@ def partition_value(c: Column) -> Column:
     return F.url_encode(c)
 
 
-def signed_percent(c: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%+.{digits}f%%", c * 100)
+def signed_percent(c: Column, digits: int = 1) -> Column:
+    """'+1.5%', half up; NULL is 'unavailable'."""
+    return F.when(c.isNull(), "unavailable").otherwise(F.concat(F.when(c >= 0, "+").otherwise("-"), F.format_string(f"%.{digits}f", F.abs(c) * 100), F.lit("%")))
+
+
+def is_sha256(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[0-9a-f]{64}$"), F.lit(False))
+
+
+def is_symbol(c: Column) -> Column:
+    """Six digits."""
+    return F.coalesce(c.rlike("^[0-9]{6}$"), F.lit(False))
 
 
 def bar_start(c: Column, scale: float) -> Column:

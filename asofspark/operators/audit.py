@@ -82,10 +82,25 @@ def readiness(requirements: DataFrame, bindings: DataFrame) -> DataFrame:
     return g.withColumn("permitted", F.size("blockers") == 0)
 
 
-def promotion_gate(checks: DataFrame, required: Sequence[str], non_waivable: Sequence[str], by: str = "report_id") -> DataFrame:
-    """All required checks present, none failed, and the non-waivable ones passed. checks: report, check_name, outcome."""
-    g = checks.groupBy(by).agg(F.array_sort(F.array_except(F.array(*[F.lit(c) for c in required]), F.collect_set("check_name"))).alias("missing"), F.count_if(F.col("outcome") == "fail").alias("n_failed"), F.size(F.collect_set(F.when(F.col("check_name").isin(*non_waivable) & (F.col("outcome") == "pass"), F.col("check_name")))).alias("n_firm"))
-    return g.select(by, "missing", "n_failed", ((F.size("missing") == 0) & (F.col("n_failed") == 0) & (F.col("n_firm") == len(non_waivable))).alias("may_promote"))
+#: The checks of a factor's validation report, and those that can't be waived.
+VALIDATION_CHECKS = (
+    "pit_input_qualification", "ic", "rank_ic", "hac_or_block_bootstrap", "quantile_monotonicity", "decay_turnover_coverage", "industry_size_neutrality",
+    "fama_macbeth", "regime_subperiod_stability", "fdr", "walk_forward_oos", "cost_capacity",
+)
+NON_WAIVABLE_CHECKS = ("pit_input_qualification", "walk_forward_oos")
+
+
+def promotion_gate(checks: DataFrame, contexts: DataFrame | None = None, required: Sequence[str] = VALIDATION_CHECKS, non_waivable: Sequence[str] = NON_WAIVABLE_CHECKS, by: str = "report_id") -> DataFrame:
+    """All required checks present and named once, none failed, the non-waivable ones passed, and evidence from history: a
+    run in strict data mode at the research stage on point-in-time data. checks: report, check_name, outcome; contexts:
+    report, data_mode, stage, trust_state (without any, the context does not count)."""
+    if contexts is not None:
+        historical = (F.col("data_mode") == "strict_historical") & (F.col("stage") == "research") & (F.col("trust_state") == "pit_verified")
+        c = contexts.groupBy(by).agg(F.min(F.coalesce(historical, F.lit(False))).alias("historical"))
+        gate = promotion_gate(checks, None, required, non_waivable, by).join(c, by, "left").withColumn("historical", F.coalesce("historical", F.lit(False)))
+        return gate.withColumn("may_promote", F.col("may_promote") & F.col("historical"))
+    g = checks.groupBy(by).agg(F.array_sort(F.array_except(F.array(*[F.lit(c) for c in required]), F.collect_set("check_name"))).alias("missing"), F.count_if(F.col("outcome") == "fail").alias("n_failed"), (F.count("check_name") - F.count_distinct("check_name")).alias("n_repeated"), F.size(F.collect_set(F.when(F.col("check_name").isin(*non_waivable) & (F.col("outcome") == "pass"), F.col("check_name")))).alias("n_firm"))
+    return g.select(by, "missing", "n_failed", "n_repeated", ((F.size("missing") == 0) & (F.col("n_failed") == 0) & (F.col("n_repeated") == 0) & (F.col("n_firm") == len(non_waivable))).alias("may_promote"))
 
 
 def health(datasets: DataFrame, reports: DataFrame, by: str = "domain") -> DataFrame:
@@ -118,16 +133,25 @@ def qualify_plan(plan: DataFrame, policies: DataFrame) -> DataFrame:
     return g.withColumn("permitted", F.size("blockers") == 0)
 
 
-def jobs_nested(jobs: DataFrame, checkpoints: DataFrame, reports: DataFrame) -> DataFrame:
-    """Jobs with their checkpoints and reports as arrays, each aggregated apart so that they don't multiply."""
-    c = checkpoints.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("checkpoint_key", "status"))).alias("checkpoints"))
-    r = reports.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("report_id", "outcome"))).alias("reports"))
-    return jobs.join(c, "job_id", "left").join(r, "job_id", "left")
-
-
-def timeline(df: DataFrame, order: Sequence[Column | str], limit: int) -> DataFrame:
-    """The first rows by stable keys."""
-    return df.orderBy(*order).limit(limit)
+def dashboard(jobs: DataFrame, checkpoints: DataFrame, reports: DataFrame) -> DataFrame:
+    """Jobs with their checkpoints and reports as rows (job_id, kind, item, state, n): a row for each job, checkpoint and
+    report, and counts by state. A job of any number of checkpoints stays spread over rows."""
+    row = lambda df, kind, item, state, n: df.select("job_id", F.lit(kind).alias("kind"), item.cast("string").alias("item"), state.cast("string").alias("state"), n.cast("long").alias("n"))
+    none = F.lit(None)
+    c = checkpoints.groupBy("job_id", F.col("status").alias("state")).agg(F.count("*").alias("n"))
+    r = reports.groupBy("job_id", F.col("outcome").alias("state")).agg(F.count("*").alias("n"))
+    parts = [row(checkpoints, "checkpoint", F.col("checkpoint_key"), F.col("status"), none), row(reports, "report", F.col("report_id"), F.col("outcome"), none)]
+    parts += [row(c, "checkpoints", none, F.col("state"), F.col("n")), row(r, "reports", none, F.col("state"), F.col("n"))]
+    out = row(jobs, "job", none, none, none)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def timeline(df: DataFrame, order: Sequence[Column | str], limit: int | None = None) -> DataFrame:
+    """The rows in order of stable keys, or the first ``limit`` of them."""
+    ordered = df.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def reconcile_symbols(expected: DataFrame, observed: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -16,14 +16,17 @@ def violations(df: DataFrame, key: Sequence[str], rules: Mapping[str, Column]) -
 
 
 def bar_rules() -> dict[str, Column]:
-    o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    o, h, low, c, prev = (F.col(x) for x in ("open", "high", "low", "close", "previous_close"))
     return {
+        "missing_price": o.isNull() | h.isNull() | low.isNull() | c.isNull(),
         "non_positive_price": (F.least(o, h, low, c) <= 0),
+        "non_positive_previous_close": prev <= 0,
         "high_below_range": h < F.greatest(o, low, c),
         "low_above_range": low > F.least(o, h, c),
+        "missing_volume": F.col("volume").isNull(),
         "negative_volume": F.col("volume") < 0,
         "negative_amount": F.col("amount") < 0,
-        "bad_currency": ~F.col("currency").rlike("^[A-Z]{3}$"),
+        "bad_currency": ~F.coalesce(F.col("currency").rlike("^[A-Z]{3}$"), F.lit(False)),
     }
 
 

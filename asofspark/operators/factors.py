@@ -19,10 +19,22 @@ def quarter_points(metrics: DataFrame, lags: Sequence[int], entity: str = "entit
     return g.where("here = 1").drop("here")
 
 
-def improvement(metrics: DataFrame, seasonal: bool = True, difference_metrics: Sequence[str] = (), one_offs: DataFrame | None = None, entity: str = "entity_id") -> DataFrame:
+#: Treatments of an observation that leave its change without meaning, and the reason given.
+UNSOUND = {
+    "seasonality": ("seasonality_uncontrolled", ("uncontrolled", "unknown")),
+    "base_effect": ("base_effect_unadjusted", ("present_unadjusted", "unknown")),
+    "one_off": ("one_off_unadjusted", ("included_unadjusted", "unknown")),
+}
+
+
+def improvement(metrics: DataFrame, seasonal: bool = True, difference_metrics: Sequence[str] = (), one_offs: DataFrame | None = None, treatments: DataFrame | None = None, entity: str = "entity_id") -> DataFrame:
     """Level, trend and acceleration of each metric: the year-on-year (q against q-4) or quarter-on-quarter change, that
     of the quarter before, and their difference. Changes are ratios, for ``difference_metrics`` differences; a non-positive
-    base is unavailable. one_offs (entity, metric, q, amount) are taken off first."""
+    base is unavailable. one_offs (entity, metric, q, amount) are taken off first.
+
+    treatments (entity, metric, q, seasonality, base_effect, one_off), if given, say how each observation was prepared: one
+    without a row, or with seasonality uncontrolled, a base effect left in, one-offs left in, or any of these unknown, is
+    unavailable."""
     if one_offs is not None:
         off = one_offs.groupBy(entity, "metric", "q").agg(F.sum("amount").alias("_off"))
         metrics = metrics.join(off, [entity, "metric", "q"], "left").withColumn("value", F.col("value") - F.coalesce("_off", F.lit(0.0))).drop("_off")
@@ -36,7 +48,15 @@ def improvement(metrics: DataFrame, seasonal: bool = True, difference_metrics: S
 
     gap = F.greatest(*[F.col(f"v_{k}").isNull().cast("int") for k in {a, b, c, d}]) == 1
     base = ~plain & (F.least(F.col(f"v_{b}"), F.col(f"v_{d}")) <= 0)
-    return p.select(entity, "metric", "q", F.col("v_0").alias("level"), F.when(~gap & ~base, change(a, b)).alias("trend"), *columns(change(a, b) - change(c, d), ("missing_quarter", gap), ("non_positive_base", base)))
+    gates: list[tuple[str, Column]] = []
+    if treatments is not None:
+        t = treatments.groupBy(entity, "metric", "q").agg(*[F.min(c).alias(c) for c in UNSOUND])
+        p = p.join(t, [entity, "metric", "q"], "left")
+        gates = [("treatment_missing", F.col("seasonality").isNull()), *((name, F.col(c).isin(*bad)) for c, (name, bad) in UNSOUND.items())]
+    trend = ~gap & ~base
+    for _, holds in gates:
+        trend = trend & ~F.coalesce(holds, F.lit(False))
+    return p.select(entity, "metric", "q", F.col("v_0").alias("level"), F.when(trend, change(a, b)).alias("trend"), *columns(change(a, b) - change(c, d), *gates, ("missing_quarter", gap), ("non_positive_base", base)))
 
 
 def improvement_window(metrics: DataFrame, required: Sequence[str], lags: Sequence[int] = (0, 1, 4, 5), entity: str = "entity_id") -> DataFrame:

@@ -17,8 +17,10 @@ def identifier_at(points: DataFrame, history: DataFrame, kind: str, out: str) ->
     return seen.groupBy("listing_id", "as_of").agg(F.max_by("identifier", order).alias(out))
 
 
-def snapshot(companies: DataFrame, securities: DataFrame, listings: DataFrame, history: DataFrame, industries: DataFrame, dates: DataFrame) -> DataFrame:
-    """Listed securities on each date: company, code, name and industries. delisted_on is inclusive.
+def snapshot(companies: DataFrame, securities: DataFrame, listings: DataFrame, history: DataFrame, industries: DataFrame, dates: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """Listed securities on each date: company, code, name, industries, and the listing state and special treatment in
+    effect (states: listing_id, valid_from, valid_to, listing_state, special_treatment; NULL without any). delisted_on is
+    inclusive; of overlapping states the newest counts.
 
     dates (as_of) is a handful of rows; facts stay keyed by listing."""
     day = F.col("as_of")
@@ -28,7 +30,14 @@ def snapshot(companies: DataFrame, securities: DataFrame, listings: DataFrame, h
     ind = industries.withColumnRenamed("security_id", "_s")
     hit = alive.select("security_id", "as_of").distinct().join(ind, (F.col("security_id") == F.col("_s")) & contains(day)).groupBy("security_id", "as_of").agg(F.array_sort(F.collect_set("industry_code")).alias("industries"))
     out = base.join(code, ["listing_id", "as_of"], "left").join(name, ["listing_id", "as_of"], "left").join(hit, ["security_id", "as_of"], "left")
-    return out.select("as_of", "listing_id", "security_id", "company_id", "company_name", "exchange", "code", "name", F.coalesce("industries", F.array().cast("array<string>")).alias("industries"))
+    state = ["listing_state", "special_treatment"]
+    if states is None:
+        out = out.withColumns({c: F.lit(None).cast("string") for c in state})
+    else:
+        s = states.withColumnRenamed("listing_id", "_l")
+        now = alive.select("listing_id", "as_of").join(s, (F.col("listing_id") == F.col("_l")) & contains(day)).groupBy("listing_id", "as_of").agg(F.max(F.struct("valid_from", *state)).alias("s"))
+        out = out.join(now.select("listing_id", "as_of", *[F.col(f"s.{c}").alias(c) for c in state]), ["listing_id", "as_of"], "left")
+    return out.select("as_of", "listing_id", "security_id", "company_id", "company_name", "exchange", "code", "name", F.coalesce("industries", F.array().cast("array<string>")).alias("industries"), *state)
 
 
 def resolve_listing(requests: DataFrame, listings: DataFrame, history: DataFrame) -> DataFrame:

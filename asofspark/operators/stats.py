@@ -88,37 +88,52 @@ def decay(df: DataFrame, by: Sequence[str], horizon: str, corr: str, fraction: f
     return rows.withColumn("h", half).select(*by, "horizon", F.when(~bad[0] & ~bad[1], F.col("strength")).alias("strength"), *columns(F.col("h").cast("double"), ("insufficient_horizons", bad[0]), ("zero_initial_correlation", bad[1]), ("not_reached", F.col("h").isNull())))
 
 
-def fama_macbeth(df: DataFrame, period: str, label: str, factors: Sequence[str], min_obs: int = 3, min_periods: int = 2) -> DataFrame:
-    """Slopes of period-wise regressions with intercept, then mean, standard error (ddof 1) and t of each factor.
+def period_slopes(df: DataFrame, period: str, label: str, factors: Sequence[str], min_obs: int = 3, intercept: bool = True) -> DataFrame:
+    """Slopes b0, b1, ... of one regression a period, its size ``n`` and why it is excluded, if it is.
 
     One and two factors are closed forms of grouped moments; more go through one small least-squares per period.
     """
-    factors = list(factors)
-    rows = df.where(" and ".join(f"`{c}` is not null" for c in [label, *factors]))
-    k = len(factors)
-    enough = F.col("n") >= max(min_obs, k + 2)
+    factors, k = list(factors), len(factors)
+    whole = " and ".join(f"`{c}` is not null" for c in [label, *factors])
+    rows = df.where(whole)
+    few = F.col("n") < max(min_obs, k + 1 + intercept)
     if k <= 2:
-        aggs = [F.count("*").alias("n")] + [F.covar_pop(a, b).alias(f"s_{i}_{j}") for i, a in enumerate(factors) for j, b in enumerate([*factors, label]) if j >= i]
+        moment = F.covar_pop if intercept else lambda a, b: F.avg(F.col(a) * F.col(b))
+        aggs = [F.count("*").alias("n")] + [moment(a, b).alias(f"s_{i}_{j}") for i, a in enumerate(factors) for j, b in enumerate([*factors, label]) if j >= i]
         g = rows.groupBy(period).agg(*aggs)
         if k == 1:
             slopes = [ratio(F.col("s_0_1"), F.col("s_0_0"))]
-            sound = enough & (F.col("s_0_0") > 1e-15)
+            full = F.col("s_0_0") > 1e-15
         else:
             det = F.col("s_0_0") * F.col("s_1_1") - F.col("s_0_1") * F.col("s_0_1")
             slopes = [ratio(F.col("s_0_2") * F.col("s_1_1") - F.col("s_1_2") * F.col("s_0_1"), det), ratio(F.col("s_1_2") * F.col("s_0_0") - F.col("s_0_2") * F.col("s_0_1"), det)]
-            sound = enough & (det > 1e-12 * F.col("s_0_0") * F.col("s_1_1")) & (F.col("s_0_0") > 0) & (F.col("s_1_1") > 0)
-        g = g.select(period, sound.alias("sound"), *[F.when(sound, s).alias(f"b{i}") for i, s in enumerate(slopes)])
+            full = (det > 1e-12 * F.col("s_0_0") * F.col("s_1_1")) & (F.col("s_0_0") > 0) & (F.col("s_1_1") > 0)
+        g = g.select(period, "n", full.alias("full"), *[s.alias(f"b{i}") for i, s in enumerate(slopes)])
     else:
 
         def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.column_stack([np.ones(len(pdf)), pdf[factors].to_numpy(float)])
+            x = pdf[factors].to_numpy(float)
+            x = np.column_stack([x, np.ones(len(pdf))]) if intercept else x
             b, _, rank, _ = np.linalg.lstsq(x, pdf[label].to_numpy(float), rcond=None)
-            good = rank == k + 1 and len(pdf) >= max(min_obs, k + 2)
-            return pd.DataFrame([{period: pdf[period].iloc[0], "sound": good} | {f"b{i}": b[i + 1] if good else None for i in range(k)}])
+            return pd.DataFrame([{period: pdf[period].iloc[0], "n": len(pdf), "full": bool(rank == x.shape[1])} | {f"b{i}": b[i] for i in range(k)}])
 
         kind = rows.schema[period].dataType.simpleString()
-        g = rows.select(period, label, *factors).groupBy(period).applyInPandas(solve, f"`{period}` {kind}, sound boolean, " + ", ".join(f"b{i} double" for i in range(k)))
-    each = g.select(period, "sound", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"b{i}").alias("b")) for i, f in enumerate(factors)])).alias("x")).select(period, "sound", "x.*")
+        g = rows.select(period, label, *factors).groupBy(period).applyInPandas(solve, f"`{period}` {kind}, n long, full boolean, " + ", ".join(f"b{i} double" for i in range(k)))
+    g = df.groupBy(period).agg(F.count_if(F.expr(whole)).alias("_n")).where("_n = 0").select(period, F.col("_n").alias("n"), F.lit(False).alias("full")).unionByName(g, allowMissingColumns=True)
+    g = g.withColumn("excluded_reason", F.when(few, "insufficient_observations").when(~F.col("full"), "rank_deficient"))
+    return g.select(period, "n", "excluded_reason", *[F.when(F.col("excluded_reason").isNull(), F.col(f"b{i}")).alias(f"b{i}") for i in range(k)])
+
+
+def excluded_periods(df: DataFrame, period: str, label: str, factors: Sequence[str], min_obs: int = 3, intercept: bool = True) -> DataFrame:
+    """The periods that ``fama_macbeth`` leaves out, with their size and reason."""
+    return period_slopes(df, period, label, factors, min_obs, intercept).where("excluded_reason is not null").select(period, "n", "excluded_reason")
+
+
+def fama_macbeth(df: DataFrame, period: str, label: str, factors: Sequence[str], min_obs: int = 3, min_periods: int = 2, intercept: bool = True) -> DataFrame:
+    """Mean of period-wise slopes, standard error (ddof 1) and t of each factor."""
+    g = period_slopes(df, period, label, factors, min_obs, intercept)
+    sound = F.col("excluded_reason").isNull()
+    each = g.select(sound.alias("sound"), F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"b{i}").alias("b")) for i, f in enumerate(factors)])).alias("x")).select("sound", "x.*")
     out = each.groupBy("factor").agg(F.count_if("sound").alias("n_periods"), F.count_if(~F.col("sound")).alias("n_excluded"), F.avg("b").alias("m"), F.stddev_samp("b").alias("sd"))
     se = F.col("sd") / F.sqrt("n_periods")
     few = F.col("n_periods") < max(2, min_periods)
@@ -173,14 +188,14 @@ def newey_west(df: DataFrame, by: Sequence[str], order: str, value: str, max_lag
 
 
 def block_bootstrap(df: DataFrame, by: Sequence[str], order: str, value: str, block: int, resamples: int, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """Circular block bootstrap interval of a mean. Starts are hashes of (seed, group, resample, block): the same on any
+    """Circular block bootstrap interval of a mean. Starts are MD5 hashes of (seed, group, resample, block): the same on any
     partitioning. The series are periods of a study; resamples x blocks of each are spread over the cluster."""
     w = Window.partitionBy(*by)
     rows = df.select(*by, F.col(value).cast("double").alias("v"), (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.count("*").over(w).alias("n"))
     sizes = rows.groupBy(*by).agg(F.max("n").alias("n"), F.count_if(F.col("v").isNull()).alias("gaps"), F.avg("v").alias("m"))
     runs = sizes.where((F.col("gaps") == 0) & (F.col("n") >= block)).select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
     blocks = runs.select(*by, "n", "resample", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))).alias("b"))
-    start = F.pmod(F.xxhash64(F.lit(seed), *by, "resample", "b"), F.col("n"))
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("resample").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))
     picks = blocks.select(*by, "n", "resample", "b", start.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("_k")).where(F.col("b") * block + F.col("_k") < F.col("n")).select(*by, "resample", F.pmod(F.col("_s") + F.col("_k"), F.col("n")).alias("i"))
     means = picks.join(rows.select(*by, "i", "v"), [*by, "i"]).groupBy(*by, "resample").agg(F.avg("v").alias("v"))
     tail = (1 - confidence) / 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,15 +53,42 @@ def pivot_inputs(facts: DataFrame, keys: Sequence[str], name: str, value: str, i
     return facts.where(F.col(name).isin(*inputs)).groupBy(*keys).agg(*[F.max(F.when(F.col(name) == c, F.col(value))).alias(c) for c in inputs])
 
 
-def snapshot(df: DataFrame, by: Sequence[str], entity: str, value: str, industry: str, size: str, version: str, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
-    """Stages raw, winsorized, standardized and neutralized as rows with a content id of (version, stage, keys)."""
+def feature(facts: DataFrame, keys: Sequence[str], inputs: Mapping[str, tuple[str, str | None]], expression: str, missing: str = "unavailable") -> DataFrame:
+    """A feature formula over long facts (keys, metric, value, unit, currency, period): one row a key.
+
+    inputs: metric -> (unit, currency or None). An input of another unit or currency, or inputs of several periods, make
+    the row unavailable; a missing input makes it unavailable or, by the policy ``reject``, rejected: such a row must not
+    be stored as a feature at all. Of several facts of one metric and key the greatest value counts."""
+    if missing not in ("unavailable", "reject"):
+        raise ValueError("missing is unavailable or reject")
+    m = F.col("metric")
+    unit = F.coalesce(*[F.when(m == n, F.lit(u)) for n, (u, _) in inputs.items()])
+    currency = F.coalesce(*[F.when(m == n, F.lit(c)) for n, (_, c) in inputs.items()])
+    own = facts.where(m.isin(*inputs) & F.col("value").isNotNull()).withColumns({"_u": ~F.col("unit").eqNullSafe(unit), "_c": currency.isNotNull() & ~F.col("currency").eqNullSafe(currency)})
+    picks = [F.max(F.when(m == n, F.col("value"))).alias(n) for n in inputs]
+    every = facts.select(*keys).distinct()
+    g = own.groupBy(*keys).agg(*picks, F.max("_u").alias("_u"), F.max("_c").alias("_c"), F.count_distinct("period").alias("_p"))
+    g = every.join(g, list(keys), "left")
+    gaps = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in inputs]))
+    value = F.expr(expression).cast("double")
+    g = g.withColumn("missing_inputs", gaps)
+    out = g.select(*keys, "missing_inputs", *columns(value, ("missing_input", F.size("missing_inputs") > 0), ("unit_mismatch", F.col("_u")), ("currency_mismatch", F.col("_c")), ("period_mismatch", F.col("_p") > 1), ("undefined", value.isNull())))
+    if missing == "reject":
+        out = out.withColumn("status", F.when(F.size("missing_inputs") > 0, "rejected").otherwise(F.col("status")))
+    return out
+
+
+def snapshot(df: DataFrame, by: Sequence[str], entity: str, value: str, industry: str, size: str, version: str, lower: float = 0.01, upper: float = 0.99, formula: str = "") -> DataFrame:
+    """Stages raw, winsorized, standardized and neutralized as rows with a content id of (version,
+    hash of the formula, stage, keys, raw input, value); numbers count in millionths."""
     keys = [*by, entity, industry, size]
     base = df.select(*keys, F.col(value).cast("double").alias("raw"))
     w = winsorize(base, by, "raw", lower, upper).select(*keys, "raw", F.col("value").alias("winsorized"))
     z = zscore(w, by, "winsorized").select(*keys, "raw", "winsorized", F.col("value").alias("standardized"))
-    n = neutralize(z, by, "standardized", industry, size).select(*by, entity, "raw", "winsorized", "standardized", F.col("value").alias("neutralized"))
-    stages = n.unpivot([*by, entity], ["raw", "winsorized", "standardized", "neutralized"], "stage", "value")
-    content = F.sha2(F.concat_ws("|", F.lit(version), "stage", *[F.col(c).cast("string") for c in [*by, entity]]), 256)
+    n = neutralize(z, by, "standardized", industry, size).select(*by, entity, F.col("raw").alias("input"), "raw", "winsorized", "standardized", F.col("value").alias("neutralized"))
+    stages = n.unpivot([*by, entity, "input"], ["raw", "winsorized", "standardized", "neutralized"], "stage", "value")
+    number = lambda c: F.coalesce(F.floor(F.col(c) * 1e6 + 0.5).cast("string"), F.lit(""))
+    content = F.sha2(F.concat_ws("|", F.lit(version), F.sha2(F.lit(formula), 256), "stage", *[F.col(c).cast("string") for c in [*by, entity]], number("input"), number("value")), 256)
     return stages.select(*by, entity, "stage", content.alias("snapshot_id"), "value", F.when(F.col("value").isNull(), "unavailable").otherwise("quantified").alias("status"))
 
 

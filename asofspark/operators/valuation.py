@@ -36,14 +36,24 @@ def ratios(x: DataFrame, keys: Sequence[str] = ("security_id",), template: str =
 
 
 def peers(memberships: DataFrame, subjects: DataFrame, min_peers: int = 2) -> DataFrame:
-    """Each subject's newest effective industry and all securities in it that day. subjects: security_id, as_of."""
+    """Each subject's newest effective industry and how many other securities are in it that day; ``members`` lists
+    these, once for each industry and day. subjects: security_id, as_of."""
     day = F.col("as_of")
     m = memberships.withColumnRenamed("security_id", "_s")
     own = subjects.join(m, (F.col("security_id") == F.col("_s")) & contains(day)).withColumn("_n", F.row_number().over(Window.partitionBy("security_id", "as_of").orderBy(F.desc("valid_from"), "taxonomy", "industry_code"))).where("_n = 1").select("security_id", "as_of", "taxonomy", "industry_code")
-    p = memberships.select(F.col("taxonomy").alias("_t"), F.col("industry_code").alias("_i"), F.col("security_id").alias("peer_id"), "valid_from", "valid_to")
-    both = own.join(p, (F.col("taxonomy") == F.col("_t")) & (F.col("industry_code") == F.col("_i")) & contains(day) & (F.col("peer_id") != F.col("security_id")), "left")
-    g = both.groupBy("security_id", "as_of", "taxonomy", "industry_code").agg(F.count_distinct("peer_id").alias("n_peers"), F.array_sort(F.collect_set("peer_id")).alias("peers"))
-    return g.withColumn("status", F.when(F.col("n_peers") >= min_peers, "quantified").otherwise("unavailable"))
+    group = ["as_of", "taxonomy", "industry_code"]
+    every = members(memberships, own.select(*group).distinct())
+    g = own.join(every.groupBy(*group).agg(F.count("*").alias("_all")), group, "left").join(every.withColumn("_in", F.lit(1)), [*group, "security_id"], "left")
+    n = F.coalesce("_all", F.lit(0)) - F.coalesce("_in", F.lit(0))
+    return g.select("security_id", *group, n.alias("n_peers"), F.when(n >= min_peers, "quantified").otherwise("unavailable").alias("status"))
+
+
+def members(memberships: DataFrame, groups: DataFrame) -> DataFrame:
+    """The securities of each group (as_of, taxonomy, industry_code) on its day, each once. A subject's peers are the other
+    members of its group; the pairs are left to whoever needs them."""
+    p = memberships.select(F.col("taxonomy").alias("_t"), F.col("industry_code").alias("_i"), "security_id", "valid_from", "valid_to")
+    hit = groups.join(p, (F.col("taxonomy") == F.col("_t")) & (F.col("industry_code") == F.col("_i")) & contains(F.col("as_of")))
+    return hit.select("as_of", "taxonomy", "industry_code", "security_id").distinct()
 
 
 def relative(r: DataFrame, history: DataFrame, group: str = "industry", min_group: int = 3, keys: Sequence[str] = ("security_id",)) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asofspark.functions.scalars import signed_percent
+
 from .status import columns, ratio
 
 COMPONENTS = ("quality", "valuation", "revision", "event")
@@ -29,22 +31,27 @@ def calibrate(views: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def mature(views: DataFrame, prices: DataFrame, outcomes: DataFrame, horizon: int, today: str) -> DataFrame:
-    """Views without an outcome: matured with the return over ``horizon`` sessions after decision, pending, or unavailable.
+    """Views without an outcome: matured with the return of the adjusted close over ``horizon`` sessions after decision,
+    pending, or unavailable for want of a price, of its source or of the adjustment for corporate actions.
 
-    prices: security_id, session_date, close. The sessions of a security are numbered once; decision and end are then two
-    equi joins on (security, number)."""
+    prices: security_id, session_date, close and, if known, multiplier (the adjustment) and source_id; without these
+    columns closes count as adjusted and sourced. The sessions of a security are numbered once; decision and end are then
+    two equi joins on (security, number)."""
     w = Window.partitionBy("security_id").orderBy("session_date")
-    p = prices.select("security_id", "session_date", "close", F.row_number().over(w).alias("i"), F.lead("session_date").over(w).alias("nxt"))
+    multiplier = F.col("multiplier").cast("double") if "multiplier" in prices.columns else F.lit(1.0)
+    sourced = F.col("source_id").isNotNull() if "source_id" in prices.columns else F.lit(True)
+    p = prices.select("security_id", "session_date", (F.col("close") * multiplier).alias("adjusted"), sourced.alias("sourced"), F.row_number().over(w).alias("i"))
     open_views = views.join(outcomes.select("view_id"), "view_id", "left_anti").select("view_id", "security_id", "decision_date")
     from .scd import asof
 
-    start = asof(open_views, p, ["security_id"], "decision_date", "session_date", ["close", "i"])
-    end = p.select("security_id", F.col("i").alias("_j"), F.col("close").alias("c1"), F.col("session_date").alias("realized_at"))
+    start = asof(open_views, p, ["security_id"], "decision_date", "session_date", ["adjusted", "sourced", "i"])
+    end = p.select("security_id", F.col("i").alias("_j"), F.col("adjusted").alias("a1"), F.col("sourced").alias("s1"), F.col("session_date").alias("realized_at"))
     x = start.withColumn("_j", F.col("i") + horizon).join(end, ["security_id", "_j"], "left")
     late = F.col("realized_at").isNull() | (F.col("realized_at") > F.lit(today).cast("date"))
-    state = F.when(F.col("i").isNull(), "unavailable").when(late, "pending").otherwise("mature")
-    why = F.when(F.col("i").isNull(), "price_missing").when(late, "horizon_not_reached")
-    return x.select("view_id", "security_id", "decision_date", F.when(state == "mature", F.col("realized_at")).alias("realized_at"), F.when(state == "mature", ratio(F.col("c1"), F.col("close")) - 1).alias("realized_return"), state.alias("status"), why.alias("reason"))
+    why = F.when(F.col("i").isNull(), "price_missing").when(~F.col("sourced"), "source_missing").when(late, "horizon_not_reached").when(~F.col("s1"), "source_missing").when(F.col("adjusted").isNull() | F.col("a1").isNull(), "actions_missing")
+    x = x.withColumn("reason", why)
+    state = F.when(F.col("reason").isNull(), "mature").when(F.col("reason") == "horizon_not_reached", "pending").otherwise("unavailable")
+    return x.select("view_id", "security_id", "decision_date", F.when(state == "mature", F.col("realized_at")).alias("realized_at"), F.when(state == "mature", ratio(F.col("a1"), F.col("adjusted")) - 1).alias("realized_return"), state.alias("status"), "reason")
 
 
 def latest_screen(screens: DataFrame, binding: Sequence[str]) -> DataFrame:
@@ -89,10 +96,6 @@ def industry_peers(screens: DataFrame, limit: int = 5) -> DataFrame:
     return g.select("snapshot_id", "security_id", F.transform("p", lambda x: x["peer_id"]).alias("peers"))
 
 
-def signed_percent(c: Column) -> Column:
-    return F.when(c.isNull(), "unavailable").otherwise(F.concat(F.when(c >= 0, "+").otherwise("-"), F.format_string("%.1f", F.abs(c) * 100), F.lit("%")))
-
-
 def project(screens: DataFrame, views: DataFrame, components: DataFrame) -> DataFrame:
     """Screen rows for display: signed text, the 80 % interval, its bar, and components by name."""
     parts = components.groupBy("view_id").agg(F.array_sort(F.collect_list(F.struct("component", "contribution"))).alias("c"))

@@ -66,16 +66,48 @@ def a6_decay(v):
     return stats.decay(v.decay, ["series"], "horizon", "value", 0.8).select("series", "horizon", *r("strength", "value"), "status", "unavailable_reason")
 
 
-@query("""with g as (select session_date, count(*) as n, covar_pop(score, score) as sxx, covar_pop(score, fwd) as sxy from {panel} where fwd is not null group by 1), b as (select case when n >= 10 and sxx > 1e-15 then sxy / sxx end as b from g),
-    m as (select count(b) as n, count(*) - count(b) as x, avg(b) as m, stddev_samp(b) as sd from b)
-    select 'score' as factor, n as n_periods, x as n_excluded, round(m, 6) as value, 'quantified' as status, cast(null as varchar) as unavailable_reason, round(sd / sqrt(n), 6) as standard_error, round(m / (sd / sqrt(n)), 6) as t_value from m""")
+def _fama(moment: str, factors: list[str], least: int) -> str:
+    """Period slopes by Cramer's rule on moments, then their means."""
+    k = len(factors)
+    m = {(i, j): f"s_{min(i, j)}_{max(i, j)}" for i in range(k) for j in range(k)} | {(i, k): f"s_{i}_{k}" for i in range(k)}
+    names = [*factors, "fwd"]
+    sums = ", ".join(f"{moment.format(names[i], names[j])} as s_{i}_{j}" for i in range(k) for j in range(i, k + 1))
+
+    def det(cols: list[int], rows: tuple[int, ...]) -> str:
+        if len(rows) == 1:
+            return m[rows[0], cols[0]]
+        return "(" + " ".join(f"{'-' if n % 2 else '+'} {m[rows[0], c]} * {det([x for x in cols if x != c], rows[1:])}" for n, c in enumerate(cols)) + ")"
+
+    rows = tuple(range(k))
+    slopes = [f"{det([k if c == i else c for c in range(k)], rows)} / {det(list(range(k)), rows)}" for i in range(k)]
+    each = " union all ".join(f"select '{f}' as factor, case when n >= {least} then {s} end as b from g" for f, s in zip(factors, slopes, strict=True))
+    return f"""with g as (select session_date, count(fwd) as n, {sums} from (select session_date, score, tax, size, fwd from {{panel}}) where fwd is not null group by 1 union all select session_date, 0, {", ".join("null" for i in range(k) for j in range(i, k + 1))} from {{panel}} group by 1 having count(fwd) = 0),
+    b as ({each}), a as (select factor, count(b) as n, count(*) - count(b) as x, avg(b) as m, stddev_samp(b) as sd from b group by 1)
+    select factor, n as n_periods, x as n_excluded, round(m, 6) as value, 'quantified' as status, cast(null as varchar) as unavailable_reason, round(sd / sqrt(n), 6) as standard_error, round(m / (sd / sqrt(n)), 6) as t_value from a"""
+
+
+def _of_fama(x):
+    return x.select("factor", "n_periods", "n_excluded", *r("value"), "status", "unavailable_reason", *r("standard_error", "t_value"))
+
+
+@query(_fama("covar_pop({}, {})", ["score"], 10))
 def a7_fama_macbeth(v):
-    return stats.fama_macbeth(v.panel, "session_date", "fwd", ["score"], 10).select("factor", "n_periods", "n_excluded", *r("value"), "status", "unavailable_reason", *r("standard_error", "t_value"))
+    return _of_fama(stats.fama_macbeth(v.panel, "session_date", "fwd", ["score"], 10))
 
 
-@query()
+@query(_fama("covar_pop({}, {})", ["score", "tax", "size"], 10))
 def a7_fama_macbeth_three_factors(v):
-    return stats.fama_macbeth(v.panel, "session_date", "fwd", ["score", "tax", "size"], 10).select("factor", "n_periods", "n_excluded", *r("value"), "status", "unavailable_reason", *r("standard_error", "t_value"))
+    return _of_fama(stats.fama_macbeth(v.panel, "session_date", "fwd", ["score", "tax", "size"], 10))
+
+
+@query(_fama("avg({} * {})", ["score", "size"], 10))
+def a7_fama_macbeth_without_intercept(v):
+    return _of_fama(stats.fama_macbeth(v.panel, "session_date", "fwd", ["score", "size"], 10, intercept=False))
+
+
+@query("select session_date, count(fwd) as n, 'insufficient_observations' as excluded_reason from {panel} group by 1 having count(fwd) < 10")
+def a7_excluded_periods(v):
+    return stats.excluded_periods(v.panel, "session_date", "fwd", ["score"], 10)
 
 
 @query("""with x as (select value, 'regime' as dimension, regime as slice from {ic_series} union all select value, 'subperiod', cast(subperiod as varchar) from {ic_series} union all select value, 'all', 'all' from {ic_series}),
@@ -102,9 +134,12 @@ def n11_newey_west(v):
     return stats.newey_west(v.ic_series, ["series"], "session_date", "value", 3).select("series", "n_obs", *r("value", digits=8), "status", "unavailable_reason", *r("standard_error", digits=8), *r("t_value"))
 
 
-@query()
+@query("""with s as (select series, value, row_number() over (partition by series order by session_date) - 1 as i, count(*) over (partition by series) as n from {ic_series}), z as (select series, count(*) as n, count(*) - count(value) as gaps, avg(value) as m from s group by 1),
+    k as (select series, n, resample, b, cast('0x' || substr(md5('0|' || series || '|' || resample || '|' || b), 1, 8) as bigint) % n as s0 from z, range(500) a(resample), lateral (select unnest(range((n - 1) // 6 + 1)) as b) where gaps = 0 and n >= 6),
+    p as (select k.series, resample, avg(value) as v from k, range(6) o(j) join s on s.series = k.series and s.i = (k.s0 + j) % k.n where b * 6 + j < k.n group by 1, 2), e as (select series, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from p group by 1)
+    select series, n as n_obs, case when reason is null then round(m, 6) end as value, {status}, round(lo, 6) as lower, round(hi, 6) as upper from (select *, case when gaps > 0 then 'missing_value' when n < 6 then 'block_longer_than_series' end as reason from z left join e using (series))""".replace("{status}", STATUS))
 def x6_block_bootstrap(v):
-    return stats.block_bootstrap(v.ic_series, ["series"], "session_date", "value", 6, 500)
+    return stats.block_bootstrap(v.ic_series, ["series"], "session_date", "value", 6, 500).select("series", "n_obs", *r("value"), "status", "unavailable_reason", *r("lower", "upper"))
 
 
 SAMPLES = "select series, cast(session_date as varchar(10)) as sample_id, i as session_index, i + 3 as label_end_session_index, value is not null and i % 7 <> 5 as available from (select *, row_number() over (partition by series order by session_date) + 40 as i from {ic_series}) x"
@@ -160,28 +195,40 @@ def x4_feature_formula(v):
     return transforms.formula(wide, ["revenue", "profit"], "try_divide(profit, revenue)").select("entity_id", "q", F.array_join("missing_inputs", ",").alias("missing_inputs"), *r("value"), "status", "unavailable_reason")
 
 
+TYPED = """select entity_id, q, metric, value, case when metric = 'revenue' and entity_id % 17 = 3 then 'ratio' else 'currency' end as unit, case when metric = 'profit' and entity_id % 9 = 2 then 'USD' else 'CNY' end as currency,
+    case when metric = 'profit' and (entity_id + q) % 13 = 0 then q - 1 else q end as period from {metrics} where metric <> 'margin'"""
+
+
+@query("""with p as (select entity_id, q, max(case when metric = 'revenue' then value end) as revenue, max(case when metric = 'profit' then value end) as profit, bool_or(unit <> 'currency') as u, bool_or(currency <> 'CNY') as c, count(distinct period) as n from (""" + TYPED + """) group by 1, 2)
+    select entity_id, q, concat_ws(',', case when revenue is null then 'revenue' end, case when profit is null then 'profit' end) as missing_inputs, case when reason is null then round(profit / revenue, 6) end as value, case when reason = 'missing_input' then 'rejected' when reason is not null then 'unavailable' else 'quantified' end as status, reason as unavailable_reason from
+    (select *, case when profit is null or revenue is null then 'missing_input' when u then 'unit_mismatch' when c then 'currency_mismatch' when n > 1 then 'period_mismatch' when revenue = 0 then 'undefined' end as reason from p)""")
+def x4_feature_definition(v):
+    x = transforms.feature(v.sql(TYPED), ["entity_id", "q"], {"revenue": ("currency", "CNY"), "profit": ("currency", "CNY")}, "try_divide(profit, revenue)", "reject")
+    return x.select("entity_id", "q", F.array_join("missing_inputs", ",").alias("missing_inputs"), *r("value"), "status", "unavailable_reason")
+
+
 @query("""with raw as (select session_date, listing_id, industry, size, fwd as raw from {panel}), b as (select session_date, quantile_cont(raw, 0.01) as lo, quantile_cont(raw, 0.99) as hi, count(raw) as n from raw group by 1),
     w as (select raw.*, case when raw is not null and n >= 2 then least(greatest(raw, lo), hi) end as win from raw join b using (session_date)),
     z as (select *, case when count(win) over t >= 2 and stddev_samp(win) over t > 0 then (win - avg(win) over t) / stddev_samp(win) over t end as std from w window t as (partition by session_date)),
     d as (select *, std - avg(std) over t as yd, x - avg(x) over t as xd from (select *, case when std is not null then size end as x, case when std is not null then industry end as i from z) window t as (partition by session_date, i)),
     e as (select *, count(std) over t as n, count(distinct i) over t as k, sum(xd * yd) over t as xy, sum(xd * xd) over t as xx from d window t as (partition by session_date)),
-    s as (select session_date, listing_id, 'raw' as stage, raw as value from e union all select session_date, listing_id, 'winsorized', win from e union all select session_date, listing_id, 'standardized', std from e
-        union all select session_date, listing_id, 'neutralized', case when std is not null and n > k + 1 and xx > 1e-12 then yd - xy / xx * xd end from e)
-    select session_date, listing_id, stage, sha256('v1|' || stage || '|' || cast(session_date as varchar) || '|' || cast(listing_id as varchar)) as snapshot_id, round(value, 6) as value, case when value is null then 'unavailable' else 'quantified' end as status from s""")
+    s as (select session_date, listing_id, raw, 'raw' as stage, raw as value from e union all select session_date, listing_id, raw, 'winsorized', win from e union all select session_date, listing_id, raw, 'standardized', std from e
+        union all select session_date, listing_id, raw, 'neutralized', case when std is not null and n > k + 1 and xx > 1e-12 then yd - xy / xx * xd end from e)
+    select session_date, listing_id, stage, sha256('v1|' || sha256('fwd') || '|' || stage || '|' || cast(session_date as varchar) || '|' || cast(listing_id as varchar) || '|' || coalesce(cast(cast(floor(raw * 1e6 + 0.5) as bigint) as varchar), '') || '|' || coalesce(cast(cast(floor(value * 1e6 + 0.5) as bigint) as varchar), '')) as snapshot_id, round(value, 6) as value, case when value is null then 'unavailable' else 'quantified' end as status from s""")
 def x5_feature_snapshots(v):
-    return transforms.snapshot(v.panel, BY, "listing_id", "fwd", "industry", "size", "v1").select("session_date", "listing_id", "stage", "snapshot_id", *r("value"), "status")
+    return transforms.snapshot(v.panel, BY, "listing_id", "fwd", "industry", "size", "v1", formula="fwd").select("session_date", "listing_id", "stage", "snapshot_id", *r("value"), "status")
 
 
 PRICES = "select listing_id, session_date, close, volume > 100 as tradable from {bars}"
+#: A month after each month with a trade, and that month itself: the next one may have none.
+ASKED = "select listing_id, session_date from {bars} union select listing_id, cast(session_date + interval 1 month as date) from {bars}"
 
 
 @query("""select listing_id, session_date, end_session, case when reason is null then round((c1 - close) / close, 6) end as value, {status} from (select *, case when tradable is null then 'decision_session_missing' when end_session is null then 'horizon_incomplete' when not tradable or not t1 then 'not_tradable' end as reason from
-    (select l.listing_id, d.session_date, p.* exclude (listing_id, session_date) from (select distinct listing_id from {bars}) l cross join (select distinct session_date from {bars}) d left join
-    (select *, lead(close, 6) over w as c1, lead(tradable, 6) over w as t1, lead(session_date, 6) over w as end_session from (""".replace("{status}", STATUS) + PRICES + """) window w as (partition by listing_id order by session_date)) p on p.listing_id = l.listing_id and p.session_date = d.session_date))""")
+    (select d.listing_id, d.session_date, p.* exclude (listing_id, session_date) from (""".replace("{status}", STATUS) + ASKED + """) d left join
+    (select *, lead(close, 6) over w as c1, lead(tradable, 6) over w as t1, lead(session_date, 6) over w as end_session from (""" + PRICES + """) window w as (partition by listing_id order by session_date)) p on p.listing_id = d.listing_id and p.session_date = d.session_date))""")
 def n1_forward_return(v):
-    b = v.bars
-    every = b.select("listing_id").distinct().crossJoin(b.select("session_date").distinct())
-    return transforms.forward_return(v.sql(PRICES), 6, every).select("listing_id", "session_date", "end_session", *r("value"), "status", "unavailable_reason")
+    return transforms.forward_return(v.sql(PRICES), 6, v.sql(ASKED)).select("listing_id", "session_date", "end_session", *r("value"), "status", "unavailable_reason")
 
 
 VOL = """select listing_id, session_date, case when n >= 20 then stddev_samp(x) over w * sqrt(244.0) end as vol, n from (select *, count(x) over (partition by listing_id order by session_date rows between 19 preceding and current row) as n from
@@ -332,7 +379,7 @@ def n4_next_session(v):
 
 # -- slowly changing tables ---------------------------------------------------------------------------------------
 
-OBSERVED = "select o_custkey as k, cast(o_orderdate as date) as seen, case when o_totalprice > 250000 then 'high' else 'low' end as state from {orders} where o_custkey % 3 = 0"
+OBSERVED = "select o_custkey as k, cast(o_orderdate as date) as seen, case when o_totalprice > 250000 then 'high' else 'low' end as state from {orders}"
 
 
 @query("""with d as (select k, seen, count(distinct state) as n, min(state) as state from (""" + OBSERVED + """) group by 1, 2), s as (select *, coalesce(lag(state) over w = state and lag(n) over w = 1 and n = 1, false) as same from d window w as (partition by k order by seen))
@@ -358,7 +405,7 @@ def f7_valid_at(v):
     return scd.valid_at(v.identifiers, F.lit("1998-03-01").cast("date")).select("listing_id", "kind", "identifier")
 
 
-SPANS = "select o_custkey as k, cast(o_orderdate as date) as valid_from, cast(o_orderdate + interval 40 day as date) as valid_to from {orders} where o_custkey % 4 = 1"
+SPANS = "select o_custkey as k, cast(o_orderdate as date) as valid_from, cast(o_orderdate + interval 40 day as date) as valid_to from {orders}"
 
 
 @query("select k, valid_from, valid_to, earlier_end from (select *, max(valid_to) over (partition by k order by valid_from, valid_to rows between unbounded preceding and 1 preceding) as earlier_end from (" + SPANS + ")) where earlier_end > valid_from")

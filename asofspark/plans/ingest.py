@@ -12,7 +12,10 @@ from .testdata import Registry
 
 query = Registry()
 
-RAW = "select lpad(cast(l_suppkey as varchar(9)), 6, '0') as code, cast(cast(l_shipdate as date) as varchar(10)) as date, case when l_quantity > 5 then '1' else '0' end as tradestatus, case l_linenumber % 3 when 0 then '1' when 1 then '0' else '' end as isST, case when l_tax = 0 then '' else cast(cast(floor(l_extendedprice) as bigint) as varchar(20)) end as close, cast(cast(l_quantity as bigint) as varchar(9)) as volume, cast(cast(floor(l_extendedprice) as bigint) as varchar(20)) as amount from {lineitem}"
+RAW = """select lpad(cast(l_suppkey as varchar(9)), 6, '0') as code, cast(cast(l_shipdate as date) as varchar(10)) as date, case when l_quantity > 5 then '1' else '0' end as tradestatus, case l_linenumber % 3 when 0 then '1' when 1 then '0' else '' end as isST, cast(cast(l_quantity as bigint) + 100 as varchar(9)) as open, cast(cast(l_quantity as bigint) + 103 as varchar(9)) as high,
+    case when l_linenumber = 2 then '--' else cast(cast(l_quantity as bigint) + 98 as varchar(9)) end as low, case when l_tax = 0 then '' else cast(cast(floor(l_extendedprice) as bigint) as varchar(20)) end as close, cast(cast(l_quantity as bigint) + 99 as varchar(9)) as preclose, cast(cast(l_quantity as bigint) as varchar(9)) as volume, cast(cast(floor(l_extendedprice) as bigint) as varchar(20)) as amount from {lineitem}"""
+KLINES = """select 'SH.' || lpad(cast(l_suppkey as varchar(9)), 6, '0') as code, cast(cast(l_shipdate as date) as varchar(10)) || ' 00:00:00' as time_key, cast(cast(l_quantity as bigint) + 100 as varchar(9)) as open, cast(cast(l_quantity as bigint) + 103 as varchar(9)) as high, cast(cast(l_quantity as bigint) + 98 as varchar(9)) as low,
+    cast(cast(floor(l_extendedprice) as bigint) as varchar(20)) as close, '' as last_close, case when l_quantity > 10 then cast(cast(l_quantity as bigint) as varchar(9)) else '0' end as volume, cast(cast(floor(l_extendedprice) as bigint) as varchar(20)) as turnover from {lineitem}"""
 CODES = "select lpad(cast(s_suppkey as varchar(9)), 6, '0') as code, s_suppkey as listing_id from {supplier} where s_suppkey % 7 <> 1"
 
 
@@ -21,11 +24,29 @@ def s7_daily_states(v):
     return ingest.split_daily(v.sql(RAW), v.sql(CODES))[0]
 
 
-@query(f"select r.code, cast(r.date as date) as session_date, try_cast(close as double) as close, try_cast(volume as bigint) as volume, try_cast(amount as double) as amount, c.listing_id from ({RAW}) r left join ({CODES}) c using (code) where tradestatus = '1'")
+@query(f"select r.code, cast(r.date as date) as session_date, try_cast(open as double) as open, try_cast(high as double) as high, try_cast(low as double) as low, try_cast(close as double) as close, try_cast(preclose as double) as previous_close, try_cast(volume as bigint) as volume, try_cast(amount as double) as amount, c.listing_id from ({RAW}) r left join ({CODES}) c using (code) where tradestatus = '1'")
 def s13_daily_bars_routed(v):
     return ingest.split_daily(v.sql(RAW), v.sql(CODES))[1]
 
 
+@query(f"select r.code, r.session_date, open, high, low, close, cast(null as double) as previous_close, volume, amount, c.listing_id from (select substr(code, 4) as code, cast(substr(time_key, 1, 10) as date) as session_date, cast(open as double) as open, cast(high as double) as high, cast(low as double) as low, cast(close as double) as close, cast(volume as bigint) as volume, cast(turnover as double) as amount from ({KLINES})) r left join ({CODES}) c using (code) where volume > 0")
+def s13_klines_routed(v):
+    return ingest.split_daily(ingest.daily(v.sql(KLINES), "klines"), v.sql(CODES))[1]
+
+
+@query(f"select substr(r.code, 4) as code, cast(substr(time_key, 1, 10) as date) as session_date, cast(volume as bigint) > 0 as is_trading, cast(volume as bigint) <= 0 as is_suspended, cast(null as boolean) as special_treatment, c.listing_id from ({KLINES}) r left join ({CODES}) c on c.code = substr(r.code, 4)")
+def s7_kline_states(v):
+    return ingest.split_daily(ingest.daily(v.sql(KLINES), "klines"), v.sql(CODES))[0]
+
+
+HELD = "select lpad(cast(l_suppkey as varchar(9)), 6, '0') as code, case when l_linenumber = 6 then '-' else cast(cast(l_shipdate as date) as varchar(10)) end as change_date, case when l_quantity > 45 then null else cast(cast(l_quantity as bigint) as varchar(9)) || ',000.5' end as total, cast(cast(l_quantity as bigint) as varchar(9)) || '00' as circulating, case when l_tax > 0.05 then '--' else cast(l_linenumber as varchar(9)) end as restricted from {lineitem}"
+
+
+@query(f"with x as (select distinct code, try_cast(change_date as date) as effective_on, cast(round(try_cast(replace(total, ',', '') as double) * 10000) as bigint) as total_shares, cast(round(try_cast(replace(circulating, ',', '') as double) * 10000) as bigint) as circulating_shares, cast(round(try_cast(replace(restricted, ',', '') as double) * 10000) as bigint) as restricted_shares from ({HELD})) select *, sha256(concat_ws('|', code, cast(effective_on as varchar), cast(total_shares as varchar), cast(circulating_shares as varchar), coalesce(cast(restricted_shares as varchar), ''))) as record_id from x where total_shares is not null and effective_on is not null")
+def s8_share_capital(v):
+    return ingest.share_capital(v.sql(HELD))
+
+
 TERMS = "select l_orderkey as code, cast(cast(l_shipdate as date) as varchar(10)) as ex_date, case when l_returnflag = 'A' then cast(cast(l_quantity as bigint) as varchar(9)) end as cash, case when l_linestatus = 'F' then cast(cast(l_linenumber as bigint) as varchar(9)) end as bonus, cast(null as varchar(9)) as transfer from {lineitem}"
 
 
@@ -93,8 +114,8 @@ def s21_unit_receipts(v):
     return ingest.observations(_mapped(v), v.sql(COMPANIES), v.sql(UNITS))[1]
 
 
-OLD = "select o_orderkey as id, 'h' || cast(o_orderkey % 5000 as varchar(9)) as content_hash from {orders} where o_orderkey < 5000"
-NEW = "select case when o_orderkey % 11 = 0 then o_orderkey % 4000 else o_orderkey end as id, 'h' || cast(case when o_orderkey % 13 = 0 then o_orderkey + 7 else o_orderkey end as varchar(9)) as content_hash from {orders} where o_orderkey between 3000 and 9000"
+OLD = "select o_orderkey as id, 'h' || cast(o_orderkey as varchar(12)) as content_hash from {orders} where o_orderdate < timestamp '1997-01-01 00:00:00'"
+NEW = "select case when o_orderkey % 11 = 0 then o_orderkey - 3 else o_orderkey end as id, 'h' || cast(case when o_orderkey % 13 = 0 then o_orderkey + 7 else o_orderkey end as varchar(12)) as content_hash from {orders} where o_orderdate >= timestamp '1995-01-01 00:00:00'"
 
 
 @query(f"with n as (select distinct * from ({NEW})), o as (select id, count(*) as own from n group by 1), b as (select content_hash, min(id) as lo, max(id) as hi from (select * from ({OLD}) union all select * from n) group by 1), e as (select id, min(content_hash) as have from ({OLD}) group by 1) select n.id, n.content_hash, case when own > 1 or have <> n.content_hash or lo <> hi then 'conflict' when have is not null then 'duplicate' else 'insert' end as action from n join o using (id) left join e using (id) join b using (content_hash)")
@@ -124,22 +145,11 @@ def s18_pending_units(v):
 HASHED = "select job_id, checkpoint_key, 'c' || cast(max(attempt) as varchar(12)) as content_hash from {checkpoints} group by 1, 2"
 
 
-@query(f"select job_id, count(*) as n_checkpoints, sha256(string_agg(checkpoint_key || '=' || content_hash, chr(10) order by checkpoint_key || '=' || content_hash)) as manifest_hash from ({HASHED}) group by 1")
+@query(f"with h as (select job_id, sha256(checkpoint_key || '=' || content_hash) as h from ({HASHED})), p as (select job_id, cast('0x' || substr(h, 1, 8) as bigint) % 256 as b, count(*) as n, sha256(string_agg(h, chr(10) order by h)) as h from h group by 1, 2) select job_id, cast(sum(n) as bigint) as n_checkpoints, sha256(string_agg(h, chr(10) order by b)) as manifest_hash from p group by 1")
 def s19_dataset_manifest(v):
     return ingest.dataset_manifest(v.sql(HASHED), ["job_id"])
 
 
-@query("select session_date, source_id, listing_id, close, volume from {bars_multi} where listing_id = 17 and session_date between date '1996-01-01' and date '1997-06-01'")
-def s4_range_read(v):
-    rows = v.bars_multi.where("listing_id = 17 and session_date between date '1996-01-01' and date '1997-06-01'")
-    return rows.orderBy("session_date", "source_id").select("session_date", "source_id", "listing_id", "close", "volume")
-
-
-@query("select session_date, source_id, round(multiplier, 8) as multiplier from {factors} where listing_id = 13 and session_date between date '1996-01-01' and date '1998-12-01'")
-def s5_factor_range_read(v):
-    return v.factors.where("listing_id = 13 and session_date between date '1996-01-01' and date '1998-12-01'").orderBy("session_date", "source_id").select("session_date", "source_id", *r("multiplier", digits=8))
-
-
 REQUESTS = "select o_orderkey as request_id, case when o_orderstatus = 'F' then 'strict' else 'current' end as mode, 'f' || cast(o_custkey % 5 as varchar(2)) as field, case when o_orderkey % 4 = 0 then 'a' when o_orderkey % 4 = 1 then 'b' end as excluded_provider from {orders}"
 PROFILES = "select 'a' as provider_id, 'primary' as role, 'f0' as field, true as strict_allowed, true as enabled union all select 'b', 'secondary', 'f0', true, true union all select 'c', 'verification', 'f0', true, true union all select 'a', 'primary', 'f1', false, true union all select 'b', 'secondary', 'f1', true, true union all select 'c', 'verification', 'f1', true, true union all select 'a', 'primary', 'f2', true, false union all select 'b', 'secondary', 'f2', false, true union all select 'b', 'secondary', 'f3', true, true"
 
@@ -172,7 +182,7 @@ def a12_issue_totals(v):
     return audit.issue_totals(v.checkpoints, ["job_id"])
 
 
-TARGETS = "select c_custkey as entity_id from {customer} where c_custkey % 3 <> 0"
+TARGETS = "select c_custkey as entity_id from {customer}"
 PROOF = "select o_custkey as entity_id, o_orderpriority as role, cast(o_orderdate as date) as at_, o_orderstatus as dataset_id, o_orderkey % 7 as source_id from {orders} where o_custkey % 5 <> 1"
 
 
@@ -181,8 +191,8 @@ def a13_j20_role_evidence(v):
     return audit.role_evidence(v.sql(TARGETS), v.sql(PROOF).withColumnRenamed("at_", "at")).withColumn("coverage", F.round("coverage", 8))
 
 
-EVENTS = "select o_custkey as entity_id from {orders} where o_orderkey % 9 = 0"
-WORK = "select o_custkey as entity_id, case when o_orderkey % 4 = 0 then 'succeeded' else 'failed' end as status from {orders} where o_orderkey % 5 = 0"
+EVENTS = "select o_custkey as entity_id from {orders}"
+WORK = "select o_custkey as entity_id, case when o_orderkey % 4 = 0 then 'succeeded' else 'failed' end as status from {orders}"
 
 
 @query(f"select t.entity_id, coalesce(n, 0) as n_events, n is not null or coalesce(ok, false) as covered from ({TARGETS}) t left join (select entity_id, count(*) as n from ({EVENTS}) group by 1) a using (entity_id) left join (select entity_id, bool_or(status = 'succeeded') as ok from ({WORK}) group by 1) w using (entity_id)")
@@ -204,15 +214,17 @@ def a21_study_readiness(v):
     return audit.readiness(v.sql(NEEDS), v.sql(HAVE)).withColumn("blockers", F.array_join("blockers", ","))
 
 
-CHECKED = "select o_custkey as report_id, case o_orderpriority when '1-URGENT' then 'leakage' when '2-HIGH' then 'coverage' when '3-MEDIUM' then 'turnover' else 'decay' end as check_name, case when o_orderkey % 23 = 0 then 'fail' when o_orderkey % 7 = 0 then 'waived' else 'pass' end as outcome from {orders}"
+CHECKED = """select o_orderkey as report_id, c.name as check_name, case when (o_orderkey + c.n) % 131 = 0 then 'fail' when (o_orderkey + c.n) % 29 = 0 then 'waived' else 'pass' end as outcome from {orders} cross join (""" + " union all ".join(f"select '{c}' as name, {n} as n" for n, c in enumerate(audit.VALIDATION_CHECKS)) + """) c where (o_orderkey * 7 + c.n) % 97 <> 1
+    union all select o_orderkey, 'ic', 'pass' from {orders} where o_orderkey % 53 = 2"""
+CONTEXTS = "select o_orderkey as report_id, case when o_orderkey % 10 = 3 then 'current' else 'strict_historical' end as data_mode, case when o_orderstatus = 'P' then 'live' else 'research' end as stage, case when o_orderkey % 12 = 7 then 'normalized_current' else 'pit_verified' end as trust_state from {orders} where o_orderkey % 61 <> 8"
 
 
-@query(f"with g as (select report_id, array_to_string(list_filter(['coverage', 'decay', 'leakage', 'turnover'], lambda c: not list_contains(list(check_name), c)), ',') as missing, count(*) filter (where outcome = 'fail') as n_failed, count(distinct check_name) filter (where outcome = 'pass' and check_name in ('leakage', 'coverage')) as firm from ({CHECKED}) group by 1) select report_id, missing, n_failed, missing = '' and n_failed = 0 and firm = 2 as may_promote from g".replace("list_filter(['coverage', 'decay', 'leakage', 'turnover'], lambda c: not list_contains(list(check_name), c))", "list_filter([case when bool_or(check_name = 'coverage') then null else 'coverage' end, case when bool_or(check_name = 'decay') then null else 'decay' end, case when bool_or(check_name = 'leakage') then null else 'leakage' end, case when bool_or(check_name = 'turnover') then null else 'turnover' end], lambda c: c is not null)"))
+@query(f"with g as (select report_id, concat_ws(',', " + ", ".join(f"case when bool_or(check_name = '{c}') then null else '{c}' end" for c in sorted(audit.VALIDATION_CHECKS)) + f") as missing, count(*) filter (where outcome = 'fail') as n_failed, count(*) - count(distinct check_name) as n_repeated, count(distinct check_name) filter (where outcome = 'pass' and check_name in ('pit_input_qualification', 'walk_forward_oos')) as firm from ({CHECKED}) group by 1), c as (select report_id, data_mode = 'strict_historical' and stage = 'research' and trust_state = 'pit_verified' as h from ({CONTEXTS})) select report_id, missing, n_failed, n_repeated, coalesce(h, false) as historical, missing = '' and n_failed = 0 and n_repeated = 0 and firm = 2 and coalesce(h, false) as may_promote from g left join c using (report_id)")
 def a22_promotion_gate(v):
-    return audit.promotion_gate(v.sql(CHECKED), ["leakage", "coverage", "turnover", "decay"], ["leakage", "coverage"]).withColumn("missing", F.array_join("missing", ","))
+    return audit.promotion_gate(v.sql(CHECKED), v.sql(CONTEXTS)).withColumn("missing", F.array_join("missing", ","))
 
 
-DATASETS = "select o_orderkey as dataset_id, o_orderpriority || o_orderstatus as domain, cast(o_orderdate as date) as created_at from {orders} where o_orderkey % 3 = 0"
+DATASETS = "select o_orderkey as dataset_id, o_orderpriority || o_orderstatus as domain, cast(o_orderdate as date) as created_at from {orders}"
 REPORTS = "select l_orderkey as dataset_id, case when l_linenumber = 7 and l_quantity > 49 then 'failed' else 'passed' end as outcome from {lineitem}"
 
 
@@ -247,11 +259,10 @@ JOBS = "select distinct job_id from {checkpoints}"
 QUALITY = "select job_id, checkpoint_key as report_id, case when max(attempt) % 7 = 0 then 'failed' else 'passed' end as outcome from {checkpoints} where day < date '2024-01-09' group by 1, 2"
 
 
-@query(f"select j.job_id, c.checkpoints, r.reports from ({JOBS}) j left join (select job_id, string_agg(checkpoint_key || '=' || status, ',' order by checkpoint_key, status) as checkpoints from (select job_id, checkpoint_key, arg_max(status, attempt) as status from {{checkpoints}} group by 1, 2) group by 1) c using (job_id) left join (select job_id, string_agg(report_id || '=' || outcome, ',' order by report_id) as reports from ({QUALITY}) group by 1) r using (job_id)")
+@query(f"select job_id, 'checkpoint' as kind, checkpoint_key as item, s as state, null as n from (select job_id, checkpoint_key, arg_max(status, attempt) as s from {{checkpoints}} group by 1, 2) union all select job_id, 'report', report_id, outcome, null from ({QUALITY}) union all select job_id, 'checkpoints', null, s, count(*) from (select job_id, arg_max(status, attempt) as s from {{checkpoints}} group by job_id, checkpoint_key) group by 1, 4 union all select job_id, 'reports', null, outcome, count(*) from ({QUALITY}) group by 1, 4 union all select job_id, 'job', null, null, null from ({JOBS})")
 def j19_job_dashboard(v):
     c = v.checkpoints.groupBy("job_id", "checkpoint_key").agg(F.max_by("status", "attempt").alias("status"))
-    x = audit.jobs_nested(v.sql(JOBS), c, v.sql(QUALITY))
-    return x.select("job_id", F.array_join(F.transform("checkpoints", lambda s: F.concat(s["checkpoint_key"], F.lit("="), s["status"])), ",").alias("checkpoints"), F.array_join(F.transform("reports", lambda s: F.concat(s["report_id"], F.lit("="), s["outcome"])), ",").alias("reports"))
+    return audit.dashboard(v.sql(JOBS), c, v.sql(QUALITY))
 
 
 @query("select fact_id, company_id, available_at from {facts} order by available_at desc, fact_id limit 500")
@@ -259,9 +270,9 @@ def k3_bounded_timeline(v):
     return audit.timeline(v.facts.select("fact_id", "company_id", "available_at"), [F.desc("available_at"), "fact_id"], 500)
 
 
-@query("select upstream_id, downstream_id, relation from {lineage} order by upstream_id, downstream_id limit 1000")
+@query("select upstream_id, downstream_id, relation from {lineage} order by upstream_id, downstream_id, relation")
 def k5_ordered_catalog(v):
-    return audit.timeline(v.lineage, ["upstream_id", "downstream_id"], 1000)
+    return audit.timeline(v.lineage, ["upstream_id", "downstream_id", "relation"])
 
 
 @query(f"select coalesce(e.job_id, o.job_id) as job_id, coalesce(e.symbol, o.symbol) as symbol, case when o.symbol is null then 'missing' else 'extra' end as kind from ({EXPECTED}) e full join (select distinct job_id, symbol from ({UNIT})) o on o.job_id = e.job_id and o.symbol = e.symbol where e.symbol is null or o.symbol is null")

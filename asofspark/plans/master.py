@@ -14,12 +14,17 @@ DATES = "select date '1996-06-01' as as_of union all select date '1999-07-01' un
 IDENT = "select l.listing_id, d.as_of, arg_max(h.identifier, (case when h.valid_to is null or d.as_of < h.valid_to then 1 else 0 end, h.valid_from, h.identifier)) as v from {listings} l cross join (" + DATES + ") d join {identifiers} h on h.listing_id = l.listing_id and h.kind = 'KIND' and h.valid_from <= d.as_of where h.valid_from < d.as_of or h.valid_to is null or d.as_of < h.valid_to group by 1, 2"
 
 
-@query("""select d.as_of, l.listing_id, s.security_id, c.company_id, c.company_name, l.exchange, i.v as code, n.v as name, coalesce(x.industries, '') as industries from {listings} l cross join (""" + DATES + """) d join {securities} s on s.security_id = l.security_id join {companies} c on c.company_id = s.company_id
+PHASES = """select s_suppkey as listing_id, date '1995-01-01' as valid_from, case when s_suppkey % 3 = 0 then date '1997-06-01' end as valid_to, 'listed' as listing_state, case when s_suppkey % 4 = 0 then 'none' end as special_treatment from {supplier}
+    union all select s_suppkey, date '1997-06-01', cast(null as date), case when s_suppkey % 2 = 0 then 'suspended' else 'listed' end, case when s_suppkey % 6 = 0 then 'star_st' else 'st' end from {supplier} where s_suppkey % 3 = 0 and s_suppkey % 12 <> 9"""
+
+
+@query("""select d.as_of, l.listing_id, s.security_id, c.company_id, c.company_name, l.exchange, i.v as code, n.v as name, coalesce(x.industries, '') as industries, p.listing_state, p.special_treatment from {listings} l cross join (""" + DATES + """) d join {securities} s on s.security_id = l.security_id join {companies} c on c.company_id = s.company_id
     left join (""" + IDENT.replace("KIND", "code") + """) i on i.listing_id = l.listing_id and i.as_of = d.as_of left join (""" + IDENT.replace("KIND", "name") + """) n on n.listing_id = l.listing_id and n.as_of = d.as_of
     left join (select security_id, d.as_of, string_agg(distinct industry_code, ',' order by industry_code) as industries from {industries} cross join (""" + DATES + """) d where valid_from <= d.as_of and (valid_to is null or d.as_of < valid_to) group by 1, 2) x on x.security_id = s.security_id and x.as_of = d.as_of
+    left join (""" + PHASES + """) p on p.listing_id = l.listing_id and p.valid_from <= d.as_of and (p.valid_to is null or d.as_of < p.valid_to)
     where l.listed_on <= d.as_of and (l.delisted_on is null or d.as_of <= l.delisted_on)""")
 def j1_j3_identity_snapshot(v):
-    return identity.snapshot(v.companies, v.securities, v.listings, v.identifiers, v.industries, v.sql(DATES)).withColumn("industries", F.array_join("industries", ","))
+    return identity.snapshot(v.companies, v.securities, v.listings, v.identifiers, v.industries, v.sql(DATES), v.sql(PHASES)).withColumn("industries", F.array_join("industries", ","))
 
 
 CODES = "select case when o_custkey % 2 = 0 then 'E' else 'O' end as exchange, lpad(cast(case when o_orderkey % 3 = 0 then 5000 + o_custkey % 120 else o_custkey % 100 end as varchar(9)), 6, '0') as code, cast(o_orderdate as date) as as_of from {orders}"
@@ -145,10 +150,10 @@ def _rules_sql(rows: str, key: str, rules: dict[str, str]) -> str:
     return " union all ".join(f"select {key}, '{n}' as rule from ({rows}) where {c}" for n, c in rules.items())
 
 
-BARS = "select l_orderkey as k, l_linenumber as n, l_extendedprice / l_quantity as open, l_extendedprice / l_quantity + l_discount - 0.08 as high, l_extendedprice / l_quantity - l_tax + 0.01 as low, l_extendedprice / l_quantity - 0.03 as close, cast(l_quantity - 3 as bigint) as volume, l_extendedprice - 2000 as amount, case when l_returnflag = 'R' then 'cny' else 'CNY' end as currency from {lineitem}"
+BARS = "select l_orderkey as k, l_linenumber as n, l_extendedprice / l_quantity as open, l_extendedprice / l_quantity + l_discount - 0.08 as high, case when l_orderkey % 37 = 5 then null else l_extendedprice / l_quantity - l_tax + 0.01 end as low, l_extendedprice / l_quantity - 0.03 as close, l_extendedprice / l_quantity - 1000 as previous_close, case when l_orderkey % 41 = 6 then null else cast(l_quantity - 3 as bigint) end as volume, l_extendedprice - 2000 as amount, case when l_returnflag = 'R' then 'cny' when l_returnflag = 'A' and l_orderkey % 43 = 1 then null else 'CNY' end as currency from {lineitem}"
 
 
-@query(_rules_sql(BARS, "k, n", {"non_positive_price": "least(open, high, low, close) <= 0", "high_below_range": "high < greatest(open, low, close)", "low_above_range": "low > least(open, high, close)", "negative_volume": "volume < 0", "negative_amount": "amount < 0", "bad_currency": "not regexp_matches(currency, '^[A-Z][A-Z][A-Z]$')"}))
+@query(_rules_sql(BARS, "k, n", {"missing_price": "open is null or high is null or low is null or close is null", "non_positive_previous_close": "previous_close <= 0", "missing_volume": "volume is null", "non_positive_price": "least(open, high, low, close) <= 0", "high_below_range": "high < greatest(open, low, close)", "low_above_range": "low > least(open, high, close)", "negative_volume": "volume < 0", "negative_amount": "amount < 0", "bad_currency": "not coalesce(regexp_matches(currency, '^[A-Z][A-Z][A-Z]$'), false)"}))
 def f1_bar_rules(v):
     return checks.violations(v.sql(BARS), ["k", "n"], checks.bar_rules())
 

@@ -28,6 +28,15 @@ def n12_improvement(v):
     return factors.improvement(v.metrics, True, ["margin"], v.sql(ONE_OFFS)).select("entity_id", "metric", "q", *r("level", "trend", "value"), "status", "unavailable_reason")
 
 
+TREATED = """select entity_id, metric, q, case when (entity_id + q) % 5 = 1 then 'uncontrolled' when q % 11 = 3 then 'unknown' else 'yoy_comparable' end as seasonality, case when (entity_id + q) % 7 = 2 then 'present_unadjusted' else 'absent' end as base_effect,
+    case when (entity_id + q) % 9 = 4 then 'included_unadjusted' when q % 13 = 5 then 'unknown' else 'excluded' end as one_off from {metrics} where (entity_id + q) % 19 <> 6"""
+
+
+@query("""select m.entity_id, m.metric, m.q, case when why is null then round(m.value, 6) end as value, case when why is null then m.status else 'unavailable' end as status, coalesce(why, m.unavailable_reason) as unavailable_reason from (""" + IMPROVED.replace("{points}", _points("0,1,4,5", NET)) + """) m left join (select *, case when seasonality in ('uncontrolled', 'unknown') then 'seasonality_uncontrolled' when base_effect in ('present_unadjusted', 'unknown') then 'base_effect_unadjusted' when one_off in ('included_unadjusted', 'unknown') then 'one_off_unadjusted' end as w from (""" + TREATED + """)) t using (entity_id, metric, q), lateral (select case when t.seasonality is null then 'treatment_missing' else w end as why)""")
+def n12_improvement_treated(v):
+    return factors.improvement(v.metrics, True, ["margin"], v.sql(ONE_OFFS), v.sql(TREATED)).select("entity_id", "metric", "q", *r("value"), "status", "unavailable_reason")
+
+
 @query("select entity_id, metric, q, case when v_0 is null or v_1 is null or v_2 is null or least(v_1, v_2) <= 0 then null else round(v_0 / v_1 - v_1 / v_2, 6) end as value from (" + _points("0,1,2", "(select * from {metrics} where metric <> 'margin')") + ")")
 def n12_improvement_quarter_on_quarter(v):
     return factors.improvement(v.metrics.where("metric <> 'margin'"), False).select("entity_id", "metric", "q", *r("value"))
@@ -184,12 +193,20 @@ def v10_combined_analysis(v):
 SUBJECTS = "select s_suppkey as security_id, d.as_of from {supplier} cross join (select date '1997-03-01' as as_of union all select date '1999-03-01') d"
 
 
-@query(f"with o as (select * from (select s.security_id, s.as_of, m.taxonomy, m.industry_code, row_number() over (partition by s.security_id, s.as_of order by m.valid_from desc, m.taxonomy, m.industry_code) as n from ({SUBJECTS}) s join {{industries}} m on m.security_id = s.security_id and m.valid_from <= s.as_of and (m.valid_to is null or s.as_of < m.valid_to)) where n = 1) select o.security_id, o.as_of, o.taxonomy, o.industry_code, count(distinct p.security_id) as n_peers, coalesce(string_agg(cast(p.security_id as varchar), ',' order by p.security_id), '') as peers, case when count(distinct p.security_id) >= 12 then 'quantified' else 'unavailable' end as status from o left join {{industries}} p on p.taxonomy = o.taxonomy and p.industry_code = o.industry_code and p.valid_from <= o.as_of and (p.valid_to is null or o.as_of < p.valid_to) and p.security_id <> o.security_id group by 1, 2, 3, 4")
+@query(f"with o as (select * from (select s.security_id, s.as_of, m.taxonomy, m.industry_code, row_number() over (partition by s.security_id, s.as_of order by m.valid_from desc, m.taxonomy, m.industry_code) as n from ({SUBJECTS}) s join {{industries}} m on m.security_id = s.security_id and m.valid_from <= s.as_of and (m.valid_to is null or s.as_of < m.valid_to)) where n = 1) select o.security_id, o.as_of, o.taxonomy, o.industry_code, count(distinct p.security_id) as n_peers, case when count(distinct p.security_id) >= 12 then 'quantified' else 'unavailable' end as status from o left join {{industries}} p on p.taxonomy = o.taxonomy and p.industry_code = o.industry_code and p.valid_from <= o.as_of and (p.valid_to is null or o.as_of < p.valid_to) and p.security_id <> o.security_id group by 1, 2, 3, 4")
 def j11_comparable_peers(v):
-    return valuation.peers(v.industries, v.sql(SUBJECTS), 12).withColumn("peers", F.array_join(F.transform("peers", lambda x: x.cast("string")), ","))
+    return valuation.peers(v.industries, v.sql(SUBJECTS), 12)
+
+
+GROUPS = "select distinct d.as_of, taxonomy, industry_code from {industries} cross join (select date '1997-03-01' as as_of union all select date '1999-03-01') d"
+
+
+@query(f"select distinct g.as_of, g.taxonomy, g.industry_code, m.security_id from ({GROUPS}) g join {{industries}} m on m.taxonomy = g.taxonomy and m.industry_code = g.industry_code and m.valid_from <= g.as_of and (m.valid_to is null or g.as_of < m.valid_to)")
+def j11_group_members(v):
+    return valuation.members(v.industries, v.sql(GROUPS))
 
 
-EVIDENCE = "select company_id as security_id, case fact_id % 3 when 0 then 'profit' when 1 then 'equity' else 'price' end as metric, period_end as period, 'd' || cast(fact_id % 4 as varchar(9)) as dataset_id, provider_id as source_id, trust_state, available_at from {facts} where fact_id % 2 = 0"
+EVIDENCE = "select company_id as security_id, case fact_id % 3 when 0 then 'profit' when 1 then 'equity' else 'price' end as metric, period_end as period, 'd' || cast(fact_id % 4 as varchar(9)) as dataset_id, provider_id as source_id, trust_state, available_at from {facts}"
 
 
 @query(f"with e as (select security_id, metric, period, count(*) as c from ({EVIDENCE}) group by 1, 2, 3), d as (select security_id, count(*) filter (where c > 1) as dup from e group by 1), g as (select security_id, count(distinct dataset_id) as n_datasets, count(distinct source_id) as n_sources, max(available_at) as latest_available, count(distinct trust_state) as n_trust, count(*) filter (where metric = 'equity') = 0 as no_e, count(*) filter (where metric = 'profit') = 0 as no_p from ({EVIDENCE}) group by 1), x as (select security_id, n_datasets, n_sources, latest_available, concat_ws(',', case when dup > 0 then 'duplicate_metric_period' end, case when no_e or no_p then 'missing:' || concat_ws('+', case when no_e then 'equity' end, case when no_p then 'profit' end) end, case when n_trust > 1 then 'mixed_trust' end) as blockers from g join d using (security_id)) select *, blockers = '' as qualified from x")
@@ -220,10 +237,13 @@ def v12_calibration(v):
     return views.calibrate(v.views, v.outcomes).select("view_id", *r("absolute_error"), "inside_interval", "direction_correct")
 
 
-QUOTES = "select o_custkey as security_id, cast(o_orderdate as date) as session_date, max(o_totalprice) as close from {orders} group by 1, 2"
+QUOTES = """select o_custkey as security_id, cast(o_orderdate as date) as session_date, max(o_totalprice) as close, case when o_custkey % 23 = 4 and min(o_orderkey) % 3 = 0 then null else 1 - (2010 - year(o_orderdate)) * 0.01E0 end as multiplier,
+    case when o_custkey % 31 = 5 and min(o_orderkey) % 2 = 0 then null else 's' end as source_id from {orders} group by o_custkey, o_orderdate"""
 
 
-@query(f"with p as (select *, row_number() over (partition by security_id order by session_date) as i from ({QUOTES})), o as (select v.view_id, v.security_id, v.decision_date, s.i, s.close from {{views}} v left join lateral (select * from p where p.security_id = v.security_id and p.session_date <= v.decision_date order by session_date desc limit 1) s on true where v.view_id not in (select view_id from {{outcomes}})), x as (select o.*, e.session_date as d, e.close as c1 from o left join p e on e.security_id = o.security_id and e.i = o.i + 3) select view_id, security_id, decision_date, case when i is not null and d <= date '2000-06-01' then d end as realized_at, case when i is not null and d <= date '2000-06-01' then round(c1 / close - 1, 6) end as realized_return, case when i is null then 'unavailable' when d is null or d > date '2000-06-01' then 'pending' else 'mature' end as status, case when i is null then 'price_missing' when d is null or d > date '2000-06-01' then 'horizon_not_reached' end as reason from x")
+@query(f"""with p as (select *, close * multiplier as adj, row_number() over (partition by security_id order by session_date) as i from ({QUOTES})), o as (select v.view_id, v.security_id, v.decision_date, s.i, s.adj, s.source_id from {{views}} v asof left join p s on s.security_id = v.security_id and v.decision_date >= s.session_date where v.view_id not in (select view_id from {{outcomes}})),
+    x as (select o.*, e.session_date as d, e.adj as a1, e.source_id as s1 from o left join p e on e.security_id = o.security_id and e.i = o.i + 3), y as (select *, case when i is null then 'price_missing' when source_id is null then 'source_missing' when d is null or d > date '2000-06-01' then 'horizon_not_reached' when s1 is null then 'source_missing' when adj is null or a1 is null then 'actions_missing' end as reason from x)
+    select view_id, security_id, decision_date, case when reason is null then d end as realized_at, case when reason is null then round(a1 / adj - 1, 6) end as realized_return, case when reason is null then 'mature' when reason = 'horizon_not_reached' then 'pending' else 'unavailable' end as status, reason from y""")
 def j18_v13_outcome_maturity(v):
     return views.mature(v.views, v.sql(QUOTES), v.outcomes, 3, "2000-06-01").select("view_id", "security_id", "decision_date", "realized_at", *r("realized_return"), "status", "reason")
 
@@ -263,7 +283,7 @@ def j15_industry_peers(v):
     return views.industry_peers(v.sql(SECTORED)).withColumn("peers", F.array_join(F.transform("peers", lambda x: x.cast("string")), ","))
 
 
-RANKED = "select view_id, security_id, cast(view_id % 50 as int) + 1 as rank from {views} where view_id % 2 = 0"
+RANKED = "select view_id, security_id, cast(view_id % 50 as int) + 1 as rank from {views}"
 
 
 @query(f"select s.view_id, s.security_id, s.rank, round(v.p90 - v.p10, 6) as bar_width, coalesce(c.n, 0) as n_components from ({RANKED}) s left join {{views}} v using (view_id) left join (select view_id, count(*) as n from {{components}} group by 1) c using (view_id)")

@@ -18,6 +18,17 @@ query = Registry()
 CODES = "select o_orderkey as k, case o_orderkey % 4 when 0 then 'sh.' when 1 then 'SZ.' when 2 then ' bj.' else 'xx' end || case o_custkey % 5 when 0 then '688' when 1 then '300' when 2 then '600' when 3 then '000' else '9' end || lpad(cast(o_custkey % 1000 as varchar(9)), 3, '0') as code, o_totalprice / 400000 - 0.5E0 as x, cast(o_orderdate as date) as d from {orders}"
 
 
+TEXTS = "select event_id as k, ts, case event_id % 4 when 0 then sha256(event_type) when 1 then upper(sha256(event_type)) when 2 then event_type end as digest, lpad(cast(user_id as varchar(9)), 6, case when event_id % 7 = 0 then ' ' else '0' end) as symbol, event_type || ' /' || cast(user_id as varchar(9)) || '&=+' as label, value / 100 - 0.03E0 as x from {events}"
+
+
+@query("""select k, coalesce(regexp_matches(digest, '^[0-9a-f]+$') and length(digest) = 64, false) as digest_ok, regexp_matches(symbol, '^[0-9][0-9][0-9][0-9][0-9][0-9]$') as symbol_ok, cast(ts + interval 8 hour as date) as trading_date, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as utc_text,
+    replace(url_encode(label), '%20', '+') as path_value, case when x >= 0 or floor(abs(x) * 100 + 0.5) = 0 then '+' else '-' end || printf('%.0f%%', floor(abs(x) * 100 + 0.5)) as percent from (""" + TEXTS + ")")
+def fn_text_and_time_functions(v):
+    t = v.sql(TEXTS.replace("sha256(event_type)", "sha2(event_type, 256)"))
+    at = F.col("ts").cast("timestamp")
+    return t.select("k", scalars.is_sha256(F.col("digest")).alias("digest_ok"), scalars.is_symbol(F.col("symbol")).alias("symbol_ok"), scalars.local_date(at).alias("trading_date"), scalars.canonical_utc(at).alias("utc_text"), scalars.partition_value(F.col("label")).alias("path_value"), scalars.signed_percent(F.floor(F.abs(F.col("x")) * 100 + 0.5) / 100 * F.when(F.col("x") >= 0, 1.0).otherwise(-1.0), 0).alias("percent"))
+
+
 @query("""select k, case when regexp_matches(upper(trim(code)), '^(SH|SZ)[.][0-9][0-9][0-9][0-9][0-9][0-9]$') then upper(trim(code)) end as canonical, case substr(upper(code), 1, 2) when 'SH' then 'XSHG' when 'SZ' then 'XSHE' when 'BJ' then 'XBSE' end as exchange,
     (substr(upper(code), 1, 3) = 'SH.' and substr(code, 4, 3) in ('600', '601', '603', '605', '688', '689')) or (substr(upper(code), 1, 3) = 'SZ.' and substr(code, 4, 3) in ('000', '001', '002', '003', '300', '301', '302')) as a_share,
     case when substr(upper(code), 1, 3) = 'SH.' and substr(code, 4, 3) in ('688', '689') then 'star' when substr(upper(code), 1, 3) = 'SZ.' and substr(code, 4, 3) in ('300', '301', '302') then 'chinext' else 'main' end as board,
@@ -51,16 +62,33 @@ def s3_immutable_factors(v):
     return io.read_factors(v.spark, root, "v1", "1997-01-01", "1997-12-31").select("listing_id", "session_date", "source_id", "multiplier")
 
 
-OBSERVED = "select cast(event_id % 7000 as varchar(9)) as id, 'h' || cast(case when event_id % 500 = 3 then event_id else event_id % 7000 end as varchar(9)) as content_hash, ts as observed_at from {events}"
+MULTI = "select listing_id, session_date, source_id, close, volume, 'v' || cast(listing_id % 2 as varchar(2)) as dataset_version_id, case when listing_id % 3 = 0 then 'E' else 'O' end as exchange from {bars_multi}"
+
+
+@query("select session_date, source_id, listing_id, close, volume from (" + MULTI + ") where dataset_version_id = 'v1' and listing_id = 17 and session_date between date '1996-01-01' and date '1997-06-01'")
+def s4_range_read(v):
+    root = scratch(v)
+    io.write_bars(v.sql(MULTI), root)
+    return io.read_bars(v.spark, root, "v1", "1996-01-01", "1997-06-01", 17).select("session_date", "source_id", "listing_id", "close", "volume")
+
+
+@query("select session_date, source_id, round(multiplier, 8) as multiplier from {factors} where listing_id = 13 and session_date between date '1996-01-01' and date '1998-12-01'")
+def s5_factor_range_read(v):
+    root = scratch(v)
+    io.write_factors(v.factors.select("listing_id", "session_date", "source_id", "multiplier", F.lit("v1").alias("dataset_version_id")), root)
+    return io.read_factors(v.spark, root, "v1", "1996-01-01", "1998-12-01", 13).select("session_date", "source_id", F.round("multiplier", 8).alias("multiplier"))
+
+
+OBSERVED = "select cast(event_id % 7000 as varchar(9)) as id, case when event_id % 900 = 8 then null else 'h' || cast(case when event_id % 500 = 3 then event_id else event_id % 7000 end as varchar(9)) end as content_hash, ts as observed_at from {events}"
 
 
-@query()
+@query(f"with n as (select distinct id, content_hash from ({OBSERVED})), o as (select id, count(content_hash) as own from n group by 1), b as (select content_hash, count(distinct id) as ids from n where content_hash is not null group by 1) select n.id, n.content_hash, case when n.content_hash is null or own > 1 or ids > 1 then 'conflict' else 'ledger' end as kind from n join o using (id) left join b using (content_hash)")
 def r1_stream_append(v):
     root = scratch(v)
     rows = v.sql(OBSERVED).withColumn("observed_at", F.col("observed_at").cast("timestamp"))
     rows.repartition(4).write.parquet(f"{root}/in")
     source = v.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-    feeds.append_stream(source, f"{root}/ledger", f"{root}/conflicts", f"{root}/checkpoint", delay="60 days").awaitTermination()
+    feeds.append_stream(source, f"{root}/ledger", f"{root}/conflicts", f"{root}/checkpoint").awaitTermination()
     return v.spark.read.parquet(f"{root}/ledger").select("id", "content_hash").withColumn("kind", F.lit("ledger")).unionByName(v.spark.read.parquet(f"{root}/conflicts").select("id", "content_hash").withColumn("kind", F.lit("conflict")))
 
 
@@ -75,11 +103,11 @@ def r2_stream_revisions(v):
     return pit.close_intervals(log, ["company_id", "provider_id"]).select("fact_id", "known_to")
 
 
-VIEWED = "select event_id as view_id, user_id as security_id, ts as decision_at, value + 1 as price from {events} where event_type = 'view' and ts < timestamp '2024-01-10 00:00:00'"
+VIEWED = "select event_id as view_id, user_id as security_id, ts as decision_at, value + 1 as price from {events} where event_type = 'view'"
 PRICED = "select user_id as p_security_id, ts as priced_at, value + 2 as close from {events} where event_type = 'click'"
 
 
-@query("select v.view_id, v.security_id, p.priced_at, round(p.close / v.price - 1, 6) as realized_return from (" + VIEWED + ") v join (" + PRICED + ") p on v.security_id = p.p_security_id and p.priced_at >= v.decision_at + interval 5 day and p.priced_at < v.decision_at + interval 6 day")
+@query("select v.view_id, v.security_id, p.priced_at, round(p.close / v.price - 1, 6) as realized_return, case when p.priced_at is null then 'pending' else 'mature' end as status from (select *, decision_at + interval 5 day as target from (" + VIEWED + ")) v asof left join (select p_security_id, priced_at, min(close) as close from (" + PRICED + ") group by 1, 2) p on v.security_id = p.p_security_id and v.target <= p.priced_at")
 def r3_stream_maturity(v):
     root = scratch(v)
     views = v.sql(VIEWED).withColumn("decision_at", F.col("decision_at").cast("timestamp"))
@@ -88,4 +116,4 @@ def r3_stream_maturity(v):
     prices.write.parquet(f"{root}/prices")
     s = v.spark.readStream
     feeds.maturity_stream(s.schema(views.schema).parquet(f"{root}/views"), s.schema(prices.schema).parquet(f"{root}/prices"), f"{root}/out", f"{root}/checkpoint", 5).awaitTermination()
-    return v.spark.read.parquet(f"{root}/out").select("view_id", "security_id", F.col("priced_at").cast("timestamp_ntz").alias("priced_at"), F.round("realized_return", 6).alias("realized_return"))
+    return feeds.maturity(v.spark, f"{root}/out").select("view_id", "security_id", F.col("priced_at").cast("timestamp_ntz").alias("priced_at"), F.round("realized_return", 6).alias("realized_return"), "status")

@@ -65,11 +65,11 @@ VIEWS = {
         union all select s_suppkey, 'name', s_name || ' B', date '1997-06-01', cast(null as date) from {supplier} where s_suppkey % 3 = 0""",
     "industries": """select s_suppkey as security_id, 'sw' as taxonomy, 'I' || cast(s_nationkey % 8 as varchar(9)) as industry_code, date '1995-01-01' as valid_from, case when s_suppkey % 4 = 0 then date '1998-07-01' end as valid_to from {supplier}
         union all select s_suppkey, 'sw', 'I9', date '1998-07-01', cast(null as date) from {supplier} where s_suppkey % 4 = 0""",
-    "daily_members": "select distinct 'u' || cast(user_id % 3 as varchar(9)) as universe_id, user_id as listing_id, cast(ts as date) as session_date from {events} where event_type <> 'view' and user_id % 7 <> 2",
+    "daily_members": "select distinct 'u' || cast(user_id % 3 as varchar(9)) as universe_id, user_id as listing_id, cast(ts as date) as session_date from {events} where event_type <> 'view'",
     "memberships": """select universe_id, listing_id, min(session_date) as valid_from, case when max(session_date) < date '2024-01-29' then max(session_date) end as valid_to,
         max(listing_id) % 4 <> 0 as research_eligible, max(listing_id) % 6 in (1, 2, 5) as tradable_eligible from {daily_members} group by 1, 2""",
     "views": """select o_orderkey as view_id, o_custkey as security_id, cast(o_orderdate as date) as decision_date, o_totalprice / 1000000 - 0.2E0 as expected_return,
-        o_totalprice / 1000000 - 0.3E0 as p10, o_totalprice / 1000000 - 0.2E0 as p50, o_totalprice / 1000000 - 0.05E0 as p90 from {orders} where o_orderkey % 3 = 0""",
+        o_totalprice / 1000000 - 0.3E0 as p10, o_totalprice / 1000000 - 0.2E0 as p50, o_totalprice / 1000000 - 0.05E0 as p90 from {orders}""",
     "components": """select view_id, component, case when component = 'event' and view_id % 5 = 0 then null else expected_return * share / 3.0E0 end as contribution from {views}
         cross join (select 'quality' as component, 0.4 as share union all select 'valuation', 0.3 union all select 'revision', 0.2 union all select 'event', 0.05) c where not (component = 'revision' and view_id % 33 = 0)""",
     "outcomes": "select view_id, security_id, expected_return + (view_id % 41 - 20) / 100.0E0 as realized_return, decision_date + interval 60 day as realized_at from {views} where view_id % 4 <> 1",
@@ -77,7 +77,7 @@ VIEWS = {
         row_number() over (partition by session_date order by score desc, listing_id) as rank, count(*) over (partition by session_date) as universe_size from {bars}""",
     "checkpoints": """select event_type as job_id, event_type || ':' || cast(cast(ts as date) as varchar(10)) as checkpoint_key, user_id % 9 as symbol, event_id as attempt,
         case when value < 2 then 'failed' when value < 4 then 'pending' else 'succeeded' end as status, cast(floor(value) as int) as rows_observed, cast(ts as date) as day, ts as updated_at, props as issue_counts from {events}""",
-    "lineage": "select 'd' || cast(o_orderkey as varchar(12)) as upstream_id, 'd' || cast(o_orderkey * 2 + 1 as varchar(12)) as downstream_id, 'derived' as relation from {orders} where o_orderkey % 5 < 2",
+    "lineage": "select 'd' || cast(o_orderkey as varchar(12)) as upstream_id, 'd' || cast(o_orderkey * 2 + 1 as varchar(12)) as downstream_id, 'derived' as relation from {orders}",
 }
 
 

@@ -7,9 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asofspark.functions.scalars import content_hash
+
 
 def content_id(*parts: Column | str) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]), 256)
+    return content_hash(*[F.col(p) if isinstance(p, str) else p for p in parts])
+
+
+#: Where the providers' daily rows have each field, as SQL over their text columns.
+SHAPES = {
+    "flags": {"code": "code", "session_date": "try_cast(date as date)", "trading": "tradestatus = '1'", "special_treatment": "case when isST in ('0', '1') then isST = '1' end", "open": "open", "high": "high", "low": "low", "close": "close", "previous_close": "preclose", "volume": "volume", "amount": "amount"},
+    "klines": {"code": "substr(code, 4)", "session_date": "try_cast(substr(time_key, 1, 10) as date)", "trading": "try_cast(volume as bigint) > 0", "special_treatment": "cast(null as boolean)", "open": "open", "high": "high", "low": "low", "close": "close", "previous_close": "last_close", "volume": "volume", "amount": "turnover"},
+}
+
+
+def daily(raw: DataFrame, shape: str) -> DataFrame:
+    """Text rows of a provider's shape in the columns of ``flags``, from which states and bars are made."""
+    m = SHAPES[shape]
+    names = {"session_date": "date", "trading": "tradestatus", "special_treatment": "isST", "previous_close": "preclose"}
+    as_text = {"trading": f"case when {m['trading']} then '1' else '0' end", "special_treatment": f"case when {m['special_treatment']} then '1' when not ({m['special_treatment']}) then '0' end", "session_date": f"cast({m['session_date']} as string)"}
+    return raw.select(*[F.expr(as_text.get(c, e)).alias(names.get(c, c)) for c, e in m.items()])
 
 
 def daily_states(raw: DataFrame) -> DataFrame:
@@ -21,7 +38,7 @@ def daily_states(raw: DataFrame) -> DataFrame:
 def daily_bars(raw: DataFrame) -> DataFrame:
     """Bars of trading rows only: a day without trade has a state, never an invented bar."""
     number = lambda c, t="double": F.expr(f"try_cast({c} as {t})").alias(c)
-    return raw.where("tradestatus = '1'").select("code", F.expr("try_cast(date as date)").alias("session_date"), number("close"), number("volume", "bigint"), number("amount"))
+    return raw.where("tradestatus = '1'").select("code", F.expr("try_cast(date as date)").alias("session_date"), *map(number, ("open", "high", "low", "close")), number("preclose").alias("previous_close"), number("volume", "bigint"), number("amount"))
 
 
 def split_daily(raw: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,6 +53,14 @@ def actions(raw: DataFrame) -> DataFrame:
     return x.withColumn("record_id", content_id("code", "ex_date", F.round("cash", 6), F.round("bonus", 6), F.round("transfer", 6)))
 
 
+def share_capital(raw: DataFrame, unit: int = 10_000) -> DataFrame:
+    """Share counts of text rows (code, change_date, total, circulating, restricted, in units of ``unit`` shares) as whole
+    shares with a content id. Rows without a total or a date say nothing and are dropped; equal records count once."""
+    shares = lambda c: F.round(F.expr(f"try_cast(replace({c}, ',', '') as double)") * unit).cast("long").alias(f"{c}_shares")
+    x = raw.select("code", F.expr("try_cast(change_date as date)").alias("effective_on"), shares("total"), shares("circulating"), shares("restricted")).where("total_shares is not null and effective_on is not null").distinct()
+    return x.withColumn("record_id", content_id("code", "effective_on", "total_shares", "circulating_shares", "restricted_shares"))
+
+
 def financial_long(wide: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One row per field that has a value (not NULL or NaN); repeated keys are dropped as a whole and flagged elsewhere."""
     one = wide.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n = 1")
@@ -85,14 +110,17 @@ def observations(mapped: DataFrame, identities: DataFrame, units: DataFrame) ->
 
 def ledger_append(existing: DataFrame, new: DataFrame, key: str = "id", content: str = "content_hash") -> DataFrame:
     """Each new row labelled insert, duplicate (same id and content) or conflict (same id, other content, or content that is
-    bound to another id). Equal new rows count as one; new rows of one id with different contents conflict."""
-    n = new.select(key, content).distinct()
+    bound to another id). Equal new rows count as one; new rows of one id with different contents conflict, and so do rows
+    without id or content."""
+    every = new.select(key, content).distinct()
+    n = every.where(F.col(key).isNotNull() & F.col(content).isNotNull())
     own = n.groupBy(key).agg(F.count("*").alias("_own"))
     by_id = existing.groupBy(key).agg(F.min(content).alias("_have"))
     by_content = existing.select(content, F.col(key).alias("_bound")).unionByName(n.select(content, F.col(key).alias("_bound"))).groupBy(content).agg(F.min("_bound").alias("_lo"), F.max("_bound").alias("_hi"))
     x = n.join(own, key).join(by_id, key, "left").join(by_content, content)
     label = F.when((F.col("_own") > 1) | (F.col("_have") != F.col(content)) | (F.col("_lo") != F.col("_hi")), "conflict").when(F.col("_have").isNotNull(), "duplicate").otherwise("insert")
-    return x.select(key, content, label.alias("action"))
+    broken = every.where(F.col(key).isNull() | F.col(content).isNull()).select(key, content, F.lit("conflict").alias("action"))
+    return x.select(key, content, label.alias("action")).unionByName(broken)
 
 
 def work_units(plan: DataFrame) -> DataFrame:
@@ -117,10 +145,15 @@ def pending_units(units: DataFrame, checkpoints: DataFrame, key: str = "checkpoi
     return units.join(done.select(key), key, "left_anti")
 
 
-def dataset_manifest(checkpoints: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One hash over the sorted (checkpoint, content) pairs of each dataset."""
-    lines = F.array_sort(F.collect_list(F.concat_ws("=", "checkpoint_key", "content_hash")))
-    return checkpoints.groupBy(*by).agg(F.count("*").alias("n_checkpoints"), F.sha2(F.concat_ws("\n", lines), 256).alias("manifest_hash"))
+def dataset_manifest(checkpoints: DataFrame, by: Sequence[str], buckets: int = 256) -> DataFrame:
+    """One hash of each dataset over its (checkpoint, content) pairs: the pairs fall into buckets by the first bits of
+    their own hash, a bucket's hash is over its sorted pairs, and the manifest's over the sorted buckets. So no task holds
+    a whole dataset, in whatever order the rows come."""
+    line = F.concat_ws("=", "checkpoint_key", "content_hash")
+    rows = checkpoints.select(*by, F.sha2(line, 256).alias("h")).withColumn("b", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
+    parts = rows.groupBy(*by, "b").agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("h"))), 256).alias("h"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])
+    return parts.groupBy(*by).agg(F.sum("n").alias("n_checkpoints"), F.sha2(F.concat_ws("\n", whole), 256).alias("manifest_hash"))
 
 
 def select_source(requests: DataFrame, profiles: DataFrame) -> DataFrame:

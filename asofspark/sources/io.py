@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 KEY = [T.StructField("listing_id", T.LongType()), T.StructField("session_date", T.DateType()), T.StructField("source_id", T.StringType())]
 BARS = T.StructType([*KEY, T.StructField("close", T.DoubleType()), T.StructField("volume", T.LongType()), T.StructField("dataset_version_id", T.StringType()), T.StructField("exchange", T.StringType()), T.StructField("year", T.IntegerType())])
 FACTORS = T.StructType([*KEY, T.StructField("multiplier", T.DoubleType()), T.StructField("dataset_version_id", T.StringType()), T.StructField("year", T.IntegerType())])
+#: Rows of a file at most, and the folder name that Spark gives to NULL.
+MOST_RECORDS, NO_VERSION = 5_000_000, "__HIVE_DEFAULT_PARTITION__"
 
 
 class ImmutableTargetError(ValueError):
@@ -28,31 +31,51 @@ def scratch_dir(spark: SparkSession) -> str:
     return top
 
 
-def _versions(df: DataFrame, most: int = 1000) -> list[str]:
-    found = [r[0] for r in df.select("dataset_version_id").distinct().limit(most + 1).collect()]  # dataset versions of one write
-    if len(found) > most:
-        raise ValueError(f"more than {most} dataset versions in one write")
-    return sorted(found)
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _write_aside(df: DataFrame, root: str, parts: list[str]) -> tuple[str, list[str]]:
+    """Write all versions in one pass to a folder aside; its path and the names of its version folders. Targets of many
+    rows go to several tasks and files, as adaptive execution rebalances them."""
+    aside = f"{root}/_aside-{uuid.uuid4().hex}"
+    keys = ["dataset_version_id", *parts]
+    ordered = df.hint("rebalance", *[F.col(c) for c in keys]).sortWithinPartitions(*keys, "listing_id", "session_date")
+    ordered.write.option("maxRecordsPerFile", MOST_RECORDS).partitionBy(*keys).parquet(aside)
+    fs, p = _fs(df.sparkSession, aside)
+    return aside, sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory())
+
+
+def _publish(spark: SparkSession, aside: str, root: str, names: list[str]) -> list[str]:
+    """Move version folders into place."""
+    fs, _ = _fs(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for n in names:
+        if not fs.rename(path(f"{aside}/{n}"), path(f"{root}/{n}")):
+            raise ImmutableTargetError(f"already written: {n}")
+    fs.delete(path(aside), True)
+    return [n.split("=", 1)[1] for n in names]
 
 
 def _write(df: DataFrame, root: str, parts: list[str]) -> list[str]:
-    versions = _versions(df)
-    targets = {v: f"{root}/dataset_version_id={v}" for v in versions}
-    taken = [v for v, t in targets.items() if _exists(df.sparkSession, t)]
+    spark = df.sparkSession
+    aside, names = _write_aside(df, root, parts)
+    taken = [n for n in names if _exists(spark, f"{root}/{n}") or n.endswith(NO_VERSION)]
     if taken:
-        raise ImmutableTargetError(f"already written: {taken}")
-    for v, t in targets.items():
-        df.where(F.col("dataset_version_id") == v).drop("dataset_version_id").repartition(*parts).sortWithinPartitions("listing_id", "session_date").write.mode("errorifexists").partitionBy(*parts).parquet(t)
-    return versions
+        fs, p = _fs(spark, aside)
+        fs.delete(p, True)
+        raise ImmutableTargetError(f"already written, or without version: {taken}")
+    return _publish(spark, aside, root, names)
 
 
 def write_bars(df: DataFrame, root: str) -> list[str]:
-    """Write by (dataset_version_id, exchange, year); any existing version is an error before anything is written."""
+    """Write by (dataset_version_id, exchange, year); any existing version is an error before anything becomes visible."""
     return _write(df.withColumn("year", F.year("session_date")), root, ["exchange", "year"])
 
 
@@ -83,15 +106,15 @@ def read_factors(spark: SparkSession, root: str, version: str, start: str, end:
 def ensure_bars(df: DataFrame, root: str) -> str:
     """Idempotent write: absent versions are written, present and equal ones left, anything else is an error."""
     spark = df.sparkSession
-    versions = _versions(df)
-    present = [v for v in versions if _exists(spark, f"{root}/dataset_version_id={v}")]
-    if not present:
-        write_bars(df, root)
+    aside, names = _write_aside(df.withColumn("year", F.year("session_date")), root, ["exchange", "year"])
+    present = [n for n in names if _exists(spark, f"{root}/{n}")]
+    if not present and not any(n.endswith(NO_VERSION) for n in names):
+        _publish(spark, aside, root, names)
         return "written"
-    if len(present) < len(versions):
-        raise ImmutableTargetError(f"only some versions are present: {present}")
-    want = df.withColumn("year", F.year("session_date")).select(*[F.col(f.name).cast(f.dataType) for f in BARS])
-    have = spark.read.schema(BARS).option("basePath", root).parquet(*[f"{root}/dataset_version_id={v}" for v in versions]).select(*BARS.names)
-    if want.exceptAll(have).isEmpty() and have.exceptAll(want).isEmpty():
+    read = lambda top: spark.read.schema(BARS).option("basePath", top).parquet(*[f"{top}/{n}" for n in names]).select(*BARS.names)
+    same = len(present) == len(names) and read(aside).exceptAll(read(root)).isEmpty() and read(root).exceptAll(read(aside)).isEmpty()
+    fs, p = _fs(spark, aside)
+    fs.delete(p, True)
+    if same:
         return "unchanged"
-    raise ImmutableTargetError("content differs")
+    raise ImmutableTargetError("only some versions are present" if len(present) < len(names) else "content differs")

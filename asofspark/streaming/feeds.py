@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,9 +17,9 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def append_stream(source: DataFrame, ledger: str, conflicts: str, checkpoint: str, time: str = "observed_at", delay: str = "7 days", key: str = "id", content: str = "content_hash") -> StreamingQuery:
-    """Observations into an append-only ledger: repeats within ``delay`` are dropped by watermark, the rest are labelled
-    against the ledger; inserts are appended, conflicts go to their own table.
+def append_stream(source: DataFrame, ledger: str, conflicts: str, checkpoint: str, key: str = "id", content: str = "content_hash") -> StreamingQuery:
+    """Observations into an append-only ledger: each micro-batch is labelled against the ledger, inserts are appended,
+    conflicts and rows without id or content go to their own table, repeats are dropped however late they come.
 
     Each micro-batch writes to a folder of its batch id, so a batch that is run again replaces itself.
     """
@@ -27,13 +27,13 @@ def append_stream(source: DataFrame, ledger: str, conflicts: str, checkpoint: st
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = _table(spark, ledger, batch.schema.add("batch", "long")).where(F.col("batch") != batch_id)
-        labelled = ledger_append(seen, batch, key, content)
-        rows = batch.dropDuplicates([key, content]).join(labelled, [key, content])
+        labelled = ledger_append(seen, batch, key, content).withColumnsRenamed({key: "_key", content: "_content"})
+        rows = batch.dropDuplicates([key, content]).join(labelled, F.col(key).eqNullSafe(F.col("_key")) & F.col(content).eqNullSafe(F.col("_content"))).drop("_key", "_content").persist()
         rows.where("action = 'insert'").drop("action").write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
         rows.where("action = 'conflict'").drop("action").write.mode("overwrite").parquet(f"{conflicts}/batch={batch_id}")
+        rows.unpersist()
 
-    unique = source.withWatermark(time, delay).dropDuplicatesWithinWatermark([key, content])
-    return unique.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def revision_stream(source: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
@@ -49,11 +49,47 @@ def current_intervals(spark: SparkSession, log: str, schema, keys: list[str]) ->
     return pit.close_intervals(_table(spark, log, schema).drop("batch"), keys)
 
 
-def maturity_stream(views: DataFrame, prices: DataFrame, matured: str, checkpoint: str, horizon_days: int) -> StreamingQuery:
-    """Views meet the first price at or after their horizon as both arrive: an interval join of two streams whose state the
-    watermarks bound. views: view_id, security_id, decision_at, price; prices: p_security_id, priced_at, close."""
-    v = views.withWatermark("decision_at", "1 day")
-    p = prices.withWatermark("priced_at", "1 day")
-    on = F.expr(f"security_id = p_security_id and priced_at >= decision_at + interval {horizon_days} days and priced_at < decision_at + interval {horizon_days + 1} days")
-    joined = v.join(p, on).select("view_id", "security_id", "priced_at", (F.col("close") / F.col("price") - 1).alias("realized_return"))
-    return joined.writeStream.format("parquet").outputMode("append").option("path", matured).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _first_at_or_after(views: DataFrame, prices: DataFrame, horizon_days: int) -> DataFrame:
+    """Each view with the first price of its security at or after its horizon (of equal times the lowest), or NULL.
+
+    Views and prices are one stream of each security from the last to the first, in which the price met last is carried on."""
+    p = prices.groupBy("security_id", F.col("at").alias("_t")).agg(F.min("close").alias("close")).select("security_id", "_t", F.lit(0).alias("_side"), F.struct(F.col("_t").alias("priced_at"), "close").alias("_p"))
+    v = views.select("security_id", (F.col("at") + F.expr(f"interval {horizon_days} days")).alias("_t"), F.lit(1).alias("_side"), F.struct(*views.columns).alias("_v"))
+    w = Window.partitionBy("security_id").orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = p.unionByName(v, allowMissingColumns=True).withColumn("_m", F.last("_p", ignorenulls=True).over(w))
+    return both.where("_v is not null").select("_v.*", "_m.priced_at", "_m.close")
+
+
+def maturity_stream(views: DataFrame, prices: DataFrame, root: str, checkpoint: str, horizon_days: int) -> StreamingQuery:
+    """Views wait for the first price at or after their horizon as both arrive. views: view_id, security_id, decision_at,
+    price; prices: p_security_id, priced_at, close.
+
+    Every micro-batch appends its prices to a log, matches new views with the log and waiting ones with the new prices, and
+    writes the matured ones and those that still wait to folders of its batch id. ``maturity`` reads the result. A price that
+    arrives after a later one has matured a view leaves that view as it is.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark, own = batch.sparkSession, batch.persist()
+        view = ["view_id", "security_id", "at", "price"]
+        new_views, new_prices = own.where("close is null").select(*view), own.where("close is not null").select("security_id", "at", "close")
+        new_prices.write.mode("overwrite").parquet(f"{root}/prices/batch={batch_id}")
+        log = _table(spark, f"{root}/prices", new_prices.schema.add("batch", "long")).where(F.col("batch") <= batch_id).drop("batch")
+        waiting = _table(spark, f"{root}/pending/batch={batch_id - 1}", new_views.schema)
+        met = _first_at_or_after(new_views, log, horizon_days).unionByName(_first_at_or_after(waiting, new_prices, horizon_days)).persist()
+        met.where("priced_at is not null").write.mode("overwrite").parquet(f"{root}/matured/batch={batch_id}")
+        met.where("priced_at is null").select(*view).write.mode("overwrite").parquet(f"{root}/pending/batch={batch_id}")
+        met.unpersist()
+        own.unpersist()
+
+    v = views.select("view_id", "security_id", F.col("decision_at").alias("at"), "price")
+    p = prices.where("close is not null").select(F.col("p_security_id").alias("security_id"), F.col("priced_at").alias("at"), "close")
+    return v.unionByName(p, allowMissingColumns=True).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def maturity(spark: SparkSession, root: str) -> DataFrame:
+    """One row a view: matured with its price's time and return, or pending."""
+    done = spark.read.parquet(f"{root}/matured").select("view_id", "security_id", "priced_at", (F.col("close") / F.col("price") - 1).alias("realized_return"), F.lit("mature").alias("status"))
+    waiting = spark.read.parquet(f"{root}/pending")
+    last = waiting.join(F.broadcast(waiting.agg(F.max("batch").alias("batch"))), "batch")  # one row
+    return done.unionByName(last.select("view_id", "security_id", F.lit(None).cast("timestamp").alias("priced_at"), F.lit(None).cast("double").alias("realized_return"), F.lit("pending").alias("status")))

@@ -172,13 +172,13 @@ def test_streams(spark, tmp_path):
     schema = "id string, content_hash string, observed_at timestamp"
     src, led, bad = str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "bad")
     at = dt.datetime(2020, 1, 1)
-    spark.createDataFrame([("a", "1", at), ("a", "1", at), ("b", "2", at)], schema).write.mode("append").parquet(src)
-    for more in ([], [("b", "9", at), ("c", "3", at)]):
+    spark.createDataFrame([("a", "1", at), ("a", "1", at), ("b", "2", at), ("d", None, at)], schema).write.mode("append").parquet(src)
+    for more in ([], [("b", "9", at), ("c", "3", at - dt.timedelta(days=900)), ("a", "1", at - dt.timedelta(days=900))]):
         if more:
             spark.createDataFrame(more, schema).write.mode("append").parquet(src)
         feeds.append_stream(spark.readStream.schema(schema).parquet(src), led, bad, str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r["id"] for r in spark.read.parquet(led).collect()) == ["a", "b", "c"]
-    assert [r["content_hash"] for r in spark.read.parquet(bad).collect()] == ["9"]
+    assert {(r["id"], r["content_hash"]) for r in spark.read.parquet(bad).collect()} == {("b", "9"), ("d", None)}
 
     log, fsrc = str(tmp_path / "log"), str(tmp_path / "facts")
     for k in (1, 2):
@@ -190,8 +190,15 @@ def test_streams(spark, tmp_path):
     assert now == {1: D(2020, 4, 2), 2: None}
 
     vs, ps = str(tmp_path / "v"), str(tmp_path / "p")
-    spark.createDataFrame([("v1", 7, at, 10.0)], "view_id string, security_id int, decision_at timestamp, price double").write.parquet(vs)
-    spark.createDataFrame([(7, at + dt.timedelta(days=20, hours=3), 12.0), (7, at + dt.timedelta(days=5), 99.0)], "p_security_id int, priced_at timestamp, close double").write.parquet(ps)
-    q = feeds.maturity_stream(spark.readStream.schema("view_id string, security_id int, decision_at timestamp, price double").parquet(vs), spark.readStream.schema("p_security_id int, priced_at timestamp, close double").parquet(ps), str(tmp_path / "m"), str(tmp_path / "cp3"), 20)
-    q.awaitTermination(120)
-    assert [round(r["realized_return"], 6) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [0.2]
+    day = dt.timedelta(days=1)
+    spark.createDataFrame([("v1", 7, at, 10.0), ("v2", 7, at + 30 * day, 10.0), ("v3", 8, at, 10.0)], "view_id string, security_id int, decision_at timestamp, price double").write.parquet(vs)
+    spark.createDataFrame([(7, at + 23 * day, 12.0), (7, at + 24 * day, 13.0), (7, at + 5 * day, 99.0)], "p_security_id int, priced_at timestamp, close double").write.parquet(ps)
+    def mature():
+        views = spark.readStream.schema("view_id string, security_id int, decision_at timestamp, price double").parquet(vs)
+        prices = spark.readStream.schema("p_security_id int, priced_at timestamp, close double").parquet(ps)
+        feeds.maturity_stream(views, prices, str(tmp_path / "m"), str(tmp_path / "cp3"), 20).awaitTermination(120)
+        return {r["view_id"]: (r["status"], r["realized_return"] and round(r["realized_return"], 6)) for r in feeds.maturity(spark, str(tmp_path / "m")).collect()}
+
+    assert mature() == {"v1": ("mature", 0.2), "v2": ("pending", None), "v3": ("pending", None)}  # no price on the day itself
+    spark.createDataFrame([(7, at + 50 * day, 9.0), (8, at + 19 * day, 1.0)], "p_security_id int, priced_at timestamp, close double").write.mode("append").parquet(ps)
+    assert mature() == {"v1": ("mature", 0.2), "v2": ("mature", -0.1), "v3": ("pending", None)}
