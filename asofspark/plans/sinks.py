@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from asofspark.functions import scalars
-from asofspark.operators import pit
 from asofspark.sources import io
 from asofspark.streaming import feeds
 
@@ -98,9 +97,8 @@ def r2_stream_revisions(v):
     facts = v.facts.withColumn("known_to", F.lit(None).cast("date"))
     facts.write.parquet(f"{root}/in")
     source = v.spark.readStream.schema(facts.schema).parquet(f"{root}/in")
-    feeds.revision_stream(source, f"{root}/log", f"{root}/checkpoint").awaitTermination()
-    log = v.spark.read.schema(facts.schema).parquet(f"{root}/log")
-    return pit.close_intervals(log, ["company_id", "provider_id"]).select("fact_id", "known_to")
+    feeds.revision_stream(source, f"{root}/intervals", f"{root}/checkpoint", ["company_id", "provider_id"]).awaitTermination()
+    return feeds.current_intervals(v.spark, f"{root}/intervals", facts.schema).select("fact_id", "known_to")
 
 
 VIEWED = "select event_id as view_id, user_id as security_id, ts as decision_at, value + 1 as price from {events} where event_type = 'view'"

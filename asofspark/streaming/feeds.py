@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from asofspark.operators import pit
 from asofspark.sources.ingest import ledger_append
@@ -36,17 +37,36 @@ def append_stream(source: DataFrame, ledger: str, conflicts: str, checkpoint: st
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def revision_stream(source: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
-    """Late revisions into an append-only log of facts; ``current_intervals`` derives the closed system intervals."""
+def revision_stream(source: DataFrame, root: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+    """Late revisions close the system intervals of the facts before them.
+
+    Only the open facts of each key are carried from batch to batch: a micro-batch meets them, those with a successor are
+    closed at its known_from and written once, the last of each key stays open. A row whose known_from lies before its
+    key's open fact would reach into closed intervals; such rows go to a table of their own (``late``)."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        spark, own = batch.sparkSession, batch.persist()
+        still = _table(spark, f"{root}/open/batch={batch_id - 1}", batch.schema)
+        begun = still.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("known_from").alias("_begun"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        marked = own.join(begun, same, "left").withColumn("_late", F.coalesce(F.col("known_from") < F.col("_begun"), F.lit(False))).persist()
+        marked.where("_late").select(*batch.columns).write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
+        rows = pit.close_intervals(still.unionByName(marked.where("not _late").select(*batch.columns)), keys).select(*batch.columns).persist()
+        rows.where("known_to is not null").write.mode("overwrite").parquet(f"{root}/closed/batch={batch_id}")
+        rows.where("known_to is null").write.mode("overwrite").parquet(f"{root}/open/batch={batch_id}")
+        for x in (rows, marked, own):
+            x.unpersist()
 
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_intervals(spark: SparkSession, log: str, schema, keys: list[str]) -> DataFrame:
-    return pit.close_intervals(_table(spark, log, schema).drop("batch"), keys)
+def current_intervals(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """Closed facts and those still open."""
+    still = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(f"{root}/open")
+    last = still.join(F.broadcast(still.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
+    return spark.read.schema(schema).parquet(f"{root}/closed").select(*schema.names).unionByName(last.select(*schema.names))
 
 
 def _first_at_or_after(views: DataFrame, prices: DataFrame, horizon_days: int) -> DataFrame:

@@ -181,13 +181,14 @@ def test_streams(spark, tmp_path):
     assert {(r["id"], r["content_hash"]) for r in spark.read.parquet(bad).collect()} == {("b", "9"), ("d", None)}
 
     log, fsrc = str(tmp_path / "log"), str(tmp_path / "facts")
-    for k in (1, 2):
+    for k in (1, 3, 2, 5):
         facts(spark, (k, 1, D(2020, 3, 31), "a", 0, D(2020, 4, 1), D(2020, 4, k), None, float(k), "pit_verified", "passed")).write.mode("append").parquet(fsrc)
-        feeds.revision_stream(spark.readStream.schema(FACT).parquet(fsrc), log, str(tmp_path / "cp2")).awaitTermination(120)
+        feeds.revision_stream(spark.readStream.schema(FACT).parquet(fsrc), log, str(tmp_path / "cp2"), ["company_id", "provider_id"]).awaitTermination(120)
     from pyspark.sql.types import StructType
 
-    now = {r["fact_id"]: r["known_to"] for r in feeds.current_intervals(spark, log, StructType.fromDDL(FACT + ", batch long"), ["company_id", "provider_id"]).collect()}
-    assert now == {1: D(2020, 4, 2), 2: None}
+    now = {r["fact_id"]: r["known_to"] for r in feeds.current_intervals(spark, log, StructType.fromDDL(FACT)).collect()}
+    assert now == {1: D(2020, 4, 3), 3: D(2020, 4, 5), 5: None}  # 2 comes after 3 had closed 1
+    assert [r["fact_id"] for r in spark.read.parquet(f"{log}/late").collect()] == [2]
 
     vs, ps = str(tmp_path / "v"), str(tmp_path / "p")
     day = dt.timedelta(days=1)
