@@ -32,14 +32,18 @@ def zscore(df: DataFrame, by: Sequence[str], value: str, ddof: int = 1, min_obs:
 
 
 def neutralize(df: DataFrame, by: Sequence[str], value: str, industry: str, size: str, tolerance: float = 1e-12) -> DataFrame:
-    """Residual of a regression on industry dummies and size, by demeaning within (group, industry)."""
+    """Residual of a regression on industry dummies and size, by demeaning within (group, industry).
+
+    One aggregation by (group, industry), summed up by group, gives all moments; rows meet them in one join."""
     whole = F.col(value).isNotNull() & F.col(industry).isNotNull() & F.col(size).isNotNull()
-    rows = df.withColumns({"_y": F.when(whole, F.col(value)), "_x": F.when(whole, F.col(size)), "_i": F.when(whole, F.col(industry))})
-    inner, outer = Window.partitionBy(*by, "_i"), Window.partitionBy(*by)
-    rows = rows.withColumns({"_yd": F.col("_y") - F.avg("_y").over(inner), "_xd": F.col("_x") - F.avg("_x").over(inner), "_f": F.row_number().over(inner.orderBy(F.lit(1)))})
-    rows = rows.withColumns({"_xy": F.sum(F.col("_xd") * F.col("_yd")).over(outer), "_xx": F.sum(F.col("_xd") ** 2).over(outer), "_n": F.count("_y").over(outer), "_k": F.count_if((F.col("_f") == 1) & F.col("_i").isNotNull()).over(outer)})
-    residual = F.col("_yd") - ratio(F.col("_xy"), F.col("_xx")) * F.col("_xd")
-    return rows.select(*df.columns, *columns(residual, ("missing_value", F.col(value).isNull()), ("missing_industry", F.col(industry).isNull()), ("missing_size", F.col(size).isNull()), ("insufficient_observations", F.col("_n") <= F.col("_k") + 1), ("singular", F.col("_xx") <= tolerance)))
+    y, x = F.col(value).cast("double"), F.col(size).cast("double")
+    n = F.count("*")
+    inner = df.where(whole).groupBy(*by, F.col(industry).alias("_i")).agg(n.alias("_m"), F.avg(y).alias("_ya"), F.avg(x).alias("_xa"), (F.covar_pop(x, y) * n).alias("_c"), (F.var_pop(x) * n).alias("_v"))
+    outer = inner.groupBy(*by).agg(F.sum("_m").alias("_n"), F.count("*").alias("_k"), F.sum("_c").alias("_xy"), F.sum("_v").alias("_xx"))
+    moments = inner.drop("_m", "_c", "_v").join(outer, list(by))
+    rows = df.withColumn("_i", F.when(whole, F.col(industry))).join(moments, [*by, "_i"], "left")
+    residual = (y - F.col("_ya")) - ratio(F.col("_xy"), F.col("_xx")) * (x - F.col("_xa"))
+    return rows.select(*df.columns, *columns(residual, ("missing_value", F.col(value).isNull()), ("missing_industry", F.col(industry).isNull()), ("missing_size", F.col(size).isNull()), ("insufficient_observations", F.coalesce(F.col("_n") <= F.col("_k") + 1, F.lit(True))), ("singular", F.col("_xx") <= tolerance)))
 
 
 def formula(df: DataFrame, inputs: Sequence[str], expression: str) -> DataFrame:
