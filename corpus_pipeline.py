@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of
 ``documents``; the last returns packed pieces. ``run`` writes each stage's result and reads it for the next.
+
+Documents need the five columns doc_id, text, lang, source and n_chars (a missing one is an error); other columns go.
 """
 
 from __future__ import annotations
