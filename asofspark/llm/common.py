@@ -108,21 +108,22 @@ def component_labels(edges: DataFrame, label: str) -> DataFrame:
     paths, by joins; the rounds grow with the logarithm of the longest path. Rounds are written to the shared
     scratch folder, only counts come to the driver.
     """
-    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stash(both, f"{label}-edges")
+    some = edges.where("a <> b").select("a", "b")
+    both = stash(some.unionByName(some.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
     if both.isEmpty():
         return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    state = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    state = stash(state, f"{label}-round")
+    state = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), f"{label}-round")
     while True:
-        parent = state.select(F.col("node").alias("p"), F.col("component").alias("pc"))
-        # what a neighbour knows, for the node itself and for the node it hangs on
-        seen = both.join(state.select(F.col("node").alias("b"), F.col("component").alias("bc")), "b").join(state.select(F.col("node").alias("a"), "component"), "a")
-        offers = seen.select(F.col("a").alias("node"), "bc").unionByName(seen.select(F.col("component").alias("node"), "bc"))
-        offers = offers.groupBy("node").agg(F.min("bc").alias("offer"))
-        hooked = state.join(offers, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("offer", "component")).alias("c"))
-        nearer = hooked.join(parent, F.col("c") == F.col("p"), "left").select("node", "old", F.least("c", F.coalesce("pc", "c")).alias("component"))
-        nearer = stash(nearer, f"{label}-round")
-        state, changed = nearer.select("node", "component"), not nearer.where("component <> old").isEmpty()
+        here, there = state.select(F.col("node").alias("a"), "component"), state.select(F.col("node").alias("b"), F.col("component").alias("offer"))
+        # what a neighbour knows, for the node itself and for the node it hangs on; and what the node knew
+        seen = both.join(there, "b").join(here, "a").select(F.explode(F.array("a", "component")).alias("node"), F.lit(None).cast("long").alias("old"), "offer")
+        best = seen.unionByName(state.select("node", F.col("component").alias("old"), F.col("component").alias("offer"))).groupBy("node").agg(F.max("old").alias("old"), F.min("offer").alias("c"))
+        parent = state.select(F.col("node").alias("c"), F.col("component").alias("further"))
+        nearer = best.join(parent, "c", "left").select("node", "old", F.least("c", "further").alias("component"))
+        nearer, before = stash(nearer, f"{label}-round"), state
+        changed = not nearer.where("component <> old").isEmpty()
+        discard(before)
         if not changed:
-            return state
+            discard(both)
+            return nearer.select("node", "component")
+        state = nearer

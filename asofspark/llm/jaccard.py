@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import KEY, LAST_ID, binaries, component_labels, discard, keyed, keyed_columns, map_batches, stash
 
-BLOCK = 400
+BLOCK = 200
 #: Stars of a key with more than a block of classes, before the rest is dealt in blocks.
 STARS = 3
 SHINGLES = "_id long, _h long, doc_id long, n long, digest binary, first array<long>"
@@ -200,7 +200,9 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
     whole = docs.select("_id", "_h", "text").dropDuplicates(["_id", "_h"]).join(chosen, ["_id", "_h"]).select("k", "n", "text")
     whole = stash(map_batches(whole, sets_of, "k long, n long, grams array<long>"), "whole-sets")
     discard(rich)
-    found = _links(_ordered(whole, percent), percent, block)
+    sets = _ordered(whole, percent)
+    found = _links(sets, percent, block)
+    discard(sets)
     labelled = classes.select("k", "digest", F.col("rep._id").alias("least")).join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     least = labelled.groupBy("component").agg(F.min("least").alias("smallest"))
     return each.select("_id", "_h", "doc_id", "n", "digest").join(labelled.select("k", "digest", "component").join(least, "component"), "digest", "left").select("_id", "_h", "doc_id", F.col("n").alias("n_shingles"), F.col("k").alias("class_key"), "component", _known(F.coalesce("smallest", "_id")).alias("component_id"))
@@ -255,17 +257,22 @@ def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
 
     # (t, s): classes with key t of size class s or the next one
     groups = sets.select("k", "size", F.explode("keys").alias("t")).select("k", "t", F.explode(F.array(F.col("size") - 1, F.col("size"))).alias("s"))
-    groups = stash(groups, "keys")
+    groups = keys = stash(groups, "keys")
     hubs = groups.groupBy("t", "s").agg(F.min("k").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hubs = stash(hubs, "hubs")  # at rest, as all that is joined to a key, so that the join can be split at a hot one
     groups = stash(groups.join(hubs, ["t", "s"]), "keys-of-several")
+    discard(keys, hubs)
     met = stash(compared(groups.where("k <> hub").select("hub", "k").distinct()), "links")
     for turn in range(STARS):
         labels = component_labels(met, "stars")
         state = groups.join(labels.withColumnRenamed("node", "k"), "k", "left").select("t", "s", "k", "hub", F.coalesce("component", "k").alias("c"))
         # all pairs of the hub are settled; a key is done if all others are of one component
         mixed = state.where("k <> hub").groupBy("t", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t", "s")
+        mixed = stash(mixed, "mixed")
         state = stash(state.join(mixed, ["t", "s"]), "unsettled")
+        discard(mixed)
         if state.isEmpty():
+            discard(groups, met, state)
             return labels
         by_component = state.groupBy("t", "s", "c").agg(F.count("*").alias("n"), F.min("k").alias("k"))
         of_key = by_component.groupBy("t", "s").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"))
@@ -294,7 +301,10 @@ def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
     dealt = state.withColumn("own", own).select("t", "s", "k", "c", F.explode(cells).alias("x")).select("t", "s", "x.i", "x.j", "k", "c").join(rows, "k")
     dealt = dealt.repartition(parts, "t", "s", "i", "j").sortWithinPartitions("t", "s", "i", "j")
     rest = stash(map_batches(dealt, tries, "a long, b long"), "links-by-tries")
-    return labels if rest.isEmpty() else component_labels(met.unionByName(rest), "components")
+    if not rest.isEmpty():
+        labels = component_labels(met.unionByName(rest), "components")
+    discard(groups, met, rest, plan)
+    return labels
 
 
 def _known(column: Column) -> Column:

@@ -15,7 +15,8 @@ Counts are combined before shuffling, and joins on a hot run or line are ordinar
 Defined results: null text has no lines and stays null; an empty text is one empty line; blank lines are lines of no
 words; rows that share doc_id and text count once and get one result, other rows that share a doc_id are documents
 of their own; null doc_id comes last; an empty table gives no rows. A document may lose all its lines: its text is
-then empty. Lines are compared by MD5.
+then empty. A very long text is one row in one task when it is split and when it is put together. Lines are compared by
+MD5.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, keyed_columns, map_batches, stash
+from .common import KEY, discard, keyed, keyed_columns, map_batches, stash
 
 MIN_WORDS = 10
 
@@ -44,19 +45,22 @@ def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     the rank of the run of 2^k lines from there among all repeated runs of that length; runs that come once are absent."""
     named = _ranked(lines.groupBy("m").agg(F.count("*").alias("c")).where("c > 1"), "m")
     ranks = [stash(lines.join(named, "m").select("d", "p", "r"), "rank-0")]
+    discard(named)
     while not ranks[-1].isEmpty():
         step = 1 << (len(ranks) - 1)
         later = ranks[-1].select("d", (F.col("p") - step).alias("p"), F.col("r").alias("r2"))
         pairs = stash(ranks[-1].withColumnRenamed("r", "r1").join(later, ["d", "p"]), "pairs")
         named = _ranked(pairs.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1"), "r1", "r2")
         ranks.append(stash(pairs.join(named, ["r1", "r2"]).select("d", "p", "r"), f"rank-{len(ranks)}"))
-    return ranks[:-1]
+        discard(pairs, named)
+    discard(ranks.pop())
+    return ranks
 
 
 def prefix_intervals(ranks: list[DataFrame]) -> DataFrame:
     """Rows (c, n, d, p): position (d, p) is in interval ``c`` of suffixes that share their first ``n`` lines. Members
     that share more appear in the deeper interval, and the first of them here too."""
-    state = None
+    state, before = None, ()
     for b in reversed(range(len(ranks))):
         here = ranks[b].select("d", F.col("p").alias("q"), "r")
         # from the root, where nothing is shared yet: all that has a repeated run of 2^b lines but is not yet deeper
@@ -69,31 +73,42 @@ def prefix_intervals(ranks: list[DataFrame]) -> DataFrame:
         if state is not None:
             rows = state.withColumn("q", F.col("p") + F.col("n")).join(here, ["d", "q"], "left").select("c", "n", "d", "p", "r").unionByName(root)
         rows = stash(rows, "refine")
+        if before:
+            discard(*before)
         split = rows.where("r is not null").groupBy("c", "r").agg(F.count("*").alias("k"), F.min(F.struct("d", "p")).alias("first")).where("k > 1")
+        split = stash(split, "split")
+        before = (rows, split)
         joined = rows.join(split, ["c", "r"], "left").select("c", "n", "d", "p", "r", F.col("first").isNotNull().alias("on"), (F.col("first") == F.struct("d", "p")).alias("is_first"))
         deeper = F.struct(F.xxhash64("c", "r", F.lit(b)).alias("c"), (F.col("n") + (1 << b)).alias("n"))
         stay = F.struct("c", "n")
         places = F.when(~F.col("on"), F.array(stay)).when(F.col("is_first"), F.array(deeper, stay)).otherwise(F.array(deeper))
         state = joined.select(F.explode(places).alias("x"), "d", "p").where("x.n > 0").select("x.c", "x.n", "d", "p")
-    return stash(state, "intervals")
+    out = stash(state, "intervals")
+    discard(*before)
+    return out
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """docs: (_id, _h, text). For each document with later copies: ``runs``, an array of (p, n): n lines from p on
     also begin at an earlier position."""
     hashes = F.transform(F.split("text", "\n"), lambda x: F.unhex(F.md5(x)))
-    each = docs.where("text is not null").select("_id", "_h", F.posexplode(hashes).alias("p", "m"))
-    repeated = each.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
+    each = stash(docs.where("text is not null").select("_id", "_h", F.posexplode(hashes).alias("p", "m")), "lines")
+    # counts are at rest wherever they are joined, so that Spark can split the join at a hot line or interval
+    repeated = stash(each.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "repeated")
     some = stash(each.join(repeated, "m").distinct(), "repeated-lines")
+    discard(each, repeated)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = some.select("_id", "_h").distinct().repartitionByRange(parts, "_id", "_h").sortWithinPartitions("_id", "_h")
     numbered = stash(numbered.select("_id", "_h", F.monotonically_increasing_id().alias("d")), "numbered")
     lines = some.join(numbered, ["_id", "_h"]).select("d", "p", "m")
     ranks = suffix_ranks(lines)
     if not ranks:
+        discard(some)
         return numbered.select("_id", "_h", F.array().cast("array<struct<p:int,n:int>>").alias("runs")).limit(0)
+    discard(some)
     members = prefix_intervals(ranks)
-    first = members.groupBy("c").agg(F.min(F.struct("d", "p")).alias("first"))
+    discard(*ranks)
+    first = stash(members.groupBy("c").agg(F.min(F.struct("d", "p")).alias("first")), "first")
     copies = members.join(first, "c").where(F.col("first") < F.struct("d", "p")).groupBy("d", "p").agg(F.max("n").alias("n"))
     return copies.join(numbered, "d").groupBy("_id", "_h").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
 
