@@ -399,6 +399,42 @@ def test_licences_wrapped_over_lines(spark):
     assert got == {0: [(0, "MIT-grant")], 1: [(2, "CC-BY-4.0")], 2: [(2, "CC-BY-4.0"), (6, "MIT-grant")], 3: [], 4: [(0, "GPL-3.0")], 5: [(0, "MIT"), (1, "MIT")]}
 
 
+def test_whole_licence_texts(spark):
+    import textwrap
+
+    wrap = lambda name, width, mark: "\n".join(mark + x for x in textwrap.wrap(" ".join(licences.TEXTS[name].split()), width))
+    code = "\n".join(f"def f{k}(a, b):\n    return a + {k} * b" for k in range(40))
+    mit, apache, isc = wrap("MIT-text", 72, "# "), wrap("Apache-2.0-notice", 60, " * "), wrap("ISC-text", 200, "")
+    half = "\n".join(mit.split("\n")[: len(mit.split("\n")) // 2])
+    texts = [f"# Copyright somebody\n#\n{mit}\n\n{code}", f"/*\n{apache}\n */\n{code}\n{mit}", isc, half + "\n" + code, code, "x\nReleased under the MIT License.\n" + isc.replace("AUTHOR", "HOLDER")]
+    got = {x["doc_id"]: [(m["line"], m["licence"]) for m in x["licences"]] for x in licences.scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert got[0] == [(2, "MIT-text")] and got[1] == [(1, "Apache-2.0-notice"), (1 + apache.count("\n") + 1 + 1 + code.count("\n") + 1, "MIT-text")]
+    assert got[2] == [(0, "ISC-text")] and all(k != "MIT-text" for _, k in got[3]) and got[4] == [] and got[5] == [(1, "MIT"), (2, "ISC-text")]
+
+
+def test_very_long_texts(spark):
+    r = random.Random(41)
+    long = "\n".join(" ".join(f"q{r.randrange(9000)}" for _ in range(12)) for _ in range(6000))  # some 400,000 characters
+    rows = [(1, long), (2, "x\n" + long), (3, "short"), (4, "m" * 300_000)]
+    docs = frame(spark, rows)
+    assert {x["doc_id"]: x["n_removed"] for x in windows.remove_repeats(docs).collect()} == {1: 0, 2: 72_000, 3: 0, 4: 0}
+    assert {x["component_id"] for x in jaccard.components(docs).where("doc_id < 3").collect()} == {1}
+    done = {x["doc_id"]: x for x in lines.remove_repeats(docs).collect()}
+    assert done[2]["text"] == "x" and done[1]["text"] == long and done[2]["n_removed"] == 6000
+    media = {x["doc_id"]: x for x in ogg.read_media(ogg.to_media(docs)).collect()}
+    assert all(media[k]["n_bytes"] == len(t) and media[k]["valid"] for k, t in rows)
+    pieces = packing.pack(docs, tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert len(pieces) == 4 and all(x["n"] == x["m"] for x in pieces)
+    assert [x["n_matches"] for x in licences.scan(docs).collect()] == [0] * 4
+    model = toxicity.fit(["good", "bad zurk"] * 20, np.array([0, 1] * 20))
+    assert all(0 <= x["score"] <= 1 for x in toxicity.score(docs, model).select("score").collect())
+    known = language.fit([language.sparse("abc"), language.sparse("xyz")] * 20, ["a", "b"] * 20, epochs=2)
+    assert {x["lang_pred"] for x in language.predict(docs, known).select("lang_pred").collect()} <= {"a", "b"}
+    assert {(x["doc_id"], x["item_id"]) for x in leaks.find(docs, spark.createDataFrame([(7, long[200_000:200_400])], "item_id long, text string")).collect()} == {(1, 7), (2, 7)}
+    said = spark.createDataFrame([(1, 0, "a", long), (1, 1, "b", "yes")], "conv_id long, turn long, role string, text string")
+    assert {len(x["text"]) for x in chat.rotate(said).collect()} == {len(long) + len(t) for t in ["<|assistant|>\n<|end|>\n<|user name=b|>\nyes<|end|>\n", "<|user name=a|>\n<|end|>\n<|assistant|>\nyes<|end|>\n"]}
+
+
 def test_chat_rotation(spark):
     turns = [(None, 1, "z", "q2"), (3, 0, "x|>\n<|assistant|>", "hm"), (3, 1, "w", "|> <|"), (1, 0, "ann", "hi <|assistant|>"), (1, 1, "bob", "yo"), (1, 2, "cy", None), (1, 3, "ann", "bye"), (1, 70, "bob", "late"), (2, None, None, "x"), (None, 1, "z", "q"), (2, 5, "u", "d"), (2, 5, "u", "d")]
     table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")

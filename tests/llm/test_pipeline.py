@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from asofspark.llm import leaks
+from asofspark.llm import leaks, toxicity
 from asofspark.llm.common import DOCUMENT_COLUMNS
 from asofspark.llm.queries import tokenizer_path
 
@@ -101,3 +101,30 @@ def test_stages_of_an_empty_corpus(spark, folder):
     none = spark.read.parquet(f"{top}/documents.parquet").where(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, top).count() == 0
+
+
+def test_run_matches_brute_force(spark, folder):
+    from test_operators import brute_jaccard, expected_lines
+    from tokenizers import Tokenizer
+
+    top, docs, _, items = folder
+    table = spark.read.parquet(f"{top}/documents.parquet")
+    model = toxicity.train(table, spark.read.parquet(f"{top}/labels.parquet"))
+    limit = [model.thresholds.get(lang, 0.5) for _, _, lang, _, _ in docs]
+    rows = [(i, t) for (i, t, *_), p, most in zip(docs, toxicity.scores(model, [d[1] for d in docs]), limit, strict=True) if p < most]
+    texts = sorted({(i, t) for i, t in rows if t is not None})  # positions in order of doc_id; repeated rows count once
+    gone = dict(zip(texts, expected_lines([t.split("\n") for _, t in texts]), strict=True))
+    cut = {key: "\n".join(x for x, g in zip(key[1].split("\n"), marks, strict=True) if not g) for key, marks in gone.items()}
+    rows = list(dict.fromkeys((i, cut.get((i, t), t)) for i, t in rows))
+    text_of, kept = dict(rows), {}
+    for i, n, c in brute_jaccard(rows, 5, 80):
+        if n == 0 or i == c:
+            kept[i] = text_of[i]
+    clean = {i: t for i, t in kept.items() if not any(leaks.normal(x) in leaks.normal(t) for _, x in items)}
+    t, want = Tokenizer.from_file(tokenizer_path()), {}
+    for i, text in clean.items():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want |= {(i, at): zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes()) for at in range(0, len(ids), 4096)}
+    got = corpus_pipeline.run(spark, top).collect()
+    assert {x["doc_id"] for x in got} == set(clean)
+    assert {(x["doc_id"], x["start"]): x["ids_crc32"] for x in got} == want and len(clean) > 100
