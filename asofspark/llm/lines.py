@@ -116,7 +116,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` (doc_id, text and others), the text without later copies, and n_lines and n_removed."""
     names = dict(zip(("_id", "_h"), KEY, strict=True))
-    runs = repeated_runs(keyed(docs.select("doc_id", "text")).select("_id", "_h", "text")).withColumnsRenamed(names | {"runs": "__runs"})
+    # at rest, so that Spark knows its size: documents meet it where they lie if it is small, else both are shuffled
+    runs = stash(repeated_runs(keyed(docs.select("doc_id", "text")).select("_id", "_h", "text")), "runs").withColumnsRenamed(names | {"runs": "__runs"})
     marked = keyed_columns(docs.drop("n_lines", "n_removed")).join(runs, list(KEY), "left")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
