@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from asofspark.operators import audit, checks
 from asofspark.sources import ingest
 
-from .core import r
 from .testdata import Registry
 
 query = Registry()
