@@ -144,7 +144,7 @@ def s18_pending_units(v):
 HASHED = "select job_id, checkpoint_key, 'c' || cast(max(attempt) as varchar(12)) as content_hash from {checkpoints} group by 1, 2"
 
 
-@query(f"with h as (select job_id, sha256(checkpoint_key || '=' || content_hash) as h from ({HASHED})), p as (select job_id, cast('0x' || substr(h, 1, 8) as bigint) % 256 as b, count(*) as n, sha256(string_agg(h, chr(10) order by h)) as h from h group by 1, 2) select job_id, cast(sum(n) as bigint) as n_checkpoints, sha256(string_agg(h, chr(10) order by b)) as manifest_hash from p group by 1")
+@query(f"with h as (select job_id, sha256(checkpoint_key || '=' || content_hash) as h from ({HASHED})), a as (select job_id, substr(h, 1, 4) as node, count(*) as n, sha256(string_agg(h, chr(10) order by h)) as h from h group by 1, 2), b as (select job_id, substr(node, 1, 2) as node, sum(n) as n, sha256(string_agg(h, chr(10) order by node)) as h from a group by job_id, substr(node, 1, 2)) select job_id, cast(sum(n) as bigint) as n_checkpoints, sha256(string_agg(h, chr(10) order by node)) as manifest_hash from b group by 1")
 def s19_dataset_manifest(v):
     return ingest.dataset_manifest(v.sql(HASHED), ["job_id"])
 

@@ -145,15 +145,16 @@ def pending_units(units: DataFrame, checkpoints: DataFrame, key: str = "checkpoi
     return units.join(done.select(key), key, "left_anti")
 
 
-def dataset_manifest(checkpoints: DataFrame, by: Sequence[str], buckets: int = 256) -> DataFrame:
-    """One hash of each dataset over its (checkpoint, content) pairs: the pairs fall into buckets by the first bits of
-    their own hash, a bucket's hash is over its sorted pairs, and the manifest's over the sorted buckets. So no task holds
-    a whole dataset, in whatever order the rows come."""
-    line = F.concat_ws("=", "checkpoint_key", "content_hash")
-    rows = checkpoints.select(*by, F.sha2(line, 256).alias("h")).withColumn("b", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    parts = rows.groupBy(*by, "b").agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("h"))), 256).alias("h"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])
-    return parts.groupBy(*by).agg(F.sum("n").alias("n_checkpoints"), F.sha2(F.concat_ws("\n", whole), 256).alias("manifest_hash"))
+def dataset_manifest(checkpoints: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One hash of each dataset over its (checkpoint, content) pairs, in whatever order they come, as a tree: pairs fall
+    into leaves by the first four hex digits of their own hash, leaves into branches by the first two, and each node's hash
+    is over its sorted members. So no row holds more than a small part of a large dataset."""
+    line = F.sha2(F.concat_ws("=", "checkpoint_key", "content_hash"), 256)
+    nodes = checkpoints.select(*by, line.alias("node"), line.alias("h"), F.lit(1).cast("long").alias("n"))
+    for digits in (4, 2, 0):
+        members = F.transform(F.array_sort(F.collect_list(F.struct("node", "h"))), lambda x: x["h"])
+        nodes = nodes.groupBy(*by, F.substring("node", 1, digits).alias("up")).agg(F.sha2(F.concat_ws("\n", members), 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("up", "node")
+    return nodes.select(*by, F.col("n").alias("n_checkpoints"), F.col("h").alias("manifest_hash"))
 
 
 def select_source(requests: DataFrame, profiles: DataFrame) -> DataFrame:
