@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from asofspark.operators import audit, checks, factors, identity, market, pit, scd, universe, valuation, views
+from asofspark.operators import audit, checks, factors, identity, market, pit, scd, transforms, universe, valuation, views
 from asofspark.sources import ingest, io
 from asofspark.streaming import feeds
 
@@ -160,6 +160,12 @@ def test_parquet_round_trip_is_immutable_and_pruned(spark, tmp_path):
         io.ensure_bars(df.unionByName(df.withColumn("dataset_version_id", F.lit("v2"))), root)
     with pytest.raises(ValueError):
         io.read_bars(spark, root, "v1", "2020-01-01", "2019-01-01")
+    before = sorted(x.name for x in (tmp_path / "bars").iterdir())
+    with pytest.raises(io.ImmutableTargetError):  # a new version beside one that is there, or beside rows without one
+        io.write_bars(df.unionByName(df.withColumn("dataset_version_id", F.lit("v3"))), root)
+    with pytest.raises(io.ImmutableTargetError):
+        io.write_bars(df.withColumn("dataset_version_id", F.when(F.col("listing_id") > 3, "v4")), root)
+    assert sorted(x.name for x in (tmp_path / "bars").iterdir()) == before == ["dataset_version_id=v1"]
     got = io.read_bars(spark, root, "v1", "2020-01-01", "2020-12-31")
     assert got.count() == 3 and "PartitionFilters: [" in got._jdf.queryExecution().toString()
     assert [r["listing_id"] for r in io.read_bars(spark, root, "v1", "2019-05-01", "2021-06-01", 4).collect()] == [4]
@@ -168,6 +174,33 @@ def test_parquet_round_trip_is_immutable_and_pruned(spark, tmp_path):
     assert io.read_factors(spark, str(tmp_path / "f"), "v1", "2020-01-01", "2020-01-01", 1).first()["multiplier"] == 0.5
 
 
+def test_feature_definition_checks_its_inputs(spark):
+    rows = [("a", "x", 4.0, "currency", "CNY", 1), ("a", "y", 2.0, "currency", "CNY", 1), ("b", "x", 4.0, "ratio", "CNY", 1), ("b", "y", 2.0, "currency", "CNY", 1), ("c", "x", 4.0, "currency", "USD", 1), ("c", "y", 2.0, "currency", "CNY", 1)]
+    rows += [("d", "x", 4.0, "currency", "CNY", 1), ("d", "y", 2.0, "currency", "CNY", 2), ("e", "x", 4.0, "currency", "CNY", 1), ("f", "z", 1.0, "count", None, 1), ("g", "x", 1.0, "currency", "CNY", 1), ("g", "y", 0.0, "currency", "CNY", 1)]
+    facts_of = spark.createDataFrame(rows, "id string, metric string, value double, unit string, currency string, period int")
+    inputs = {"x": ("currency", "CNY"), "y": ("currency", "CNY")}
+    got = {r["id"]: r for r in transforms.feature(facts_of, ["id"], inputs, "try_divide(x, y)").collect()}
+    assert got["a"]["value"] == 2.0 and {k: got[k]["unavailable_reason"] for k in "bcdefg"} == {"b": "unit_mismatch", "c": "currency_mismatch", "d": "period_mismatch", "e": "missing_input", "f": "missing_input", "g": "undefined"}
+    assert {r["id"] for r in transforms.feature(facts_of, ["id"], inputs, "try_divide(x, y)", "reject").where("status = 'rejected'").collect()} == {"e", "f"}
+
+
+def test_promotion_needs_every_check_once_and_history(spark):
+    rows = [(k, c, "pass") for k in (1, 2, 3, 4) for c in audit.VALIDATION_CHECKS if (k, c) != (2, "fdr")] + [(3, "ic", "pass")]
+    context = spark.createDataFrame([(k, "strict_historical" if k < 4 else "current", "research", "pit_verified") for k in (1, 2, 3, 4)], "report_id int, data_mode string, stage string, trust_state string")
+    got = {r["report_id"]: r for r in audit.promotion_gate(spark.createDataFrame(rows, "report_id int, check_name string, outcome string"), context).collect()}
+    assert [got[k]["may_promote"] for k in (1, 2, 3, 4)] == [True, False, False, False] and got[2]["missing"] == ["fdr"] and got[3]["n_repeated"] == 1
+
+
+def test_share_capital_and_outcome_reasons(spark):
+    raw = spark.createDataFrame([("1", "2020-01-02", "1,000.5", "3", "--"), ("1", "2020-01-02", "1,000.5", "3", "--"), ("1", "-", "5", None, None), ("1", "2020-01-03", None, "1", "1")], "code string, change_date string, total string, circulating string, restricted string")
+    got = ingest.share_capital(raw).collect()
+    assert [(r["total_shares"], r["circulating_shares"], r["restricted_shares"]) for r in got] == [(10_005_000, 30_000, None)] and len(got[0]["record_id"]) == 64
+    p = spark.createDataFrame([(s, D(2020, 1, k), 10.0, None if (s, k) == (2, 5) else 0.5 if k < 4 else 1.0, None if s == 3 else "s") for s in (1, 2, 3) for k in range(1, 8)], "security_id int, session_date date, close double, multiplier double, source_id string")
+    v = spark.createDataFrame([(k, k, D(2020, 1, 2)) for k in (1, 2, 3)], "view_id int, security_id int, decision_date date")
+    got = {r["view_id"]: r for r in views.mature(v, p, v.select("view_id").limit(0), 3, "2020-01-31").collect()}
+    assert got[1]["realized_return"] == pytest.approx(1.0) and got[2]["reason"] == "actions_missing" and got[3]["reason"] == "source_missing"
+
+
 def test_streams(spark, tmp_path):
     schema = "id string, content_hash string, observed_at timestamp"
     src, led, bad = str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "bad")
