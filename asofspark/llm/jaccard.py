@@ -7,7 +7,7 @@
 3. The n-grams of the classes left are counted. The global order is by that count (its power of two, the frequent first),
    then by hash; what no other class has is left out. The rarest n-grams of a class, as many as a partner can't lack
    altogether, are its keys: partners share a key, and are of one size class or of neighbouring ones.
-4. Star: within the classes of one key and size, all are compared with the first of them. A key all of whose other
+4. Stars: within the classes of one key and size, all are compared with three of them. A key all of whose other
    classes are in one component by then is done.
 5. The classes of every other key, at most ``block`` of them in a task, form a compressed trie in the global order. Each set
    walks the trie, sharing the overlap of common beginnings, and leaves a subtree when the remaining lengths can't reach
@@ -214,14 +214,24 @@ def _ordered(whole: DataFrame, percent: int) -> DataFrame:
     shared n-grams as numbers that ascend in the global order, and ``keys``, the rarest of them."""
     grams = whole.select("k", "n", F.explode("grams").alias("t"))
     counts = stash(grams.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "ngram-counts")
-    overlap = F.ceil(F.col("n") * percent / F.lit(100))
-    shared = grams.join(counts, "t").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts")).where(F.size("ts") >= overlap)
-    keys = F.transform(F.slice("ts", F.lit(1), (F.size("ts") - overlap + 1).cast("int")), lambda x: x["t"])
-    # five bits for the power of two, the frequent first, and 58 of the hash
-    number = F.array_sort(F.transform("ts", lambda x: F.shiftleft((F.lit(31) - F.least(F.lit(31), F.floor(F.log2(x["c"].cast("double"))))).cast("long"), 58).bitwiseOR(x["t"].bitwiseAND(F.lit((1 << 58) - 1)))))
+    shared = grams.join(counts, "t").groupBy("k", "n").agg(F.collect_list(F.struct("t", "c")).alias("ts")).where(F.size("ts") >= F.ceil(F.col("n") * percent / F.lit(100)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, numbers = [], []
+            for n, t, c in zip(b.column("n").to_pylist(), arrays(b.column("t")), arrays(b.column("c")), strict=True):
+                rare = np.lexsort((t, c))[: len(t) - least_overlap(n, percent) + 1]
+                keys.append(t[rare])
+                # five bits for the power of two, the frequent first, and 58 of the hash
+                power = np.minimum(np.log2(c.astype(np.float64)).astype(np.int64), 31)
+                numbers.append(np.sort(((31 - power) << 58) | (t & ((1 << 58) - 1))))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, numbers)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("n"), b.column("size"), *lists], ["k", "n", "size", "keys", "tokens"])
+
     # partners' sizes differ by less than one step, so they are of one size class or of neighbouring ones
     size = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int")
-    out = stash(shared.select("k", "n", size.alias("size"), keys.alias("keys"), number.alias("tokens")), "ordered-sets")
+    out = map_batches(shared.select("k", "n", size.alias("size"), F.col("ts.t").alias("t"), F.col("ts.c").alias("c")), run, "k long, n long, size int, keys array<long>, tokens array<long>")
+    out = stash(out, "ordered-sets")
     discard(counts, whole)
     return out
 
@@ -250,30 +260,36 @@ def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
 
     def compared(pairs: DataFrame) -> DataFrame:
         """pairs: (hub, k). The links among them; a hub of many pairs goes to several tasks."""
+        pairs = stash(pairs, "pairs")
         shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
         members = pairs.join(shares, "hub").select("hub", F.pmod(F.xxhash64("k"), F.col("shares")).cast("int").alias("salt"), F.lit(1).alias("c"), "k").join(rows, "k")
         hubs = shares.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("c"), F.col("hub").alias("k")).join(rows, "k")
         dealt = members.unionByName(hubs).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "c")
-        return map_batches(dealt, star, "a long, b long")
+        out = stash(map_batches(dealt, star, "a long, b long"), "links-by-stars")
+        discard(pairs)
+        return out
 
     # (t, s): classes with key t of size class s or the next one
     groups = sets.select("k", "size", F.explode("keys").alias("t")).select("k", "t", F.explode(F.array(F.col("size") - 1, F.col("size"))).alias("s"))
     groups = keys = stash(groups, "keys")
-    hubs = groups.groupBy("t", "s").agg(F.min("k").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    some = F.array_distinct(F.array(F.min("k"), F.max("k"), F.min_by("k", F.xxhash64("k"))))
+    hubs = groups.groupBy("t", "s").agg(some.alias("hubs"), F.count("*").alias("n")).where("n > 1").drop("n")
     hubs = stash(hubs, "hubs")  # at rest, as all that is joined to a key, so that the join can be split at a hot one
-    groups = stash(groups.join(hubs, ["t", "s"]), "keys-of-several")
+    groups = several = stash(groups.join(hubs, ["t", "s"]), "keys-of-several")
     discard(keys, hubs)
-    met = stash(compared(groups.where("k <> hub").select("hub", "k").distinct()), "links")
+    pairs = groups.select("k", F.explode("hubs").alias("hub")).where("k <> hub").distinct()
+    met = compared(pairs)
+    # all pairs of the hubs are settled
+    groups = groups.where(~F.array_contains("hubs", F.col("k"))).select("t", "s", "k")
     for turn in range(STARS):
         labels = component_labels(met, "stars")
-        state = groups.join(labels.withColumnRenamed("node", "k"), "k", "left").select("t", "s", "k", "hub", F.coalesce("component", "k").alias("c"))
-        # all pairs of the hub are settled; a key is done if all others are of one component
-        mixed = state.where("k <> hub").groupBy("t", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t", "s")
+        state = groups.join(labels.withColumnRenamed("node", "k"), "k", "left").select("t", "s", "k", F.coalesce("component", "k").alias("c"))
+        mixed = state.groupBy("t", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t", "s")
         mixed = stash(mixed, "mixed")
         state = stash(state.join(mixed, ["t", "s"]), "unsettled")
         discard(mixed)
         if state.isEmpty():
-            discard(groups, met, state)
+            discard(several, state)
             return labels
         by_component = state.groupBy("t", "s", "c").agg(F.count("*").alias("n"), F.min("k").alias("k"))
         of_key = by_component.groupBy("t", "s").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"))
@@ -283,7 +299,7 @@ def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
         # a further hub from outside the largest component of the key
         hubs = stash(by_component.join(hot, ["t", "s"]).where("c <> bulk").groupBy("t", "s").agg(F.min("k").alias("hub")), "further-hubs")
         more = compared(state.select("t", "s", "k").join(hubs, ["t", "s"]).where("k <> hub").select("hub", "k").distinct())
-        met = stash(met.unionByName(more), "links")
+        met = met.unionByName(more)
 
     # keys with the same classes are one
     alike = state.groupBy("t", "s").agg(F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("k", F.lit(1)).cast("decimal(38,0)")).alias("y"))
@@ -304,7 +320,7 @@ def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
     rest = stash(map_batches(dealt, tries, "a long, b long"), "links-by-tries")
     if not rest.isEmpty():
         labels = component_labels(met.unionByName(rest), "components")
-    discard(groups, met, rest, plan)
+    discard(several, rest, plan)
     return labels
 
 
