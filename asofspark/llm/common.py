@@ -45,6 +45,7 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.stash_path = path
+    _kept.append(kept)
     return kept
 
 
@@ -63,9 +64,22 @@ def keyed_columns(docs: DataFrame) -> DataFrame:
     return docs.withColumns({KEY[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), KEY[1]: F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
+#: The tables from ``stash`` that this driver has not deleted yet.
+_kept: list[DataFrame] = []
+
+
+def stash_only(made: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Stash what ``made`` returns and then delete every table that ``made`` has stashed on its way."""
+    before = len(_kept)
+    out = stash(made(), label)
+    discard(*_kept[before:-1])
+    return out
+
+
 def discard(*stashed: DataFrame) -> None:
     """Delete tables from ``stash`` whose consumers have all been written."""
     for df in stashed:
+        _kept[:] = [x for x in _kept if x is not df]
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stash_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
