@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofspark.llm import jaccard, leaks, lines, packing, toxicity
-from asofspark.llm.common import DOCUMENT_COLUMNS, stash, table
+from asofspark.llm.common import DOCUMENT_COLUMNS, discard, stash_only, table
 from asofspark.llm.queries import tokenizer_path
 
 
@@ -61,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order. Of each stage only its result stays in the scratch folder, and that until the next one's is there."""
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stash_only(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        if name != STAGES[0][0]:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
