@@ -196,11 +196,10 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
         tokens = rich.select("k", "n", F.explode("ts").alias("t"))
         discard(shared)
 
-    # at rest, so that Spark knows its size: documents meet it where they lie if it is small, else both are shuffled
-    chosen = stash(rich.select("k", "n").join(classes.select("k", "rep._id", "rep._h"), "k"), "chosen")
+    chosen = rich.select("k", "n").join(classes.select("k", "rep._id", "rep._h"), "k")
     whole = docs.select("_id", "_h", "text").join(chosen, ["_id", "_h"]).select("k", "n", "text").dropDuplicates(["k"])
     whole = stash(map_batches(whole, sets_of, "k long, n long, grams array<long>"), "whole-sets")
-    discard(rich, chosen)
+    discard(rich)
     sets = _ordered(whole, percent)
     found = _links(sets, percent, block)
     discard(sets)
