@@ -91,7 +91,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     back when a task ends.
     """
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, f"{1 << 30}b").rstrip("bB")) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, f"{1 << 30}b")) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

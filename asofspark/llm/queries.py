@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, leaks, licences, lines, ogg, packing, toxicity, windows
+from . import bpe, chat, jaccard, language, leaks, licences, lines, ogg, packing, toxicity, windows
 from .common import table
 from .sql import ORACLE
 
@@ -60,14 +60,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def tokenizer_path() -> str:
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, PATTERN)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "ids")
+    tokens = bpe.token_table(spark, ranks)
+    return bpe.decode(told, tokens, tokens.count()).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_license_scan, op4_chat_rotation, op5_ngram_jaccard, op6_language_id, op7_ogg_media, op8_best_fit_packing, op9_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_license_scan, op4_chat_rotation, op5_ngram_jaccard, op6_language_id, op7_ogg_media, op8_best_fit_packing, op9_line_dedup, op10_decontamination, op11_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
