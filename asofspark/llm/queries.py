@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, language, leaks, licences, lines, ogg, packing, toxicity, windows
+from . import bpe, chat, jaccard, language, leaks, licences, lines, ogg, packing, repair, toxicity, windows
 from .common import table
 from .sql import ORACLE
 
@@ -71,6 +71,14 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(told, tokens, tokens.count()).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repaired = repair.repair(repair.damage(turns)).withColumnRenamed("conv_id", "_conv_id")
+    every = turns.select("conv_id").distinct().join(repaired, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -78,7 +86,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_license_scan, op4_chat_rotation, op5_ngram_jaccard, op6_language_id, op7_ogg_media, op8_best_fit_packing, op9_line_dedup, op10_decontamination, op11_byte_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_license_scan, op4_chat_rotation, op5_ngram_jaccard, op6_language_id, op7_ogg_media, op8_best_fit_packing, op9_line_dedup, op10_decontamination, op11_byte_bpe, op13_structure_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
