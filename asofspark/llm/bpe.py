@@ -22,6 +22,7 @@ import sys
 import types
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from .common import BATCH_BYTES, map_batches
 
 #: Characters of a block's texts, and bound of what a worker remembers of words.
-BLOCK_CHARS, KEEP_BYTES = 16_000_000, 96_000_000
+BLOCK_CHARS, KEEP_BYTES = 16_000_000, 64_000_000
+#: Numbers or bytes that are packed or unpacked at a time.
+CHUNK = 1 << 18
 BLOCK_IDS = 1_000_000
 #: A token table of more entries than this isn't broadcast.
 BROADCAST_TOKENS = 1_000_000
@@ -47,27 +50,37 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def pack_numbers(v: np.ndarray) -> bytes:
+def pack_numbers(numbers: np.ndarray) -> bytes:
     """Numbers below 2**32 in seven-bit groups, the lowest first, deflated."""
-    v = v.astype(np.uint32)
-    n = 1 + sum((v >= np.uint32(1 << (7 * k))).astype(np.int64) for k in range(1, 5))
-    at = np.cumsum(n) - n
-    out = np.zeros(int(n.sum()), np.uint8)
-    for k in range(5):
-        m = n > k
-        out[at[m] + k] = ((v[m] >> np.uint32(7 * k)) & np.uint32(127)) | ((n[m] > k + 1).astype(np.uint32) << np.uint32(7))
-    return zlib.compress(out.tobytes(), 1)
+    deflate, out = zlib.compressobj(1), []
+    for lo in range(0, len(numbers), CHUNK):
+        v = numbers[lo : lo + CHUNK].astype(np.uint32)
+        n = np.ones(len(v), np.int32)
+        for k in range(1, 5):
+            n += v >= np.uint32(1 << (7 * k))
+        at = np.cumsum(n) - n
+        groups = np.zeros(int(n.sum()), np.uint8)
+        for k in range(5):
+            m = n > k
+            groups[at[m] + k] = ((v[m] >> np.uint32(7 * k)) & np.uint32(127)) | ((n[m] > k + 1).astype(np.uint32) << np.uint32(7))
+        out.append(deflate.compress(groups.tobytes()))
+    return b"".join([*out, deflate.flush()])
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
-    b = np.frombuffer(zlib.decompress(data), np.uint8)
-    ends = np.flatnonzero(b < 128)
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    n, v = ends - starts + 1, np.zeros(len(ends), np.uint32)
-    for k in range(5):
-        m = n > k
-        v[m] |= (b[starts[m] + k] & 127).astype(np.uint32) << np.uint32(7 * k)
-    return v
+    inflate, rest, out = zlib.decompressobj(), b"", []
+    while not inflate.eof:
+        b = np.frombuffer(rest + inflate.decompress(data, CHUNK), np.uint8)
+        data = inflate.unconsumed_tail
+        ends = np.flatnonzero(b < 128)
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        rest = b[ends[-1] + 1 :].tobytes() if len(ends) else b.tobytes()
+        n, v = ends - starts + 1, np.zeros(len(ends), np.uint32)
+        for k in range(5):
+            m = n > k
+            v[m] |= (b[starts[m] + k] & 127).astype(np.uint32) << np.uint32(7 * k)
+        out.append(v)
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 class Splitter:
@@ -136,8 +149,8 @@ class WordEncoder:
 
         ranks = read_ranks(path)
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[bytes, list[int]] = {}
-        self.older: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.keep_bytes = self.room = keep_bytes // 2
 
     @staticmethod
@@ -148,14 +161,15 @@ class WordEncoder:
             held[path, pattern] = WordEncoder(path, pattern)
         return held[path, pattern]
 
-    def __call__(self, word: bytes) -> list[int]:
+    def __call__(self, word: bytes) -> bytes:
+        """32-bit ids."""
         ids = self.known.get(word)
         if ids is None:
             ids = self.older.get(word)
             if ids is None:
-                ids = self.encode(word.decode())
+                ids = array("I", self.encode(word.decode())).tobytes()
             self.known[word] = ids
-            self.room -= 200 + len(word) + 40 * len(ids)
+            self.room -= 200 + len(word) + len(ids)
             if self.room < 0:
                 self.older, self.known, self.room = self.known, {}, self.keep_bytes
         return ids
@@ -203,6 +217,8 @@ def explode_words(docs: DataFrame, pattern: str, parts: int, block_chars: int =
                     own = [texts[k] for k in order[lo:hi].tolist()]
                     yield _record(ROWS, [(p, block, p, pack_numbers(np.array([len(w) for w in own])), zlib.compress(b"".join(own), 1), None, None)])
                 lo = hi
+            words.clear()
+            del texts
             yield _record(ROWS, [(zlib.crc32(b"%d" % block) % parts, block, parts, pack_numbers(np.concatenate(places)), pack_numbers(part), ids, sizes)])
 
     return map_batches(docs, run, PACKED)
@@ -225,10 +241,10 @@ def encode_words(packed: DataFrame, ranks_path: str, pattern: str, parts: int) -
                 text, lo, counts, ids = zlib.decompress(one["words"]), 0, [], []
                 for hi in ends:
                     found = encoder(text[lo:hi])
-                    counts.append(len(found))
-                    ids += found
+                    counts.append(len(found) // 4)
+                    ids.append(found)
                     lo = hi
-                yield _record(ROWS, [(one["part"], one["block"], kind, pack_numbers(np.array(counts)), pack_numbers(np.array(ids)), None, None)])
+                yield _record(ROWS, [(one["part"], one["block"], kind, pack_numbers(np.array(counts)), pack_numbers(np.frombuffer(b"".join(ids), np.uint32)), None, None)])
 
     return map_batches(packed.repartitionById(parts, "part"), run, PACKED)
 
