@@ -7,6 +7,6 @@ import importlib
 
 from pyspark import cloudpickle
 
-MODULES = ("common", "ogg", "packing", "licences", "chat", "windows", "jaccard", "textnet", "toxicity", "language", "lines", "leaks", "bpe", "repair", "queries")
+MODULES = ("common", "ogg", "packing", "licences", "chat", "windows", "jaccard", "textnet", "toxicity", "language", "lines", "leaks", "bpe", "periodic", "repair", "queries")
 for _name in MODULES:
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, language, leaks, licences, lines, ogg, packing, repair, toxicity, windows
+from . import bpe, chat, jaccard, language, leaks, licences, lines, ogg, packing, periodic, repair, toxicity, windows
 from .common import table
 from .sql import ORACLE
 
@@ -71,6 +71,15 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(told, tokens, tokens.count()).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.search(periodic.plant(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shortness"), r["start"].alias("start"), r["period"].alias("period"))))
+    told = found.select("doc_id", "collapsed", "runs", best.alias("best")).withColumns({"start": F.col("best.start"), "length": -F.col("best.shortness"), "period": F.col("best.period")})
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    milli = F.expr("1000 * length div period").alias("exponent_milli")
+    return told.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", milli, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     repaired = repair.repair(repair.damage(turns)).withColumnRenamed("conv_id", "_conv_id")
@@ -86,7 +95,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_license_scan, op4_chat_rotation, op5_ngram_jaccard, op6_language_id, op7_ogg_media, op8_best_fit_packing, op9_line_dedup, op10_decontamination, op11_byte_bpe, op13_structure_repair)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_license_scan, op4_chat_rotation, op5_ngram_jaccard, op6_language_id, op7_ogg_media, op8_best_fit_packing, op9_line_dedup, op10_decontamination, op11_byte_bpe, op12_periodic_runs, op13_structure_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
