@@ -27,6 +27,22 @@ def scd2(observations: DataFrame, keys: Sequence[str], at: str, values: Sequence
     return starts.select(*keys, *[F.when(~conflict, F.col(v)).alias(v) for v in values], F.col(at).alias("valid_from"), F.lead(at).over(w).alias("valid_to"), conflict.alias("conflict"))
 
 
+def scd2_days(observations: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
+    """One row per key and date: its values, or NULLs and ``conflict``. Days of earlier calls may be among the observations,
+    as what has been in conflict stays so."""
+    known = F.coalesce(F.max("conflict"), F.lit(False)) if "conflict" in observations.columns else F.lit(False)
+    day = observations.groupBy(*keys, at).agg(((F.count_distinct(F.struct(*values)) > 1) | known).alias("conflict"), *[F.min(v).alias(v) for v in values])
+    return day.select(*keys, at, *[F.when(~F.col("conflict"), F.col(v)).alias(v) for v in values], "conflict")
+
+
+def scd2_starts(days: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
+    """Days with ``starts`` (an interval begins) and ``valid_to``, the next start; the intervals are the rows that start."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    same = F.lag(F.struct(*values)).over(w).eqNullSafe(F.struct(*values)) & ~F.lag("conflict").over(w) & ~F.col("conflict")
+    later = Window.partitionBy(*keys).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+    return days.withColumn("starts", ~F.coalesce(same, F.lit(False))).withColumn("valid_to", F.min(F.when(F.col("starts"), F.col(at))).over(later))
+
+
 def latest_wins(df: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
     """The values of the newest row of each key, ties by value."""
     return df.groupBy(*keys).agg(F.max(F.struct(at, *values)).alias("r")).select(*keys, "r.*")

@@ -300,9 +300,9 @@ def n8_compare_modes(v):
     return pit.compare_modes(v.facts, AUTHORITY, *clocks())
 
 
-@query("select fact_id, lead(known_from) over w as known_to, coalesce(lag(available_at) over w <> available_at, false) as public_time_changed from {facts} window w as (partition by company_id, provider_id order by known_from, fact_id)")
+@query("select fact_id, lead(known_from) over w as known_to, coalesce(lag(available_at) over w <> available_at, false) as public_time_changed from {corrections} window w as (partition by company_id, period_end, provider_id, revision order by known_from, fact_id)")
 def n9_system_correction(v):
-    return pit.close_intervals(v.facts, ["company_id", "provider_id"]).select("fact_id", "known_to", "public_time_changed")
+    return pit.close_intervals(v.corrections, [*pit.IDENTITY, "provider_id", "revision"]).select("fact_id", "known_to", "public_time_changed")
 
 
 @query("select company_id, period_end, count(distinct provider_id) as n_providers, count(distinct value) as n_values, count(*) filter (where quality_state = 'blocked') as n_blocked, min(value) as least, max(value) as most from {facts} where known_to is null group by 1, 2 having count(distinct provider_id) >= 2 and count(distinct value) >= 2")

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from asofspark.functions import scalars
-from asofspark.sources import io
+from asofspark.sources import io, merge
+from asofspark.sources.store import Store
 from asofspark.streaming import feeds
 
+from . import core, ingest
 from .testdata import Registry
 
 query = Registry()
@@ -80,6 +82,52 @@ def s5_factor_range_read(v):
     return io.read_factors(v.spark, root, "v1", "1996-01-01", "1998-12-01", 3).select("session_date", "source_id", F.round("multiplier", 8).alias("multiplier"))
 
 
+def in_batches(rows, path: str, n: int = 3) -> None:
+    """One file a micro-batch, rows dealt by their hash and so out of order."""
+    rows.repartitionById(n, F.pmod(F.xxhash64(*rows.columns), F.lit(n)).cast("int")).write.parquet(path)
+
+
+def buckets(v) -> int:
+    return int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def halves(rows):
+    """Two halves of the rows by their hash, so that either has rows before and after the other's."""
+    half = F.pmod(F.xxhash64(*rows.columns), F.lit(2))
+    return rows.where(half == 0), rows.where(half == 1)
+
+
+@query(core.query.sql["s14_scd2_append"])
+def s14_scd2_merge(v):
+    store, columns = Store(v.spark, scratch(v), buckets(v)), (["k"], "seen", ["state"])
+    for part in halves(v.sql(core.OBSERVED)):
+        merge.scd2(store, "states", part, *columns)
+    return merge.scd2_intervals(store, "states", *columns)
+
+
+@query(core.query.sql["s15_latest_wins"])
+def s15_latest_merge(v):
+    store = Store(v.spark, scratch(v), buckets(v))
+    for part in halves(v.orders.select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("date").alias("at"), F.col("o_orderpriority").alias("priority"))):
+        merge.latest(store, "newest", part, ["k"], "at", ["priority"])
+    return store.read("newest")
+
+
+@query(core.query.sql["s15_coalesce_latest"])
+def s15_coalesce_merge(v):
+    store = Store(v.spark, scratch(v), buckets(v))
+    for part in halves(v.orders.select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("date").alias("at"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority"))):
+        merge.coalesced(store, "newest", part, ["k"], "at", ["priority"])
+    return store.read("newest").select("k", "at", "priority")
+
+
+@query(ingest.query.sql["s16_ledger_append"])
+def s16_ledger_merge(v):
+    store = Store(v.spark, scratch(v), buckets(v))
+    merge.ledger(store, "ledger", v.sql(ingest.OLD))
+    return merge.ledger(store, "ledger", v.sql(ingest.NEW))
+
+
 OBSERVED = "select cast(event_id % 7000 as varchar(9)) as id, case when event_id % 900 = 8 then null else 'h' || cast(case when event_id % 500 = 3 then event_id else event_id % 7000 end as varchar(9)) end as content_hash, ts as observed_at from {events}"
 
 
@@ -87,20 +135,20 @@ OBSERVED = "select cast(event_id % 7000 as varchar(9)) as id, case when event_id
 def r1_stream_append(v):
     root = scratch(v)
     rows = v.sql(OBSERVED).withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-    rows.repartition(4).write.parquet(f"{root}/in")
-    source = v.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-    feeds.append_stream(source, f"{root}/ledger", f"{root}/conflicts", f"{root}/checkpoint").awaitTermination()
-    return v.spark.read.parquet(f"{root}/ledger").select("id", "content_hash").withColumn("kind", F.lit("ledger")).unionByName(v.spark.read.parquet(f"{root}/conflicts").select("id", "content_hash").withColumn("kind", F.lit("conflict")))
+    in_batches(rows, f"{root}/in")
+    source = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    feeds.append_stream(source, f"{root}/ledger", f"{root}/checkpoint", buckets=buckets(v)).awaitTermination()
+    return feeds.appended(v.spark, f"{root}/ledger").select("id", "content_hash", "kind")
 
 
-@query("select fact_id, lead(known_from) over (partition by company_id, provider_id order by known_from, fact_id) as known_to from {facts}")
+@query("select fact_id, lead(known_from) over (partition by company_id, period_end, provider_id, revision order by known_from, fact_id) as known_to from {corrections}")
 def r2_stream_revisions(v):
     root = scratch(v)
-    facts = v.facts.withColumn("known_to", F.lit(None).cast("date"))
-    facts.write.parquet(f"{root}/in")
-    source = v.spark.readStream.schema(facts.schema).parquet(f"{root}/in")
-    feeds.revision_stream(source, f"{root}/intervals", f"{root}/checkpoint", ["company_id", "provider_id"]).awaitTermination()
-    return feeds.current_intervals(v.spark, f"{root}/intervals", facts.schema).select("fact_id", "known_to")
+    facts = v.corrections
+    in_batches(facts, f"{root}/in")
+    source = v.spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    feeds.revision_stream(source, f"{root}/intervals", f"{root}/checkpoint", ["company_id", "period_end", "provider_id", "revision"], buckets(v)).awaitTermination()
+    return feeds.current_intervals(v.spark, f"{root}/intervals").select("fact_id", "known_to")
 
 
 VIEWED = "select event_id as view_id, user_id as security_id, ts as decision_at, value + 1 as price from {events} where event_type = 'view'"

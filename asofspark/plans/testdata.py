@@ -51,6 +51,10 @@ VIEWS = {
         cast(o_orderdate as date) as available_at, cast(o_orderdate + interval 1 day as date) as known_from, cast(null as date) as known_to, round(o_totalprice, 2) as value,
         case o_orderstatus when 'F' then 'pit_verified' when 'O' then 'normalized_current' else 'raw' end as trust_state,
         case when o_orderkey % 41 = 0 then 'blocked' else 'passed' end as quality_state from {orders}""",
+    "corrections": """select fact_id, company_id, period_end, provider_id, revision, available_at, known_from, known_to, value, trust_state, quality_state from {facts}
+        union all select fact_id + 1000000000 * n, company_id, period_end, provider_id, revision, case when fact_id % 8 = 3 then cast(available_at + interval 2 day as date) else available_at end,
+        case n when 1 then cast(known_from + interval 20 day as date) else cast(known_from + interval 9 day as date) end, known_to, value + n, trust_state, quality_state
+        from {facts} cross join (select 1 as n union all select 2) c where fact_id % 4 = 3 or (n = 1 and fact_id % 4 = 2)""",
     "quarterly": """select l_suppkey as entity_id, cast(year(l_shipdate) as int) * 4 + cast(quarter(l_shipdate) as int) as q, sum(cast(round(l_extendedprice * 100) as bigint)) / 100.0E0 as revenue,
         sum(cast(round(l_extendedprice * 100) as bigint) * (100 - cast(round(l_discount * 100) as bigint))) / 100000.0E0 - 400000 * (l_suppkey % 3) as profit, sum(cast(round(l_extendedprice * 100) as bigint) * (100 - cast(round(l_tax * 100) as bigint))) / 200000.0E0 as cash_flow from {lineitem} group by l_suppkey, 2""",
     "metrics": """select entity_id, q, 'revenue' as metric, revenue as value from {quarterly} union all

@@ -28,11 +28,12 @@ class LostRace(RuntimeError):
 
 @dataclass
 class Commit:
-    """folders: table name -> part -> folder below the root; marks: stream -> its newest batch."""
+    """folders: table name -> part -> folder below the root; marks: stream -> its newest batch; schemas: of keyed tables."""
 
     number: int = 0
     folders: dict[str, dict[str, str]] = field(default_factory=dict)
     marks: dict[str, int] = field(default_factory=dict)
+    schemas: dict[str, dict] = field(default_factory=dict)
 
 
 class Store:
@@ -59,7 +60,7 @@ class Store:
         finally:
             stream.close()
 
-    def publish(self, base: Commit, changes: dict[str, dict[str, str | None]], mark: tuple[str, int] | None = None) -> bool:
+    def publish(self, base: Commit, changes: dict[str, dict[str, str | None]], mark: tuple[str, int] | None = None, schemas: dict[str, dict] | None = None) -> bool:
         """Make ``base`` with ``changes`` (a part without folder goes) the next commit; False if its number is taken."""
         folders = {name: dict(parts) for name, parts in base.folders.items()}
         for name, parts in changes.items():
@@ -68,7 +69,7 @@ class Store:
                 own.pop(part, None)
                 if folder is not None:
                     own[part] = folder
-        after = Commit(base.number + 1, folders, base.marks | (dict([mark]) if mark else {}))
+        after = Commit(base.number + 1, folders, base.marks | (dict([mark]) if mark else {}), base.schemas | (schemas or {}))
         aside, target = (self.path(f"{self.root}/_commits/{n}") for n in (f"_{uuid.uuid4().hex}", f"{after.number:012d}.json"))
         out = self.fs.create(aside, False)
         out.write(bytearray(json.dumps(after.__dict__).encode()))
@@ -100,8 +101,9 @@ class Store:
             base = self.head()
             if mark and base.marks.get(mark[0], -1) >= mark[1]:
                 return False
-            changes = {name: self.write(name, rows, keys, touched) for name, (rows, keys, touched) in make(base).items()}
-            if self.publish(base, changes, mark):
+            made = make(base)
+            changes = {name: self.write(name, rows, keys, touched) for name, (rows, keys, touched) in made.items()}
+            if self.publish(base, changes, mark, {name: rows.schema.jsonValue() for name, (rows, _, _) in made.items()}):
                 return True
             for parts in changes.values():
                 for folder in {f.rsplit("/", 1)[0] for f in parts.values() if f}:
@@ -132,10 +134,14 @@ class Store:
         there = {f.getPath().getName() for f in self.fs.listStatus(self.path(f"{self.root}/{folder}")) if f.isDirectory()}
         return {str(b): f"{folder}/_bucket={b}" if f"_bucket={b}" in there else None for b in touched}
 
-    def read(self, name: str, schema: StructType, touched: Sequence[int] | None = None, commit: Commit | None = None) -> DataFrame:
-        """The rows of a table, or of some of its buckets, as of a commit."""
-        parts = (commit or self.head()).folders.get(name, {})
-        folders = [f for b, f in sorted(parts.items()) if touched is None or int(b) in touched]
+    def read(self, name: str, schema: StructType | None = None, touched: Sequence[int] | None = None, commit: Commit | None = None) -> DataFrame:
+        """The rows of a table, or of some of its buckets, as of a commit. ``schema`` is for a table that isn't there yet."""
+        commit = commit or self.head()
+        if name in commit.schemas:
+            schema = StructType.fromJson(commit.schemas[name])
+        elif schema is None:
+            raise KeyError(f"no table {name}")
+        folders = [f for b, f in sorted(commit.folders.get(name, {}).items()) if touched is None or int(b) in touched]
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])

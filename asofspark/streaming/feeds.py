@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
-from asofspark.operators import pit
-from asofspark.sources.ingest import ledger_append
+from asofspark.sources import merge
+from asofspark.sources.store import BUCKETS, Store
 
 
 def _table(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -18,55 +17,44 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def append_stream(source: DataFrame, ledger: str, conflicts: str, checkpoint: str, key: str = "id", content: str = "content_hash") -> StreamingQuery:
-    """Observations into an append-only ledger: each micro-batch is labelled against the ledger, inserts are appended,
-    conflicts and rows without id or content go to their own table, repeats are dropped however late they come.
+def append_stream(source: DataFrame, root: str, checkpoint: str, key: str = "id", content: str = "content_hash", buckets: int = BUCKETS) -> StreamingQuery:
+    """Observations into a ledger that is cut by a hash of the id: a micro-batch reads and rewrites only the buckets of its
+    ids, of its contents, and of ids that it brings into conflict.
 
-    Each micro-batch writes to a folder of its batch id, so a batch that is run again replaces itself.
+    An id of two contents, or a content of two ids, is a conflict whichever came first and in however many batches; a pair
+    that stood in the ledger leaves it then. Repeats are dropped however late they come. ``appended`` reads the result. A
+    micro-batch that runs again after a failure finds its mark and changes nothing.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = _table(spark, ledger, batch.schema.add("batch", "long")).where(F.col("batch") != batch_id)
-        labelled = ledger_append(seen, batch, key, content).withColumnsRenamed({key: "_key", content: "_content"})
-        rows = batch.dropDuplicates([key, content]).join(labelled, F.col(key).eqNullSafe(F.col("_key")) & F.col(content).eqNullSafe(F.col("_content"))).drop("_key", "_content").persist()
-        rows.where("action = 'insert'").drop("action").write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-        rows.where("action = 'conflict'").drop("action").write.mode("overwrite").parquet(f"{conflicts}/batch={batch_id}")
-        rows.unpersist()
+        own = batch.persist()
+        merge.pairs(Store(batch.sparkSession, root, buckets), "pairs", own, key, content, mark=(checkpoint, batch_id))
+        own.unpersist()
 
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def revision_stream(source: DataFrame, root: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Late revisions close the system intervals of the facts before them.
+def appended(spark: SparkSession, root: str, key: str = "id", content: str = "content_hash") -> DataFrame:
+    """All pairs seen so far with ``kind``: ledger or conflict."""
+    return merge.pairs_by_kind(Store(spark, root), "pairs", key, content)
+
 
-    Only the open facts of each key are carried from batch to batch: a micro-batch meets them, those with a successor are
-    closed at its known_from and written once, the last of each key stays open. A row whose known_from lies before its
-    key's open fact would reach into closed intervals; such rows go to a table of their own (``late``)."""
+def revision_stream(source: DataFrame, root: str, checkpoint: str, keys: list[str], buckets: int = BUCKETS) -> StreamingQuery:
+    """Revisions close the system intervals of the facts before them, in whatever order they arrive: a late known_from cuts
+    the interval that it falls into in two. A micro-batch reads and rewrites only the buckets of its keys, and ends as one
+    commit; run again, it changes nothing."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark, own = batch.sparkSession, batch.persist()
-        still = _table(spark, f"{root}/open/batch={batch_id - 1}", batch.schema)
-        begun = still.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("known_from").alias("_begun"))
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        marked = own.join(begun, same, "left").withColumn("_late", F.coalesce(F.col("known_from") < F.col("_begun"), F.lit(False))).persist()
-        marked.where("_late").select(*batch.columns).write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
-        rows = pit.close_intervals(still.unionByName(marked.where("not _late").select(*batch.columns)), keys).select(*batch.columns).persist()
-        rows.where("known_to is not null").write.mode("overwrite").parquet(f"{root}/closed/batch={batch_id}")
-        rows.where("known_to is null").write.mode("overwrite").parquet(f"{root}/open/batch={batch_id}")
-        for x in (rows, marked, own):
-            x.unpersist()
+        own = batch.persist()
+        merge.revisions(Store(batch.sparkSession, root, buckets), "facts", own, keys, mark=(checkpoint, batch_id))
+        own.unpersist()
 
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_intervals(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
-    """Closed facts and those still open."""
-    still = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(f"{root}/open")
-    last = still.join(F.broadcast(still.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
-    return spark.read.schema(schema).parquet(f"{root}/closed").select(*schema.names).unionByName(last.select(*schema.names))
+def current_intervals(spark: SparkSession, root: str) -> DataFrame:
+    """All facts with their intervals so far."""
+    return Store(spark, root).read("facts").drop("given_to")
 
 
 def _first_at_or_after(views: DataFrame, prices: DataFrame, horizon_days: int) -> DataFrame:
