@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import bisect
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from asofspark.sources import merge
 from asofspark.sources.store import BUCKETS, Store
 
-
-def _table(spark: SparkSession, path: str, schema) -> DataFrame:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+#: Microseconds of a day, and a price time that no price has.
+DAY, NEVER = 86_400_000_000, 1 << 62
 
 
 def append_stream(source: DataFrame, root: str, checkpoint: str, key: str = "id", content: str = "content_hash", buckets: int = BUCKETS) -> StreamingQuery:
@@ -57,47 +56,107 @@ def current_intervals(spark: SparkSession, root: str) -> DataFrame:
     return Store(spark, root).read("facts").drop("given_to")
 
 
-def _first_at_or_after(views: DataFrame, prices: DataFrame, horizon_days: int) -> DataFrame:
-    """Each view with the first price of its security at or after its horizon (of equal times the lowest), or NULL.
-
-    Views and prices are one stream of each security from the last to the first, in which the price met last is carried on."""
-    p = prices.groupBy("security_id", F.col("at").alias("_t")).agg(F.min("close").alias("close")).select("security_id", "_t", F.lit(0).alias("_side"), F.struct(F.col("_t").alias("priced_at"), "close").alias("_p"))
-    v = views.select("security_id", (F.col("at") + F.expr(f"interval {horizon_days} days")).alias("_t"), F.lit(1).alias("_side"), F.struct(*views.columns).alias("_v"))
-    w = Window.partitionBy("security_id").orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(v, allowMissingColumns=True).withColumn("_m", F.last("_p", ignorenulls=True).over(w))
-    return both.where("_v is not null").select("_v.*", "_m.priced_at", "_m.close")
-
-
-def maturity_stream(views: DataFrame, prices: DataFrame, root: str, checkpoint: str, horizon_days: int) -> StreamingQuery:
-    """Views wait for the first price at or after their horizon as both arrive. views: view_id, security_id, decision_at,
-    price; prices: p_security_id, priced_at, close.
+class Maturing(StatefulProcessor):
+    """The views and prices of one security. State: the prices by day, and each view that may still get an earlier price.
 
-    Every micro-batch appends its prices to a log, matches new views with the log and waiting ones with the new prices, and
-    writes the matured ones and those that still wait to folders of its batch id. ``maturity`` reads the result. A price that
-    arrives after a later one has matured a view leaves that view as it is.
+    A view is told to wait when it comes, and its first price so far is told whenever that changes, so that the least price
+    time told of a view is right at any moment. Timers clean up as the watermark passes: a view goes with its price's time,
+    after which no earlier one can come, and a day of prices when every later view must look behind it.
     """
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        spark, own = batch.sparkSession, batch.persist()
-        view = ["view_id", "security_id", "at", "price"]
-        new_views, new_prices = own.where("close is null").select(*view), own.where("close is not null").select("security_id", "at", "close")
-        new_prices.write.mode("overwrite").parquet(f"{root}/prices/batch={batch_id}")
-        log = _table(spark, f"{root}/prices", new_prices.schema.add("batch", "long")).where(F.col("batch") <= batch_id).drop("batch")
-        waiting = _table(spark, f"{root}/pending/batch={batch_id - 1}", new_views.schema)
-        met = _first_at_or_after(new_views, log, horizon_days).unionByName(_first_at_or_after(waiting, new_prices, horizon_days)).persist()
-        met.where("priced_at is not null").write.mode("overwrite").parquet(f"{root}/matured/batch={batch_id}")
-        met.where("priced_at is null").select(*view).write.mode("overwrite").parquet(f"{root}/pending/batch={batch_id}")
-        met.unpersist()
-        own.unpersist()
-
-    v = views.select("view_id", "security_id", F.col("decision_at").alias("at"), "price")
-    p = prices.where("close is not null").select(F.col("p_security_id").alias("security_id"), F.col("priced_at").alias("at"), "close")
-    return v.unionByName(p, allowMissingColumns=True).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def __init__(self, horizon_days: int):
+        self.horizon = horizon_days * DAY
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.prices = handle.getMapState("prices", "day int", "at array<long>, close array<double>")
+        self.views = handle.getMapState("views", "view string", "target long, price double, priced long")
+
+    def _timer(self, us: int) -> None:
+        """At the first millisecond after ``us``."""
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        told, fresh = [], {}
+        for df in rows:
+            for view, at, price, close in zip(df["view"], df["us"], df["price"], df["close"], strict=True):
+                at = int(at)
+                if close == close and close is not None:  # a price; of equal times the least counts
+                    fresh[at] = min(float(close), fresh.get(at, float(close)))
+                elif not self.views.containsKey((view,)):
+                    self.views.updateValue((view,), (at + self.horizon, float(price), NEVER))
+                    told.append((view, float(price), None, None))
+                    told += self._look(view, at + self.horizon, float(price))
+        days: dict[int, dict[int, float]] = {}
+        for at, close in fresh.items():
+            days.setdefault(at // DAY, {})[at] = close
+        for day, new in days.items():
+            have = dict(zip(*self.prices.getValue((day,)), strict=True)) if self.prices.containsKey((day,)) else {}
+            for at, close in new.items():
+                have[at] = min(close, have.get(at, close))
+            times = sorted(have)
+            self.prices.updateValue((day,), (times, [have[t] for t in times]))
+            self._timer((day + 1) * DAY - self.horizon)
+        if fresh:
+            times = sorted(fresh)
+            for (view,), (target, price, priced) in list(self.views.iterator()):
+                k = bisect.bisect_left(times, target)
+                if k < len(times) and times[k] <= priced:
+                    told += self._look(view, target, price, times[k])
+        yield pd.DataFrame(told, columns=["view", "price", "priced", "close"]).astype({"priced": "Int64", "close": "float64"})
+
+    def _look(self, view: str, target: int, price: float, known: int | None = None) -> list[tuple]:
+        """The first price at or after the view's target, day by day, or at a time that is known."""
+        days = [known // DAY] if known is not None else sorted(d for (d,) in self.prices.keys() if d >= target // DAY)
+        for day in days:
+            times, closes = self.prices.getValue((day,))
+            k = bisect.bisect_left(times, target if known is None else known)
+            if k < len(times):
+                self.views.updateValue((view,), (target, price, times[k]))
+                self._timer(times[k])
+                return [(view, price, times[k], closes[k])]
+        return []
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        for (view,), (_, _, priced) in list(self.views.iterator()):
+            if priced < now:
+                self.views.removeKey((view,))
+        for (day,) in list(self.prices.keys()):
+            if (day + 1) * DAY - self.horizon <= now:
+                self.prices.removeKey((day,))
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def maturity_stream(views: DataFrame, prices: DataFrame, root: str, checkpoint: str, horizon_days: int, lateness: str = "365 days") -> StreamingQuery:
+    """Views wait for the first price at or after their horizon as both arrive, in whatever order. views: view_id (unique),
+    security_id, decision_at, price; prices: p_security_id, priced_at, close.
+
+    The state is kept by security, with event-time timers (``Maturing``), so that a micro-batch costs what its securities
+    hold and not what has been seen. Rows that are later than ``lateness`` behind the newest are left out, as Spark does with
+    late rows. ``maturity`` reads the result.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("us")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("security")
+    v = views.select(key("security_id"), F.col("decision_at").cast("timestamp").alias("at"), us("decision_at"), F.col("view_id").cast("string").alias("view"), F.col("price").cast("double").alias("price"), F.lit(None).cast("double").alias("close"))
+    p = prices.where("close is not null and p_security_id is not null").select(key("p_security_id"), F.col("priced_at").cast("timestamp").alias("at"), us("priced_at"), F.lit(None).cast("string").alias("view"), F.lit(None).cast("double").alias("price"), F.col("close").cast("double").alias("close"))
+    both = v.unionByName(p).withWatermark("at", lateness)
+    told = both.groupBy("security").transformWithStateInPandas(Maturing(horizon_days), "view string, price double, priced long, close double", "Append", "EventTime")
+    spark, provider = views.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return told.writeStream.format("parquet").option("path", f"{root}/told").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
 
 
 def maturity(spark: SparkSession, root: str) -> DataFrame:
     """One row a view: matured with its price's time and return, or pending."""
-    done = spark.read.parquet(f"{root}/matured").select("view_id", "security_id", "priced_at", (F.col("close") / F.col("price") - 1).alias("realized_return"), F.lit("mature").alias("status"))
-    waiting = spark.read.parquet(f"{root}/pending")
-    last = waiting.join(F.broadcast(waiting.agg(F.max("batch").alias("batch"))), "batch")  # one row
-    return done.unionByName(last.select("view_id", "security_id", F.lit(None).cast("timestamp").alias("priced_at"), F.lit(None).cast("double").alias("realized_return"), F.lit("pending").alias("status")))
+    told = spark.read.schema("view string, price double, priced long, close double").parquet(f"{root}/told")
+    first = told.groupBy("view").agg(F.max("price").alias("price"), F.min(F.when(F.col("priced").isNotNull(), F.struct("priced", "close"))).alias("first"))
+    at = F.timestamp_micros(F.col("first.priced"))
+    return first.select(F.col("view").alias("view_id"), at.alias("priced_at"), (F.col("first.close") / F.col("price") - 1).alias("realized_return"), F.when(F.col("first").isNull(), "pending").otherwise("mature").alias("status"))
