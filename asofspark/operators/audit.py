@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asofspark.sources.store import rested
+
 from .status import ratio
 
 
@@ -182,6 +184,38 @@ def lineage_closure(used: DataFrame, approved: DataFrame, by: str) -> DataFrame:
     return x.withColumn("closed", F.size("unapproved") == 0)
 
 
+def evidence_closure(used: DataFrame, approved: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """Datasets without approval among those that each artifact uses and all that they were derived from."""
+    rests = upstream_closure(edges, used.select(F.col("dataset_id").alias("id")))
+    below = used.select(by, F.col("dataset_id").alias("id")).distinct().join(rests, "id").select(by, F.col("ancestor_id").alias("dataset_id"))
+    return lineage_closure(used.select(by, "dataset_id").unionByName(below), approved, by)
+
+
 def upstream(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """One hop: the edges that lead to the given ids."""
     return edges.join(ids.select(F.col("id").alias("downstream_id")).distinct(), "downstream_id", "left_semi")
+
+
+def upstream_closure(edges: DataFrame, ids: DataFrame, hops: int = 4) -> DataFrame:
+    """All ancestors of the given ids: (id, ancestor_id, depth), depth being the least number of edges, and ``cyclic``: the
+    id is its own ancestor. edges: upstream_id, downstream_id.
+
+    Each round goes ``hops`` edges on from what the round before was first to reach, and leaves out what is known, so that
+    it ends on cycles too; the number of rounds follows the longest way. Rounds rest in the shared scratch folder."""
+    e = edges.select(F.col("downstream_id").alias("_at"), F.col("upstream_id").alias("_up")).where("_at is not null and _up is not null").distinct()
+    front = ids.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("depth")).where("id is not null").distinct()
+    reached = None
+    while True:
+        new, step = None, front
+        for _ in range(hops):
+            step = step.join(e, F.col("ancestor_id") == F.col("_at")).select("id", F.col("_up").alias("ancestor_id"), (F.col("depth") + 1).alias("depth"))
+            new = step if new is None else new.unionByName(step)
+        new = new.groupBy("id", "ancestor_id").agg(F.min("depth").alias("depth"))
+        if reached is not None:
+            new = new.join(reached.select("id", "ancestor_id"), ["id", "ancestor_id"], "left_anti")
+        front = rested(new, "lineage")
+        if front.isEmpty():
+            break
+        reached = front if reached is None else reached.unionByName(front)
+    reached = front if reached is None else reached
+    return reached.withColumn("cyclic", F.col("id") == F.col("ancestor_id"))

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scd import contains
+from .scd import asof, contains, slab_join
 
 
 def identifier_at(points: DataFrame, history: DataFrame, kind: str, out: str) -> DataFrame:
-    """points (listing_id, as_of) with the identifier of ``kind``: the visible one, else the newest that began before."""
-    h = history.where(F.col("kind") == kind).select(F.col("listing_id").alias("_l"), "identifier", "valid_from", "valid_to")
-    day = F.col("as_of")
-    seen = points.select("listing_id", "as_of").join(h, (F.col("listing_id") == F.col("_l")) & ((F.col("valid_from") < day) | contains(day)), "left")
-    order = F.when(F.col("valid_from").isNotNull(), F.struct(contains(day).cast("int"), "valid_from", "identifier"))
-    return seen.groupBy("listing_id", "as_of").agg(F.max_by("identifier", order).alias(out))
+    """points (listing_id, as_of) with the identifier of ``kind``: the visible one (of several the newest), else the newest
+    that began before. The visible ones are a range join, the others one sorted stream a listing."""
+    p, h = points.select("listing_id", "as_of").distinct(), history.where(F.col("kind") == kind).select("listing_id", "identifier", "valid_from", "valid_to")
+    seen = slab_join(p, h, ["listing_id"], "as_of").groupBy("listing_id", "as_of").agg(F.max(F.struct("valid_from", "identifier")).alias("_s"))
+    before = asof(seen, h, ["listing_id"], "as_of", "valid_from", ["identifier"], tie=[F.desc("identifier")], strict=True)
+    return before.select("listing_id", "as_of", F.coalesce("_s.identifier", "identifier").alias(out))
 
 
 def snapshot(companies: DataFrame, securities: DataFrame, listings: DataFrame, history: DataFrame, industries: DataFrame, dates: DataFrame, states: DataFrame | None = None) -> DataFrame:
@@ -22,20 +22,18 @@ def snapshot(companies: DataFrame, securities: DataFrame, listings: DataFrame, h
     effect (states: listing_id, valid_from, valid_to, listing_state, special_treatment; NULL without any). delisted_on is
     inclusive; of overlapping states the newest counts.
 
-    dates (as_of) is a handful of rows; facts stay keyed by listing."""
-    day = F.col("as_of")
-    alive = listings.join(F.broadcast(dates.select("as_of").distinct()), (F.col("listed_on") <= day) & (F.col("delisted_on").isNull() | (day <= F.col("delisted_on"))))
+    dates (as_of) may be all sessions: every history is met by time slabs."""
+    days = dates.select("as_of").distinct()
+    alive = slab_join(days, listings, [], "as_of", "listed_on", "delisted_on", how="inner", inclusive=True)
     base = alive.join(securities, "security_id").join(companies, "company_id")
     code, name = identifier_at(alive, history, "code", "code"), identifier_at(alive, history, "name", "name")
-    ind = industries.withColumnRenamed("security_id", "_s")
-    hit = alive.select("security_id", "as_of").distinct().join(ind, (F.col("security_id") == F.col("_s")) & contains(day)).groupBy("security_id", "as_of").agg(F.array_sort(F.collect_set("industry_code")).alias("industries"))
+    hit = slab_join(alive.select("security_id", "as_of").distinct(), industries, ["security_id"], "as_of", how="inner").groupBy("security_id", "as_of").agg(F.array_sort(F.collect_set("industry_code")).alias("industries"))
     out = base.join(code, ["listing_id", "as_of"], "left").join(name, ["listing_id", "as_of"], "left").join(hit, ["security_id", "as_of"], "left")
     state = ["listing_state", "special_treatment"]
     if states is None:
         out = out.withColumns({c: F.lit(None).cast("string") for c in state})
     else:
-        s = states.withColumnRenamed("listing_id", "_l")
-        now = alive.select("listing_id", "as_of").join(s, (F.col("listing_id") == F.col("_l")) & contains(day)).groupBy("listing_id", "as_of").agg(F.max(F.struct("valid_from", *state)).alias("s"))
+        now = slab_join(alive.select("listing_id", "as_of"), states, ["listing_id"], "as_of", how="inner").groupBy("listing_id", "as_of").agg(F.max(F.struct("valid_from", *state)).alias("s"))
         out = out.join(now.select("listing_id", "as_of", *[F.col(f"s.{c}").alias(c) for c in state]), ["listing_id", "as_of"], "left")
     return out.select("as_of", "listing_id", "security_id", "company_id", "company_name", "exchange", "code", "name", F.coalesce("industries", F.array().cast("array<string>")).alias("industries"), *state)
 

@@ -81,3 +81,25 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], day: s
     for k in keys:
         on = on & (F.col(k) == F.col(f"_r_{k}"))
     return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def slab(day: Column, days: int) -> Column:
+    """The number of the stretch of ``days`` days that holds a day."""
+    return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / days).cast("int")
+
+
+def slab_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], day: str, start: str = "valid_from", end: str = "valid_to", how: str = "left", days: int = 64, inclusive: bool = False) -> DataFrame:
+    """Points with the intervals that contain their day, as an equi join on the keys and time slabs (keys may be none).
+
+    A point lies in one slab; an interval is repeated for the slabs that it covers and that points lie in, so that a point
+    meets only intervals near its day, however long a key's history is, and no pair twice. The slabs with points are one
+    row beside the intervals: at most the span of the points by ``days`` numbers."""
+    lo, hi = slab(F.col(start), days), slab(F.col(end), days)
+    used = points.agg(F.collect_set(slab(F.col(day), days)).alias("_slabs"))
+    covered = F.filter("_slabs", lambda s: (s >= lo) & (F.col(end).isNull() | (s <= hi)))
+    r = intervals.crossJoin(F.broadcast(used)).withColumn("_slab", F.explode(covered)).drop("_slabs").withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    inside = (F.col(start) <= F.col(day)) & (F.col(end).isNull() | ((F.col(day) <= F.col(end)) if inclusive else (F.col(day) < F.col(end))))
+    on = (F.col("_at") == F.col("_slab")) & inside
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_r_{k}"))
+    return points.withColumn("_at", slab(F.col(day), days)).join(r, on, how).drop("_at", "_slab", *[f"_r_{k}" for k in keys])

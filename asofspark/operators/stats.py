@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,40 +86,43 @@ def decay(df: DataFrame, by: Sequence[str], horizon: str, corr: str, fraction: f
     return rows.withColumn("h", half).select(*by, "horizon", F.when(~bad[0] & ~bad[1], F.col("strength")).alias("strength"), *columns(F.col("h").cast("double"), ("insufficient_horizons", bad[0]), ("zero_initial_correlation", bad[1]), ("not_reached", F.col("h").isNull())))
 
 
+#: Variance relative to the mean square, and share of variance left unexplained, up to which a factor counts as dependent.
+TINY, SINGULAR = 1e-20, 1e-12
+
+
 def period_slopes(df: DataFrame, period: str, label: str, factors: Sequence[str], min_obs: int = 3, intercept: bool = True) -> DataFrame:
     """Slopes b0, b1, ... of one regression a period, its size ``n`` and why it is excluded, if it is.
 
-    One and two factors are closed forms of grouped moments; more go through one small least-squares per period.
+    One aggregation gives the moments of every pair; what follows is per period. The factors are scaled to unit variance and
+    eliminated one by one: a pivot is the share of a factor's variance that those before it leave unexplained, and a period
+    with a pivot of SINGULAR or less is rank deficient.
     """
     factors, k = list(factors), len(factors)
-    whole = " and ".join(f"`{c}` is not null" for c in [label, *factors])
-    rows = df.where(whole)
+    whole = F.lit(True)
+    for c in [label, *factors]:
+        whole = whole & F.col(c).isNotNull()
+    value = lambda c: F.when(whole, F.col(c).cast("double"))
+    moment = F.covar_pop if intercept else lambda a, b: F.avg(a * b)
+    names = [*factors, label]
+    pairs = [(i, j) for i in range(k) for j in range(i, k + 1)]
+    g = df.groupBy(period).agg(F.count_if(whole).alias("n"), *[moment(value(names[i]), value(names[j])).alias(f"s_{i}_{j}") for i, j in pairs], *[F.avg(value(f) * value(f)).alias(f"q_{i}") for i, f in enumerate(factors)])
+    scale = lambda i: F.sqrt(F.col(f"s_{i}_{i}")) if i < k else F.lit(1.0)
+    spread = F.lit(True)
+    for i in range(k):
+        spread = spread & (F.col(f"s_{i}_{i}") > TINY * F.col(f"q_{i}"))
+    a = g.select(period, "n", *[scale(i).alias(f"sd_{i}") for i in range(k)], F.coalesce(spread, F.lit(False)).alias("full"), *[F.when(spread, F.col(f"s_{i}_{j}") / scale(i) / scale(j)).alias(f"a_{i}_{j}") for i, j in pairs])
+    for p in range(k):  # rows and columns after p, less what factor p explains
+        pivot = F.col(f"a_{p}_{p}")
+        left = F.when(pivot > SINGULAR, pivot)
+        a = a.withColumns({"full": F.col("full") & F.coalesce(pivot > SINGULAR, F.lit(False))} | {f"a_{i}_{j}": F.col(f"a_{i}_{j}") - F.col(f"a_{p}_{i}") * F.col(f"a_{p}_{j}") / left for i, j in pairs if i > p})
+    for p in reversed(range(k)):
+        rest = F.col(f"a_{p}_{k}")
+        for j in range(p + 1, k):
+            rest = rest - F.col(f"a_{p}_{j}") * F.col(f"z_{j}")
+        a = a.withColumn(f"z_{p}", F.when(F.col("full"), rest / F.col(f"a_{p}_{p}")))
     few = F.col("n") < max(min_obs, k + 1 + intercept)
-    if k <= 2:
-        moment = F.covar_pop if intercept else lambda a, b: F.avg(F.col(a) * F.col(b))
-        aggs = [F.count("*").alias("n")] + [moment(a, b).alias(f"s_{i}_{j}") for i, a in enumerate(factors) for j, b in enumerate([*factors, label]) if j >= i]
-        g = rows.groupBy(period).agg(*aggs)
-        if k == 1:
-            slopes = [ratio(F.col("s_0_1"), F.col("s_0_0"))]
-            full = F.col("s_0_0") > 1e-15
-        else:
-            det = F.col("s_0_0") * F.col("s_1_1") - F.col("s_0_1") * F.col("s_0_1")
-            slopes = [ratio(F.col("s_0_2") * F.col("s_1_1") - F.col("s_1_2") * F.col("s_0_1"), det), ratio(F.col("s_1_2") * F.col("s_0_0") - F.col("s_0_2") * F.col("s_0_1"), det)]
-            full = (det > 1e-12 * F.col("s_0_0") * F.col("s_1_1")) & (F.col("s_0_0") > 0) & (F.col("s_1_1") > 0)
-        g = g.select(period, "n", full.alias("full"), *[s.alias(f"b{i}") for i, s in enumerate(slopes)])
-    else:
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = pdf[factors].to_numpy(float)
-            x = np.column_stack([x, np.ones(len(pdf))]) if intercept else x
-            b, _, rank, _ = np.linalg.lstsq(x, pdf[label].to_numpy(float), rcond=None)
-            return pd.DataFrame([{period: pdf[period].iloc[0], "n": len(pdf), "full": bool(rank == x.shape[1])} | {f"b{i}": b[i] for i in range(k)}])
-
-        kind = rows.schema[period].dataType.simpleString()
-        g = rows.select(period, label, *factors).groupBy(period).applyInPandas(solve, f"`{period}` {kind}, n long, full boolean, " + ", ".join(f"b{i} double" for i in range(k)))
-    g = df.groupBy(period).agg(F.count_if(F.expr(whole)).alias("_n")).where("_n = 0").select(period, F.col("_n").alias("n"), F.lit(False).alias("full")).unionByName(g, allowMissingColumns=True)
-    g = g.withColumn("excluded_reason", F.when(few, "insufficient_observations").when(~F.col("full"), "rank_deficient"))
-    return g.select(period, "n", "excluded_reason", *[F.when(F.col("excluded_reason").isNull(), F.col(f"b{i}")).alias(f"b{i}") for i in range(k)])
+    a = a.withColumn("excluded_reason", F.when(few, "insufficient_observations").when(~F.col("full"), "rank_deficient"))
+    return a.select(period, "n", "excluded_reason", *[F.when(F.col("excluded_reason").isNull(), F.col(f"z_{i}") / F.col(f"sd_{i}")).alias(f"b{i}") for i in range(k)])
 
 
 def excluded_periods(df: DataFrame, period: str, label: str, factors: Sequence[str], min_obs: int = 3, intercept: bool = True) -> DataFrame:
@@ -189,15 +190,22 @@ def newey_west(df: DataFrame, by: Sequence[str], order: str, value: str, max_lag
 
 def block_bootstrap(df: DataFrame, by: Sequence[str], order: str, value: str, block: int, resamples: int, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """Circular block bootstrap interval of a mean. Starts are MD5 hashes of (seed, group, resample, block): the same on any
-    partitioning. The series are periods of a study; resamples x blocks of each are spread over the cluster."""
+    partitioning. A block's sum is the difference of two prefix sums, plus the whole sum where it runs past the end, so that
+    a resample costs two rows a block however long blocks are."""
     w = Window.partitionBy(*by)
-    rows = df.select(*by, F.col(value).cast("double").alias("v"), (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    sizes = rows.groupBy(*by).agg(F.max("n").alias("n"), F.count_if(F.col("v").isNull()).alias("gaps"), F.avg("v").alias("m"))
-    runs = sizes.where((F.col("gaps") == 0) & (F.col("n") >= block)).select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    blocks = runs.select(*by, "n", "resample", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))).alias("b"))
+    rows = df.select(*by, F.col(value).cast("double").alias("v"), F.row_number().over(w.orderBy(order)).alias("i"), F.count("*").over(w).alias("n"))
+    sizes = rows.groupBy(*by).agg(F.max("n").alias("n"), F.count_if(F.col("v").isNull()).alias("gaps"), F.avg("v").alias("m"), F.sum("v").alias("total"))
+    whole = sizes.where((F.col("gaps") == 0) & (F.col("n") >= block))
+    runs = whole.select(*by, "n", "total", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    blocks = runs.select(*by, "n", "total", "resample", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))).alias("b"))
     start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("resample").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))
-    picks = blocks.select(*by, "n", "resample", "b", start.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("_k")).where(F.col("b") * block + F.col("_k") < F.col("n")).select(*by, "resample", F.pmod(F.col("_s") + F.col("_k"), F.col("n")).alias("i"))
-    means = picks.join(rows.select(*by, "i", "v"), [*by, "i"]).groupBy(*by, "resample").agg(F.avg("v").alias("v"))
+    blocks = blocks.select(*by, "n", "total", "resample", start.alias("_s"), (start + F.least(F.lit(block), F.col("n") - F.col("b") * block)).alias("_e"))
+    wraps = F.col("_e") > F.col("n")
+    end = F.struct(F.when(wraps, F.col("_e") - F.col("n")).otherwise(F.col("_e")).alias("i"), F.lit(1).alias("sign"), F.when(wraps, F.col("total")).otherwise(F.lit(0.0)).alias("more"))
+    ends = F.array(end, F.struct(F.col("_s").alias("i"), F.lit(-1).alias("sign"), F.lit(0.0).alias("more")))
+    looked = blocks.select(*by, "n", "resample", F.explode(ends).alias("_x")).select(*by, "n", "resample", F.col("_x.i").alias("i"), F.col("_x.sign").alias("_sign"), F.col("_x.more").alias("_more"))
+    prefix = rows.select(*by, "i", F.sum("v").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("_p")).unionByName(whole.select(*by, F.lit(0).alias("i"), F.lit(0.0).alias("_p")))
+    means = looked.join(prefix, [*by, "i"]).groupBy(*by, "resample").agg((F.sum(F.col("_sign") * F.col("_p") + F.col("_more")) / F.max("n")).alias("v"))
     tail = (1 - confidence) / 2
     ends = means.groupBy(*by).agg(F.expr(f"percentile(v, array({tail}D, {1 - tail}D))").alias("e"))
     out = sizes.join(ends, list(by), "left")

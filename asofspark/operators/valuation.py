@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scd import contains
+from .scd import contains, slab_join
 from .status import columns, ratio
 
 #: Ratio, numerator, denominator.
@@ -148,8 +148,9 @@ def qualify_inputs(evidence: DataFrame, required: Sequence[str], keys: Sequence[
 
 def price_candidates(listings: DataFrame, partitions: DataFrame, jobs: DataFrame, capital: DataFrame) -> DataFrame:
     """Catalog of price partitions that can serve a listing on a day: partition of its exchange whose dates cover the day,
-    of a succeeded job, with capital in effect. listings: listing_id, exchange, as_of."""
-    p = partitions.select(F.col("exchange").alias("_e"), "dataset_version_id", "first_date", "last_date", "job_id")
-    x = listings.join(p, (F.col("exchange") == F.col("_e")) & F.col("as_of").between(F.col("first_date"), F.col("last_date"))).join(jobs.where("status = 'succeeded'").select("job_id").distinct(), "job_id", "left_semi")
-    c = capital.groupBy("listing_id", "effective_from", "effective_to").agg(F.min("total_shares").alias("total_shares")).withColumnRenamed("listing_id", "_l")
-    return x.join(c, (F.col("listing_id") == F.col("_l")) & contains(F.col("as_of"), "effective_from", "effective_to"), "left").select("listing_id", "as_of", "dataset_version_id", "job_id", "total_shares")
+    of a succeeded job, with capital in effect. listings: listing_id, exchange, as_of. Both range joins go by time slabs:
+    the exchange alone, of which there are a few, is no join key."""
+    done = partitions.join(jobs.where("status = 'succeeded'").select("job_id").distinct(), "job_id", "left_semi").select("exchange", "dataset_version_id", "first_date", "last_date", "job_id")
+    x = slab_join(listings, done, ["exchange"], "as_of", "first_date", "last_date", how="inner", inclusive=True)
+    c = capital.groupBy("listing_id", "effective_from", "effective_to").agg(F.min("total_shares").alias("total_shares"))
+    return slab_join(x, c, ["listing_id"], "as_of", "effective_from", "effective_to").select("listing_id", "as_of", "dataset_version_id", "job_id", "total_shares")

@@ -83,7 +83,7 @@ def s10_calendar_rules(v):
     return checks.violations(v.sql(DAYS), ["exchange", "calendar_date"], ingest.calendar_rules())
 
 
-ROWS = "select event_id as row_id, 'p' || cast(user_id % 2 as varchar(2)) as provider_id, event_type as field, value as raw_value, case when user_id % 9 = 0 then 'shares' else 'currency' end as unit, 'u' || cast(user_id % 40 as varchar(4)) as unit_id, user_id as code, cast(ts as date) as period_end from {events}"
+ROWS = "select event_id as row_id, 'p' || cast(user_id % 2 as varchar(2)) as provider_id, event_type as field, value as raw_value, case when user_id % 9 = 0 then 'shares' else 'currency' end as unit, 'u' || cast(user_id as varchar(12)) as unit_id, user_id as code, cast(ts as date) as period_end, ts as retrieved_at from {events}"
 MAPPINGS = "select 'p0' as provider_id, 'view' as field, 'revenue' as metric, 1000.0E0 as scale, 'both' as scope union all select 'p1', 'view', 'revenue', 1.0E0, 'strict' union all select 'p0', 'click', 'profit', 10.0E0, 'both' union all select 'p0', 'click', 'cost', 10.0E0, 'both' union all select 'p1', 'click', 'cost', 1.0E0, 'current' union all select 'p1', 'error', 'tax', 1.0E0, 'both' union all select 'p0', 'purchase', 'tax', 2.0E0, 'both'"
 METRICS = "select 'revenue' as metric, 'currency' as unit union all select 'profit', 'currency' union all select 'cost', 'currency' union all select 'tax', 'currency'"
 MAPPED = f"select r.*, case when g.n is null then 'unmapped' when g.n > 1 then 'conflict' when r.unit <> g.u then 'unit_mismatch' else 'mapped' end as status, g.metric, g.scale from ({ROWS}) r left join (select provider_id, field, count(distinct m.metric) as n, min(m.metric) as metric, min(scale) as scale, min(x.unit) as u from ({MAPPINGS}) m join ({METRICS}) x on x.metric = m.metric where scope in ('both', 'current') group by 1, 2) g using (provider_id, field)"
@@ -98,19 +98,20 @@ def j13_field_mapping(v):
     return _mapped(v).select("row_id", "status", "metric", F.round("value", 6).alias("value"))
 
 
-COMPANIES = "select c_custkey as code, c_nationkey as company_id from {customer} where c_custkey % 6 <> 2"
-UNITS = "select 'u' || cast(c_custkey as varchar(9)) as unit_id from {customer} where c_custkey < 60"
+IDENTITIES = """select c_custkey as code, c_nationkey as company_id, date '2020-01-01' as valid_from, case when c_custkey % 3 = 0 then date '2024-01-15' end as valid_to from {customer} where c_custkey % 6 <> 2
+    union all select c_custkey, c_nationkey + 100, case when c_custkey % 2 = 0 then date '2024-01-11' else date '2024-01-19' end, cast(null as date) from {customer} where c_custkey % 3 = 0"""
+UNITS = "select 'u' || cast(c_custkey as varchar(12)) as unit_id from {customer}"
 
 
-@query(f"select unit_id, code, company_id, metric, period_end, round(raw_value * scale, 6) as value, sha256(code || '|' || metric || '|' || period_end || '|') as observation_id from ({MAPPED}) m left join ({COMPANIES}) c using (code) where status = 'mapped'")
+@query(f"with m as (select *, cast(retrieved_at + interval 8 hour as date) as day from ({MAPPED}) where status = 'mapped'), c as (select m.code, m.day, count(distinct i.company_id) as n, min(i.company_id) as company_id from (select distinct code, day from m) m left join ({IDENTITIES}) i on i.code = m.code and i.valid_from <= m.day and (i.valid_to is null or m.day < i.valid_to) group by 1, 2) select unit_id, code, case when n = 1 then company_id end as company_id, case when n = 1 then 'resolved' when n > 1 then 'ambiguous' else 'not_found' end as identity_status, metric, period_end, round(raw_value * scale, 6) as value, sha256(code || '|' || metric || '|' || period_end || '|') as observation_id from m join c using (code, day)")
 def s21_observations(v):
     rows = _mapped(v).drop("provider_id").withColumn("provider_id", F.lit(""))
-    return ingest.observations(rows, v.sql(COMPANIES), v.sql(UNITS))[0].withColumn("value", F.round("value", 6))
+    return ingest.observations(rows, v.sql(IDENTITIES), v.sql(UNITS))[0].withColumn("value", F.round("value", 6))
 
 
 @query(f"select u.unit_id, coalesce(n, 0) as n_rows, coalesce(k, 0) as n_mapped, case when n is null then 'empty' when k = 0 then 'failed' else 'succeeded' end as status from ({UNITS}) u left join (select unit_id, count(*) as n, count(*) filter (where status = 'mapped') as k from ({MAPPED}) group by 1) m using (unit_id)")
 def s21_unit_receipts(v):
-    return ingest.observations(_mapped(v), v.sql(COMPANIES), v.sql(UNITS))[1]
+    return ingest.observations(_mapped(v), v.sql(IDENTITIES), v.sql(UNITS))[1]
 
 
 OLD = "select o_orderkey as id, 'h' || cast(o_orderkey as varchar(12)) as content_hash from {orders} where o_orderdate < timestamp '1997-01-01 00:00:00'"
@@ -160,7 +161,7 @@ def k4_source_routing(v):
 
 # -- audits -------------------------------------------------------------------------------------------------------
 
-UNIT = "select job_id, symbol, checkpoint_key as unit_key, status, case when attempt % 10 = 0 then 0 else rows_observed end as receipt_rows, case when attempt % 10 = 0 then 0 when attempt % 997 = 0 then rows_observed - 1 else rows_observed end as persisted_rows, case when status = 'failed' then 1 else 0 end as rejected_rows, case when attempt % 50 = 0 then 'warned' when attempt % 1999 = 5 then 'failed' else 'passed' end as quality from {checkpoints} where day > date '2024-01-05'"
+UNIT = "select job_id, symbol, checkpoint_key as unit_key, status, case when attempt % 10 = 0 then 0 else rows_observed end as receipt_rows, case when attempt % 10 = 0 then 0 when attempt % 997 = 0 then rows_observed - 1 else rows_observed end as persisted_rows, case when status = 'failed' then 1 else 0 end as rejected_rows, case when attempt % 50 = 0 then 'warned' when attempt % 1999 = 5 then 'failed' else 'passed' end as quality from {checkpoints}"
 
 
 @query(f"with g as (select job_id, count(*) as n_units, count(*) filter (where status = 'succeeded') as n_completed, sum(case when status = 'succeeded' then receipt_rows else 0 end) as receipt_rows, sum(case when status = 'succeeded' then persisted_rows else 0 end) as persisted_rows, count(*) filter (where status = 'succeeded' and receipt_rows = 0) as zero_units, sum(rejected_rows) as rejected_rows, count(distinct symbol) as n_symbols, count(*) filter (where quality = 'passed') as quality_passed, count(*) filter (where quality = 'warned') as quality_warned, count(*) filter (where quality = 'failed') as quality_failed from ({UNIT}) group by 1) select *, n_units = n_completed and receipt_rows = persisted_rows and quality_failed = 0 as passed from g")
@@ -305,3 +306,20 @@ IDS = "select 'd' || cast(o_orderkey as varchar(12)) as id from {orders} where o
 @query(f"select * from {{lineage}} where downstream_id in (select id from ({IDS}))")
 def u6_upstream_lineage(v):
     return audit.upstream(v.lineage, v.sql(IDS))
+
+
+CLOSURE = "with recursive up(id, ancestor_id, depth) as (select i.id, e.upstream_id, 1 from (select distinct id from ({ids})) i join {lineage} e on e.downstream_id = i.id union select up.id, e.upstream_id, depth + 1 from up join {lineage} e on e.downstream_id = up.ancestor_id), c as (select id, ancestor_id, cast(min(depth) as int) as depth from up group by 1, 2)"
+
+
+@query(CLOSURE.replace("{ids}", IDS) + " select *, id = ancestor_id as cyclic from c")
+def u6_upstream_closure(v):
+    return audit.upstream_closure(v.lineage, v.sql(IDS))
+
+
+BUILT = "select o_custkey as artifact_id, 'd' || cast(o_orderkey as varchar(12)) as dataset_id from {orders} where o_orderkey % 3 = 0"
+CLEARED = "select o_custkey as artifact_id, 'd' || cast(o_orderkey as varchar(12)) as dataset_id from {orders} union all select o_custkey, 'd' || cast((o_orderkey - 1) // 2 as varchar(12)) from {orders} where o_orderkey % 2 = 1 and o_orderkey % 5 <> 2"
+
+
+@query(CLOSURE.replace("{ids}", "select dataset_id as id from (" + BUILT + ")") + f", b as (select distinct * from ({BUILT})), u as (select * from b union select artifact_id, ancestor_id from b join c on c.id = b.dataset_id), a as (select distinct * from ({CLEARED})) select u.artifact_id, coalesce(string_agg(u.dataset_id, ',' order by u.dataset_id) filter (where a.dataset_id is null), '') as unapproved, count(*) filter (where a.dataset_id is null) = 0 as closed from u left join a on a.artifact_id = u.artifact_id and a.dataset_id = u.dataset_id group by 1")
+def u5_evidence_closure(v):
+    return audit.evidence_closure(v.sql(BUILT), v.sql(CLEARED.replace("//", "div")), v.lineage, "artifact_id").withColumn("unapproved", F.array_join("unapproved", ","))

@@ -18,15 +18,24 @@ PHASES = """select s_suppkey as listing_id, date '1995-01-01' as valid_from, cas
     union all select s_suppkey, date '1997-06-01', cast(null as date), case when s_suppkey % 2 = 0 then 'suspended' else 'listed' end, case when s_suppkey % 6 = 0 then 'star_st' else 'st' end from {supplier} where s_suppkey % 3 = 0 and s_suppkey % 12 <> 9"""
 
 
-@query("""select d.as_of, l.listing_id, s.security_id, c.company_id, c.company_name, l.exchange, i.v as code, n.v as name, coalesce(x.industries, '') as industries, p.listing_state, p.special_treatment from {listings} l cross join (""" + DATES + """) d join {securities} s on s.security_id = l.security_id join {companies} c on c.company_id = s.company_id
+SNAPSHOT = """select d.as_of, l.listing_id, s.security_id, c.company_id, c.company_name, l.exchange, i.v as code, n.v as name, coalesce(x.industries, '') as industries, p.listing_state, p.special_treatment from {listings} l cross join (""" + DATES + """) d join {securities} s on s.security_id = l.security_id join {companies} c on c.company_id = s.company_id
     left join (""" + IDENT.replace("KIND", "code") + """) i on i.listing_id = l.listing_id and i.as_of = d.as_of left join (""" + IDENT.replace("KIND", "name") + """) n on n.listing_id = l.listing_id and n.as_of = d.as_of
     left join (select security_id, d.as_of, string_agg(distinct industry_code, ',' order by industry_code) as industries from {industries} cross join (""" + DATES + """) d where valid_from <= d.as_of and (valid_to is null or d.as_of < valid_to) group by 1, 2) x on x.security_id = s.security_id and x.as_of = d.as_of
     left join (""" + PHASES + """) p on p.listing_id = l.listing_id and p.valid_from <= d.as_of and (p.valid_to is null or d.as_of < p.valid_to)
-    where l.listed_on <= d.as_of and (l.delisted_on is null or d.as_of <= l.delisted_on)""")
+    where l.listed_on <= d.as_of and (l.delisted_on is null or d.as_of <= l.delisted_on)"""
+TRADED_DAYS = "select distinct session_date as as_of from {bars_daily}"
+
+
+@query(SNAPSHOT)
 def j1_j3_identity_snapshot(v):
     return identity.snapshot(v.companies, v.securities, v.listings, v.identifiers, v.industries, v.sql(DATES), v.sql(PHASES)).withColumn("industries", F.array_join("industries", ","))
 
 
+@query(SNAPSHOT.replace(DATES, TRADED_DAYS))
+def j1_all_sessions(v):
+    return identity.snapshot(v.companies, v.securities, v.listings, v.identifiers, v.industries, v.sql(TRADED_DAYS), v.sql(PHASES)).withColumn("industries", F.array_join("industries", ","))
+
+
 CODES = "select case when o_custkey % 2 = 0 then 'E' else 'O' end as exchange, lpad(cast(case when o_orderkey % 3 = 0 then 5000 + o_custkey % 120 else o_custkey % 100 end as varchar(9)), 6, '0') as code, cast(o_orderdate as date) as as_of from {orders}"
 
 

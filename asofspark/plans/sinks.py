@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from asofspark.functions import scalars
 from asofspark.sources import io, merge
-from asofspark.sources.store import Store
+from asofspark.sources.store import Store, scratch_dir
 from asofspark.streaming import feeds
 
 from . import core, ingest
@@ -40,7 +40,7 @@ def fn_scalar_functions(v):
 
 
 def scratch(v) -> str:
-    return f"{io.scratch_dir(v.spark)}/asofspark-{uuid.uuid4().hex}"
+    return f"{scratch_dir(v.spark)}/asofspark-{uuid.uuid4().hex}"
 
 
 VERSIONED = "select listing_id, session_date, 'src' as source_id, close, volume, 'v' || cast(listing_id % 2 as varchar(2)) as dataset_version_id, case when listing_id % 3 = 0 then 'E' else 'O' end as exchange from {bars}"

@@ -101,6 +101,8 @@ def oracle(sql: str) -> str:
     body = plain(sql).strip()
     if not parts:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {parts}, {body[15:]}"
     return f"with {parts}, {body[5:]}" if body.lower().startswith("with ") else f"with {parts} {body}"
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofspark.functions.scalars import content_hash
+from asofspark.functions.scalars import content_hash, local_date
+from asofspark.operators.scd import slab_join
 
 
 def content_id(*parts: Column | str) -> Column:
@@ -101,8 +102,24 @@ def map_fields(rows: DataFrame, mappings: DataFrame, metrics: DataFrame, mode: s
 
 def observations(mapped: DataFrame, identities: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(observations with identity and content id, receipts): every unit has a receipt, an empty period one of zero rows,
-    and a unit with rows of which none is mapped has failed."""
-    obs = mapped.where("status = 'mapped'").join(identities, "code", "left").select("unit_id", "code", "company_id", "metric", "period_end", "value", content_id("code", "metric", "period_end", "provider_id").alias("observation_id"))
+    and a unit with rows of which none is mapped has failed.
+
+    A row's company is that of its code on the day of ``retrieved_at`` in local time, from identities (code, company_id,
+    valid_from, valid_to); a code without one that day is not_found, one of several companies ambiguous. Codes are resolved
+    once a day, so that a reused code multiplies no rows."""
+    ok = mapped.where("status = 'mapped'").withColumn("_day", local_date(F.col("retrieved_at")))
+    asked = ok.select("code", F.col("_day").alias("as_of")).distinct()
+    one = slab_join(asked, identities.select("code", "company_id", "valid_from", "valid_to"), ["code"], "as_of").groupBy("code", F.col("as_of").alias("_day")).agg(F.count_distinct("company_id").alias("_n"), F.min("company_id").alias("_c"))
+    obs = ok.join(one, ["code", "_day"], "left").select(
+        "unit_id",
+        "code",
+        F.when(F.col("_n") == 1, F.col("_c")).alias("company_id"),
+        F.when(F.col("_n") == 1, "resolved").when(F.col("_n") > 1, "ambiguous").otherwise("not_found").alias("identity_status"),
+        "metric",
+        "period_end",
+        "value",
+        content_id("code", "metric", "period_end", "provider_id").alias("observation_id"),
+    )
     n = mapped.groupBy("unit_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("status") == "mapped").alias("n_mapped"))
     r = units.select("unit_id").join(n, "unit_id", "left").select("unit_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_mapped", F.lit(0)).alias("n_mapped"))
     return obs, r.withColumn("status", F.when(F.col("n_rows") == 0, "empty").when(F.col("n_mapped") == 0, "failed").otherwise("succeeded"))

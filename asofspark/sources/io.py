@@ -5,7 +5,6 @@ the schema's type can't hold exactly is an error. Columns that the schema doesn'
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,17 +24,6 @@ class ImmutableTargetError(ValueError):
     """The target holds other content, or a part of it."""
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only a local master may go without one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top
-
-
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The schema's columns in its types. Numbers become other numbers, and times dates, where every value stays the same."""
     missing = [f.name for f in schema if f.name not in df.columns]

@@ -11,6 +11,7 @@ Keyed tables are cut into ``buckets`` by a hash of their keys: an update reads a
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -145,3 +146,22 @@ class Store:
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; only a local master may go without one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return top
+
+
+def rested(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared scratch folder and read it back, so that a lost executor costs the
+    unfinished step only."""
+    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
