@@ -74,13 +74,22 @@ def counts_for(requested: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 
 
 def readiness(requirements: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Sorted blockers of each study over its roles. requirements: study_id, role, min_trust, min_coverage, window_from,
-    window_to; bindings: study_id, role, trust, quality_failed, coverage, first_date, last_date, lineage_ok."""
-    x = requirements.join(bindings, ["study_id", "role"], "left")
+    """Sorted blockers and warnings of each study over its roles. requirements: study_id, role, min_trust, min_coverage,
+    window_from, window_to; bindings: study_id, role, trust, quality_failed, coverage, first_date, last_date, lineage_ok.
+    Where both have ``availability_policy`` they must agree, ``availability_enforced`` must hold, and ``quality_warned`` is a
+    warning."""
+    policy = "availability_policy"
+    b = bindings.withColumnRenamed(policy, "_policy")
+    x = requirements.join(b, ["study_id", "role"], "left")
     say = lambda c, what: F.when(c, F.concat(F.lit(what + ":"), F.col("role")))
     gone = F.col("coverage").isNull()
-    found = F.array_compact(F.array(say(gone, "missing"), say(F.col("trust") < F.col("min_trust"), "trust"), say(F.col("quality_failed"), "quality"), say(F.col("coverage") < F.col("min_coverage"), "coverage"), say((F.col("first_date") > F.col("window_from")) | (F.col("last_date") < F.col("window_to")), "window"), say(~F.col("lineage_ok"), "lineage")))
-    g = x.groupBy("study_id").agg(F.array_sort(F.flatten(F.collect_list(found))).alias("blockers"))
+    rules = [say(gone, "missing"), say(F.col("trust") < F.col("min_trust"), "trust"), say(F.col("quality_failed"), "quality"), say(F.col("coverage") < F.col("min_coverage"), "coverage"), say((F.col("first_date") > F.col("window_from")) | (F.col("last_date") < F.col("window_to")), "window"), say(~F.col("lineage_ok"), "lineage")]
+    if policy in requirements.columns and "_policy" in b.columns:
+        rules.append(say(~gone & ~F.col("_policy").eqNullSafe(F.col(policy)), policy))
+    if "availability_enforced" in b.columns:
+        rules.append(say(~F.col("availability_enforced"), "availability_enforcement"))
+    warned = say(F.col("quality_warned") & ~F.col("quality_failed"), "quality_warned") if "quality_warned" in b.columns else F.lit(None).cast("string")
+    g = x.groupBy("study_id").agg(F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(*rules))))).alias("blockers"), F.array_sort(F.collect_list(warned)).alias("warnings"))
     return g.withColumn("permitted", F.size("blockers") == 0)
 
 
@@ -113,6 +122,27 @@ def health(datasets: DataFrame, reports: DataFrame, by: str = "domain") -> DataF
     return g.withColumn("state", state)
 
 
+def desk_sections(datasets: DataFrame, reports: DataFrame, jobs: DataFrame, reviews: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """One row per section of a desk: its status (empty, ready or partial), how many rows it has, how many need attention,
+    and its newest time. datasets: dataset_id, created_at; reports: dataset_id, checks_failed; jobs: job_id, status,
+    failure_reasons (array), updated_at; reviews: review_id, decided_at; forecasts: forecast_id, effective_session,
+    passive_exposure. Jobs fail by status or by a reason; reviews and the passive timing baseline are never complete."""
+    r = reports.groupBy("dataset_id").agg(F.count_if(F.col("checks_failed") > 0).alias("failed"))
+    d = datasets.join(r, "dataset_id", "left").agg(F.count("*").alias("n"), F.count_if(F.col("failed").isNull()).alias("bare"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.max("created_at").cast("timestamp").alias("newest"))
+    health = d.select(F.lit("data_health").alias("section"), F.when(F.col("n") == 0, "empty").when((F.col("bare") == 0) & (F.col("failed") == 0), "ready").otherwise("partial").alias("status"), F.col("n").alias("n_rows"), (F.col("bare") + F.col("failed")).alias("n_flagged"), "newest")
+
+    def listed(section: str, rows: DataFrame, newest: str, flagged: Column) -> DataFrame:
+        g = rows.agg(F.count("*").alias("n_rows"), F.count_if(flagged).alias("n_flagged"), F.max(newest).cast("timestamp").alias("newest"))
+        return g.select(F.lit(section).alias("section"), F.when(F.col("n_rows") == 0, "empty").otherwise("partial").alias("status"), "n_rows", "n_flagged", "newest")
+
+    failing = jobs.where((F.col("status") == "failed") | (F.coalesce(F.size("failure_reasons"), F.lit(0)) > 0))
+    sections = [health, listed("active_failures", failing, "updated_at", F.lit(True)), listed("pending_tasks", reviews, "decided_at", F.lit(False)), listed("timing_shadow", forecasts, "effective_session", F.col("passive_exposure").isNull())]
+    out = sections[0]
+    for x in sections[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def batch_reports(batches: DataFrame, by: Sequence[str]) -> DataFrame:
     """Coverage min(1, observed / expected) per batch, NULL without an expectation, and its class."""
     g = batches.groupBy(*by).agg(F.sum("rows_observed").alias("observed"), F.sum("rows_expected").alias("expected"), F.count_if(F.col("status") == "failed").alias("n_failed"))
@@ -135,6 +165,20 @@ def qualify_plan(plan: DataFrame, policies: DataFrame) -> DataFrame:
     return g.withColumn("permitted", F.size("blockers") == 0)
 
 
+def qualify_financial_plan(plans: DataFrame, profiles: DataFrame, scopes: DataFrame, statements: DataFrame) -> DataFrame:
+    """Blockers of each plan of statements against the profile of its provider. plans: plan_id, provider_id, profile_version,
+    bucket_size, bulk_acknowledged; profiles: provider_id, version, row_limit, bulk_allowed; scopes: provider_id, market,
+    statement; statements: plan_id, market, statement. A plan without a profile has no provider."""
+    p = plans.join(profiles.withColumnRenamed("version", "_version"), "provider_id", "left")
+    none = F.col("_version").isNull()
+    rules = [(none, "provider_unknown"), (F.col("_version") != F.col("profile_version"), "profile_version"), (~F.coalesce("bulk_acknowledged", F.lit(False)), "bulk_not_acknowledged"), (F.col("bucket_size") > F.col("row_limit"), "bucket_exceeds_row_limit"), (~F.col("bulk_allowed"), "bulk_not_allowed")]
+    own = p.select("plan_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules]))).alias("blocker"))
+    asked = statements.distinct().join(plans.select("plan_id", "provider_id"), "plan_id").join(scopes.distinct(), ["provider_id", "market", "statement"], "left_anti")
+    gaps = asked.select("plan_id", F.concat_ws(":", F.lit("not_covered"), "market", "statement").alias("blocker"))
+    g = own.unionByName(gaps).groupBy("plan_id").agg(F.array_sort(F.collect_set("blocker")).alias("blockers"))
+    return plans.select("plan_id").join(g, "plan_id", "left").select("plan_id", F.coalesce("blockers", F.array().cast("array<string>")).alias("blockers"), F.col("blockers").isNull().alias("permitted"))
+
+
 def dashboard(jobs: DataFrame, checkpoints: DataFrame, reports: DataFrame) -> DataFrame:
     """Jobs with their checkpoints and reports as rows (job_id, kind, item, state, n): a row for each job, checkpoint and
     report, and counts by state. A job of any number of checkpoints stays spread over rows."""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IDENTITY = ("company_id", "period_end")
+#: What a fact says: facts may come without unit and currency.
+MEANING = ("value", "unit", "currency")
 TRUST = {"raw": 0, "normalized_current": 1, "pit_verified": 2}
 
 
@@ -38,30 +40,35 @@ def evidence_gate(df: DataFrame, mode: str, decision: str = "decision_time", ava
     return df.withColumn("blocked_by", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules])))
 
 
+def meaning(df: DataFrame) -> Column:
+    """What two providers must agree on: (value, unit, currency), as far as the facts have them."""
+    return F.struct(*[c for c in MEANING if c in df.columns])
+
+
 def select_revision(facts: DataFrame, identity: Sequence[str] = IDENTITY) -> DataFrame:
     """The highest revision of each (identity, provider) among eligible rows; a tie is a conflict without a value."""
     keys = [*identity, "provider_id"]
     top = facts.withColumn("_top", F.max("revision").over(Window.partitionBy(*keys))).where(F.col("revision") == F.col("_top"))
-    g = top.groupBy(*keys).agg(F.max("revision").alias("revision"), F.count("*").alias("n_winners"), F.min_by("value", "fact_id").alias("v"), F.min("fact_id").alias("fact_id"), F.max((F.col("quality_state") == "blocked").cast("int")).alias("blocked"))
+    g = top.groupBy(*keys).agg(F.max("revision").alias("revision"), F.count("*").alias("n_winners"), F.min_by(meaning(facts), "fact_id").alias("v"), F.min("fact_id").alias("fact_id"), F.max((F.col("quality_state") == "blocked").cast("int")).alias("blocked"))
     tie = F.col("n_winners") > 1
-    return g.select(*keys, "revision", "n_winners", tie.alias("conflict"), F.when(~tie, F.col("v")).alias("value"), F.when(~tie, F.col("fact_id")).alias("fact_id"), (F.col("blocked") == 1).alias("quality_blocked"))
+    return g.select(*keys, "revision", "n_winners", tie.alias("conflict"), *[F.when(~tie, F.col(f"v.{c}")).alias(c) for c in MEANING if c in facts.columns], F.when(~tie, F.col("fact_id")).alias("fact_id"), (F.col("blocked") == 1).alias("quality_blocked"))
 
 
 def select_fact(facts: DataFrame, authority: Sequence[str], decision: Column, system: Column, mode: str = "strict_historical", identity: Sequence[str] = IDENTITY) -> DataFrame:
-    """One row per identity: the unblocked winner of the first provider in authority order, the providers that disagree,
-    and whether downstream use is blocked."""
+    """One row per identity: the unblocked winner of the first provider in authority order, the providers that disagree on
+    value, unit or currency, and whether downstream use is blocked."""
     seen = facts.select(*identity).distinct()
     winners = select_revision(eligible(facts, decision, system, mode), identity)
     rank = F.array_position(F.array(*[F.lit(p) for p in authority]), F.col("provider_id"))
     usable = ~F.col("quality_blocked") & ~F.col("conflict")
     w = winners.withColumn("_rank", F.when(usable & (rank > 0), rank))
     g = w.groupBy(*identity).agg(
-        F.min_by(F.struct("provider_id", "value", "fact_id"), "_rank").alias("s"),
+        F.min_by(F.struct("provider_id", "value", "fact_id", meaning(facts).alias("meaning")), "_rank").alias("s"),
         F.count("*").alias("n_providers"),
         F.max((F.col("quality_blocked") | F.col("conflict")).cast("int")).alias("held"),
-        F.collect_list(F.struct("provider_id", "value", usable.alias("usable"))).alias("all"),
+        F.collect_list(F.struct("provider_id", meaning(facts).alias("meaning"), usable.alias("usable"))).alias("all"),
     )
-    others = F.when(F.col("s").isNull(), F.filter("all", lambda x: x["usable"])).otherwise(F.filter("all", lambda x: x["usable"] & (x["provider_id"] != F.col("s.provider_id")) & ~x["value"].eqNullSafe(F.col("s.value"))))
+    others = F.when(F.col("s").isNull(), F.filter("all", lambda x: x["usable"])).otherwise(F.filter("all", lambda x: x["usable"] & (x["provider_id"] != F.col("s.provider_id")) & ~x["meaning"].eqNullSafe(F.col("s.meaning"))))
     out = seen.join(g, list(identity), "left").withColumn("conflicts", F.coalesce(F.array_sort(F.transform(others, lambda x: x["provider_id"])), F.array().cast("array<string>")))
     return out.select(
         *identity,
@@ -91,6 +98,21 @@ def close_intervals(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def mismatches(facts: DataFrame, identity: Sequence[str] = IDENTITY) -> DataFrame:
-    """Open facts of an identity on which at least two providers give different values."""
-    g = facts.where("known_to is null").groupBy(*identity).agg(F.count_distinct("provider_id").alias("n_providers"), F.count_distinct("value").alias("n_values"), F.count_if(F.col("quality_state") == "blocked").alias("n_blocked"), F.min("value").alias("least"), F.max("value").alias("most"))
+    """Open facts of an identity on which at least two providers give different (value, unit, currency)."""
+    g = facts.where("known_to is null").groupBy(*identity).agg(
+        F.count_distinct("provider_id").alias("n_providers"),
+        F.count_distinct(meaning(facts)).alias("n_values"),
+        F.array_sort(F.collect_set("provider_id")).alias("provider_ids"),
+        F.array_sort(F.collect_set("fact_id")).alias("fact_ids"),
+    )
     return g.where("n_providers >= 2 and n_values >= 2")
+
+
+def mismatch_entries(facts: DataFrame, unmapped: DataFrame, identity: Sequence[str] = IDENTITY) -> DataFrame:
+    """All that blocks financial evidence as one list: providers that disagree, open facts of blocked quality, and pending
+    fields without a mapping (unmapped: field_id, provider_id, source_field, status)."""
+    who, none = F.array("provider_id"), [F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in identity]
+    clash = mismatches(facts, identity).select(F.lit("provider_value_conflict").alias("mismatch_type"), *identity, "provider_ids", F.transform("fact_ids", lambda x: x.cast("string")).alias("related_ids"), F.lit("providers disagree on value, unit or currency").alias("reason"))
+    held = facts.where("known_to is null and quality_state = 'blocked'").select(F.lit("quality_block").alias("mismatch_type"), *identity, who.alias("provider_ids"), F.array(F.col("fact_id").cast("string")).alias("related_ids"), F.concat(F.lit("quality state is "), "quality_state").alias("reason"))
+    loose = unmapped.where("status = 'pending'").select(F.lit("unmapped_field").alias("mismatch_type"), *none, who.alias("provider_ids"), F.array(F.col("field_id").cast("string")).alias("related_ids"), F.concat(F.lit("unmapped provider field: "), "source_field").alias("reason"))
+    return clash.unionByName(held).unionByName(loose)

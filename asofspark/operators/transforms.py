@@ -122,7 +122,15 @@ def exposure(vol: DataFrame, target: float, maximum: float) -> DataFrame:
     return vol.select("*", F.when(~flat, e).alias("exposure"), F.when(flat, "zero_volatility").otherwise(F.col("unavailable_reason")).alias("exposure_reason"))
 
 
-def timing_baseline(closes: DataFrame, active: DataFrame, key: str, session: str, close: str, target: float, maximum: float, window: int = 20) -> DataFrame:
-    """One row per (key, session) whose key has an active universe: volatility, target exposure, static exposure 1."""
+def timing_baseline(closes: DataFrame, active: DataFrame, key: str, session: str, close: str, target: float, maximum: float, window: int = 20, recorded: DataFrame | None = None) -> DataFrame:
+    """One row per (key, session) whose key has an active universe: volatility, target exposure, static exposure 1.
+
+    Against the rows recorded before (key, session, target) each is an insert, a duplicate, or, if one of them has another
+    target, a conflict without values."""
     rows = exposure(passive_volatility(closes, key, session, close, window), target, maximum)
-    return rows.join(active.select(key).distinct(), key, "left_semi").withColumn("static_exposure", F.lit(1.0))
+    rows = rows.join(active.select(key).distinct(), key, "left_semi").withColumn("static_exposure", F.lit(1.0))
+    if recorded is None:
+        return rows
+    known = recorded.groupBy(key, session).agg((F.count_if(~F.col("target").eqNullSafe(F.lit(target))) > 0).alias("_other"))
+    met = rows.join(known, [key, session], "left").withColumn("action", F.when(F.col("_other").isNull(), "insert").when(F.col("_other"), "conflict").otherwise("duplicate"))
+    return met.drop("_other").withColumns({c: F.when(F.col("action") != "conflict", F.col(c)) for c in ("value", "exposure")})

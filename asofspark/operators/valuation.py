@@ -121,29 +121,75 @@ def scenarios(drivers: DataFrame, keys: Sequence[str] = ("security_id",)) -> Dat
     return x.select(*keys, "scenario", "value_lo", "value_hi", (F.coalesce(F.min(F.col("_up").cast("int")).over(w), F.lit(1)) == 1).alias("monotone"), (F.count("*").over(w) == 3).alias("complete"))
 
 
-def revision(snapshots: DataFrame) -> DataFrame:
+def _all_of(steps):
+    def holds(x: Column) -> Column:
+        out = F.lit(True)
+        for step in steps:
+            out = out & step(x)
+        return out
+
+    return holds
+
+
+def revision(snapshots: DataFrame, attestations: DataFrame | None = None, use: str = "strict_historical", least_trust: int = 2) -> DataFrame:
     """Analyst revision against the snapshot before of the same security, period and provider: interval and midpoint.
-    snapshots: security_id, period, provider_id, observed_on, estimate_lo, estimate_hi, valid_to."""
+    snapshots: security_id, period, provider_id, observed_on, estimate_lo, estimate_hi, valid_to, and with attestations
+    (provider_id, provider_use, qualified_on, valid_until, ceiling) also decision_on: the snapshot must be known by the
+    decision, and the provider attested for the use at that day, up to the trust asked for."""
     w = Window.partitionBy("security_id", "period", "provider_id").orderBy("observed_on")
     lo, hi = F.lag("estimate_lo").over(w), F.lag("estimate_hi").over(w)
     expired = F.lag("valid_to").over(w) < F.col("observed_on")
-    x = snapshots.select("security_id", "period", "provider_id", "observed_on", (F.col("estimate_lo") - hi).alias("revision_lo"), (F.col("estimate_hi") - lo).alias("revision_hi"), ((F.col("estimate_lo") + F.col("estimate_hi") - lo - hi) / 2).alias("m"), lo.isNull().alias("_first"), F.coalesce(expired, F.lit(False)).alias("_old"))
-    return x.select("security_id", "period", "provider_id", "observed_on", F.when(~F.col("_old"), F.col("revision_lo")).alias("revision_lo"), F.when(~F.col("_old"), F.col("revision_hi")).alias("revision_hi"), *columns(F.col("m"), ("no_prior_estimate", F.col("_first")), ("prior_expired", F.col("_old"))))
-
-
-def analyze(parts: DataFrame, keys: Sequence[str] = ("security_id",), components: Sequence[str] = ("valuation", "improvement", "scenario")) -> DataFrame:
-    """Combined status over component rows (keys, component, status): all, none or part of them quantified."""
-    g = parts.where(F.col("component").isin(*components)).groupBy(*keys).agg(F.count_distinct(F.when(F.col("status") == "quantified", F.col("component"))).alias("n"), F.count_if(F.col("status") == "partial").alias("p"), F.array_sort(F.collect_set(F.when(F.col("status") != "quantified", F.col("component")))).alias("open_components"))
-    return g.select(*keys, F.col("n").alias("n_quantified"), "open_components", F.when(F.col("n") == len(components), "quantified").when((F.col("n") == 0) & (F.col("p") == 0), "unavailable").otherwise("partial").alias("status"))
+    decided = [] if attestations is None else ["decision_on"]
+    x = snapshots.select("security_id", "period", "provider_id", "observed_on", *decided, (F.col("estimate_lo") - hi).alias("revision_lo"), (F.col("estimate_hi") - lo).alias("revision_hi"), ((F.col("estimate_lo") + F.col("estimate_hi") - lo - hi) / 2).alias("m"), lo.isNull().alias("_first"), F.coalesce(expired, F.lit(False)).alias("_old"))
+    reasons = [("no_prior_estimate", F.col("_first")), ("prior_expired", F.col("_old"))]
+    if attestations is not None:
+        a = attestations.groupBy("provider_id").agg(F.collect_list(F.struct("provider_use", "qualified_on", "valid_until", "ceiling")).alias("_a"))
+        x = x.join(a, "provider_id", "left").withColumn("_a", F.coalesce("_a", F.array().cast(a.schema["_a"].dataType)))
+        day = F.col("decision_on")
+        steps = (
+            ("source_not_attested", lambda s: F.lit(True)),
+            ("attested_for_other_use", lambda s: s["provider_use"] == use),
+            ("qualified_after_decision", lambda s: s["qualified_on"] <= day),
+            ("attestation_expired", lambda s: s["valid_until"].isNull() | (s["valid_until"] >= day)),
+            ("trust_ceiling", lambda s: s["ceiling"] >= least_trust),
+        )
+        reasons.append(("snapshot_after_decision", F.col("observed_on") > day))
+        for n, (reason, _) in enumerate(steps):  # no attestation passes this step and all before it
+            reasons.append((reason, ~F.exists("_a", _all_of([step for _, step in steps[: n + 1]]))))
+    bad = F.lit(False)
+    for _, c in reasons[1:]:
+        bad = bad | F.coalesce(c, F.lit(True))
+    x = x.withColumn("_bad", bad)
+    return x.select("security_id", "period", "provider_id", "observed_on", F.when(~F.col("_bad"), F.col("revision_lo")).alias("revision_lo"), F.when(~F.col("_bad"), F.col("revision_hi")).alias("revision_hi"), *columns(F.col("m"), *reasons))
+
+
+#: The components of an analysis, and the models of its suite.
+COMPONENTS, SUITE = ("valuation", "improvement", "scenario"), ("relative", "anchor", "implied", "revision")
+
+
+def analyze(parts: DataFrame, keys: Sequence[str] = ("security_id",), components: Sequence[str] = COMPONENTS, suite: Sequence[str] = SUITE) -> DataFrame:
+    """Combined status over component rows (keys, component, status): all, none or part of them quantified. The models of
+    the suite have a status of their own in the same way (NULL without any), which doesn't enter the combined one."""
+    own, model = F.col("component").isin(*components), F.col("component").isin(*suite)
+    done = lambda of: F.count_distinct(F.when(of & (F.col("status") == "quantified"), F.col("component")))
+    some = lambda of: F.count_if(of & (F.col("status") == "partial"))
+    open_ = lambda of: F.array_sort(F.collect_set(F.when(of & (F.col("status") != "quantified"), F.col("component"))))
+    g = parts.where(own | model).groupBy(*keys).agg(done(own).alias("n"), some(own).alias("p"), open_(own).alias("open_components"), F.count_if(model).alias("models"), done(model).alias("mn"), some(model).alias("mp"), open_(model).alias("open_models"))
+    status = lambda n, p, of: F.when(F.col(n) == len(of), "quantified").when((F.col(n) == 0) & (F.col(p) == 0), "unavailable").otherwise("partial")
+    return g.select(*keys, F.col("n").alias("n_quantified"), "open_components", status("n", "p", components).alias("status"), "open_models", F.when(F.col("models") > 0, status("mn", "mp", suite)).alias("suite_status"))
 
 
 def qualify_inputs(evidence: DataFrame, required: Sequence[str], keys: Sequence[str] = ("security_id",)) -> DataFrame:
-    """Per key: distinct datasets and sources, newest availability, mixed trust, missing required metrics and duplicate
-    (metric, period), as sorted blockers. evidence: keys, metric, period, dataset_id, source_id, trust_state, available_at."""
-    each = evidence.groupBy(*keys, "metric", "period").agg(F.count("*").alias("c"), F.collect_set("dataset_id").alias("d"), F.collect_set("source_id").alias("s"), F.collect_set("trust_state").alias("t"), F.max("available_at").alias("a"))
-    g = each.groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_set("d")))).alias("n_datasets"), F.size(F.array_distinct(F.flatten(F.collect_set("s")))).alias("n_sources"), F.max("a").alias("latest_available"), F.size(F.array_distinct(F.flatten(F.collect_set("t")))).alias("n_trust"), F.array_sort(F.array_except(F.array(*[F.lit(m) for m in required]), F.collect_set("metric"))).alias("missing"), F.count_if(F.col("c") > 1).alias("dup"))
-    blockers = F.array_compact(F.array(F.when(F.col("dup") > 0, F.lit("duplicate_metric_period")), F.when(F.size("missing") > 0, F.concat(F.lit("missing:"), F.array_join("missing", "+"))), F.when(F.col("n_trust") > 1, F.lit("mixed_trust"))))
-    return g.select(*keys, "n_datasets", "n_sources", "latest_available", blockers.alias("blockers"), (F.size(blockers) == 0).alias("qualified"))
+    """Per key: distinct datasets, sources, records and content hashes, newest availability, mixed trust, missing required
+    metrics and duplicate (metric, period), as sorted blockers. evidence: keys, metric, period, dataset_id, source_id,
+    record_id, content_hash, trust_state, available_at. A record of two hashes is a blocker too."""
+    each = evidence.groupBy(*keys, "metric", "period").agg(F.count("*").alias("c"))
+    dup = each.groupBy(*keys).agg(F.count_if(F.col("c") > 1).alias("dup"))
+    record = evidence.groupBy(*keys, "record_id").agg(F.count_distinct("content_hash").alias("h")).groupBy(*keys).agg(F.count("record_id").alias("n_records"), F.count_if(F.col("h") > 1).alias("torn"))
+    g = evidence.groupBy(*keys).agg(*[F.count_distinct(c).alias(n) for c, n in (("dataset_id", "n_datasets"), ("source_id", "n_sources"), ("content_hash", "n_hashes"), ("trust_state", "n_trust"))], F.max("available_at").alias("latest_available"), F.array_sort(F.array_except(F.array(*[F.lit(m) for m in required]), F.collect_set("metric"))).alias("missing"))
+    g = g.join(dup, list(keys)).join(record, list(keys))
+    blockers = F.array_compact(F.array(F.when(F.col("dup") > 0, F.lit("duplicate_metric_period")), F.when(F.size("missing") > 0, F.concat(F.lit("missing:"), F.array_join("missing", "+"))), F.when(F.col("n_trust") > 1, F.lit("mixed_trust")), F.when(F.col("torn") > 0, F.lit("record_of_two_contents"))))
+    return g.select(*keys, "n_datasets", "n_sources", "n_records", "n_hashes", "latest_available", blockers.alias("blockers"), (F.size(blockers) == 0).alias("qualified"))
 
 
 def price_candidates(listings: DataFrame, partitions: DataFrame, jobs: DataFrame, capital: DataFrame) -> DataFrame:

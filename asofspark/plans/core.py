@@ -246,9 +246,12 @@ def n3_volatility_exposure(v):
     return transforms.exposure(vol, 4.0, 1.5).select("listing_id", "session_date", *r("exposure"), "exposure_reason")
 
 
-@query("select listing_id, session_date, round(vol, 6) as value, case when vol is not null then round(least(1.5, 4.0 / vol), 6) end as exposure, 1.0::double as static_exposure from (" + VOL + ") where listing_id in (select listing_id from {listings} where delisted_on is null)")
+RECORDED = "select listing_id, session_date, case when listing_id % 3 = 1 then 5.0E0 else 4.0E0 end as target from {bars_daily} where listing_id % 2 = 1 and year(session_date) = 1997"
+
+
+@query("select listing_id, session_date, case when coalesce(target, 4.0) = 4.0 then round(vol, 6) end as value, case when vol is not null and coalesce(target, 4.0) = 4.0 then round(least(1.5, 4.0 / vol), 6) end as exposure, 1.0::double as static_exposure, case when target is null then 'insert' when target = 4.0 then 'duplicate' else 'conflict' end as action from (" + VOL + ") left join (" + RECORDED + ") r using (listing_id, session_date) where listing_id in (select listing_id from {listings} where delisted_on is null)")
 def n16_timing_baseline(v):
-    return transforms.timing_baseline(v.bars_daily, v.listings.where("delisted_on is null"), "listing_id", "session_date", "close", 4.0, 1.5).select("listing_id", "session_date", *r("value", "exposure"), "static_exposure")
+    return transforms.timing_baseline(v.bars_daily, v.listings.where("delisted_on is null"), "listing_id", "session_date", "close", 4.0, 1.5, recorded=v.sql(RECORDED)).select("listing_id", "session_date", *r("value", "exposure"), "static_exposure", "action")
 
 
 # -- bitemporal facts ---------------------------------------------------------------------------------------------
@@ -290,9 +293,14 @@ SELECT = """select i.company_id, i.period_end, s.provider_id, s.value, s.fact_id
         on z.company_id = w.company_id and z.period_end = w.period_end where not w.quality_blocked and (z.p is null or (w.provider_id <> z.p and w.value is distinct from z.v)) group by 1, 2) c on c.company_id = i.company_id and c.period_end = i.period_end"""
 
 
-@query(SELECT.replace("(W)", "(" + WINNERS.replace("{ok}", CURRENT) + ")"))
+SAID = "struct_pack(v := {}value, u := {}unit, c := {}currency)"
+PRICED_WINNERS = WINNERS.replace("{facts}", "{priced_facts}").replace("arg_max(value, revision) as value", "arg_max(value, revision) as value, arg_max(unit, revision) as unit, arg_max(coalesce(currency, '-'), revision) as currency")
+PRICED_SELECT = SELECT.replace("{facts}", "{priced_facts}").replace("arg_min(value, provider_id) as v ", "arg_min(" + SAID.format("", "", "") + ", provider_id) as v ").replace("w.value is distinct from z.v", SAID.format("w.", "w.", "w.") + " is distinct from z.v")
+
+
+@query(PRICED_SELECT.replace("(W)", "(" + PRICED_WINNERS.replace("{ok}", CURRENT) + ")"))
 def n7_provider_authority(v):
-    return pit.select_fact(v.facts, AUTHORITY, *clocks(), "current").withColumn("conflicts", F.array_join("conflicts", ","))
+    return pit.select_fact(v.priced_facts, AUTHORITY, *clocks(), "current").withColumn("conflicts", F.array_join("conflicts", ","))
 
 
 @query("select company_id, period_end, a.value as current_value, a.status as current_status, b.value as strict_value, b.status as strict_status, a.value is not distinct from b.value as same from (" + SELECT.replace("(W)", "(" + WINNERS.replace("{ok}", CURRENT) + ")") + ") a full join (" + SELECT.replace("(W)", "(" + WINNERS.replace("{ok}", STRICT) + ")") + ") b using (company_id, period_end)")
@@ -305,9 +313,16 @@ def n9_system_correction(v):
     return pit.close_intervals(v.corrections, [*pit.IDENTITY, "provider_id", "revision"]).select("fact_id", "known_to", "public_time_changed")
 
 
-@query("select company_id, period_end, count(distinct provider_id) as n_providers, count(distinct value) as n_values, count(*) filter (where quality_state = 'blocked') as n_blocked, min(value) as least, max(value) as most from {facts} where known_to is null group by 1, 2 having count(distinct provider_id) >= 2 and count(distinct value) >= 2")
+UNMAPPED = "select event_id as field_id, 'p' || cast(user_id % 3 as varchar(9)) as provider_id, event_type as source_field, case when event_id % 5 = 0 then 'resolved' else 'pending' end as status from {events} where event_type <> 'purchase'"
+
+
+@query(f"""select 'provider_value_conflict' as mismatch_type, company_id, period_end, string_agg(distinct provider_id, ',' order by provider_id) as provider_ids, string_agg(fact_id, ',' order by fact_id) as related_ids, 'providers disagree on value, unit or currency' as reason from {{priced_facts}} where known_to is null
+    group by 2, 3 having count(distinct provider_id) >= 2 and count(distinct struct_pack(v := value, u := unit, c := currency)) >= 2
+    union all select 'quality_block', company_id, period_end, provider_id, cast(fact_id as varchar), 'quality state is ' || quality_state from {{priced_facts}} where known_to is null and quality_state = 'blocked'
+    union all select 'unmapped_field', null, null, provider_id, cast(field_id as varchar), 'unmapped provider field: ' || source_field from ({UNMAPPED}) where status = 'pending'""")
 def a17_provider_mismatches(v):
-    return pit.mismatches(v.facts)
+    found = pit.mismatch_entries(v.priced_facts, v.sql(UNMAPPED))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("provider_ids", "related_ids")})
 
 
 # -- market data --------------------------------------------------------------------------------------------------

@@ -54,17 +54,17 @@ def s8_corporate_actions(v):
     return ingest.actions(v.sql(TERMS)).drop("record_id")
 
 
-WIDE = "select o_custkey % 400 as code, cast(date_trunc('quarter', o_orderdate) as date) as period_end, 'p' || cast(o_orderkey % 2 as varchar(2)) as provider_id, case when o_orderkey % 5 = 0 then null else o_totalprice end as revenue, case when o_orderkey % 7 = 0 then null else o_totalprice * 0.5 end as cost, o_totalprice * 0.1 as tax from {orders}"
+WIDE = "select o_custkey % 400 as code, cast(date_trunc('quarter', o_orderdate) as date) as period_end, 'p' || cast(o_orderkey % 2 as varchar(2)) as provider_id, case when o_orderkey % 5 = 0 then null else o_totalprice end as revenue, case when o_orderkey % 7 = 0 then null else o_totalprice * 0.5 end as cost, o_totalprice * 0.1 as tax, o_orderkey % 9 <> 4 as asked from {orders}"
 
 
-@query(f"with w as (select *, count(*) over (partition by code, period_end, provider_id) as n from ({WIDE})), u as (select code, period_end, provider_id, unnest(['revenue', 'cost', 'tax']) as field, unnest([revenue, cost, tax]) as raw_value from w where n = 1) select code, period_end, provider_id, field, round(raw_value, 6) as raw_value from u where raw_value is not null")
+@query(f"with w as (select *, count(*) over (partition by code, period_end, provider_id) as n from ({WIDE}) where asked), u as (select code, period_end, provider_id, unnest(['revenue', 'cost', 'tax']) as field, unnest([revenue, cost, tax]) as raw_value from w where n = 1) select code, period_end, provider_id, field, round(raw_value, 6) as raw_value from u where raw_value is not null")
 def s9_financial_long(v):
-    return ingest.financial_long(v.sql(WIDE), ["code", "period_end", "provider_id"], ["revenue", "cost", "tax"]).withColumn("raw_value", F.round("raw_value", 6))
+    return ingest.financial_long(v.sql(WIDE), ["code", "period_end", "provider_id"], ["revenue", "cost", "tax"], F.col("asked")).withColumn("raw_value", F.round("raw_value", 6))
 
 
-@query(f"select provider_id, count(*) as n_rows, count(*) filter (where n > 1) as n_repeated, sum(case when revenue is null then 1 else 0 end + case when cost is null then 1 else 0 end) as n_missing from (select *, count(*) over (partition by code, period_end, provider_id) as n from ({WIDE})) group by 1")
+@query(f"select provider_id, count(*) filter (where asked) as n_rows, count(*) filter (where asked and n > 1) as n_repeated, sum(case when asked and revenue is null then 1 else 0 end + case when asked and cost is null then 1 else 0 end) as n_missing, count(*) filter (where not asked) as n_outside from (select *, count(*) filter (where asked) over (partition by code, period_end, provider_id) as n from ({WIDE})) group by 1")
 def s9_financial_counters(v):
-    return ingest.financial_counters(v.sql(WIDE), ["provider_id"], ["code", "period_end", "provider_id"], ["revenue", "cost", "tax"])
+    return ingest.financial_counters(v.sql(WIDE), ["provider_id"], ["code", "period_end", "provider_id"], ["revenue", "cost", "tax"], F.col("asked"))
 
 
 BASIS = "select o_orderkey as k, cast(date_trunc('quarter', o_orderdate) + interval 3 month - interval 1 day as date) as period_end, case o_orderkey % 3 when 0 then 'instant' when 1 then 'year_to_date' else 'quarter' end as value_basis from {orders}"
@@ -83,10 +83,10 @@ def s10_calendar_rules(v):
     return checks.violations(v.sql(DAYS), ["exchange", "calendar_date"], ingest.calendar_rules())
 
 
-ROWS = "select event_id as row_id, 'p' || cast(user_id % 2 as varchar(2)) as provider_id, event_type as field, value as raw_value, case when user_id % 9 = 0 then 'shares' else 'currency' end as unit, 'u' || cast(user_id as varchar(12)) as unit_id, user_id as code, cast(ts as date) as period_end, ts as retrieved_at from {events}"
+ROWS = "select event_id as row_id, 'p' || cast(user_id % 2 as varchar(2)) as provider_id, event_type as field, value as raw_value, case when user_id % 9 = 0 then 'shares' else 'currency' end as unit, case when user_id % 7 <> 0 then 'CNY' end as currency, 'u' || cast(user_id as varchar(12)) as unit_id, user_id as code, cast(ts as date) as period_end, ts as retrieved_at from {events}"
 MAPPINGS = "select 'p0' as provider_id, 'view' as field, 'revenue' as metric, 1000.0E0 as scale, 'both' as scope union all select 'p1', 'view', 'revenue', 1.0E0, 'strict' union all select 'p0', 'click', 'profit', 10.0E0, 'both' union all select 'p0', 'click', 'cost', 10.0E0, 'both' union all select 'p1', 'click', 'cost', 1.0E0, 'current' union all select 'p1', 'error', 'tax', 1.0E0, 'both' union all select 'p0', 'purchase', 'tax', 2.0E0, 'both'"
-METRICS = "select 'revenue' as metric, 'currency' as unit union all select 'profit', 'currency' union all select 'cost', 'currency' union all select 'tax', 'currency'"
-MAPPED = f"select r.*, case when g.n is null then 'unmapped' when g.n > 1 then 'conflict' when r.unit <> g.u then 'unit_mismatch' else 'mapped' end as status, g.metric, g.scale from ({ROWS}) r left join (select provider_id, field, count(distinct m.metric) as n, min(m.metric) as metric, min(scale) as scale, min(x.unit) as u from ({MAPPINGS}) m join ({METRICS}) x on x.metric = m.metric where scope in ('both', 'current') group by 1, 2) g using (provider_id, field)"
+METRICS = "select 'revenue' as metric, 'currency' as unit union all select 'profit', 'currency' union all select 'cost', 'shares' union all select 'tax', 'currency'"
+MAPPED = f"select r.*, case when g.n is null then 'unmapped' when g.n > 1 then 'conflict' when r.unit <> g.u then 'unit_mismatch' when g.u = 'currency' and r.currency is null then 'currency_missing' when g.u <> 'currency' and r.currency is not null then 'currency_unexpected' else 'mapped' end as status, g.metric, g.scale from ({ROWS}) r left join (select provider_id, field, count(distinct m.metric) as n, min(m.metric) as metric, min(scale) as scale, min(x.unit) as u from ({MAPPINGS}) m join ({METRICS}) x on x.metric = m.metric where scope in ('both', 'current') group by 1, 2) g using (provider_id, field)"
 
 
 def _mapped(v):
@@ -205,13 +205,13 @@ def j17_requested_counts(v):
     return audit.counts_for(v.sql(TARGETS), v.sql(EVENTS), "entity_id")
 
 
-NEEDS = "select c_custkey as study_id, x.role, 1 + c_custkey % 2 as min_trust, 0.5E0 + c_custkey % 5 * 0.1E0 as min_coverage, date '1996-01-01' as window_from, date '2000-01-01' as window_to from {customer} cross join (select 'bars' as role union all select 'facts' union all select 'actions') x"
-HAVE = "select c_custkey as study_id, x.role, c_custkey % 3 as trust, c_custkey % 17 = 0 as quality_failed, 0.4E0 + c_custkey % 7 * 0.1E0 as coverage, date '1995-06-01' + cast(c_custkey % 300 as int) as first_date, date '2000-06-01' - cast(c_custkey % 400 as int) as last_date, c_custkey % 19 <> 0 as lineage_ok from {customer} cross join (select 'bars' as role union all select 'facts') x where c_custkey % 11 <> 3"
+NEEDS = "select c_custkey as study_id, x.role, 1 + c_custkey % 2 as min_trust, 0.5E0 + c_custkey % 5 * 0.1E0 as min_coverage, date '1996-01-01' as window_from, date '2000-01-01' as window_to, case when x.role = 'bars' then 'session_close' else 'announcement' end as availability_policy from {customer} cross join (select 'bars' as role union all select 'facts' union all select 'actions') x"
+HAVE = "select c_custkey as study_id, x.role, c_custkey % 3 as trust, c_custkey % 17 = 0 as quality_failed, 0.4E0 + c_custkey % 7 * 0.1E0 as coverage, date '1995-06-01' + cast(c_custkey % 300 as int) as first_date, date '2000-06-01' - cast(c_custkey % 400 as int) as last_date, c_custkey % 19 <> 0 as lineage_ok, case when x.role = 'bars' and c_custkey % 23 <> 5 then 'session_close' when c_custkey % 29 <> 6 then 'announcement' end as availability_policy, c_custkey % 31 <> 7 as availability_enforced, c_custkey % 13 = 1 as quality_warned from {customer} cross join (select 'bars' as role union all select 'facts' union all select 'actions') x where c_custkey % 11 <> 3 and not (x.role = 'actions' and c_custkey % 4 = 2)"
 
 
-@query(f"with x as (select n.study_id, n.role, list_filter([case when h.coverage is null then 'missing:' || n.role end, case when h.trust < n.min_trust then 'trust:' || n.role end, case when quality_failed then 'quality:' || n.role end, case when h.coverage < n.min_coverage then 'coverage:' || n.role end, case when first_date > window_from or last_date < window_to then 'window:' || n.role end, case when not lineage_ok then 'lineage:' || n.role end], lambda s: s is not null) as b from ({NEEDS}) n left join ({HAVE}) h on h.study_id = n.study_id and h.role = n.role) select study_id, coalesce(array_to_string(list_sort(flatten(list(b))), ','), '') as blockers, len(flatten(list(b))) = 0 as permitted from x group by 1")
+@query(f"with x as (select n.study_id, n.role, list_filter([case when h.coverage is null then 'missing:' || n.role end, case when h.trust < n.min_trust then 'trust:' || n.role end, case when quality_failed then 'quality:' || n.role end, case when h.coverage < n.min_coverage then 'coverage:' || n.role end, case when first_date > window_from or last_date < window_to then 'window:' || n.role end, case when not lineage_ok then 'lineage:' || n.role end, case when h.coverage is not null and h.availability_policy is distinct from n.availability_policy then 'availability_policy:' || n.role end, case when not availability_enforced then 'availability_enforcement:' || n.role end], lambda s: s is not null) as b, case when quality_warned and not quality_failed then 'quality_warned:' || n.role end as w from ({NEEDS}) n left join ({HAVE}) h on h.study_id = n.study_id and h.role = n.role) select study_id, coalesce(array_to_string(list_sort(flatten(list(b))), ','), '') as blockers, len(flatten(list(b))) = 0 as permitted, coalesce(string_agg(w, ',' order by w), '') as warnings from x group by 1")
 def a21_study_readiness(v):
-    return audit.readiness(v.sql(NEEDS), v.sql(HAVE)).withColumn("blockers", F.array_join("blockers", ","))
+    return audit.readiness(v.sql(NEEDS), v.sql(HAVE)).withColumns({c: F.array_join(c, ",") for c in ("blockers", "warnings")})
 
 
 CHECKED = """select o_orderkey as report_id, c.name as check_name, case when (o_orderkey + c.n) % 131 = 0 then 'fail' when (o_orderkey + c.n) % 29 = 0 then 'waived' else 'pass' end as outcome from {orders} cross join (""" + " union all ".join(f"select '{c}' as name, {n} as n" for n, c in enumerate(audit.VALIDATION_CHECKS)) + """) c where (o_orderkey * 7 + c.n) % 97 <> 1
@@ -323,3 +323,33 @@ CLEARED = "select o_custkey as artifact_id, 'd' || cast(o_orderkey as varchar(12
 @query(CLOSURE.replace("{ids}", "select dataset_id as id from (" + BUILT + ")") + f", b as (select distinct * from ({BUILT})), u as (select * from b union select artifact_id, ancestor_id from b join c on c.id = b.dataset_id), a as (select distinct * from ({CLEARED})) select u.artifact_id, coalesce(string_agg(u.dataset_id, ',' order by u.dataset_id) filter (where a.dataset_id is null), '') as unapproved, count(*) filter (where a.dataset_id is null) = 0 as closed from u left join a on a.artifact_id = u.artifact_id and a.dataset_id = u.dataset_id group by 1")
 def u5_evidence_closure(v):
     return audit.evidence_closure(v.sql(BUILT), v.sql(CLEARED.replace("//", "div")), v.lineage, "artifact_id").withColumn("unapproved", F.array_join("unapproved", ","))
+
+
+BUILDS = "select o_orderkey as dataset_id, o_orderdate as created_at from {orders}"
+FINDINGS = "select l_orderkey as dataset_id, case when l_linenumber = 7 and l_quantity > 49 then 1 else 0 end as checks_failed from {lineitem}"
+RUNS = "select event_type || ':' || cast(user_id as varchar(12)) as job_id, case when max(value) > 99 then 'failed' else 'succeeded' end as status, max(ts) as updated_at, count(*) % 5 as k from {events} group by 1"
+DECIDED = "select c_custkey as review_id, date '2020-01-01' + cast(c_custkey % 700 as int) as decided_at from {customer} where c_acctbal < 0"
+FORECASTS = "select listing_id * 100000 + year(session_date) * 12 + month(session_date) as forecast_id, session_date as effective_session, case when volume > 60 then least(1.0, 100.0 / volume) end as passive_exposure from {bars}"
+
+
+@query(f"""with r as (select dataset_id, count(*) filter (where checks_failed > 0) as failed from ({FINDINGS}) group by 1), d as (select count(*) as n, count(*) - count(r.dataset_id) + coalesce(sum(failed), 0) as flagged, max(created_at) as newest from ({BUILDS}) b left join r using (dataset_id)), j as (select * from ({RUNS}) where status = 'failed' or k = 0)
+    select 'data_health' as section, case when n = 0 then 'empty' when flagged = 0 then 'ready' else 'partial' end as status, n as n_rows, cast(flagged as bigint) as n_flagged, newest from d
+    union all select 'active_failures', case when count(*) = 0 then 'empty' else 'partial' end, count(*), count(*), max(updated_at) from j union all select 'pending_tasks', case when count(*) = 0 then 'empty' else 'partial' end, count(*), 0, max(decided_at) from ({DECIDED})
+    union all select 'timing_shadow', case when count(*) = 0 then 'empty' else 'partial' end, count(*), count(*) filter (where passive_exposure is null), max(effective_session) from ({FORECASTS})""")
+def a23_desk_sections(v):
+    jobs = v.sql(RUNS).withColumn("failure_reasons", F.when(F.col("k") == 0, F.array(F.lit("timeout"))))
+    out = audit.desk_sections(v.sql(BUILDS), v.sql(FINDINGS), jobs, v.sql(DECIDED), v.sql(FORECASTS))
+    return out.withColumn("newest", F.col("newest").cast("timestamp_ntz"))
+
+
+DRAFTS = "select o_orderkey as plan_id, 'p' || cast(o_custkey % 6 as varchar(9)) as provider_id, 'v' || cast(1 + o_orderkey % 2 as varchar(9)) as profile_version, o_custkey % 400 as bucket_size, o_orderkey % 7 <> 0 as bulk_acknowledged from {orders}"
+OFFERS = "select 'p' || cast(n_nationkey as varchar(9)) as provider_id, 'v' || cast(1 + n_nationkey % 2 as varchar(9)) as version, 300 + n_nationkey as row_limit, n_nationkey <> 3 as bulk_allowed from {nation} where n_nationkey < 5"
+REACH = "select 'p' || cast(n_nationkey % 5 as varchar(9)) as provider_id, case when n_nationkey % 3 = 0 then 'XSHE' else 'XSHG' end as market, case n_nationkey % 4 when 0 then 'income' when 1 then 'balance' else 'cash' end as statement from {nation}"
+ASKED = "select l_orderkey as plan_id, case when l_linenumber % 2 = 0 then 'XSHE' else 'XSHG' end as market, case when l_quantity < 20 then 'income' when l_quantity < 35 then 'balance' else 'cash' end as statement from {lineitem}"
+
+
+@query(f"""with p as (select d.*, version, row_limit, bulk_allowed from ({DRAFTS}) d left join ({OFFERS}) o using (provider_id)), b as (select plan_id, 'provider_unknown' as blocker from p where version is null union all select plan_id, 'profile_version' from p where version <> profile_version union all select plan_id, 'bulk_not_acknowledged' from p where not bulk_acknowledged
+    union all select plan_id, 'bucket_exceeds_row_limit' from p where bucket_size > row_limit union all select plan_id, 'bulk_not_allowed' from p where not bulk_allowed union all select distinct a.plan_id, 'not_covered:' || a.market || ':' || a.statement from ({ASKED}) a join p using (plan_id) left join (select distinct * from ({REACH})) r on r.provider_id = p.provider_id and r.market = a.market and r.statement = a.statement where r.provider_id is null)
+    select p.plan_id, coalesce(string_agg(blocker, ',' order by blocker), '') as blockers, count(blocker) = 0 as permitted from p left join b using (plan_id) group by 1""")
+def a27_financial_plan(v):
+    return audit.qualify_financial_plan(v.sql(DRAFTS), v.sql(OFFERS), v.sql(REACH), v.sql(ASKED)).withColumn("blockers", F.array_join("blockers", ","))

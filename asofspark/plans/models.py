@@ -174,20 +174,29 @@ def v8_scenario_sensitivity(v):
     return valuation.scenarios(v.sql(SCENARIOS), ["security_id", "q"]).select("security_id", "q", "scenario", *r("value_lo", "value_hi"), "monotone", "complete")
 
 
-ESTIMATES = "select o_custkey as security_id, year(o_orderdate) as period, o_orderpriority as provider_id, cast(o_orderdate as date) as observed_on, min(o_totalprice) / 100 as estimate_lo, max(o_totalprice) / 90 as estimate_hi, cast(o_orderdate as date) + 150 as valid_to from {orders} group by 1, 2, 3, 4, 7"
+ESTIMATES = "select o_custkey as security_id, year(o_orderdate) as period, o_orderpriority as provider_id, cast(o_orderdate as date) as observed_on, min(o_totalprice) / 100 as estimate_lo, max(o_totalprice) / 90 as estimate_hi, cast(o_orderdate as date) + 150 as valid_to, cast(o_orderdate as date) + cast(o_custkey % 9 - 1 as int) as decision_on from {orders} group by 1, 2, 3, 4, 7, 8"
+ATTESTED = """select '1-URGENT' as provider_id, 'strict_historical' as provider_use, date '1993-01-01' as qualified_on, date '1997-01-01' as valid_until, 2 as ceiling union all select '1-URGENT', 'strict_historical', date '1996-06-01', cast(null as date), 2
+    union all select '2-HIGH', 'strict_historical', date '1994-01-01', date '1996-06-30', 2 union all select '3-MEDIUM', 'private_research', date '1990-01-01', cast(null as date), 2 union all select '4-NOT SPECIFIED', 'strict_historical', date '1990-01-01', cast(null as date), 1"""
+STEPS = ("true", "provider_use = 'strict_historical'", "qualified_on <= decision_on", "(valid_until is null or valid_until >= decision_on)", "ceiling >= 2")
+PASSED = ", ".join(f"count(*) filter (where a.provider_id is not null and {' and '.join(STEPS[: n + 1])}) as k{n}" for n in range(5))
 
 
-@query(f"select security_id, period, provider_id, observed_on, case when not coalesce(w < observed_on, false) then round(estimate_lo - h, 6) end as revision_lo, case when not coalesce(w < observed_on, false) then round(estimate_hi - l, 6) end as revision_hi, case when reason is null then round((estimate_lo + estimate_hi - l - h) / 2, 6) end as value, {STATUS} from (select *, case when l is null then 'no_prior_estimate' when w < observed_on then 'prior_expired' end as reason from (select *, lag(estimate_lo) over w0 as l, lag(estimate_hi) over w0 as h, lag(valid_to) over w0 as w from ({ESTIMATES}) window w0 as (partition by security_id, period, provider_id order by observed_on)))")
+@query(f"with e as (select *, lag(estimate_lo) over w0 as l, lag(estimate_hi) over w0 as h, lag(valid_to) over w0 as w from ({ESTIMATES}) window w0 as (partition by security_id, period, provider_id order by observed_on)), k as (select security_id, period, e.provider_id, observed_on, decision_on, {PASSED} from e left join ({ATTESTED}) a on a.provider_id = e.provider_id group by 1, 2, 3, 4, 5), x as (select e.*, case when l is null then 'no_prior_estimate' when w < observed_on then 'prior_expired' when observed_on > decision_on then 'snapshot_after_decision' when k0 = 0 then 'source_not_attested' when k1 = 0 then 'attested_for_other_use' when k2 = 0 then 'qualified_after_decision' when k3 = 0 then 'attestation_expired' when k4 = 0 then 'trust_ceiling' end as reason from e join k using (security_id, period, provider_id, observed_on, decision_on)) select security_id, period, provider_id, observed_on, case when reason is null then round(estimate_lo - h, 6) end as revision_lo, case when reason is null then round(estimate_hi - l, 6) end as revision_hi, case when reason is null then round((estimate_lo + estimate_hi - l - h) / 2, 6) end as value, {STATUS} from x")
 def v9_analyst_revision(v):
-    return valuation.revision(v.sql(ESTIMATES)).select("security_id", "period", "provider_id", "observed_on", *r("revision_lo", "revision_hi", "value"), "status", "unavailable_reason")
+    return valuation.revision(v.sql(ESTIMATES), v.sql(ATTESTED)).select("security_id", "period", "provider_id", "observed_on", *r("revision_lo", "revision_hi", "value"), "status", "unavailable_reason")
 
 
-PARTS = "select entity_id as security_id, q, 'valuation' as component, case when profit > 0 then 'quantified' else 'unavailable' end as status from {quarterly} union all select entity_id, q, 'improvement', case when (entity_id + q) % 3 = 0 then 'partial' when (entity_id + q) % 3 = 1 then 'unavailable' else 'quantified' end from {quarterly} union all select entity_id, q, 'scenario', case when q % 4 = 0 then 'unavailable' else 'quantified' end from {quarterly}"
+PARTS = "select entity_id as security_id, q, 'valuation' as component, case when profit > 0 then 'quantified' else 'unavailable' end as status from {quarterly} union all select entity_id, q, 'improvement', case when (entity_id + q) % 3 = 0 then 'partial' when (entity_id + q) % 3 = 1 then 'unavailable' else 'quantified' end from {quarterly} union all select entity_id, q, 'scenario', case when q % 4 = 0 then 'unavailable' else 'quantified' end from {quarterly} union all select entity_id, q, m.name, case when (entity_id + q) % m.n = 0 then 'unavailable' when m.n = 5 and q % 5 = 1 then 'partial' else 'quantified' end from {quarterly} cross join (select 'relative' as name, 2 as n union all select 'anchor', 4 union all select 'implied', 5 union all select 'revision', 4) m where entity_id % 7 <> 3"
 
 
-@query(f"select security_id, q, count(*) filter (where status = 'quantified') as n_quantified, coalesce(string_agg(component, ',' order by component) filter (where status <> 'quantified'), '') as open_components, case when count(*) filter (where status = 'quantified') = 3 then 'quantified' when count(*) filter (where status <> 'unavailable') = 0 then 'unavailable' else 'partial' end as status from ({PARTS}) group by 1, 2")
+def _combined(names: str, status: str, listed: str) -> str:
+    own = f"component in ({names})"
+    return f"coalesce(string_agg(component, ',' order by component) filter (where {own} and status <> 'quantified'), '') as {listed}, case when count(*) filter (where {own}) = 0 then null when count(*) filter (where {own} and status = 'quantified') = {names.count(',') + 1} then 'quantified' when count(*) filter (where {own} and status <> 'unavailable') = 0 then 'unavailable' else 'partial' end as {status}"
+
+
+@query(f"select security_id, q, count(*) filter (where status = 'quantified' and component in ('valuation', 'improvement', 'scenario')) as n_quantified, {_combined("'valuation', 'improvement', 'scenario'", 'status', 'open_components')}, {_combined("'relative', 'anchor', 'implied', 'revision'", 'suite_status', 'open_models')} from ({PARTS}) group by 1, 2")
 def v10_combined_analysis(v):
-    return valuation.analyze(v.sql(PARTS), ["security_id", "q"]).withColumn("open_components", F.array_join("open_components", ","))
+    return valuation.analyze(v.sql(PARTS), ["security_id", "q"]).withColumns({c: F.array_join(c, ",") for c in ("open_components", "open_models")})
 
 
 SUBJECTS = "select s_suppkey as security_id, d.as_of from {supplier} cross join (select date '1997-03-01' as as_of union all select date '1999-03-01') d"
@@ -206,10 +215,10 @@ def j11_group_members(v):
     return valuation.members(v.industries, v.sql(GROUPS))
 
 
-EVIDENCE = "select company_id as security_id, case fact_id % 3 when 0 then 'profit' when 1 then 'equity' else 'price' end as metric, period_end as period, 'd' || cast(fact_id % 4 as varchar(9)) as dataset_id, provider_id as source_id, trust_state, available_at from {facts}"
+EVIDENCE = "select company_id as security_id, case fact_id % 3 when 0 then 'profit' when 1 then 'equity' else 'price' end as metric, period_end as period, 'd' || cast(fact_id % 4 as varchar(9)) as dataset_id, provider_id as source_id, year(period_end) as record_id, case when fact_id % 11 = 1 then 'other' else 'h' || cast(year(period_end) as varchar(4)) end as content_hash, trust_state, available_at from {facts}"
 
 
-@query(f"with e as (select security_id, metric, period, count(*) as c from ({EVIDENCE}) group by 1, 2, 3), d as (select security_id, count(*) filter (where c > 1) as dup from e group by 1), g as (select security_id, count(distinct dataset_id) as n_datasets, count(distinct source_id) as n_sources, max(available_at) as latest_available, count(distinct trust_state) as n_trust, count(*) filter (where metric = 'equity') = 0 as no_e, count(*) filter (where metric = 'profit') = 0 as no_p from ({EVIDENCE}) group by 1), x as (select security_id, n_datasets, n_sources, latest_available, concat_ws(',', case when dup > 0 then 'duplicate_metric_period' end, case when no_e or no_p then 'missing:' || concat_ws('+', case when no_e then 'equity' end, case when no_p then 'profit' end) end, case when n_trust > 1 then 'mixed_trust' end) as blockers from g join d using (security_id)) select *, blockers = '' as qualified from x")
+@query(f"with e as (select security_id, metric, period, count(*) as c from ({EVIDENCE}) group by 1, 2, 3), d as (select security_id, count(*) filter (where c > 1) as dup from e group by 1), t as (select security_id, count(*) as n_records, count(*) filter (where h > 1) as torn from (select security_id, record_id, count(distinct content_hash) as h from ({EVIDENCE}) group by 1, 2) group by 1), g as (select security_id, count(distinct dataset_id) as n_datasets, count(distinct source_id) as n_sources, count(distinct content_hash) as n_hashes, max(available_at) as latest_available, count(distinct trust_state) as n_trust, count(*) filter (where metric = 'equity') = 0 as no_e, count(*) filter (where metric = 'profit') = 0 as no_p from ({EVIDENCE}) group by 1), x as (select security_id, n_datasets, n_sources, n_records, n_hashes, latest_available, concat_ws(',', case when dup > 0 then 'duplicate_metric_period' end, case when no_e or no_p then 'missing:' || concat_ws('+', case when no_e then 'equity' end, case when no_p then 'profit' end) end, case when n_trust > 1 then 'mixed_trust' end, case when torn > 0 then 'record_of_two_contents' end) as blockers from g join d using (security_id) join t using (security_id)) select *, blockers = '' as qualified from x")
 def a24_input_qualification(v):
     return valuation.qualify_inputs(v.sql(EVIDENCE), ["profit", "equity"]).withColumn("blockers", F.array_join("blockers", ","))
 

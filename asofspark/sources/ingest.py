@@ -62,17 +62,20 @@ def share_capital(raw: DataFrame, unit: int = 10_000) -> DataFrame:
     return x.withColumn("record_id", content_id("code", "effective_on", "total_shares", "circulating_shares", "restricted_shares"))
 
 
-def financial_long(wide: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One row per field that has a value (not NULL or NaN); repeated keys are dropped as a whole and flagged elsewhere."""
-    one = wide.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n = 1")
+def financial_long(wide: DataFrame, keys: Sequence[str], fields: Sequence[str], asked: Column | None = None) -> DataFrame:
+    """One row per field that has a value (not NULL or NaN); repeated keys are dropped as a whole and flagged elsewhere.
+    Rows outside the period that was ``asked`` for are skipped before repeats are looked for."""
+    inside = wide if asked is None else wide.where(F.coalesce(asked, F.lit(False)))
+    one = inside.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n = 1")
     return one.select(*keys, *[F.col(f).cast("double").alias(f) for f in fields]).unpivot(list(keys), list(fields), "field", "raw_value").where("raw_value is not null and not isnan(raw_value)")
 
 
-def financial_counters(wide: DataFrame, by: Sequence[str], keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Rows, repeated rows and missing values of each unit."""
+def financial_counters(wide: DataFrame, by: Sequence[str], keys: Sequence[str], fields: Sequence[str], asked: Column | None = None) -> DataFrame:
+    """Rows, repeated rows and missing values of each unit within the period that was ``asked`` for, and rows outside it."""
     gaps = sum((F.col(f).isNull().cast("int") for f in fields), F.lit(0))
-    x = wide.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumn("_g", gaps)
-    return x.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_if(F.col("_n") > 1).alias("n_repeated"), F.sum("_g").alias("n_missing"))
+    x = wide.withColumn("_in", F.lit(True) if asked is None else F.coalesce(asked, F.lit(False)))
+    x = x.withColumn("_n", F.count_if("_in").over(Window.partitionBy(*keys))).withColumn("_g", F.when(F.col("_in"), gaps).otherwise(0))
+    return x.groupBy(*by).agg(F.count_if("_in").alias("n_rows"), F.count_if(F.col("_in") & (F.col("_n") > 1)).alias("n_repeated"), F.sum("_g").alias("n_missing"), F.count_if(~F.col("_in")).alias("n_outside"))
 
 
 def period_bounds(period_end: str = "period_end", basis: str = "value_basis") -> list[Column]:
@@ -88,13 +91,22 @@ def calendar_rules() -> dict[str, Column]:
     return {"closed_without_reason": ~F.col("is_open") & ~reason, "open_with_reason": F.col("is_open") & reason}
 
 
+#: Units of money.
+MONEY = ("currency", "currency_per_share")
+
+
 def map_fields(rows: DataFrame, mappings: DataFrame, metrics: DataFrame, mode: str) -> DataFrame:
     """Rows with their canonical metric: exactly one mapping in scope and right unit is mapped (value = raw * scale), none is
-    unmapped, several a conflict. The catalogs of mappings and metrics are joined by key after counting, so no row multiplies."""
+    unmapped, several a conflict. Values of money need a currency, others must not have one (rows without that column are
+    not asked). The catalogs of mappings and metrics are joined by key after counting, so no row multiplies."""
     m = mappings.where((F.col("scope") == "both") | (F.col("scope") == mode)).join(metrics.select("metric", F.col("unit").alias("metric_unit")), "metric")
     g = m.groupBy("provider_id", "field").agg(F.count_distinct("metric").alias("n"), F.min("metric").alias("metric"), F.min("scale").alias("scale"), F.min("metric_unit").alias("metric_unit"))
     x = rows.join(g, ["provider_id", "field"], "left")
-    status = F.when(F.col("n").isNull(), "unmapped").when(F.col("n") > 1, "conflict").when(F.col("unit") != F.col("metric_unit"), "unit_mismatch").otherwise("mapped")
+    status = F.when(F.col("n").isNull(), "unmapped").when(F.col("n") > 1, "conflict").when(F.col("unit") != F.col("metric_unit"), "unit_mismatch")
+    if "currency" in rows.columns:
+        money = F.col("metric_unit").isin(*MONEY)
+        status = status.when(money & F.col("currency").isNull(), "currency_missing").when(~money & F.col("currency").isNotNull(), "currency_unexpected")
+    status = status.otherwise("mapped")
     x = x.withColumn("status", status)
     ok = F.col("status") == "mapped"
     return x.select(*rows.columns, F.when(ok, F.col("metric")).alias("metric"), F.when(ok, F.col("raw_value") * F.col("scale")).alias("value"), "status")
