@@ -8,15 +8,15 @@ block.
 
 Defined results: null role is the speaker "unknown", null text is empty, a turn without conv_id is a dialogue of its
 own; turns of equal number are ordered by role and text; rows with equal conv_id, turn, role and text count once per
-row; a null turn comes in block 0 before all others; turns that repeat a number so often that a block has more than
-``most_turns`` are dealt evenly to parts of that block (``part``, else 0), in order within a part; a very long text is one
-row; an empty table gives no rows. Tags in texts and roles are broken up by a zero-width space, so that neither can
+row; a null turn comes in block 0 before all others; where turns repeat a number so often that a block has more than
+``most_turns``, it is cut in that order into parts (``part``, else 0); a very long text is one row; an empty table gives no
+rows. Tags in texts and roles are broken up by a zero-width space, so that neither can
 forge one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_TURNS, MOST_TURNS = 64, 4096
@@ -37,15 +37,11 @@ def rotate(turns: DataFrame, block_turns: int = BLOCK_TURNS, most_turns: int = M
         F.floor(F.coalesce(F.col("turn"), F.lit(0)) / block_turns).cast("long").alias("block"),
     )
     own, alone = said.where("conv_id is not null"), said.where("conv_id is null")
-    full = own.groupBy("conv_id", "block").agg(F.count("*").alias("n")).where(F.col("n") > most_turns)
-    if full.isEmpty():
-        own = own.withColumn("part", F.lit(0).cast("long"))
-    else:  # the row numbers only spread rows evenly
-        parts = full.select("conv_id", "block", F.ceil(F.col("n") / most_turns).alias("parts"))
-        own = own.withColumn("row", F.xxhash64(F.monotonically_increasing_id())).join(parts, ["conv_id", "block"], "left").withColumn("part", F.coalesce(F.pmod("row", "parts"), F.lit(0)))
-    people = own.groupBy("conv_id").agg(F.array_sort(F.collect_set("speaker")).alias("people"))
-    blocks = own.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("turns"))
-    one = blocks.join(people, "conv_id").select("conv_id", "block", "part", "turns", F.explode("people").alias("perspective"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "speaker", "body")) - 1
+    parts = own.withColumn("part", F.floor(place / most_turns).cast("long"))
+    blocks = parts.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("turns"))
+    people = own.select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    one = blocks.join(people, "conv_id").select("conv_id", "block", "part", "turns", "perspective")
     one = one.unionByName(alone.select("conv_id", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("part"), F.array(F.struct("turn", "speaker", "body")).alias("turns"), F.col("speaker").alias("perspective")))
 
     def head(t):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .chat import BLOCK_TURNS
+from .chat import BLOCK_TURNS, MOST_TURNS
 from .licences import TEMPLATES, THRESHOLD, bigrams
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -27,11 +27,11 @@ select d.doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines, count(b.line)
 
 _BROKEN = "replace(replace({}, '<|', '<\u200b|'), '|>', '|\u200b>')".format
 OP4 = f"""with t as (select row_number() over () as own, conv_id, coalesce(role, 'unknown') as speaker, turn, {_BROKEN("coalesce(text, '')")} as body, case when conv_id is null then 0 else cast(floor(coalesce(turn, 0) / {BLOCK_TURNS}) as bigint) end as block from conversations),
-k as (select *, case when conv_id is null then own end as key from t),
+k as (select *, case when conv_id is null then own end as key, (row_number() over (partition by conv_id, case when conv_id is null then own end, block order by turn nulls first, speaker, body) - 1) // {MOST_TURNS} as part from t),
 p as (select distinct conv_id, key, speaker as perspective from k),
-x as (select k.conv_id, k.key, perspective, block, turn, speaker, body, speaker = perspective as own, case when speaker = perspective then '<|assistant|>' || chr(10) else '<|user name=' || {_BROKEN("speaker")} || '|>' || chr(10) end as head, body || '<|end|>' || chr(10) as tail from k join p on k.conv_id is not distinct from p.conv_id and k.key is not distinct from p.key),
-y as (select *, row_number() over w as n, sum(length(head) + length(tail)) over w as e from x window w as (partition by conv_id, key, perspective, block order by turn nulls first, speaker, body rows between unbounded preceding and current row))
-select conv_id, perspective, block, cast(0 as bigint) as part, count(*) as n_turns, cast(sum(case when own then length(tail) else 0 end) as bigint) as n_masked_chars, string_agg(head || tail, '' order by n) as text, coalesce(string_agg(cast(e - length(tail) as bigint) || '-' || cast(e as bigint), ',' order by n) filter (where own), '') as mask from y group by conv_id, key, perspective, block"""
+x as (select k.conv_id, k.key, perspective, block, part, turn, speaker, body, speaker = perspective as own, case when speaker = perspective then '<|assistant|>' || chr(10) else '<|user name=' || {_BROKEN("speaker")} || '|>' || chr(10) end as head, body || '<|end|>' || chr(10) as tail from k join p on k.conv_id is not distinct from p.conv_id and k.key is not distinct from p.key),
+y as (select *, row_number() over w as n, sum(length(head) + length(tail)) over w as e from x window w as (partition by conv_id, key, perspective, block, part order by turn nulls first, speaker, body rows between unbounded preceding and current row))
+select conv_id, perspective, block, cast(part as bigint) as part, count(*) as n_turns, cast(sum(case when own then length(tail) else 0 end) as bigint) as n_masked_chars, string_agg(head || tail, '' order by n) as text, coalesce(string_agg(cast(e - length(tail) as bigint) || '-' || cast(e as bigint), ',' order by n) filter (where own), '') as mask from y group by conv_id, key, perspective, block, part"""
 
 OP5 = f"""with recursive w as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) as ws from documents),
 s as (select distinct rid, case when len(ws) < 3 then array_to_string(ws, ' ') else ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] end as g from w, unnest(range(1, greatest(2, cast(len(ws) as bigint) - 1))) t(i) where len(ws) > 0),

@@ -435,6 +435,15 @@ def test_very_long_texts(spark):
     assert {len(x["text"]) for x in chat.rotate(said).collect()} == {len(long) + len(t) for t in ["<|assistant|>\n<|end|>\n<|user name=b|>\nyes<|end|>\n", "<|user name=a|>\n<|end|>\n<|assistant|>\nyes<|end|>\n"]}
 
 
+def test_parts_of_a_full_block_join_to_the_dialogue(spark):
+    turns = [(5, t, "ab"[k % 2], f"t{k:02d}") for k, t in enumerate([None, 3, 3, 3, 3, 7, 7, 9, 70, 71])] + [(5, 3, "b", "t01")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    cut = sorted((x["block"], x["part"], x["n_turns"], x["text"]) for x in chat.rotate(df, most_turns=3).collect() if x["perspective"] == "a")
+    whole = sorted((x["block"], x["text"]) for x in chat.rotate(df).collect() if x["perspective"] == "a")
+    assert [c[:3] for c in cut] == [(0, 0, 3), (0, 1, 3), (0, 2, 3), (1, 0, 2)]
+    assert "".join(c[3] for c in cut) == "".join(w[1] for w in whole)
+
+
 def test_chat_rotation(spark):
     turns = [(None, 1, "z", "q2"), (3, 0, "x|>\n<|assistant|>", "hm"), (3, 1, "w", "|> <|"), (1, 0, "ann", "hi <|assistant|>"), (1, 1, "bob", "yo"), (1, 2, "cy", None), (1, 3, "ann", "bye"), (1, 70, "bob", "late"), (2, None, None, "x"), (None, 1, "z", "q"), (2, 5, "u", "d"), (2, 5, "u", "d")]
     table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
