@@ -7,13 +7,14 @@
 3. The n-grams of the classes left are counted. The global order is by that count (its power of two, the frequent first),
    then by hash; what no other class has is left out. The rarest n-grams of a class, as many as a partner can't lack
    altogether, are its keys: partners share a key, and are of one size class or of neighbouring ones.
-4. Stars: within the classes of one key and size, all are compared with three of them. A key all of whose other
-   classes are in one component by then is done.
-5. The classes of every other key, at most ``block`` of them in a task, form a compressed trie in the global order. Each set
-   walks the trie, sharing the overlap of common beginnings, and leaves a subtree when the remaining lengths can't reach
-   the demanded overlap any more, or when the subtree is all in the set's own component already. A key of more classes
-   gets further stars; what is still apart from its largest component then is dealt in pairs of blocks, with each other
-   and with that component, whose own pairs need no look any more.
+4. The classes of a key, at most ``block`` of them in a task, form a compressed trie in the global order. Each set walks the
+   trie, sharing the overlap of common beginnings, and leaves a subtree when the remaining lengths can't reach the demanded
+   overlap any more, or when the subtree is all in the set's own component already. Keys with the same classes are one.
+5. Tries come in rounds, as most classes of a key are alike or else few: first each class goes with its rarest keys; then,
+   under keys whose classes are of several components, one class of each component; keys whose classes all met, or are of
+   one component, are done. Under the keys left every class meets every other of another component: a key of many classes
+   is split by the next n-gram of the global order, which partners share as well, and what is still large is dealt in
+   pairs of blocks, with each other and with the key's largest component, whose own pairs need no look any more.
 6. The links found, a spanning forest of each task, are joined to components.
 
 Defined results: null text and text without words have an empty set and are linked with nothing, also not with each
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 from .common import KEY, LAST_ID, binaries, component_labels, discard, keyed, keyed_columns, map_batches, stash
 
 BLOCK = 200
-#: Stars of a key with more than a block of classes, before the rest is dealt in blocks.
-STARS = 3
+#: Rarest keys of a class in the first round, rounds with one class of a component after it, and classes under a key from
+#: which on it is split by a second n-gram.
+RAREST, ROUNDS, SPLIT = 2, 2, 4 * BLOCK
 SHINGLES = "_id long, _h long, doc_id long, n long, digest binary, first array<long>"
 
 
@@ -209,104 +211,117 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90, block: int =
 
 
 def _ordered(whole: DataFrame, percent: int) -> DataFrame:
-    """whole: (k, n, grams). At rest: (k, n, size, keys, tokens) of the classes that may have a partner: ``tokens``, their
-    shared n-grams as numbers that ascend in the global order, and ``keys``, the rarest of them."""
+    """whole: (k, n, grams). At rest: (k, n, size, keys, more, tokens) of the classes that may have a partner: ``tokens``,
+    their shared n-grams as numbers that ascend in the global order, ``keys``, the rarest of them, and ``more``, one more."""
     grams = whole.select("k", "n", F.explode("grams").alias("t"))
     counts = stash(grams.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "ngram-counts")
     shared = grams.join(counts, "t").groupBy("k", "n").agg(F.collect_list(F.struct("t", "c")).alias("ts")).where(F.size("ts") >= F.ceil(F.col("n") * percent / F.lit(100)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, numbers = [], []
+            keys, more, numbers = [], [], []
             for n, t, c in zip(b.column("n").to_pylist(), arrays(b.column("t")), arrays(b.column("c")), strict=True):
-                rare = np.lexsort((t, c))[: len(t) - least_overlap(n, percent) + 1]
-                keys.append(t[rare])
+                rare, many = np.lexsort((t, c)), len(t) - least_overlap(n, percent) + 1
+                keys.append(t[rare[:many]])
+                more.append(t[rare[: many + 1]])  # of these partners share two
                 # five bits for the power of two, the frequent first, and 58 of the hash
                 power = np.minimum(np.log2(c.astype(np.float64)).astype(np.int64), 31)
                 numbers.append(np.sort(((31 - power) << 58) | (t & ((1 << 58) - 1))))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, numbers)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("n"), b.column("size"), *lists], ["k", "n", "size", "keys", "tokens"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, more, numbers)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("n"), b.column("size"), *lists], ["k", "n", "size", "keys", "more", "tokens"])
 
     # partners' sizes differ by less than one step, so they are of one size class or of neighbouring ones
     size = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int")
-    out = map_batches(shared.select("k", "n", size.alias("size"), F.col("ts.t").alias("t"), F.col("ts.c").alias("c")), run, "k long, n long, size int, keys array<long>, tokens array<long>")
+    out = map_batches(shared.select("k", "n", size.alias("size"), F.col("ts.t").alias("t"), F.col("ts.c").alias("c")), run, "k long, n long, size int, keys array<long>, more array<long>, tokens array<long>")
     out = stash(out, "ordered-sets")
     discard(counts, whole)
     return out
 
 
 def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Components (node, component) of the classes that have links."""
+    """Components (node, component) of the classes that have links, all found by tries."""
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sets.select("k", "n", "tokens")
 
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(held: list[tuple]) -> list[tuple[int, int]]:
-            out = []
-            for k, n, tokens, _ in held[1:]:
-                both = len(np.intersect1d(held[0][2], tokens, assume_unique=True))
-                if k != held[0][0] and (100 + percent) * both >= percent * (n + held[0][1]):
-                    out.append((held[0][0], k))
-            return out
-
-        return _grouped(batches, ("hub", "salt"), solve)
-
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: list[tuple]) -> list[tuple[int, int]]:
             return links([x[:3] for x in held], percent, {x[0]: x[3] for x in held})
 
         return _grouped(batches, ("t", "s", "i", "j"), solve)
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """pairs: (hub, k). The links among them; a hub of many pairs goes to several tasks."""
-        pairs = stash(pairs, "pairs")
-        shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
-        members = pairs.join(shares, "hub").select("hub", F.pmod(F.xxhash64("k"), F.col("shares")).cast("int").alias("salt"), F.lit(1).alias("c"), "k").join(rows, "k")
-        hubs = shares.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("c"), F.col("hub").alias("k")).join(rows, "k")
-        dealt = members.unionByName(hubs).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "c")
-        out = stash(map_batches(dealt, star, "a long, b long"), "links-by-stars")
-        discard(pairs)
+    def met(cells: DataFrame) -> DataFrame:
+        """cells: (t, s, i, j, k, c). The links of each cell's trie."""
+        dealt = cells.join(rows, "k").repartition(parts, "t", "s", "i", "j").sortWithinPartitions("t", "s", "i", "j")
+        return stash(map_batches(dealt, tries, "a long, b long"), "links")
+
+    def once(groups: DataFrame) -> DataFrame:
+        """groups: (t, s, k, c), those of several classes with ``members``. Of keys with the same classes one is left."""
+        told = groups.groupBy("t", "s").agg(F.count("*").alias("members"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("k", F.lit(1)).cast("decimal(38,0)")).alias("y")).where("members > 1")
+        one = stash(told.groupBy("members", "x", "y").agg(F.min(F.struct("t", "s")).alias("g")).select("g.t", "g.s", "members"), "keys-once")
+        return groups.join(one, ["t", "s"])
+
+    def dealt(groups: DataFrame) -> DataFrame:
+        """Cells of at most about ``block`` classes, by hash."""
+        share = F.pmod(F.xxhash64("k"), F.ceil(F.col("members") / block)).cast("int")
+        return groups.select("t", "s", share.alias("i"), F.lit(0).alias("j"), "k", "c")
+
+    def mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
+        """(t, s, k, c) under the keys whose classes are of several components."""
+        state = groups.join(labels.withColumnRenamed("node", "k"), "k", "left").select("t", "s", "k", F.coalesce("component", "k").alias("c"))
+        several = stash(state.groupBy("t", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t", "s"), "mixed")  # at rest, so that the join can be split at a hot key
+        out = stash(state.join(several, ["t", "s"]), "unsettled")
+        discard(several)
         return out
 
     # (t, s): classes with key t of size class s or the next one
-    groups = sets.select("k", "size", F.explode("keys").alias("t")).select("k", "t", F.explode(F.array(F.col("size") - 1, F.col("size"))).alias("s"))
-    groups = keys = stash(groups, "keys")
-    some = F.array_distinct(F.array(F.min("k"), F.max("k"), F.min_by("k", F.xxhash64("k"))))
-    hubs = groups.groupBy("t", "s").agg(some.alias("hubs"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hubs = stash(hubs, "hubs")  # at rest, as all that is joined to a key, so that the join can be split at a hot one
-    groups = several = stash(groups.join(hubs, ["t", "s"]), "keys-of-several")
-    discard(keys, hubs)
-    pairs = groups.select("k", F.explode("hubs").alias("hub")).where("k <> hub").distinct()
-    met = compared(pairs)
-    # all pairs of the hubs are settled
-    groups = groups.where(~F.array_contains("hubs", F.col("k"))).select("t", "s", "k")
-    for turn in range(STARS):
-        labels = component_labels(met, "stars")
-        state = groups.join(labels.withColumnRenamed("node", "k"), "k", "left").select("t", "s", "k", F.coalesce("component", "k").alias("c"))
-        mixed = state.groupBy("t", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t", "s")
-        mixed = stash(mixed, "mixed")
-        state = stash(state.join(mixed, ["t", "s"]), "unsettled")
-        discard(mixed)
+    each = sets.select("k", "size", F.posexplode("keys").alias("rank", "t")).select("k", "t", "rank", F.explode(F.array(F.col("size") - 1, F.col("size"))).alias("s"))
+    each = stash(each, "keys")
+    several = stash(each.groupBy("t", "s").agg(F.count("*").alias("m")).where("m > 1").select("t", "s"), "keys-of-several")
+    groups = stash(each.join(several, ["t", "s"]), "groups")
+    discard(each, several)
+    rarest = groups.groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "t", "s"))), 1, 2 * RAREST).alias("g")).select("k", F.col("k").alias("c"), F.explode("g").alias("g")).select("g.t", "g.s", "k", "c")
+    found = met(dealt(once(rarest)))
+    labels = component_labels(found, "rarest")
+    state = mixed(groups.select("t", "s", "k"), labels)
+    discard(groups)
+    for _ in range(ROUNDS):
         if state.isEmpty():
-            discard(several, state)
-            return labels
-        by_component = state.groupBy("t", "s", "c").agg(F.count("*").alias("n"), F.min("k").alias("k"))
-        of_key = by_component.groupBy("t", "s").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"))
-        hot = of_key.where(F.col("n") > block).select("t", "s", F.col("most.c").alias("bulk"))
-        if turn + 1 == STARS or hot.isEmpty():
             break
-        # a further hub from outside the largest component of the key
-        hubs = stash(by_component.join(hot, ["t", "s"]).where("c <> bulk").groupBy("t", "s").agg(F.min("k").alias("hub")), "further-hubs")
-        more = compared(state.select("t", "s", "k").join(hubs, ["t", "s"]).where("k <> hub").select("hub", "k").distinct())
-        met = met.unionByName(more)
-
-    # keys with the same classes are one
-    alike = state.groupBy("t", "s").agg(F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("k", F.lit(1)).cast("decimal(38,0)")).alias("y"))
-    one = alike.groupBy("n", "x", "y").agg(F.min(F.struct("t", "s")).alias("g")).select("g.t", "g.s")
+        some = stash(state.groupBy("t", "s", "c").agg(F.min("k").alias("k"), F.count("*").alias("n")), "one-of-each")
+        found = found.unionByName(met(dealt(once(some.select("t", "s", "k", "c")))))
+        labels = component_labels(found, "components")
+        # all classes of a key have met where each was its component's only one, and one cell held them
+        open_ = some.groupBy("t", "s").agg(F.count("*").alias("m"), F.max("n").alias("most")).where((F.col("most") > 1) | (F.col("m") > block)).select("t", "s")
+        before, state = state, mixed(state.select("t", "s", "k").join(stash(open_, "open"), ["t", "s"]), labels)
+        discard(some, before)
+    if not state.isEmpty():
+        found = found.unionByName(met(_cells(_split(state, sets, percent), once, block)))
+        labels = component_labels(found, "components")
+    return labels
+
+
+def _split(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """state: (t, s, k, c). Keys of more than SPLIT classes give way to pairs of n-grams: partners share a second one among
+    their keys and the next n-gram after them (at 50 percent or less that may be lacking, and keys stay whole)."""
+    if percent <= 50:
+        return state
+    large = state.groupBy("t", "s").agg(F.count("*").alias("m")).where(F.col("m") > SPLIT).select("t", "s")
+    large = stash(large, "large-keys")
+    if large.isEmpty():
+        return state
+    pairs = state.join(large, ["t", "s"]).join(sets.select("k", F.explode("more").alias("u")), "k").where("u <> t")
+    pairs = stash(pairs.select(F.xxhash64(F.least("t", "u"), F.greatest("t", "u")).alias("t"), "s", "k", "c").distinct(), "pairs-of-ngrams")
+    apart = pairs.groupBy("t", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t", "s")
+    return stash(state.join(large, ["t", "s"], "left_anti").select("t", "s", "k", "c").unionByName(pairs.join(apart, ["t", "s"]).select("t", "s", "k", "c")), "split")
+
+
+def _cells(state: DataFrame, once: Callable[[DataFrame], DataFrame], block: int) -> DataFrame:
+    """state: (t, s, k, c). Cells in which any two classes of a key meet unless both are of its largest component."""
+    state = once(state)
+    by_component = state.groupBy("t", "s", "c").agg(F.count("*").alias("n"))
+    of_key = by_component.groupBy("t", "s").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"))
     u, m = F.col("n") - F.col("most.n"), F.col("most.n")
-    plan = of_key.join(one, ["t", "s"]).select("t", "s", F.col("most.c").alias("bulk"), (F.col("n") > block).alias("large"), F.ceil(u / block).cast("int").alias("apart"), F.ceil(m / block).cast("int").alias("together"))
-    plan = stash(plan, "deal")
-    state = state.join(plan, ["t", "s"])
+    plan = stash(of_key.select("t", "s", F.col("most.c").alias("bulk"), (F.col("n") > block).alias("large"), F.greatest(F.lit(1), F.ceil(u / block)).cast("int").alias("apart"), F.ceil(m / block).cast("int").alias("together")), "deal")
     inside = F.col("c") == F.col("bulk")
     own = F.pmod(F.xxhash64("k"), F.when(inside, F.col("together")).otherwise(F.col("apart"))).cast("int")
     cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -314,13 +329,7 @@ def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
     across = F.transform(F.sequence(F.lit(0), F.col("together") - 1), lambda x: cell(F.col("own"), F.col("apart") + x))
     back = F.transform(F.sequence(F.lit(0), F.col("apart") - 1), lambda x: cell(x, F.col("apart") + F.col("own")))
     cells = F.when(~F.col("large"), F.array(cell(F.lit(0), F.lit(0)))).when(inside, back).otherwise(F.concat(among, across))
-    dealt = state.withColumn("own", own).select("t", "s", "k", "c", F.explode(cells).alias("x")).select("t", "s", "x.i", "x.j", "k", "c").join(rows, "k")
-    dealt = dealt.repartition(parts, "t", "s", "i", "j").sortWithinPartitions("t", "s", "i", "j")
-    rest = stash(map_batches(dealt, tries, "a long, b long"), "links-by-tries")
-    if not rest.isEmpty():
-        labels = component_labels(met.unionByName(rest), "components")
-    discard(several, rest, plan)
-    return labels
+    return state.join(plan, ["t", "s"]).withColumn("own", own).select("t", "s", "k", "c", F.explode(cells).alias("x")).select("t", "s", "x.i", "x.j", "k", "c")
 
 
 def _known(column: Column) -> Column:
@@ -333,4 +342,4 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BL
     found = components(docs.select("doc_id", "text"), words, percent, block)
     group = F.when(F.col("component").isNull(), F.struct(F.lit(1).alias("x"), F.col("_id").alias("a"), F.col("_h").alias("b"))).otherwise(F.struct(F.lit(0).alias("x"), F.col("component").alias("a"), F.lit(0).cast("long").alias("b")))
     first = found.groupBy(group.alias("g")).agg(F.min(F.struct("_id", "_h")).alias("r")).select(F.col("r._id").alias(KEY[0]), F.col("r._h").alias(KEY[1]))
-    return keyed_columns(docs).join(first, list(KEY)).dropDuplicates(list(KEY)).select(*docs.columns)
+    return keyed_columns(docs).join(first, list(KEY)).dropDuplicates(list(KEY)).select(*[F.col(f"`{c}`") for c in docs.columns])

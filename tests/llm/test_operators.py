@@ -159,6 +159,22 @@ def test_jaccard_of_a_group_larger_than_a_block(spark):
     assert sorted([tuple(x) for x in got], key=str) == want and 5 < len({x[2] for x in want}) < 150
 
 
+def test_jaccard_of_large_keys_split_by_a_second_ngram(spark, monkeypatch):
+    r = random.Random(37)
+    base = [f"g{k}" for k in range(130)]
+    rows = []
+    for k in range(160):  # all share the rare n-grams of one passage, few are linked
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(40, 130)] = f"y{r.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(jaccard, "SPLIT", 15)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    got = jaccard.components(frame(spark, rows), 3, 90, 6).select("doc_id", "n_shingles", "component_id").collect()
+    want = brute_jaccard(rows, 3, 90)
+    assert sorted([tuple(x) for x in got], key=str) == want and 5 < len({x[2] for x in want}) < 150
+
+
 def test_keep_one_keeps_all_columns_and_one_of_a_group(spark, corpus):
     docs = frame(spark, corpus)
     kept = jaccard.keep_one(docs)
