@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Stands for a missing doc_id: such rows come after all others.
 LAST_ID = (1 << 63) - 1
@@ -101,6 +101,26 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(bounded, schema)
 
 
+def beside(docs: DataFrame, columns: Iterable[str], **given: Column) -> DataFrame:
+    """``given`` and the named columns of a user's table as one struct ``kept``, its fields by number, so that no name of
+    theirs, with dots or like one of ours, meets another on the way to the Python workers or in joins."""
+    fields = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]
+    return docs.select(*[c.alias(n) for n, c in given.items()], F.struct(F.lit(None).cast("int").alias("none"), *fields).alias("kept"))
+
+
+def kept_arrays(batch: pa.RecordBatch) -> list[pa.Array]:
+    """The columns in ``kept``."""
+    return batch.column("kept").flatten()[1:]
+
+
+def kept_columns(columns: Iterable[str]) -> list[Column]:
+    return [F.col("kept").getField(f"c{k}").alias(c) for k, c in enumerate(columns)]
+
+
+def kept_schema(rows: DataFrame, columns: Iterable[str]) -> StructType:
+    return StructType([StructField(c, f.dataType) for c, f in zip(columns, list(rows.schema["kept"].dataType)[1:], strict=True)])
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows and bytes, so that a worker holds the Python objects of a few texts at a time."""
     for b in batches:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, LAST_ID, binaries, component_labels, discard, keyed, keyed_columns, map_batches, stash
+from .common import KEY, LAST_ID, beside, binaries, component_labels, discard, kept_columns, keyed, keyed_columns, map_batches, stash
 
 BLOCK = 200
 #: Rarest keys of a class in the first round, rounds with one class of a component after it, and classes under a key from
@@ -342,4 +342,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BL
     found = components(docs.select("doc_id", "text"), words, percent, block)
     group = F.when(F.col("component").isNull(), F.struct(F.lit(1).alias("x"), F.col("_id").alias("a"), F.col("_h").alias("b"))).otherwise(F.struct(F.lit(0).alias("x"), F.col("component").alias("a"), F.lit(0).cast("long").alias("b")))
     first = found.groupBy(group.alias("g")).agg(F.min(F.struct("_id", "_h")).alias("r")).select(F.col("r._id").alias(KEY[0]), F.col("r._h").alias(KEY[1]))
-    return keyed_columns(docs).join(first, list(KEY)).dropDuplicates(list(KEY)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed_columns(beside(docs, docs.columns, doc_id=F.col("doc_id"), text=F.col("text")))
+    return rows.join(first, list(KEY)).dropDuplicates(list(KEY)).select(*kept_columns(docs.columns))

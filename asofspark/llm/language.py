@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, stash
+from .common import beside, kept_arrays, kept_schema, map_batches, stash
 from .textnet import chunks, gram_features
 
 BITS, DIM, ORDERS = 13, 16, (1, 2, 3, 4)
@@ -152,17 +152,16 @@ def train(docs: DataFrame, learn_from: F.Column | None = None, sample_per_lang:
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns, lang_pred, score and rejected (in place of columns of these names). Only the text is looked at; runs
     without a shuffle."""
-    docs = docs.drop("lang_pred", "score", "rejected", "_letters")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    text = F.col(f"`{text_col}`")
+    rows = beside(docs, columns, text=text, letters=F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = np.array(b.column("_letters").to_pylist(), bool) & bool(model.langs)
-            p = probabilities(model, b.column(text_col).to_pylist()) if model.langs else np.zeros((b.num_rows, 1))
+            ok = np.array(b.column("letters").to_pylist(), bool) & bool(model.langs)
+            p = probabilities(model, b.column("text").to_pylist()) if model.langs else np.zeros((b.num_rows, 1))
             top = np.where(ok, p.max(1), 0.0)
             names = [model.langs[k] if o else "und" for k, o in zip(p.argmax(1), ok, strict=True)]
-            keep = [c for c in b.schema.names if c != "_letters"]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(names, pa.string()), pa.array(top, pa.float64()), pa.array(~ok | (top < model.bound))], [*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*kept_arrays(b), pa.array(names, pa.string()), pa.array(top, pa.float64()), pa.array(~ok | (top < model.bound))], [*columns, "lang_pred", "score", "rejected"])
 
-    return map_batches(marked, run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return map_batches(rows, run, kept_schema(rows, columns).add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stash
+from .common import beside, kept_columns, map_batches, stash
 
 Q, ERROR = 7, 0.1
 #: Characters of a block of items, and of a slice of a document.
@@ -233,14 +233,15 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float = ERROR
 def remove(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float = ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents (all columns) in which no item is found."""
 
-    def clean(docs: DataFrame, index: list[Items]) -> DataFrame:
+    def clean(rows: DataFrame, index: list[Items]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = pa.array([not m for m in matches(index, [normal(t) for t in b.column("text").to_pylist()])], pa.bool_())
                 yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns], b.schema.names)
 
-        return map_batches(docs, run, docs.schema)
+        return map_batches(rows, run, rows.schema)
 
+    rows = beside(docs, docs.columns, text=F.col("text"))
     for k, index in enumerate(_blocks(benchmark, q, error, block_chars)):
-        docs = clean(stash(docs, "clean") if k else docs, index)
-    return docs
+        rows = clean(stash(rows, "clean") if k else rows, index)
+    return rows.select(*kept_columns(docs.columns))

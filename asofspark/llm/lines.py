@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import KEY, discard, keyed, keyed_columns, map_batches, stash
+from .common import KEY, beside, discard, kept_arrays, keyed, keyed_columns, map_batches, stash
 
 MIN_WORDS = 10
 
@@ -116,10 +117,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` (doc_id, text and others), the text without later copies, and n_lines and n_removed."""
     names = dict(zip(("_id", "_h"), KEY, strict=True))
-    runs = repeated_runs(keyed(docs.select("doc_id", "text")).select("_id", "_h", "text")).withColumnsRenamed(names | {"runs": "__runs"})
-    marked = keyed_columns(docs.drop("n_lines", "n_removed")).join(runs, list(KEY), "left")
+    runs = repeated_runs(keyed(docs.select("doc_id", "text")).select("_id", "_h", "text")).withColumnsRenamed(names)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
+    others = [c for c in columns if c != "text"]
+    rows = beside(docs, others, doc_id=F.col("doc_id"), text=F.col("text"))
+    marked = keyed_columns(rows).join(runs, list(KEY), "left").select("text", "runs", "kept")
+    schema = StructType([docs.schema["text"] if c == "text" else docs.schema[c] for c in columns]).add("n_lines", "long").add("n_removed", "long")
 
     def cut(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int]:
         if text is None:
@@ -138,8 +141,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [cut(t, r) for t, r in zip(b.column("text").to_pylist(), b.column("__runs").to_pylist(), strict=True)]
-            texts = pa.array([x[0] for x in done], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else b.column(c) for c in columns] + [pa.array([x[k] for x in done], pa.int64()) for k in (1, 2)], [*columns, "n_lines", "n_removed"])
+            done = [cut(t, r) for t, r in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True)]
+            own = dict(zip(others, kept_arrays(b), strict=True)) | {"text": pa.array([x[0] for x in done], pa.string())}
+            yield pa.RecordBatch.from_arrays([own[c] for c in columns] + [pa.array([x[k] for x in done], pa.int64()) for k in (1, 2)], [*columns, "n_lines", "n_removed"])
 
-    return map_batches(marked.select(*columns, "__runs"), run, f"{schema}, n_lines long, n_removed long")
+    return map_batches(marked, run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import beside, kept_arrays, kept_schema, map_batches
 from .textnet import FEATURES, chunks, word_features
 
 BITS, DIM, FILTERS, WIDTHS = 16, 12, 6, (1, 2, 3)
@@ -197,15 +197,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn_from:
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """All columns and a score from 0 to 1 (in place of a column of that name); only the text is looked at. Runs without a
     shuffle."""
-    docs = docs.drop(out_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    columns = [c for c in docs.columns if c != out_col]
+    rows = beside(docs, columns, text=F.col(f"`{text_col}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = scores(model, b.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, out_col])
+            p = scores(model, b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*kept_arrays(b), pa.array(p, pa.float64())], [*columns, out_col])
 
-    return map_batches(docs, run, f"{schema}, `{out_col}` double")
+    return map_batches(rows, run, kept_schema(rows, columns).add(out_col, "double"))
 
 
 def reject(scored: DataFrame, model: Model, lang_col: str | None = "lang", score_col: str = "score", default: float = 0.5) -> DataFrame:

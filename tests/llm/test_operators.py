@@ -479,6 +479,23 @@ def test_chat_rotation(spark):
     assert got[2, "unknown", 0]["text"].startswith("<|assistant|>\nx") and (None, "z", 0) in got
 
 
+def test_columns_of_any_name_go_with_their_documents(spark):
+    r = random.Random(41)
+    text = lambda: "\n".join(" ".join(f"k{r.randrange(900)}" for _ in range(12)) for _ in range(6))
+    a, b = text(), text()
+    names = ["a.b", "__runs", "_letters", "__row_id", "__row_hash", "kept", "none", "runs", "letters", "_id", "k"]
+    docs = spark.createDataFrame([(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate([a, a + "\nmore", b, None, ""])], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    model = language.Model(["x"], np.zeros((1 << language.BITS, 1), np.float32), np.zeros(1, np.float32))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    try:
+        for done in (lines.remove_repeats(docs), jaccard.keep_one(docs), leaks.remove(docs, spark.createDataFrame([(1, "no such passage anywhere in it")], "item_id long, text string")), language.predict(docs, model), toxicity.score(docs, toxicity.fit(["bad word", "good word"] * 8, np.array([1, 0] * 8)))):
+            assert done.columns[: len(docs.columns)] == docs.columns
+            rows = done.collect()
+            assert rows and all(x[n] == f"{n}{x['doc_id']}" for x in rows for n in names)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_toxicity_learns_and_holds_out(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6)))
