@@ -141,6 +141,21 @@ def _walk(keys: list[int], size: np.ndarray, sets: list[np.ndarray], vocabulary:
     return found
 
 
+def short_ways(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same components by links of each node to the least one, so that few rounds join them further."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(find(x), x) for x in root if find(x) != x]
+
+
 def arrays(column: pa.Array) -> list[np.ndarray]:
     """The rows of a column of long arrays."""
     offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
@@ -245,7 +260,7 @@ def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
 
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: list[tuple]) -> list[tuple[int, int]]:
-            return links([x[:3] for x in held], percent, {x[0]: x[3] for x in held})
+            return short_ways(links([x[:3] for x in held], percent, {x[0]: x[3] for x in held}))
 
         return _grouped(batches, ("t", "s", "i", "j"), solve)
 
@@ -273,6 +288,23 @@ def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
         discard(several)
         return out
 
+    def joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
+        """labels (node, component), joined further by fresh links (a, b): only the components themselves are nodes of the
+        graph that is solved, so that late rounds are short."""
+        if labels is None:
+            return component_labels(fresh, "components")
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        ends = fresh.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
+        ends = stash(ends.where("x <> y"), "fresh-links")
+        if ends.isEmpty():
+            return labels
+        top = component_labels(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "components")
+        nodes = labels.unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("component")), F.struct(F.col("b").alias("node"), F.col("y").alias("component")))).alias("e")).select("e.*")).distinct()
+        up = top.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        out = stash(nodes.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        discard(ends)
+        return out
+
     # (t, s): classes with key t of size class s or the next one
     each = sets.select("k", "size", F.posexplode("keys").alias("rank", "t")).select("k", "t", "rank", F.explode(F.array(F.col("size") - 1, F.col("size"))).alias("s"))
     each = stash(each, "keys")
@@ -280,23 +312,20 @@ def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
     groups = stash(each.join(several, ["t", "s"]), "groups")
     discard(each, several)
     rarest = groups.groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "t", "s"))), 1, 2 * RAREST).alias("g")).select("k", F.col("k").alias("c"), F.explode("g").alias("g")).select("g.t", "g.s", "k", "c")
-    found = met(dealt(once(rarest)))
-    labels = component_labels(found, "rarest")
+    labels = joined(None, met(dealt(once(rarest))))
     state = mixed(groups.select("t", "s", "k"), labels)
     discard(groups)
     for _ in range(ROUNDS):
         if state.isEmpty():
             break
         some = stash(state.groupBy("t", "s", "c").agg(F.min("k").alias("k"), F.count("*").alias("n")), "one-of-each")
-        found = found.unionByName(met(dealt(once(some.select("t", "s", "k", "c")))))
-        labels = component_labels(found, "components")
+        labels = joined(labels, met(dealt(once(some.select("t", "s", "k", "c")))))
         # all classes of a key have met where each was its component's only one, and one cell held them
         open_ = some.groupBy("t", "s").agg(F.count("*").alias("m"), F.max("n").alias("most")).where((F.col("most") > 1) | (F.col("m") > block)).select("t", "s")
         before, state = state, mixed(state.select("t", "s", "k").join(stash(open_, "open"), ["t", "s"]), labels)
         discard(some, before)
     if not state.isEmpty():
-        found = found.unionByName(met(_cells(_split(state, sets, percent), once, block)))
-        labels = component_labels(found, "components")
+        labels = joined(labels, met(_cells(_split(state, sets, percent), once, block)))
     return labels
 
 
