@@ -51,7 +51,7 @@ VIEWS = {
         cast(o_orderdate as date) as available_at, cast(o_orderdate + interval 1 day as date) as known_from, cast(null as date) as known_to, round(o_totalprice, 2) as value,
         case o_orderstatus when 'F' then 'pit_verified' when 'O' then 'normalized_current' else 'raw' end as trust_state,
         case when o_orderkey % 41 = 0 then 'blocked' else 'passed' end as quality_state from {orders}""",
-    "priced_facts": """select fact_id, company_id, period_end, provider_id, revision, available_at, known_from, known_to, floor(value / 100000) * 100000 as value, case when fact_id % 23 = 0 then 'thousand' else 'one' end as unit,
+    "priced_facts": """select fact_id, company_id, period_end, provider_id, revision, available_at, known_from, known_to, cast(floor(value / 100000) * 100000 as double) as value, case when fact_id % 23 = 0 then 'thousand' else 'one' end as unit,
         case when fact_id % 29 = 0 then 'HKD' when fact_id % 31 = 0 then null else 'CNY' end as currency, trust_state, quality_state from {facts}""",
     "corrections": """select fact_id, company_id, period_end, provider_id, revision, available_at, known_from, known_to, value, trust_state, quality_state from {facts}
         union all select fact_id + 1000000000 * n, company_id, period_end, provider_id, revision, case when fact_id % 8 = 3 then cast(available_at + interval 2 day as date) else available_at end,
