@@ -347,9 +347,18 @@ def j8_adjusted_close(v):
 LIMITED = "select listing_id, session_date, case when volume % 5 = 0 then upper_limit when volume % 5 = 1 then lower_limit else close end as close, case when volume % 10 = 0 then upper_limit when volume % 10 = 1 then lower_limit else low end as low, case when volume % 10 = 0 then upper_limit when volume % 10 = 1 then lower_limit else high end as high from {bars} join {limits} using (listing_id, session_date) union all select listing_id, session_date, close, low, high from {bars} where (listing_id, session_date) not in (select listing_id, session_date from {limits})"
 
 
+def limited(bars, limits):
+    """The rows of LIMITED. Bars without a limit come from an anti join, as Spark runs NOT IN over two columns as a loop over all
+    pairs; a bar without listing or session equals no limit and is no row of either part."""
+    bare = bars.where("listing_id is not null and session_date is not null").join(limits, list(market.KEY), "left_anti")
+    moved = F.col("volume") % 10
+    edge = lambda k, c: F.when(moved % k == 0, F.col("upper_limit")).when(moved % k == 1, F.col("lower_limit")).otherwise(F.col(c)).alias(c)
+    return bars.join(limits, list(market.KEY)).select(*market.KEY, edge(5, "close"), edge(10, "low"), edge(10, "high")).unionByName(bare.select(*market.KEY, "close", "low", "high"))
+
+
 @query("select listing_id, session_date, case when upper_limit is null or close is null then 'unavailable' when close = upper_limit then case when low = upper_limit and high = upper_limit then 'locked_up' else 'limit_up' end when close = lower_limit then case when low = lower_limit and high = lower_limit then 'locked_down' else 'limit_down' end else 'not_at_limit' end as limit_status from (" + LIMITED + ") left join {limits} using (listing_id, session_date)")
 def j9_limit_status(v):
-    return market.limit_status(v.sql(LIMITED), v.limits).select("listing_id", "session_date", "limit_status")
+    return market.limit_status(limited(v.bars, v.limits), v.limits).select("listing_id", "session_date", "limit_status")
 
 
 CAPITAL_AT = "select b.listing_id, b.session_date, count(c.source_id) as n, min(total_shares) as lo, max(total_shares) as hi, min(c.source_id) as source_id from {bars} b left join {capital} c on c.listing_id = b.listing_id and c.effective_from <= b.session_date and (c.effective_to is null or b.session_date < c.effective_to) group by 1, 2"
