@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scd import asof, contains, slab_join
@@ -40,10 +40,30 @@ def snapshot(companies: DataFrame, securities: DataFrame, listings: DataFrame, h
 
 def resolve_listing(requests: DataFrame, listings: DataFrame, history: DataFrame) -> DataFrame:
     """requests (exchange, code, as_of): the one listing that has the code that day, or why there is none."""
-    h = history.where("kind = 'code'").join(listings.select("listing_id", F.col("exchange").alias("_e")), "listing_id").select("listing_id", "_e", F.col("identifier").alias("_c"), "valid_from", "valid_to")
-    hit = requests.join(h, (F.col("exchange") == F.col("_e")) & (F.col("code") == F.col("_c")) & contains(F.col("as_of")), "left")
-    g = hit.groupBy("exchange", "code", "as_of").agg(F.count_distinct("listing_id").alias("n"), F.min("listing_id").alias("l"))
-    return g.select("exchange", "code", "as_of", F.when(F.col("n") == 1, F.col("l")).alias("listing_id"), F.when(F.col("n") == 1, "resolved").when(F.col("n") == 0, "not_found").otherwise("ambiguous").alias("status"))
+    h = history.where("kind = 'code'").join(listings.select("listing_id", F.col("exchange").alias("_e")), "listing_id").select("listing_id", F.col("_e").alias("exchange"), F.col("identifier").alias("code"), "valid_from", "valid_to")
+    return resolved(requests, h.where("exchange is not null and code is not null"), ["exchange", "code"])
+
+
+def resolved(requests: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """requests (keys, as_of) with the one listing whose span (listing_id, a whole number; valid_from, valid_to) holds the day.
+
+    Spans become steps: how many listings hold a key from a day on, and the exclusive or of their ids, which is the id where
+    it is one. A request meets the last step before it, so that a key of any number of listings is one sorted stream."""
+    own = Window.partitionBy(*keys, "listing_id").orderBy("valid_from", F.asc_nulls_last("valid_to"))
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    never = F.lit("9999-12-31").cast("date")
+    s = spans.where("valid_from is not null and (valid_to is null or valid_from < valid_to)").select(*keys, "listing_id", "valid_from", "valid_to").distinct()
+    # overlapping spans of one listing count once
+    s = s.withColumn("_new", F.coalesce(F.max(F.coalesce("valid_to", never)).over(before) < F.col("valid_from"), F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.groupBy(*keys, "listing_id", "_run").agg(F.min("valid_from").alias("on"), F.max(F.coalesce("valid_to", never)).alias("off"), F.count_if(F.col("valid_to").isNull()).alias("open"))
+    step = lambda c, by: F.struct(F.col(c).alias("at"), F.lit(by).alias("by"))
+    moves = s.select(*keys, "listing_id", F.inline(F.array_compact(F.array(step("on", 1), F.when(F.col("open") == 0, step("off", -1))))))
+    steps = moves.groupBy(*keys, "at").agg(F.sum("by").alias("by"), F.bit_xor(F.col("listing_id").cast("long")).alias("ids"))
+    so_far = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.select(*keys, "at", F.sum("by").over(so_far).alias("n"), F.bit_xor("ids").over(so_far).alias("l"))
+    g = asof(requests.select(*keys, "as_of").distinct(), steps, keys, "as_of", "at", ["n", "l"]).withColumn("n", F.coalesce("n", F.lit(0)))
+    kind = spans.schema["listing_id"].dataType
+    return g.select(*keys, "as_of", F.when(F.col("n") == 1, F.col("l").cast(kind)).alias("listing_id"), F.when(F.col("n") == 1, "resolved").when(F.col("n") == 0, "not_found").otherwise("ambiguous").alias("status"))
 
 
 def resolve(requests: DataFrame, corrections: DataFrame, aliases: DataFrame, history: DataFrame, current: DataFrame, allow_current: bool = True) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
-from asofspark.operators import market
+from asofspark.operators import identity, market
 from asofspark.plans import core
 
 
@@ -22,3 +23,20 @@ def test_bars_without_a_limit_are_found_without_a_loop_over_all_pairs(spark):
     got = market.limit_status(core.limited(bars, limits), limits)
     assert sorted((r[0], r[1], r["limit_status"]) for r in got.collect()) == [(1, day(0), "unavailable"), (1, day(1), "locked_up"), (2, day(0), "unavailable"), (2, day(1), "not_at_limit")]
     assert "NestedLoop" not in plan(got)
+
+
+def test_a_code_of_many_listings_is_one_sorted_stream(spark):
+    r = random.Random(3)
+    listings = [(k, "EO"[k % 2]) for k in range(40)]
+    maybe = lambda n: None if r.random() < 0.1 else r.randrange(n)
+    history = [(k, "code", None if r.random() < 0.05 else f"c{r.randrange(12)}", day(maybe(30)), day(maybe(40))) for k in range(42) for _ in range(6)]
+    asked = [(r.choice(["E", "O", None]), r.choice([f"c{k}" for k in range(14)] + [None]), day(maybe(40))) for _ in range(500)]
+    on = dict(listings)
+    want = set()
+    for e, c, d in asked:
+        held = {k for k, _, i, a, b in history if None not in (e, c, d, a) and on.get(k) == e and i == c and a <= d and (b is None or d < b)}
+        want.add((e, c, d, min(held) if len(held) == 1 else None, "not_found" if not held else "resolved" if len(held) == 1 else "ambiguous"))
+    requests = spark.createDataFrame(asked, "exchange string, code string, as_of date")
+    got = identity.resolve_listing(requests, spark.createDataFrame(listings, "listing_id int, exchange string"), spark.createDataFrame(history, "listing_id int, kind string, identifier string, valid_from date, valid_to date"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and {s for *_, s in want} == {"not_found", "resolved", "ambiguous"}
+    assert not any("as_of" in line for line in plan(got).splitlines() if "Join " in line)  # requests with all that have the code
