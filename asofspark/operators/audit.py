@@ -110,7 +110,16 @@ def promotion_gate(checks: DataFrame, contexts: DataFrame | None = None, require
         c = contexts.groupBy(by).agg(F.min(F.coalesce(historical, F.lit(False))).alias("historical"))
         gate = promotion_gate(checks, None, required, non_waivable, by).join(c, by, "left").withColumn("historical", F.coalesce("historical", F.lit(False)))
         return gate.withColumn("may_promote", F.col("may_promote") & F.col("historical"))
-    g = checks.groupBy(by).agg(F.array_sort(F.array_except(F.array(*[F.lit(c) for c in required]), F.collect_set("check_name"))).alias("missing"), F.count_if(F.col("outcome") == "fail").alias("n_failed"), (F.count("check_name") - F.count_distinct("check_name")).alias("n_repeated"), F.size(F.collect_set(F.when(F.col("check_name").isin(*non_waivable) & (F.col("outcome") == "pass"), F.col("check_name")))).alias("n_firm"))
+    # flags and counts of fixed width, which tasks add up before the shuffle; only other names than the required ones go as text
+    name, passed = F.col("check_name"), F.col("outcome") == "pass"
+    seen, firm = ({c: f"_{what}{k}" for k, c in enumerate(sorted(set(names)))} for what, names in (("seen", required), ("firm", non_waivable)))
+    flags = [F.bool_or(name == c).alias(f) for c, f in seen.items()] + [F.bool_or((name == c) & passed).alias(f) for c, f in firm.items()]
+    others = F.count_distinct(F.when(~name.isin(*seen), name) if seen else name)
+    g = checks.groupBy(by).agg(*flags, F.count_if(F.col("outcome") == "fail").alias("n_failed"), F.count("check_name").alias("_named"), others.alias("_others"))
+    yes = lambda f: F.coalesce(F.col(f), F.lit(False))
+    n = lambda fs: sum((yes(f).cast("int") for f in fs), F.lit(0))
+    missing = F.array_compact(F.array(*[F.when(~yes(f), F.lit(c)) for c, f in seen.items()])) if seen else F.array().cast("array<string>")
+    g = g.select(by, missing.alias("missing"), "n_failed", (F.col("_named") - n(seen.values()) - F.col("_others")).alias("n_repeated"), n(firm.values()).alias("n_firm"))
     return g.select(by, "missing", "n_failed", "n_repeated", ((F.size("missing") == 0) & (F.col("n_failed") == 0) & (F.col("n_repeated") == 0) & (F.col("n_firm") == len(non_waivable))).alias("may_promote"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-from asofspark.operators import identity, market
+from asofspark.operators import audit, identity, market
 from asofspark.plans import core
 
 
@@ -40,3 +40,20 @@ def test_a_code_of_many_listings_is_one_sorted_stream(spark):
     got = identity.resolve_listing(requests, spark.createDataFrame(listings, "listing_id int, exchange string"), spark.createDataFrame(history, "listing_id int, kind string, identifier string, valid_from date, valid_to date"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and {s for *_, s in want} == {"not_found", "resolved", "ambiguous"}
     assert not any("as_of" in line for line in plan(got).splitlines() if "Join " in line)  # requests with all that have the code
+
+
+def test_checks_are_counted_before_the_shuffle(spark):
+    r = random.Random(5)
+    names = [*audit.VALIDATION_CHECKS, "more", "other", None]
+    rows = [(k % 70 or None, names[r.randrange(len(names))] if k % 70 > 20 else names[k // 70 % 12], r.choice(["pass", "pass", "fail", None]) if k % 70 > 10 else "pass") for k in range(840)]
+    got = audit.promotion_gate(spark.createDataFrame(rows, "report_id int, check_name string, outcome string"))
+    want = {}
+    for k in {k for k, _, _ in rows}:
+        own = [(n, o) for i, n, o in rows if i == k]
+        named = [n for n, _ in own if n is not None]
+        missing, failed, twice = sorted(set(audit.VALIDATION_CHECKS) - set(named)), sum(o == "fail" for _, o in own), len(named) - len(set(named))
+        firm = all((c, "pass") in own for c in audit.NON_WAIVABLE_CHECKS)
+        want[k] = (missing, failed, twice, not missing and not failed and not twice and firm)
+    assert {r["report_id"]: (r["missing"], r["n_failed"], r["n_repeated"], r["may_promote"]) for r in got.collect()} == want
+    assert {w[3] for w in want.values()} == {True, False}
+    assert "ObjectHashAggregate" not in plan(got)  # sets of names, sorted and shuffled a report
