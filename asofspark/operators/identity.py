@@ -22,9 +22,12 @@ def snapshot(companies: DataFrame, securities: DataFrame, listings: DataFrame, h
     effect (states: listing_id, valid_from, valid_to, listing_state, special_treatment; NULL without any). delisted_on is
     inclusive; of overlapping states the newest counts.
 
-    dates (as_of) may be all sessions: every history is met by time slabs."""
-    days = dates.select("as_of").distinct()
-    alive = slab_join(days, listings, [], "as_of", "listed_on", "delisted_on", how="inner", inclusive=True)
+    dates (as_of) may be all sessions: a listing is looked up once in each stretch of days in which nothing about it changes,
+    and the stretches are spread over their days at the end. All dates are one row there."""
+    every = F.broadcast(dates.agg(F.sort_array(F.collect_set("as_of")).alias("_days")))
+    inside = lambda d: (d >= F.col("_from")) & (F.col("_until").isNull() | (d < F.col("_until")))
+    changes = stretches(listings, history, industries, states)
+    alive = changes.crossJoin(every).where(F.exists("_days", inside)).select("listing_id", F.col("_from").alias("as_of"), "_until").join(listings, "listing_id").where("listed_on <= as_of and (delisted_on is null or as_of <= delisted_on)")
     base = alive.join(securities, "security_id").join(companies, "company_id")
     code, name = identifier_at(alive, history, "code", "code"), identifier_at(alive, history, "name", "name")
     hit = slab_join(alive.select("security_id", "as_of").distinct(), industries, ["security_id"], "as_of", how="inner").groupBy("security_id", "as_of").agg(F.array_sort(F.collect_set("industry_code")).alias("industries"))
@@ -35,7 +38,24 @@ def snapshot(companies: DataFrame, securities: DataFrame, listings: DataFrame, h
     else:
         now = slab_join(alive.select("listing_id", "as_of"), states, ["listing_id"], "as_of", how="inner").groupBy("listing_id", "as_of").agg(F.max(F.struct("valid_from", *state)).alias("s"))
         out = out.join(now.select("listing_id", "as_of", *[F.col(f"s.{c}").alias(c) for c in state]), ["listing_id", "as_of"], "left")
-    return out.select("as_of", "listing_id", "security_id", "company_id", "company_name", "exchange", "code", "name", F.coalesce("industries", F.array().cast("array<string>")).alias("industries"), *state)
+    out = out.select(F.col("as_of").alias("_from"), "_until", "listing_id", "security_id", "company_id", "company_name", "exchange", "code", "name", F.coalesce("industries", F.array().cast("array<string>")).alias("industries"), *state)
+    # few and short rows grow by hundreds: they are dealt to all tasks by number, which adaptive execution leaves as it is
+    dealt = out.repartition(int(dates.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("listing_id", "_from"))
+    return dealt.crossJoin(every).select(F.explode(F.filter("_days", inside)).alias("as_of"), *out.columns[2:])
+
+
+def stretches(listings: DataFrame, history: DataFrame, industries: DataFrame, states: DataFrame | None) -> DataFrame:
+    """The days from which something about a listing may differ (listing_id, _from) and the next such day (_until, NULL for
+    none). An identifier also changes on the day after its first, when it has begun before."""
+    after = lambda c: F.date_add(c, 1)
+    marks = listings.select("listing_id", F.array("listed_on", after("delisted_on")).alias("_at"))
+    marks = marks.unionByName(history.where("kind in ('code', 'name')").select("listing_id", F.array("valid_from", after("valid_from"), "valid_to").alias("_at")))
+    own = industries.select("security_id", F.array("valid_from", "valid_to").alias("_at")).join(listings.select("security_id", "listing_id"), "security_id")
+    marks = marks.unionByName(own.select("listing_id", "_at"))
+    if states is not None:
+        marks = marks.unionByName(states.select("listing_id", F.array("valid_from", "valid_to").alias("_at")))
+    days = marks.select("listing_id", F.explode("_at").alias("_from")).where("listing_id is not null and _from is not null").distinct()
+    return days.withColumn("_until", F.lead("_from").over(Window.partitionBy("listing_id").orderBy("_from")))
 
 
 def resolve_listing(requests: DataFrame, listings: DataFrame, history: DataFrame) -> DataFrame:

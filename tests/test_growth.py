@@ -57,3 +57,34 @@ def test_checks_are_counted_before_the_shuffle(spark):
     assert {r["report_id"]: (r["missing"], r["n_failed"], r["n_repeated"], r["may_promote"]) for r in got.collect()} == want
     assert {w[3] for w in want.values()} == {True, False}
     assert "ObjectHashAggregate" not in plan(got)  # sets of names, sorted and shuffled a report
+
+
+def test_a_snapshot_of_all_days_looks_a_listing_up_once_a_stretch(spark):
+    r = random.Random(4)
+    maybe = lambda n: None if r.random() < 0.3 else r.randrange(n)
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    listed = [(k, k % 5, "E", day(r.randrange(20)), day(maybe(40))) for k in range(9)]
+    history = [(k, kind, f"{kind}{r.randrange(50)}", day(r.randrange(40)), day(maybe(40))) for k in range(9) for kind in ("code", "name") for _ in range(3)]
+    industries = [(k, "t", f"I{r.randrange(4)}", day(r.randrange(40)), day(maybe(40))) for k in range(5) for _ in range(3)]
+    states = [(k, day(a), day(a + 9), f"s{a}", None) for k in range(9) for a in r.sample(range(40), 2)]
+    dates = [day(r.randrange(60)) for _ in range(50)]
+    now = lambda d, a, b: a <= d and (b is None or d < b)
+    want = set()
+    for d in dates:
+        for k, s, e, a, b in listed:
+            if not (a <= d and (b is None or d <= b)):
+                continue
+            ids = []
+            for kind in ("code", "name"):
+                own = [(f, i, t) for x, q, i, f, t in history if x == k and q == kind]
+                seen, past = [(f, i) for f, i, t in own if now(d, f, t)], [(f, i) for f, i, _ in own if f < d]
+                ids.append(max(seen or past or [(None, None)])[1])
+            state = max([(f, g) for x, f, t, g, _ in states if x == k and now(d, f, t)], default=(None, None))[1]
+            want.add((d, k, s, 1, "C", e, *ids, tuple(sorted({i for x, _, i, f, t in industries if x == s and now(d, f, t)})), state, None))
+    spans = "valid_from date, valid_to date"
+    args = make([(1, "C")], "company_id int, company_name string"), make([(k, 1) for k in range(5)], "security_id int, company_id int"), make(listed, "listing_id int, security_id int, exchange string, listed_on date, delisted_on date")
+    args += make(history, f"listing_id int, kind string, identifier string, {spans}"), make(industries, f"security_id int, taxonomy string, industry_code string, {spans}"), make([(d,) for d in dates], "as_of date")
+    got = identity.snapshot(*args, make(states, f"listing_id int, {spans}, listing_state string, special_treatment string"))
+    assert sorted([tuple(tuple(x) if isinstance(x, list) else x for x in row) for row in got.collect()], key=str) == sorted(want, key=str)
+    lines = plan(got).split("Initial Plan")[0].splitlines()
+    assert next(k for k, line in enumerate(lines) if "Generate explode" in line) < min(k for k, line in enumerate(lines) if "Exchange" in line)  # days come last
