@@ -155,7 +155,7 @@ VIEWED = "select event_id as view_id, user_id as security_id, ts as decision_at,
 PRICED = "select user_id as p_security_id, ts as priced_at, value + 2 as close from {events} where event_type = 'click'"
 
 
-@query("select v.view_id, p.priced_at, round(p.close / v.price - 1, 6) as realized_return, case when p.priced_at is null then 'pending' else 'mature' end as status from (select *, decision_at + interval 5 day as target from (" + VIEWED + ")) v asof left join (select p_security_id, priced_at, min(close) as close from (" + PRICED + ") group by 1, 2) p on v.security_id = p.p_security_id and v.target <= p.priced_at")
+@query("select v.view_id, v.security_id, p.priced_at, round(p.close / v.price - 1, 6) as realized_return, case when p.priced_at is null then 'pending' else 'mature' end as status from (select *, decision_at + interval 5 day as target from (" + VIEWED + ")) v asof left join (select p_security_id, priced_at, min(close) as close from (" + PRICED + ") group by 1, 2) p on v.security_id = p.p_security_id and v.target <= p.priced_at")
 def r3_stream_maturity(v):
     root = scratch(v)
     views = v.sql(VIEWED).withColumn("decision_at", F.col("decision_at").cast("timestamp"))
@@ -164,4 +164,4 @@ def r3_stream_maturity(v):
     in_batches(prices, f"{root}/prices")
     stream = lambda df, name: v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}")
     feeds.maturity_stream(stream(views, "views"), stream(prices, "prices"), f"{root}/out", f"{root}/checkpoint", 5).awaitTermination()
-    return feeds.maturity(v.spark, f"{root}/out").select(F.col("view_id").cast("long").alias("view_id"), F.col("priced_at").cast("timestamp_ntz").alias("priced_at"), F.round("realized_return", 6).alias("realized_return"), "status")
+    return feeds.maturity(v.spark, f"{root}/out").select(F.col("view_id").cast("long").alias("view_id"), F.col("security_id").cast("long").alias("security_id"), F.col("priced_at").cast("timestamp_ntz").alias("priced_at"), F.round("realized_return", 6).alias("realized_return"), "status")

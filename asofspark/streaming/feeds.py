@@ -14,6 +14,10 @@ from asofspark.sources.store import BUCKETS, Store
 
 #: Microseconds of a day, and a price time that no price has.
 DAY, NEVER = 86_400_000_000, 1 << 62
+#: Microseconds of a slab of state.
+SLAB = 32 * DAY
+#: What the stream writes of views.
+TOLD = "view string, price double, priced long, close double, security string"
 
 
 def append_stream(source: DataFrame, root: str, checkpoint: str, key: str = "id", content: str = "content_hash", buckets: int = BUCKETS) -> StreamingQuery:
@@ -57,11 +61,13 @@ def current_intervals(spark: SparkSession, root: str) -> DataFrame:
 
 
 class Maturing(StatefulProcessor):
-    """The views and prices of one security. State: the prices by day, and each view that may still get an earlier price.
+    """The views and prices of one security. State: prices by slab of their times, and by slab of their targets the views that
+    may still get an earlier price. A micro-batch reads a security's slabs at once and writes those that change, as every
+    call of the state costs a round trip.
 
     A view is told to wait when it comes, and its first price so far is told whenever that changes, so that the least price
-    time told of a view is right at any moment. Timers clean up as the watermark passes: a view goes with its price's time,
-    after which no earlier one can come, and a day of prices when every later view must look behind it.
+    time told of a view is right at any moment. Timers clean up as the watermark passes: a view goes when its slab's prices
+    have passed, after which no earlier one can come, and a slab of prices when every later view must look behind it.
     """
 
     def __init__(self, horizon_days: int):
@@ -69,68 +75,93 @@ class Maturing(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.prices = handle.getMapState("prices", "day int", "at array<long>, close array<double>")
-        self.views = handle.getMapState("views", "view string", "target long, price double, priced long")
+        self.prices = handle.getMapState("prices", "slab int", "at array<long>, close array<double>")
+        self.views = handle.getMapState("views", "slab int", "view array<string>, target array<long>, price array<double>, priced array<long>")
 
     def _timer(self, us: int) -> None:
         """At the first millisecond after ``us``."""
         self.handle.registerTimer(us // 1000 + 1)
 
+    @staticmethod
+    def _slabs(state) -> dict[int, list[list]]:
+        """Slab -> the columns of its rows, as lists."""
+        return {slab: [list(c) for c in columns] for (slab,), columns in list(state.iterator())}
+
     def handleInputRows(self, key, rows, timerValues):
-        told, fresh = [], {}
+        fresh, came = {}, {}
         for df in rows:
             for view, at, price, close in zip(df["view"], df["us"], df["price"], df["close"], strict=True):
                 at = int(at)
                 if close == close and close is not None:  # a price; of equal times the least counts
                     fresh[at] = min(float(close), fresh.get(at, float(close)))
-                elif not self.views.containsKey((view,)):
-                    self.views.updateValue((view,), (at + self.horizon, float(price), NEVER))
-                    told.append((view, float(price), None, None))
-                    told += self._look(view, at + self.horizon, float(price))
-        days: dict[int, dict[int, float]] = {}
+                else:
+                    came.setdefault(view, (at + self.horizon, float(price)))
+        prices = {slab: dict(zip(*columns, strict=True)) for slab, columns in self._slabs(self.prices).items()}
         for at, close in fresh.items():
-            days.setdefault(at // DAY, {})[at] = close
-        for day, new in days.items():
-            have = dict(zip(*self.prices.getValue((day,)), strict=True)) if self.prices.containsKey((day,)) else {}
-            for at, close in new.items():
-                have[at] = min(close, have.get(at, close))
-            times = sorted(have)
-            self.prices.updateValue((day,), (times, [have[t] for t in times]))
-            self._timer((day + 1) * DAY - self.horizon)
-        if fresh:
-            times = sorted(fresh)
-            for (view,), (target, price, priced) in list(self.views.iterator()):
+            own = prices.setdefault(at // SLAB, {})
+            own[at] = min(close, own.get(at, close))
+        for slab in {at // SLAB for at in fresh}:
+            times = sorted(prices[slab])
+            self.prices.updateValue((slab,), (times, [prices[slab][t] for t in times]))
+            self._timer(times[-1] - self.horizon)
+        told, changed, times = [], set(), sorted(fresh)
+        views = self._slabs(self.views)
+        known = {view for columns in views.values() for view in columns[0]}
+        for slab, (names, targets, own, priced) in views.items():
+            for n, target in enumerate(targets):
                 k = bisect.bisect_left(times, target)
-                if k < len(times) and times[k] <= priced:
-                    told += self._look(view, target, price, times[k])
-        yield pd.DataFrame(told, columns=["view", "price", "priced", "close"]).astype({"priced": "Int64", "close": "float64"})
-
-    def _look(self, view: str, target: int, price: float, known: int | None = None) -> list[tuple]:
-        """The first price at or after the view's target, day by day, or at a time that is known."""
-        days = [known // DAY] if known is not None else sorted(d for (d,) in self.prices.keys() if d >= target // DAY)
-        for day in days:
-            times, closes = self.prices.getValue((day,))
-            k = bisect.bisect_left(times, target if known is None else known)
-            if k < len(times):
-                self.views.updateValue((view,), (target, price, times[k]))
-                self._timer(times[k])
-                return [(view, price, times[k], closes[k])]
-        return []
+                if k < len(times) and times[k] <= priced[n]:
+                    priced[n] = times[k]
+                    changed.add(slab)
+                    told.append((names[n], own[n], times[k], prices[times[k] // SLAB][times[k]]))
+        times = sorted(t for own in prices.values() for t in own) if came else times
+        for view, (target, price) in came.items():
+            if view in known:
+                continue
+            k = bisect.bisect_left(times, target)
+            first = times[k] if k < len(times) else NEVER
+            slab = target // SLAB
+            for column, value in zip(views.setdefault(slab, [[], [], [], []]), (view, target, price, first), strict=True):
+                column.append(value)
+            changed.add(slab)
+            told.append((view, price, None, None))
+            if first != NEVER:
+                told.append((view, price, first, prices[first // SLAB][first]))
+        for slab in changed:
+            self.views.updateValue((slab,), tuple(views[slab]))
+            passed = [t for t in views[slab][3] if t != NEVER]
+            if passed:
+                self._timer(max(passed))
+        if told:
+            view, price, priced, close = zip(*told, strict=True)
+            yield pd.DataFrame({"view": view, "price": price, "priced": pd.array(priced, dtype="Int64"), "close": pd.Series(close, dtype="float64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        for (view,), (_, _, priced) in list(self.views.iterator()):
-            if priced < now:
-                self.views.removeKey((view,))
-        for (day,) in list(self.prices.keys()):
-            if (day + 1) * DAY - self.horizon <= now:
-                self.prices.removeKey((day,))
+        for slab, columns in self._slabs(self.views).items():
+            rest = [row for row in zip(*columns, strict=True) if row[3] >= now]
+            if not rest:
+                self.views.removeKey((slab,))
+            elif len(rest) < len(columns[0]):
+                self.views.updateValue((slab,), tuple(map(list, zip(*rest, strict=True))))
+        for slab, (times, _) in self._slabs(self.prices).items():
+            if times[-1] < now + self.horizon:
+                self.prices.removeKey((slab,))
         yield from ()
 
     def close(self) -> None:
         pass
 
 
+class MaturingBySecurity(Maturing):
+    """``Maturing`` that tells the security with each row."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        for told in super().handleInputRows(key, rows, timerValues):
+            told["security"] = key[0]
+            yield told
+
+
 def maturity_stream(views: DataFrame, prices: DataFrame, root: str, checkpoint: str, horizon_days: int, lateness: str = "365 days") -> StreamingQuery:
     """Views wait for the first price at or after their horizon as both arrive, in whatever order. views: view_id (unique),
     security_id, decision_at, price; prices: p_security_id, priced_at, close.
@@ -144,7 +175,7 @@ def maturity_stream(views: DataFrame, prices: DataFrame, root: str, checkpoint:
     v = views.select(key("security_id"), F.col("decision_at").cast("timestamp").alias("at"), us("decision_at"), F.col("view_id").cast("string").alias("view"), F.col("price").cast("double").alias("price"), F.lit(None).cast("double").alias("close"))
     p = prices.where("close is not null and p_security_id is not null").select(key("p_security_id"), F.col("priced_at").cast("timestamp").alias("at"), us("priced_at"), F.lit(None).cast("string").alias("view"), F.lit(None).cast("double").alias("price"), F.col("close").cast("double").alias("close"))
     both = v.unionByName(p).withWatermark("at", lateness)
-    told = both.groupBy("security").transformWithStateInPandas(Maturing(horizon_days), "view string, price double, priced long, close double", "Append", "EventTime")
+    told = both.groupBy("security").transformWithStateInPandas(MaturingBySecurity(horizon_days), TOLD, "Append", "EventTime")
     spark, provider = views.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -155,8 +186,8 @@ def maturity_stream(views: DataFrame, prices: DataFrame, root: str, checkpoint:
 
 
 def maturity(spark: SparkSession, root: str) -> DataFrame:
-    """One row a view: matured with its price's time and return, or pending."""
-    told = spark.read.schema("view string, price double, priced long, close double").parquet(f"{root}/told")
-    first = told.groupBy("view").agg(F.max("price").alias("price"), F.min(F.when(F.col("priced").isNotNull(), F.struct("priced", "close"))).alias("first"))
+    """One row a view with its security: matured with its price's time and return, or pending."""
+    told = spark.read.schema(TOLD).parquet(f"{root}/told")
+    first = told.groupBy("view").agg(F.max("price").alias("price"), F.max("security").alias("security"), F.min(F.when(F.col("priced").isNotNull(), F.struct("priced", "close"))).alias("first"))
     at = F.timestamp_micros(F.col("first.priced"))
-    return first.select(F.col("view").alias("view_id"), at.alias("priced_at"), (F.col("first.close") / F.col("price") - 1).alias("realized_return"), F.when(F.col("first").isNull(), "pending").otherwise("mature").alias("status"))
+    return first.select(F.col("view").alias("view_id"), F.when(F.col("security") != "", F.substr("security", F.lit(2))).alias("security_id"), at.alias("priced_at"), (F.col("first.close") / F.col("price") - 1).alias("realized_return"), F.when(F.col("first").isNull(), "pending").otherwise("mature").alias("status"))

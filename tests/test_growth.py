@@ -5,8 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
+
 from asofspark.operators import audit, identity, market
 from asofspark.plans import core
+from asofspark.streaming import feeds
+from test_maturing import Handle, Map
 
 
 def plan(df) -> str:
@@ -88,3 +92,39 @@ def test_a_snapshot_of_all_days_looks_a_listing_up_once_a_stretch(spark):
     assert sorted([tuple(tuple(x) if isinstance(x, list) else x for x in row) for row in got.collect()], key=str) == sorted(want, key=str)
     lines = plan(got).split("Initial Plan")[0].splitlines()
     assert next(k for k, line in enumerate(lines) if "Generate explode" in line) < min(k for k, line in enumerate(lines) if "Exchange" in line)  # days come last
+
+
+def test_a_view_is_told_with_its_security_and_few_calls_of_the_state():
+    class Counted(Map):
+        calls = 0
+
+        def updateValue(self, k, v):
+            type(self).calls += 1
+            self[k] = v
+
+        def iterator(self):
+            type(self).calls += 1
+            return iter(self.items())
+
+        def getValue(self, k):
+            type(self).calls += 1
+            return self[k]
+
+        def keys(self):
+            type(self).calls += 1
+            return super().keys()
+
+    handle, p = Handle(), feeds.MaturingBySecurity(2)
+    handle.maps = {"views": Counted(), "prices": Counted()}
+    p.init(handle)
+    events = [(f"v{k}", k * feeds.DAY, 10.0, None) for k in range(20)] + [(None, k * feeds.DAY, None, 5.0) for k in range(20)]
+    rows = [r for df in p.handleInputRows(("=7",), iter([pd.DataFrame(events, columns=["view", "us", "price", "close"])]), None) for r in df.itertuples(index=False)]
+    assert {r.security for r in rows} == {"=7"} and len(rows) == 38
+    assert Counted.calls <= 4  # each map is read once, and each of its slabs that changes written once
+
+
+def test_maturity_names_the_security(spark, tmp_path):
+    told = [("1", 10.0, None, None, "=a"), ("1", 10.0, 5, 11.0, "=a"), ("2", 10.0, None, None, "")]
+    spark.createDataFrame(told, feeds.TOLD).write.parquet(f"{tmp_path}/told")
+    got = {r["view_id"]: (r["security_id"], r["status"]) for r in feeds.maturity(spark, str(tmp_path)).collect()}
+    assert got == {"1": ("a", "mature"), "2": (None, "pending")}
