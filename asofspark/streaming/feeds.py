@@ -16,6 +16,8 @@ from asofspark.sources.store import BUCKETS, Store
 DAY, NEVER = 86_400_000_000, 1 << 62
 #: Microseconds of a slab of state.
 SLAB = 32 * DAY
+#: Groups of securities that hold the state.
+GROUPS = 1024
 #: What the stream writes of views.
 TOLD = "view string, price double, priced long, close double, security string"
 
@@ -61,9 +63,9 @@ def current_intervals(spark: SparkSession, root: str) -> DataFrame:
 
 
 class Maturing(StatefulProcessor):
-    """The views and prices of one security. State: prices by slab of their times, and by slab of their targets the views that
-    may still get an earlier price. A micro-batch reads a security's slabs at once and writes those that change, as every
-    call of the state costs a round trip.
+    """The views and prices of the securities of one key. State: prices by slab of their times, and by slab of their targets
+    the views that may still get an earlier price. A micro-batch reads a key's slabs at once and writes those that change, as
+    every call of the state costs a round trip.
 
     A view is told to wait when it comes, and its first price so far is told whenever that changes, so that the least price
     time told of a view is right at any moment. Timers clean up as the watermark passes: a view goes when its slab's prices
@@ -75,8 +77,8 @@ class Maturing(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.prices = handle.getMapState("prices", "slab int", "at array<long>, close array<double>")
-        self.views = handle.getMapState("views", "slab int", "view array<string>, target array<long>, price array<double>, priced array<long>")
+        self.prices = handle.getMapState("prices", "slab int", "security array<string>, at array<long>, close array<double>")
+        self.views = handle.getMapState("views", "slab int", "security array<string>, view array<string>, target array<long>, price array<double>, priced array<long>")
 
     def _timer(self, us: int) -> None:
         """At the first millisecond after ``us``."""
@@ -88,64 +90,65 @@ class Maturing(StatefulProcessor):
         return {slab: [list(c) for c in columns] for (slab,), columns in list(state.iterator())}
 
     def handleInputRows(self, key, rows, timerValues):
+        """The rows of one security, its key."""
+        for told in self._mature((df.assign(security=key[0]) for df in rows)):
+            yield told.drop(columns="security")
+
+    def _mature(self, rows):
         fresh, came = {}, {}
         for df in rows:
-            for view, at, price, close in zip(df["view"], df["us"], df["price"], df["close"], strict=True):
+            for security, view, at, price, close in zip(*(df[c].tolist() for c in ("security", "view", "us", "price", "close")), strict=True):
                 at = int(at)
                 if close == close and close is not None:  # a price; of equal times the least counts
-                    fresh[at] = min(float(close), fresh.get(at, float(close)))
+                    fresh[security, at] = min(float(close), fresh.get((security, at), float(close)))
                 else:
-                    came.setdefault(view, (at + self.horizon, float(price)))
-        prices = {slab: dict(zip(*columns, strict=True)) for slab, columns in self._slabs(self.prices).items()}
-        for at, close in fresh.items():
+                    came.setdefault((security, view), (at + self.horizon, float(price)))
+        prices = {slab: dict(zip(zip(*columns[:2], strict=True), columns[2], strict=True)) for slab, columns in self._slabs(self.prices).items()}
+        for (security, at), close in fresh.items():
             own = prices.setdefault(at // SLAB, {})
-            own[at] = min(close, own.get(at, close))
-        for slab in {at // SLAB for at in fresh}:
-            times = sorted(prices[slab])
-            self.prices.updateValue((slab,), (times, [prices[slab][t] for t in times]))
-            self._timer(times[-1] - self.horizon)
-        told, changed, times = [], set(), sorted(fresh)
-        views = self._slabs(self.views)
-        known = {view for columns in views.values() for view in columns[0]}
-        for slab, (names, targets, own, priced) in views.items():
-            for n, target in enumerate(targets):
-                k = bisect.bisect_left(times, target)
-                if k < len(times) and times[k] <= priced[n]:
-                    priced[n] = times[k]
+            own[security, at] = min(close, own.get((security, at), close))
+        for slab in {at // SLAB for _, at in fresh}:
+            self.prices.updateValue((slab,), (*map(list, zip(*prices[slab], strict=True)), list(prices[slab].values())))
+            self._timer(max(at for _, at in prices[slab]) - self.horizon)
+        told, changed, views, news = [], set(), self._slabs(self.views), _times(fresh)
+        for slab, columns in views.items():
+            priced = columns[4]
+            for n, (security, view, target, price, known) in enumerate(zip(*columns, strict=True)):
+                at = _first(news, security, target)
+                if at <= known and at != NEVER:
+                    priced[n] = at
                     changed.add(slab)
-                    told.append((names[n], own[n], times[k], prices[times[k] // SLAB][times[k]]))
-        times = sorted(t for own in prices.values() for t in own) if came else times
-        for view, (target, price) in came.items():
-            if view in known:
-                continue
-            k = bisect.bisect_left(times, target)
-            first = times[k] if k < len(times) else NEVER
-            slab = target // SLAB
-            for column, value in zip(views.setdefault(slab, [[], [], [], []]), (view, target, price, first), strict=True):
+                    told.append((view, price, at, prices[at // SLAB][security, at], security))
+        known = {(security, view) for columns in views.values() for security, view in zip(*columns[:2], strict=True)}
+        came = {k: v for k, v in came.items() if k not in known}
+        every = _times(k for own in prices.values() for k in own) if came else {}
+        for (security, view), (target, price) in came.items():
+            at, slab = _first(every, security, target), target // SLAB
+            for column, value in zip(views.setdefault(slab, [[], [], [], [], []]), (security, view, target, price, at), strict=True):
                 column.append(value)
             changed.add(slab)
-            told.append((view, price, None, None))
-            if first != NEVER:
-                told.append((view, price, first, prices[first // SLAB][first]))
+            told.append((view, price, None, None, security))
+            if at != NEVER:
+                told.append((view, price, at, prices[at // SLAB][security, at], security))
         for slab in changed:
             self.views.updateValue((slab,), tuple(views[slab]))
-            passed = [t for t in views[slab][3] if t != NEVER]
+            passed = [t for t in views[slab][4] if t != NEVER]
             if passed:
                 self._timer(max(passed))
         if told:
-            view, price, priced, close = zip(*told, strict=True)
-            yield pd.DataFrame({"view": view, "price": price, "priced": pd.array(priced, dtype="Int64"), "close": pd.Series(close, dtype="float64")})
+            view, price, priced, close, security = zip(*told, strict=True)
+            yield pd.DataFrame({"view": view, "price": price, "priced": pd.array(priced, dtype="Int64"), "close": pd.Series(close, dtype="float64"), "security": security})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs() * 1000
         for slab, columns in self._slabs(self.views).items():
-            rest = [row for row in zip(*columns, strict=True) if row[3] >= now]
+            rest = [row for row in zip(*columns, strict=True) if row[4] >= now]
             if not rest:
                 self.views.removeKey((slab,))
             elif len(rest) < len(columns[0]):
                 self.views.updateValue((slab,), tuple(map(list, zip(*rest, strict=True))))
-        for slab, (times, _) in self._slabs(self.prices).items():
-            if times[-1] < now + self.horizon:
+        for slab, (_, times, _) in self._slabs(self.prices).items():
+            if max(times) < now + self.horizon:
                 self.prices.removeKey((slab,))
         yield from ()
 
@@ -153,21 +156,36 @@ class Maturing(StatefulProcessor):
         pass
 
 
-class MaturingBySecurity(Maturing):
-    """``Maturing`` that tells the security with each row."""
+class MaturingGroup(Maturing):
+    """``Maturing`` for rows with their security, of any number of them; it tells the security with each row."""
 
     def handleInputRows(self, key, rows, timerValues):
-        for told in super().handleInputRows(key, rows, timerValues):
-            told["security"] = key[0]
-            yield told
+        yield from self._mature(rows)
+
+
+def _times(keys) -> dict[str, list[int]]:
+    """Sorted times by security, of (security, time)."""
+    found: dict[str, list[int]] = {}
+    for security, at in keys:
+        found.setdefault(security, []).append(at)
+    for own in found.values():
+        own.sort()
+    return found
+
+
+def _first(times: dict[str, list[int]], security: str, target: int) -> int:
+    """The security's first time at or after the target, or NEVER."""
+    own = times.get(security, ())
+    k = bisect.bisect_left(own, target)
+    return own[k] if k < len(own) else NEVER
 
 
-def maturity_stream(views: DataFrame, prices: DataFrame, root: str, checkpoint: str, horizon_days: int, lateness: str = "365 days") -> StreamingQuery:
+def maturity_stream(views: DataFrame, prices: DataFrame, root: str, checkpoint: str, horizon_days: int, lateness: str = "365 days", groups: int = GROUPS) -> StreamingQuery:
     """Views wait for the first price at or after their horizon as both arrive, in whatever order. views: view_id (unique),
     security_id, decision_at, price; prices: p_security_id, priced_at, close.
 
-    The state is kept by security, with event-time timers (``Maturing``), so that a micro-batch costs what its securities
-    hold and not what has been seen. Rows that are later than ``lateness`` behind the newest are left out, as Spark does with
+    The state is kept by ``groups`` of securities (by their hash), with event-time timers (``Maturing``): a micro-batch costs
+    what the groups of its securities hold. Choose the number so that a group has up to some thousand rows at a time. Rows that are later than ``lateness`` behind the newest are left out, as Spark does with
     late rows. ``maturity`` reads the result.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("us")
@@ -175,7 +193,7 @@ def maturity_stream(views: DataFrame, prices: DataFrame, root: str, checkpoint:
     v = views.select(key("security_id"), F.col("decision_at").cast("timestamp").alias("at"), us("decision_at"), F.col("view_id").cast("string").alias("view"), F.col("price").cast("double").alias("price"), F.lit(None).cast("double").alias("close"))
     p = prices.where("close is not null and p_security_id is not null").select(key("p_security_id"), F.col("priced_at").cast("timestamp").alias("at"), us("priced_at"), F.lit(None).cast("string").alias("view"), F.lit(None).cast("double").alias("price"), F.col("close").cast("double").alias("close"))
     both = v.unionByName(p).withWatermark("at", lateness)
-    told = both.groupBy("security").transformWithStateInPandas(MaturingBySecurity(horizon_days), TOLD, "Append", "EventTime")
+    told = both.withColumn("group", F.pmod(F.xxhash64("security"), F.lit(groups)).cast("int")).groupBy("group").transformWithStateInPandas(MaturingGroup(horizon_days), TOLD, "Append", "EventTime")
     spark, provider = views.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -114,12 +114,12 @@ def test_a_view_is_told_with_its_security_and_few_calls_of_the_state():
             type(self).calls += 1
             return super().keys()
 
-    handle, p = Handle(), feeds.MaturingBySecurity(2)
+    handle, p = Handle(), feeds.MaturingGroup(2)
     handle.maps = {"views": Counted(), "prices": Counted()}
     p.init(handle)
-    events = [(f"v{k}", k * feeds.DAY, 10.0, None) for k in range(20)] + [(None, k * feeds.DAY, None, 5.0) for k in range(20)]
-    rows = [r for df in p.handleInputRows(("=7",), iter([pd.DataFrame(events, columns=["view", "us", "price", "close"])]), None) for r in df.itertuples(index=False)]
-    assert {r.security for r in rows} == {"=7"} and len(rows) == 38
+    events = [(f"={s}", f"{s}v{k}", k * feeds.DAY, 10.0, None) for k in range(20) for s in "ab"] + [(f"={s}", None, k * feeds.DAY, None, 5.0) for k in range(20) for s in "ab"]
+    rows = [r for df in p.handleInputRows((7,), iter([pd.DataFrame(events, columns=["security", "view", "us", "price", "close"])]), None) for r in df.itertuples(index=False)]
+    assert all(r.security == f"={r.view[0]}" for r in rows) and len(rows) == 76
     assert Counted.calls <= 4  # each map is read once, and each of its slabs that changes written once
 
 
