@@ -142,6 +142,12 @@ def revisions(store: Store, name: str, facts: DataFrame, keys: Sequence[str], ma
         touched = store.touched(facts, keys)
         new = facts.withColumn("given_to", F.col("known_to"))
         old = store.read(name, StructType([*new.schema]), touched, commit).select(*new.columns).withColumn("known_to", F.col("given_to"))
-        return {name: (pit.close_intervals(old.unionByName(new).distinct(), keys), keys, touched)}
+        return {name: (pit.close_intervals(distinct_by(old.unionByName(new), keys, store.buckets), keys), keys, touched)}
 
     return store.update(make, mark)
+
+
+def distinct_by(rows: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
+    """Distinct rows, dealt by the keys to a fixed number of tasks: repeats meet after the shuffle, so that no task holds its whole part of a batch as
+    candidates, and what is windowed by the keys next needs no shuffle of its own."""
+    return rows.repartition(parts, *keys).distinct()

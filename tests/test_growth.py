@@ -7,8 +7,9 @@ import random
 
 import pandas as pd
 
-from asofspark.operators import audit, identity, market
+from asofspark.operators import audit, identity, market, pit
 from asofspark.plans import core
+from asofspark.sources import merge
 from asofspark.streaming import feeds
 from test_maturing import Handle, Map
 
@@ -128,3 +129,14 @@ def test_maturity_names_the_security(spark, tmp_path):
     spark.createDataFrame(told, feeds.TOLD).write.parquet(f"{tmp_path}/told")
     got = {r["view_id"]: (r["security_id"], r["status"]) for r in feeds.maturity(spark, str(tmp_path)).collect()}
     assert got == {"1": ("a", "mature"), "2": (None, "pending")}
+
+
+def test_revisions_meet_after_one_shuffle_by_their_keys(spark):
+    rows = [(k % 50, k % 3, day(k % 20), day(1), None) for k in range(400)] * 2
+    df = spark.createDataFrame(rows, "fact_id int, company_id int, known_from date, available_at date, known_to date")
+    got = pit.close_intervals(merge.distinct_by(df, ["company_id"], 3), ["company_id"])
+    assert got.count() == len(set(rows))
+    lines = [line.split("(")[0].strip(" +-:*") for line in plan(got).splitlines()]
+    assert sum(line.startswith("Exchange") for line in lines) == 1
+    at = next(k for k, line in enumerate(lines) if line.startswith("Exchange"))
+    assert not any("Aggregate" in line for line in plan(got).splitlines()[at:])
