@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -230,11 +231,12 @@ def id_union(*frames: DataFrame) -> DataFrame:
 
 
 def lineage_closure(used: DataFrame, approved: DataFrame, by: str) -> DataFrame:
-    """Datasets each artifact uses without approval."""
-    u = used.groupBy(by).agg(F.collect_set("dataset_id").alias("u"))
-    a = approved.groupBy(by).agg(F.collect_set("dataset_id").alias("a"))
-    x = u.join(a, by, "left").select(by, F.array_sort(F.array_except("u", F.coalesce("a", F.array().cast("array<string>")))).alias("unapproved"))
-    return x.withColumn("closed", F.size("unapproved") == 0)
+    """Datasets each artifact uses without approval. Uses and approvals meet by artifact and dataset; only what is left
+    without approval is gathered by artifact."""
+    row = lambda df, is_used: df.select(by, "dataset_id", F.lit(is_used).alias("_used"))
+    x = row(used, True).unionByName(row(approved.where(F.col(by).isNotNull()), False)).groupBy(by, "dataset_id").agg(F.bool_or("_used").alias("_used"), F.bool_and("_used").alias("_bare"))
+    g = x.where("_used").groupBy(by).agg(F.array_sort(F.collect_list(F.when(F.col("_bare"), F.col("dataset_id")))).alias("unapproved"))
+    return g.withColumn("closed", F.size("unapproved") == 0)
 
 
 def evidence_closure(used: DataFrame, approved: DataFrame, edges: DataFrame, by: str) -> DataFrame:
@@ -249,26 +251,44 @@ def upstream(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("downstream_id")).distinct(), "downstream_id", "left_semi")
 
 
+#: Edges that are small enough to go several at a round, and not to be made fewer any more.
+FEW_EDGES = 100_000
+
+
 def upstream_closure(edges: DataFrame, ids: DataFrame, hops: int = 4) -> DataFrame:
     """All ancestors of the given ids: (id, ancestor_id, depth), depth being the least number of edges, and ``cyclic``: the
     id is its own ancestor. edges: upstream_id, downstream_id.
 
-    Each round goes ``hops`` edges on from what the round before was first to reach, and leaves out what is known, so that
-    it ends on cycles too; the number of rounds follows the longest way. Rounds rest in the shared scratch folder."""
-    e = edges.select(F.col("downstream_id").alias("_at"), F.col("upstream_id").alias("_up")).where("_at is not null and _up is not null").distinct()
-    front = ids.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("depth")).where("id is not null").distinct()
-    reached = None
+    Each round goes one edge on from what the round before was first to reach (``hops`` edges where few are left), and leaves
+    out what is known, so that it ends on cycles too; the number of rounds follows the longest way. After a round, edges that
+    no other edge leads to can't be met any more and go, as long as that leaves out a quarter of them, so that later rounds
+    read fewer and fewer. Rounds and edges rest in the shared scratch folder."""
+    e = rested(edges.select(F.col("downstream_id").alias("_at"), F.col("upstream_id").alias("_up")).where("_at is not null and _up is not null"), "edges")
+    front = ids.select("id", F.col("id").alias("ancestor_id")).where("id is not null").distinct()
+    n_edges, n_front, n_reached, depth, fewer, reached = e.count(), 0, 0, 0, True, None
+    if n_edges <= FEW_EDGES:
+        e = rested(e.distinct(), "edges")
     while True:
-        new, step = None, front
-        for _ in range(hops):
-            step = step.join(e, F.col("ancestor_id") == F.col("_at")).select("id", F.col("_up").alias("ancestor_id"), (F.col("depth") + 1).alias("depth"))
-            new = step if new is None else new.unionByName(step)
-        new = new.groupBy("id", "ancestor_id").agg(F.min("depth").alias("depth"))
+        # in a round of several edges, all but its last depth have been gone on from
+        front = front.select("id", "ancestor_id") if reached is None else front.where(F.col("depth") == depth).select("id", "ancestor_id")
+        step, steps = front, []
+        for k in range(1 if n_edges > FEW_EDGES else hops):
+            step = step.join(e, F.col("ancestor_id") == F.col("_at")).select("id", F.col("_up").alias("ancestor_id"))
+            steps.append(step.withColumn("depth", F.lit(depth + k + 1)))
+        new = reduce(DataFrame.unionByName, steps).groupBy("id", "ancestor_id").agg(F.min("depth").alias("depth"))
         if reached is not None:
-            new = new.join(reached.select("id", "ancestor_id"), ["id", "ancestor_id"], "left_anti")
-        front = rested(new, "lineage")
-        if front.isEmpty():
-            break
-        reached = front if reached is None else reached.unionByName(front)
-    reached = front if reached is None else reached
-    return reached.withColumn("cyclic", F.col("id") == F.col("ancestor_id"))
+            known = reached.select("id", "ancestor_id")
+            if 4 * n_front < n_reached:  # most ids have come to their end
+                known = known.join(front.select("id").distinct(), "id", "left_semi")
+            new = new.join(known, ["id", "ancestor_id"], "left_anti")
+        new = rested(new, "lineage")
+        n_new, depth = new.count(), depth + len(steps)
+        reached = new if reached is None else reached.unionByName(new)
+        if not n_new:
+            return reached.withColumn("cyclic", F.col("id") == F.col("ancestor_id"))
+        front, n_front, n_reached = new, n_new, n_reached + n_new
+        if fewer and n_edges > FEW_EDGES:
+            left = e.join(e.select(F.col("_up").alias("_at")).distinct(), "_at", "left_semi")
+            e = rested(left.distinct() if depth == 1 else left, "edges")
+            n_before, n_edges = n_edges, e.count()
+            fewer = 4 * n_edges <= 3 * n_before

@@ -12,6 +12,7 @@ from asofspark.plans import core
 from asofspark.sources import merge
 from asofspark.streaming import feeds
 from test_maturing import Handle, Map
+from test_ranges import ancestors
 
 
 def plan(df) -> str:
@@ -140,3 +141,30 @@ def test_revisions_meet_after_one_shuffle_by_their_keys(spark):
     assert sum(line.startswith("Exchange") for line in lines) == 1
     at = next(k for k, line in enumerate(lines) if line.startswith("Exchange"))
     assert not any("Aggregate" in line for line in plan(got).splitlines()[at:])
+
+
+def test_later_rounds_of_a_closure_read_fewer_edges(spark, monkeypatch):
+    read, rest = [], audit.rested
+
+    def counted(df, label):
+        out = rest(df, label)
+        if label == "edges":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(audit, "rested", counted)
+    monkeypatch.setattr(audit, "FEW_EDGES", 20)
+    edges = [(f"d{k}", f"d{2 * k + 1}") for k in range(200)] * 2 + [("d9", "d8"), ("d8", "d9"), ("d3", "d399"), ("d0", "d0"), (None, "d1"), ("d1", None)]
+    ids = [f"d{k}" for k in range(0, 400, 3)]
+    got = audit.upstream_closure(spark.createDataFrame(edges, "upstream_id string, downstream_id string"), spark.createDataFrame([(i,) for i in ids], "id string")).collect()
+    sound = [e for e in edges if None not in e]
+    assert sorted((x.id, x.ancestor_id, x.depth, x.cyclic) for x in got) == sorted((i, a, n, a == i) for i in ids for a, n in ancestors(sound, i).items())
+    assert len(read) > 3 and all(a > b for a, b in zip(read, read[1:])) and read[-1] <= 20
+
+
+def test_uses_and_approvals_meet_without_a_join_of_sets(spark):
+    used = [("x", "a"), ("x", "b"), ("x", "a"), ("y", "c"), (None, "a"), ("w", None), ("x", None)]
+    approved = [("x", "a"), ("x", "a"), ("x", "z"), ("y", "c"), (None, "a"), ("v", "a")]
+    got = audit.lineage_closure(*(spark.createDataFrame(rows, "artifact_id string, dataset_id string") for rows in (used, approved)), "artifact_id")
+    assert {x.artifact_id: (x.unapproved, x.closed) for x in got.collect()} == {"x": (["b"], False), "y": ([], True), None: (["a"], False), "w": ([], True)}
+    assert "Join" not in plan(got)
