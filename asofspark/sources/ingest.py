@@ -141,11 +141,15 @@ def ledger_append(existing: DataFrame, new: DataFrame, key: str = "id", content:
     """Each new row labelled insert, duplicate (same id and content) or conflict (same id, other content, or content that is
     bound to another id). Equal new rows count as one; new rows of one id with different contents conflict, and so do rows
     without id or content. ``existing`` needs the rows of the new ids only, if ``bound`` has those of the new contents."""
-    every = new.select(key, content).distinct()
+    return ledger_labels(existing, new.select(key, content).distinct(), key, content, existing if bound is None else bound)
+
+
+def ledger_labels(existing: DataFrame, every: DataFrame, key: str, content: str, bound: DataFrame) -> DataFrame:
+    """The labels of ``ledger_append`` for distinct pairs."""
     n = every.where(F.col(key).isNotNull() & F.col(content).isNotNull())
     own = n.groupBy(key).agg(F.count("*").alias("_own"))
     by_id = existing.groupBy(key).agg(F.min(content).alias("_have"))
-    by_content = (existing if bound is None else bound).select(content, F.col(key).alias("_bound")).unionByName(n.select(content, F.col(key).alias("_bound"))).groupBy(content).agg(F.min("_bound").alias("_lo"), F.max("_bound").alias("_hi"))
+    by_content = bound.select(content, F.col(key).alias("_bound")).unionByName(n.select(content, F.col(key).alias("_bound"))).groupBy(content).agg(F.min("_bound").alias("_lo"), F.max("_bound").alias("_hi"))
     x = n.join(own, key).join(by_id, key, "left").join(by_content, content)
     label = F.when((F.col("_own") > 1) | (F.col("_have") != F.col(content)) | (F.col("_lo") != F.col("_hi")), "conflict").when(F.col("_have").isNotNull(), "duplicate").otherwise("insert")
     broken = every.where(F.col(key).isNull() | F.col(content).isNull()).select(key, content, F.lit("conflict").alias("action"))

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from asofspark.operators import pit, scd
 
-from .ingest import ledger_append
+from .ingest import ledger_labels
 from .store import Commit, Store
 
 Mark = tuple[str, int] | None
@@ -74,20 +74,24 @@ def coalesced(store: Store, name: str, rows: DataFrame, keys: Sequence[str], at:
 def ledger(store: Store, name: str, rows: DataFrame, key: str = "id", content: str = "content_hash", mark: Mark = None) -> DataFrame | None:
     """Append to a ledger of which each id has one content and each content one id; the label of every new (id, content), as
     of the ledger before. Two tables hold the ledger, by id and by content, and change together; a call reads only the
-    buckets of its ids and of its contents."""
-    labels: list[DataFrame] = []
-    new = rows.dropDuplicates([key, content])
+    buckets of its ids and of its contents. New pairs and labels are made once and rest in the store, until ``Store.vacuum()``."""
+    rests: dict[str, DataFrame] = {}
 
     def make(commit: Commit):
+        if "new" not in rests:
+            rests["new"] = store.rested(rows.dropDuplicates([key, content]), f"{name}_new")
+        new = rests["new"]
         some = new.where(F.col(key).isNotNull() & F.col(content).isNotNull())
         by_id, by_content = store.touched(some, [key]), store.touched(some, [content])
         have = store.read(f"{name}_ids", new.schema, by_id, commit)
         bound = store.read(f"{name}_contents", new.select(content, key).schema, by_content, commit)
-        labels[:] = [ledger_append(have, new, key, content, bound)]
-        fresh = new.join(labels[0].where("action = 'insert'").select(key, content), [key, content], "left_semi")
+        rests["labels"] = store.rested(ledger_labels(have, new.select(key, content), key, content, bound), f"{name}_labels")
+        fresh = rests["labels"].where("action = 'insert'").select(key, content)
+        if len(new.columns) > 2:
+            fresh = new.join(fresh, [key, content], "left_semi")
         return {f"{name}_ids": (have.unionByName(fresh), [key], by_id), f"{name}_contents": (bound.unionByName(fresh.select(content, key)), [content], by_content)}
 
-    return labels[0] if store.update(make, mark) else None
+    return rests["labels"] if store.update(make, mark) else None
 
 
 def pairs(store: Store, name: str, rows: DataFrame, key: str = "id", content: str = "content_hash", mark: Mark = None) -> bool:

@@ -119,6 +119,12 @@ class Store:
             self.fs.delete(self.path(f"{self.root}/{n}"), True)
         return gone
 
+    def rested(self, df: DataFrame, label: str) -> DataFrame:
+        """Cut the lineage: ``df`` from a folder of this store that no commit names."""
+        path = f"{self.root}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     # -- keyed tables ----------------------------------------------------------------------------------------------
 
     def bucket(self, keys: Sequence[str]) -> Column:

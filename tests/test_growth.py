@@ -6,10 +6,12 @@ import datetime as dt
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from asofspark.operators import audit, identity, market, pit
 from asofspark.plans import core
 from asofspark.sources import merge
+from asofspark.sources.store import Store
 from asofspark.streaming import feeds
 from test_maturing import Handle, Map
 from test_ranges import ancestors
@@ -168,3 +170,18 @@ def test_uses_and_approvals_meet_without_a_join_of_sets(spark):
     got = audit.lineage_closure(*(spark.createDataFrame(rows, "artifact_id string, dataset_id string") for rows in (used, approved)), "artifact_id")
     assert {x.artifact_id: (x.unapproved, x.closed) for x in got.collect()} == {"x": (["b"], False), "y": ([], True), None: (["a"], False), "w": ([], True)}
     assert "Join" not in plan(got)
+
+
+def test_a_ledger_makes_its_new_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def content(k):
+        made.add(1)
+        return f"h{k}"
+
+    store = Store(spark, str(tmp_path), buckets=4)
+    for at in (0, 50):
+        labels = merge.ledger(store, "l", spark.range(at, at + 100).select(F.col("id").cast("string").alias("id"), content("id").alias("content_hash")))
+    assert {r["action"]: r["count"] for r in labels.groupBy("action").count().collect()} == {"duplicate": 50, "insert": 50}
+    assert made.value == 200
